@@ -19,9 +19,14 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _pattern(c: str | Column, pattern: str) -> Column:
+    """SQL ``format_number(x, 'pattern')`` (DecimalFormat pattern form)."""
+    return F.call_function("format_number", _col(c).cast("double"), F.lit(pattern))
+
+
 def fixed2(c: str | Column) -> Column:
     """``"%.2f" % x``: two decimals, no grouping."""
-    return F.format_number(_col(c).cast("double"), "0.00")
+    return _pattern(c, "0.00")
 
 
 def money(c: str | Column) -> Column:
@@ -31,4 +36,4 @@ def money(c: str | Column) -> Column:
 
 def percent1(c: str | Column) -> Column:
     """``"{:.1f}%".format(x)``: one decimal and a percent sign."""
-    return F.concat(F.format_number(_col(c).cast("double"), "0.0"), F.lit("%"))
+    return F.concat(_pattern(c, "0.0"), F.lit("%"))

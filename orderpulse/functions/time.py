@@ -19,12 +19,12 @@ def _col(c: str | Column) -> Column:
 
 def epoch_to_utc(epoch_seconds: str | Column) -> Column:
     """Epoch seconds → UTC wall-clock ``timestamp_ntz``."""
-    return F.timestampadd("SECOND", _col(epoch_seconds).cast("long"), F.expr(EPOCH_NTZ))
+    return F.timestamp_add("SECOND", _col(epoch_seconds).cast("long"), F.expr(EPOCH_NTZ))
 
 
 def utc_to_epoch(ts_ntz: str | Column) -> Column:
     """UTC wall-clock ``timestamp_ntz`` → whole epoch seconds (truncated)."""
-    return F.timestampdiff("SECOND", F.expr(EPOCH_NTZ), _col(ts_ntz))
+    return F.timestamp_diff("SECOND", F.expr(EPOCH_NTZ), _col(ts_ntz))
 
 
 def to_date(ts: str | Column) -> Column:

@@ -28,4 +28,32 @@ def all_queries() -> dict[str, Query]:
         "customer_order_distribution": dashboard.customer_order_distribution,
         "category_sales": dashboard.category_sales,
         "category_order_counts": dashboard.category_order_counts,
+        **_extended(),
+    }
+
+
+def _extended() -> dict[str, Query]:
+    from orderpulse.plans import io, listing, messages, payload, streams
+    return {
+        "order_page": listing.order_page,
+        "order_page_deep": listing.order_page_deep,
+        "order_page_after": listing.order_page_after,
+        "page_metadata": listing.page_metadata,
+        "json_extract": messages.json_extract,
+        "clean_categories": messages.clean_categories,
+        "status_severity": messages.status_severity,
+        "item_listing": messages.item_listing,
+        "kpi_display": messages.kpi_display,
+        "epoch_to_timestamp": messages.epoch_to_timestamp,
+        "payload_routing": messages.payload_routing,
+        "csv_header_roundtrip": io.csv_header_roundtrip,
+        "csv_positional": io.csv_positional,
+        "publish_json": io.publish_json,
+        "stream_category_counts": streams.stream_category_counts,
+        "stream_snapshot_rows": streams.stream_snapshot_rows,
+        "snapshot_reload": streams.snapshot_reload,
+        "append_results": streams.append_results,
+        "quarantine": streams.quarantine,
+        "upsert_latest": streams.upsert_latest,
+        "dashboard_payload": payload.dashboard_payload,
     }

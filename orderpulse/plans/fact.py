@@ -74,7 +74,7 @@ def order_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         F.col("o_orderkey"),
         status_name("o_orderstatus").alias("status"),
-        F.col("o_orderdate").cast("timestamp").alias("created_at"),
+        F.col("o_orderdate").alias("created_at"),
         F.col("o_orderdate").cast("date").alias("Working_Date"),
         F.col("o_orderpriority").alias("payment_method"),
         F.col("o_custkey").alias("Customer_ID"),

@@ -97,7 +97,144 @@ SELECT Category, COUNT(*) AS orders FROM sales GROUP BY Category"""),
 }
 
 
+
+
+# --- listings --------------------------------------------------------------
+
+ORDER_ROWS = """
+order_rows AS (
+  SELECT
+    o_orderkey AS item_id,
+    CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'canceled'
+         WHEN 'P' THEN 'order_refunded' END AS status,
+    CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'danger'
+         WHEN 'P' THEN 'warning' END AS severity,
+    o_orderdate AS created_at,
+    o_totalprice AS grand_total,
+    o_orderpriority AS payment_method,
+    o_custkey AS Customer_ID
+  FROM orders
+)"""
+
+
+def _page_sql(page: int, per_page: int) -> str:
+    return f"""WITH {ORDER_ROWS}
+SELECT * FROM order_rows ORDER BY item_id LIMIT {per_page} OFFSET {(page - 1) * per_page}"""
+
+
+def _strip_sql(expr: str) -> str:
+    from orderpulse.functions.text import PY_WHITESPACE_CLASS_RE2 as C
+    return f"regexp_replace({expr}, '^{C}+|{C}+$', '', 'g')"
+
+
+def _extended() -> dict[str, str]:
+    from orderpulse.plans import listing
+    from orderpulse.plans.messages import PAD_LEFT, PAD_RIGHT
+
+    def chars(s: str) -> str:
+        return " || ".join(f"chr({ord(c)})" for c in s)
+
+    padded = f"({chars(PAD_LEFT)} || event_type || {chars(PAD_RIGHT)})"
+    clean = _strip_sql(padded)
+    stripped_type = _strip_sql("event_type")
+    present = "event_type IS NOT NULL AND event_type <> ''"
+    per, page = listing.PER_PAGE, listing.PAGE
+    kpi = DASHBOARD["kpi_summary"]
+    return {
+        "order_page": _page_sql(page, per),
+        "order_page_deep": _page_sql(listing.DEEP_PAGE, per),
+        "order_page_after": f"""WITH {ORDER_ROWS}
+SELECT * FROM order_rows WHERE item_id > {listing.AFTER_KEY} ORDER BY item_id LIMIT {per}""",
+        "page_metadata": f"""
+SELECT CAST({page} AS BIGINT) AS page, CAST({per} AS BIGINT) AS per_page,
+       COUNT(*) AS total,
+       CAST(ceil(COUNT(*) / {per}.0) AS BIGINT) AS total_pages,
+       CAST(greatest(1, {page - 2}) AS BIGINT) AS start_page,
+       CAST(least(CAST(ceil(COUNT(*) / {per}.0) AS BIGINT), {page + 2}) AS BIGINT) AS end_page
+FROM orders""",
+        "json_extract": """
+SELECT event_id,
+       json_extract_string(json_object('item_id', event_id, 'Category', event_type), '$.item_id') AS item_id,
+       json_extract_string(json_object('item_id', event_id, 'Category', event_type), '$.Category') AS Category,
+       json_extract_string(props, '$.k') AS k
+FROM events""",
+        "clean_categories": f"""
+SELECT CAST(event_id AS BIGINT) AS item_id, {clean} AS Category
+FROM events WHERE event_type IS NOT NULL AND {clean} <> ''""",
+        "status_severity": f"""WITH {ORDER_ROWS}
+SELECT item_id, status, severity FROM order_rows""",
+        "item_listing": with_sales("""
+SELECT increment_id, line_number, status,
+       CASE status WHEN 'complete' THEN 'success' WHEN 'canceled' THEN 'danger'
+                   WHEN 'order_refunded' THEN 'warning' END AS severity,
+       created_at, price, qty_ordered, grand_total,
+       COALESCE(NULLIF(Category, ''), 'N/A') AS Category, payment_method, Customer_ID
+FROM sales"""),
+        "kpi_display": f"""
+WITH k AS ({kpi})
+SELECT total_orders,
+       format('{{:.2f}}', avg_order_value) AS avg_order_value_text,
+       '¥' || format('{{:,.2f}}', total_sales) AS total_sales_text,
+       '¥' || format('{{:,.2f}}', avg_order_value) AS avg_order_value_money,
+       format('{{:.2f}}', complete_rate) AS complete_rate_text,
+       format('{{:.1f}}', complete_rate) || '%' AS complete_rate_percent
+FROM k""",
+        "epoch_to_timestamp": """
+SELECT event_id,
+       date_diff('second', TIMESTAMP '1970-01-01 00:00:00', ts) AS epoch,
+       make_timestamp(date_diff('second', TIMESTAMP '1970-01-01 00:00:00', ts) * 1000000) AS ts_utc
+FROM events""",
+        "payload_routing": f"""
+WITH c AS (SELECT event_type AS Category, COUNT(*) AS count FROM events
+           WHERE {present} GROUP BY event_type)
+SELECT 'envelope' AS shape, 'load' AS route, Category, count FROM c
+UNION ALL SELECT 'array', 'raw', Category, count FROM c
+UNION ALL SELECT 'object', 'raw', Category, count FROM c""",
+        "csv_header_roundtrip": """
+SELECT event_id AS item_id, event_type AS Category FROM events""",
+        "csv_positional": """
+SELECT c_mktsegment AS value FROM customer WHERE c_mktsegment IS DISTINCT FROM 'gender'""",
+        "publish_json": f"""
+SELECT '{{"item_id":' || event_id || ',"Category":' || to_json({stripped_type}) || '}}' AS value
+FROM events""",
+        "stream_category_counts": f"""
+SELECT {stripped_type} AS Category, COUNT(*) AS count FROM events
+WHERE event_type IS NOT NULL AND {stripped_type} <> '' GROUP BY 1""",
+        "stream_snapshot_rows": f"""
+SELECT {stripped_type} AS Category, COUNT(*) AS count FROM events
+WHERE event_type IS NOT NULL AND {stripped_type} <> '' GROUP BY 1""",
+        "snapshot_reload": f"""
+SELECT {stripped_type} AS category, COUNT(*) AS count FROM events
+WHERE event_type IS NOT NULL AND {stripped_type} <> '' GROUP BY 1""",
+        "append_results": f"""
+SELECT event_type AS Category, COUNT(*) AS count FROM events WHERE {present} GROUP BY 1""",
+        "quarantine": """
+WITH m AS (SELECT regexp_replace(text, '[\\r\\n]', ' ', 'g') AS t FROM documents),
+s AS (
+  SELECT CASE
+    WHEN NOT json_valid(t) THEN 'malformed'
+    WHEN json_extract(t, '$.data') IS NOT NULL THEN 'envelope'
+    WHEN substr(ltrim(t), 1, 1) = '[' THEN 'array'
+    WHEN json_extract(t, '$.Category') IS NOT NULL THEN 'object'
+    ELSE 'other' END AS reason
+  FROM m)
+SELECT reason, COUNT(*) AS messages FROM s WHERE reason <> 'object' GROUP BY reason""",
+        "upsert_latest": f"""
+SELECT category, count, epoch FROM (
+  SELECT event_type AS category, event_id AS count,
+         date_diff('second', TIMESTAMP '1970-01-01 00:00:00', ts) AS epoch,
+         row_number() OVER (PARTITION BY event_type
+                            ORDER BY date_diff('second', TIMESTAMP '1970-01-01 00:00:00', ts) DESC,
+                                     event_id DESC) AS rn
+  FROM events WHERE {present}) t
+WHERE rn = 1""",
+    }
+
+
 def all_sql() -> dict[str, str]:
+    """Oracle statements by query name. ``dashboard_payload`` has none: its
+    result is JSON text whose formatting is Spark's own (rows-only check)."""
     out: dict[str, str] = {}
     out.update(DASHBOARD)
+    out.update(_extended())
     return out
