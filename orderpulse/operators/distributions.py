@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderpulse.operators.measures import N_ITEMS, SALES
+from orderpulse.operators.measures import N_ITEMS, SALES, sales_double
 
 
 def _keyed(fact: DataFrame, key: str | Column, name: str, drop_null_keys: bool) -> DataFrame:
@@ -36,12 +36,12 @@ def count_by(fact: DataFrame, key: str | Column, name: str | None = None,
 
 def sum_by(fact: DataFrame, key: str | Column, name: str | None = None,
            value: str = "sales", drop_null_keys: bool = False) -> DataFrame:
-    """Exact decimal sum of amounts per key, reported as double; a group
+    """Exact sum of amounts per key, reported as double; a group
     whose amounts are all null reports 0, as ``sum()`` does in pandas."""
     name = name or (key if isinstance(key, str) else "key")
     return (_keyed(fact, key, name, drop_null_keys)
             .groupBy(name)
-            .agg(F.coalesce(F.sum(SALES).cast("double"), F.lit(0.0)).alias(value)))
+            .agg(F.coalesce(sales_double(F.sum(SALES)), F.lit(0.0)).alias(value)))
 
 
 def daily_orders(fact: DataFrame, date: str = "Working_Date", drop_null_keys: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderpulse.functions.labels import is_complete
-from orderpulse.operators.measures import N_ITEMS, SALES, SALES_N
+from orderpulse.operators.measures import N_ITEMS, SALES, SALES_N, sales_money
 
 
 def _safe_ratio(num: Column, den: Column) -> Column:
@@ -26,7 +26,7 @@ def kpi_aggregates(status: str = "status") -> list[Column]:
     """Raw additive aggregates behind every KPI."""
     return [
         F.coalesce(F.sum(N_ITEMS), F.lit(0)).cast("long").alias("total_orders"),
-        F.sum(SALES).alias("_sales"),
+        sales_money(F.sum(SALES)).alias("_sales"),
         F.coalesce(F.sum(SALES_N), F.lit(0)).cast("long").alias("_sales_n"),
         F.coalesce(F.sum(F.when(is_complete(status), F.col(N_ITEMS))), F.lit(0))
         .cast("long").alias("_complete"),

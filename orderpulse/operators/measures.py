@@ -5,7 +5,8 @@ values, or a ratio of those. So each fact row carries three additive
 measures, and a fact may be at any grain:
 
 * ``n_items``  – order-item rows represented by the row ("orders" = rows)
-* ``sales``    – exact decimal sum of ``grand_total`` (nulls skipped)
+* ``sales_units`` – exact sum of ``grand_total`` in 1/10000 units (nulls
+  skipped), an integral decimal
 * ``sales_n``  – number of non-null ``grand_total`` values
 
 An item-level table gets ``n_items = 1`` per row (:func:`with_item_measures`);
@@ -23,19 +24,39 @@ from pyspark.sql import functions as F
 from orderpulse.schemas import MONEY
 
 N_ITEMS = "n_items"
-SALES = "sales"
+SALES = "sales_units"
 SALES_N = "sales_n"
 MEASURES = (N_ITEMS, SALES, SALES_N)
 
+# Money is carried as an exact integer count of 1/10000 currency units.
+UNIT_SCALE = 4
+UNITS_PER_CURRENCY = 10 ** UNIT_SCALE
+# Input type of every units sum: a 20-digit integer decimal. Spark keeps
+# values below 10^18 in compact long form, so the sum runs at near-long
+# speed, yet it can never overflow the way a ``long`` sum would when one
+# key holds a third of 100 TB of items.
+UNITS_SUM_INPUT = "decimal(20,0)"
 
-def item_measures(amount: str | Column = "grand_total") -> list[Column]:
-    """Measure columns for one item row."""
+
+def amount_units(amount: str | Column) -> Column:
+    """A money column (decimal or double, at most 4 decimals) as integer units."""
     a = F.col(amount) if isinstance(amount, str) else amount
-    a = a.cast(MONEY)
+    return (a.cast(MONEY) * F.lit(UNITS_PER_CURRENCY)).cast("decimal(38,0)")
+
+
+def units_to_money(units: str | Column) -> Column:
+    """Exact units sum back to a 4-decimal currency amount."""
+    u = F.col(units) if isinstance(units, str) else units
+    return (u.cast("decimal(38,0)") / F.lit(UNITS_PER_CURRENCY)).cast("decimal(38,4)")
+
+
+def item_measures(amount: str | Column = "grand_total") -> list[Column]:
+    """Measure columns for one item row with a money column."""
+    u = amount_units(amount)
     return [
         F.lit(1).cast("long").alias(N_ITEMS),
-        a.alias(SALES),
-        F.when(a.isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long").alias(SALES_N),
+        u.alias(SALES),
+        F.when(u.isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long").alias(SALES_N),
     ]
 
 
@@ -44,14 +65,15 @@ def with_item_measures(df: DataFrame, amount: str = "grand_total") -> DataFrame:
     return df.select("*", *item_measures(amount))
 
 
-def partial_measures(amount: str | Column) -> list[Column]:
-    """Aggregate expressions that pre-aggregate item rows to any grain."""
-    a = F.col(amount) if isinstance(amount, str) else amount
-    a = a.cast(MONEY)
+def partial_measures(units: str | Column) -> list[Column]:
+    """Aggregates that pre-aggregate item rows, given per-item integer units
+    (``long`` or integral decimal), to any grain."""
+    u = F.col(units) if isinstance(units, str) else units
+    u = u.cast(UNITS_SUM_INPUT)
     return [
         F.count(F.lit(1)).alias(N_ITEMS),
-        F.sum(a).alias(SALES),
-        F.count(a).alias(SALES_N),
+        F.sum(u).alias(SALES),
+        F.count(u).alias(SALES_N),
     ]
 
 
@@ -69,10 +91,11 @@ def total_items() -> Column:
     return F.coalesce(F.sum(N_ITEMS), F.lit(0)).cast("long")
 
 
-def total_sales_decimal() -> Column:
-    """Exact decimal sum; null when there are no non-null amounts."""
-    return F.sum(SALES)
+def sales_money(units_sum: Column) -> Column:
+    """Exact currency total of a units sum (null stays null)."""
+    return units_to_money(units_sum)
 
 
-def as_double(c: Column) -> Column:
-    return c.cast("double")
+def sales_double(units_sum: Column) -> Column:
+    """Currency total as double, converted from the exact decimal once."""
+    return units_to_money(units_sum).cast("double")

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderpulse.operators.measures import (
-    MEASURES, item_measures, merge_measures, partial_measures,
+    MEASURES, N_ITEMS, SALES, SALES_N, merge_measures, partial_measures,
 )
 from orderpulse.schemas import MONEY
 from orderpulse.sources.tables import read_table
@@ -58,12 +58,23 @@ def status_name(code: str | Column = "o_orderstatus") -> Column:
 
 
 def grand_total() -> Column:
-    """Exact item amount: price × (1 − discount), both read as 2-dp decimals."""
+    """Exact item amount: price × (1 − discount), both read as 2-dp decimals
+    (for listings; aggregates use :func:`grand_total_units`)."""
     price = F.col("l_extendedprice").cast("decimal(12,2)")
     discount = F.col("l_discount").cast("decimal(4,2)")
     return (price * (F.lit(1) - discount)).cast(MONEY)
 
 
+def grand_total_units() -> Column:
+    """The same amount as an exact ``long`` count of 1/10000 units:
+    cents × (100 − discount percent). Primitive arithmetic inside whole-stage
+    codegen, instead of a ``BigDecimal`` product per item; ``rint`` maps the
+    2-dp doubles to their cent and percent integers."""
+    cents = F.rint(F.col("l_extendedprice") * F.lit(100)).cast("long")
+    percent = F.rint(F.col("l_discount") * F.lit(100)).cast("long")
+    return cents * (F.lit(100) - percent)
+
+
 ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate",
                  "o_orderpriority", "o_totalprice"]
 
@@ -99,7 +110,7 @@ def order_grain_fact(spark: SparkSession, sf_dir: str, fk_integrity: bool = True
     if not fk_integrity:
         parts = read_table(spark, sf_dir, "part", ["p_partkey"])
         li = li.join(parts, li.l_partkey == parts.p_partkey, "left_semi")
-    per_order = li.groupBy("l_orderkey").agg(*partial_measures(grand_total()))
+    per_order = li.groupBy("l_orderkey").agg(*partial_measures(grand_total_units()))
     orders = order_dimension(spark, sf_dir)
     joined = per_order.join(orders, per_order.l_orderkey == orders.o_orderkey, "inner")
     return joined.select("o_orderkey", "status", "created_at", "Working_Date",
@@ -112,7 +123,7 @@ def category_grain_fact(spark: SparkSession, sf_dir: str, fk_integrity: bool = T
     if not fk_integrity:
         okeys = read_table(spark, sf_dir, "orders", ["o_orderkey"])
         li = li.join(okeys, li.l_orderkey == okeys.o_orderkey, "left_semi")
-    per_part = li.groupBy("l_partkey").agg(*partial_measures(grand_total()))
+    per_part = li.groupBy("l_partkey").agg(*partial_measures(grand_total_units()))
     parts = part_dimension(spark, sf_dir)
     joined = per_part.join(parts, per_part.l_partkey == parts.p_partkey, "inner")
     return joined.select("p_partkey", "Category", *MEASURES)
@@ -138,4 +149,7 @@ def item_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("int").alias("qty_ordered"),
         grand_total().alias("grand_total"),
         "Category", "payment_method", "Working_Date", "Customer_ID",
-    ).select("*", *item_measures("grand_total"))
+        F.lit(1).cast("long").alias(N_ITEMS),
+        grand_total_units().cast("decimal(38,0)").alias(SALES),
+        F.lit(1).cast("long").alias(SALES_N),
+    )
