@@ -19,6 +19,7 @@ restart after a lost executor or driver.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,7 +73,10 @@ class VersionedTable:
         if not path_exists(self.spark, self.versions):
             return None
         current = self.current_version()
-        staged = self.spark.read.parquet(self.versions)
+        try:
+            staged = self.spark.read.parquet(self.versions)
+        except AnalysisException:  # folder exists but no part written yet
+            return None
         if current is not None:
             staged = staged.where(F.col("version") > F.lit(current))
         done = (staged.groupBy("version")

@@ -53,7 +53,10 @@ def apply_snapshots(batch: DataFrame, table: VersionedTable, raw_root: str | Non
             F.col("snapshot_id").alias("version"),
             F.col("part"),
         )
-        table.write_parts(staged)
+        staged = staged.persist()
+        if not staged.isEmpty():
+            table.write_parts(staged)
+        staged.unpersist()
         if raw_root:
             raw = route_messages(batch.where(F.col("value").isNotNull())).where(F.col("route") == "raw")
             append_batch(raw.select("value", "shape"), raw_root, batch_id)
