@@ -52,11 +52,16 @@ def envelope_messages(counts: DataFrame, snapshot_id: int | Column, timestamp: i
     return grouped.select(F.to_json(body).alias("value"))
 
 
-def array_message(counts: DataFrame, category: str = "Category", count: str = "count") -> DataFrame:
-    """The reference's array form ``[{Category, count}]`` (one message)."""
+def array_message(counts: DataFrame, category: str = "Category", count: str = "count",
+                  parts: int = 1) -> DataFrame:
+    """The reference's array form ``[{Category, count}]``: one message, or
+    ``parts`` messages split by a hash of the category (the array form has
+    no field to say so, which is why the envelope is the form we write)."""
     rows = counts.where(is_present(category) & F.col(count).isNotNull())
     entry = F.struct(F.col(category).alias("Category"), F.col(count).cast("long").alias("count"))
-    return rows.agg(F.to_json(F.sort_array(F.collect_list(entry))).alias("value"))
+    part = (F.pmod(F.xxhash64(F.col(category)), F.lit(parts)) if parts > 1 else F.lit(0)).cast("int")
+    grouped = rows.groupBy(part.alias("part")).agg(F.sort_array(F.collect_list(entry)).alias("data"))
+    return grouped.select(F.to_json("data").alias("value"))
 
 
 def object_messages(counts: DataFrame, category: str = "Category", count: str = "count") -> DataFrame:

@@ -49,6 +49,9 @@ def _extended() -> dict[str, Query]:
         "csv_header_roundtrip": io.csv_header_roundtrip,
         "csv_positional": io.csv_positional,
         "publish_json": io.publish_json,
+        "csv_page_kpis": io.csv_page_kpis,
+        "csv_page_top_categories": io.csv_page_top_categories,
+        "csv_raw_listing": io.csv_raw_listing,
         "stream_category_counts": streams.stream_category_counts,
         "stream_snapshot_rows": streams.stream_snapshot_rows,
         "snapshot_reload": streams.snapshot_reload,

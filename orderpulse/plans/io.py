@@ -57,3 +57,73 @@ def publish_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "json-messages")
     write_message_files(msgs, out)
     return read_message_files(spark, out)
+
+
+def export_order_items(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Write the item fact as the 19-column order-item CSV (with header).
+
+    Columns whose meaning is unknown (bi_status, mv, month_year,
+    fiscal_year, month_name) are written empty rather than invented;
+    ``item_id`` is ``l_orderkey * 100 + l_linenumber``, a line id that the
+    KPIs do not use.
+    """
+    from orderpulse.plans.fact import item_fact
+    from orderpulse.schemas import MONEY, ORDER_ITEM
+
+    f = item_fact(spark, sf_dir)
+    null = F.lit(None).cast("string")
+    out = f.select(
+        (F.col("increment_id") * 100 + F.col("line_number")).alias("item_id"),
+        "status",
+        F.col("created_at").cast("timestamp").alias("created_at"),
+        "price", "qty_ordered", "grand_total",
+        F.col("increment_id").cast("string").alias("increment_id"),
+        "Category",
+        (F.col("price") - F.col("grand_total")).cast(MONEY).alias("discount_amount"),
+        "payment_method", "Working_Date",
+        null.alias("bi_status"), null.alias("mv"),
+        F.year("Working_Date").alias("year"), F.month("Working_Date").alias("month"),
+        null.alias("month_year"), null.alias("fiscal_year"),
+        "Customer_ID", null.alias("month_name"),
+    )
+    assert out.columns == ORDER_ITEM.names
+    out.write.option("header", True).csv(path)
+
+
+def _typed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orderpulse.operators.measures import with_item_measures
+    from orderpulse.sources.files import read_typed_csv
+
+    path = scratch_path(spark, "order-items-csv")
+    export_order_items(spark, sf_dir, path)
+    return with_item_measures(read_typed_csv(spark, path))
+
+
+def csv_page_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-03, AGG-02…05 page form: the home page's KPIs from the typed CSV."""
+    from orderpulse.operators import kpis
+
+    return kpis.kpi_summary(_typed_items(spark, sf_dir))
+
+
+def csv_page_top_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-07 page form (null categories dropped) from the typed CSV."""
+    from orderpulse.operators import topk
+
+    return topk.top_categories(_typed_items(spark, sf_dir), n=5, drop_null_keys=True)
+
+
+def csv_raw_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-04, FLT-04, PRJ-09…11: the table page read as untyped string rows;
+    rows without an item id are skipped, the category defaults to ``N/A``
+    and each row gets its status style."""
+    from orderpulse.functions.labels import severity
+    from orderpulse.functions.text import category_or_default, is_present
+    from orderpulse.sources.files import read_raw_csv
+
+    path = scratch_path(spark, "order-items-raw")
+    export_order_items(spark, sf_dir, path)
+    raw = read_raw_csv(spark, path)
+    return raw.where(is_present("item_id")).select(
+        "item_id", "status", severity("status").alias("severity"),
+        category_or_default("Category").alias("Category"), "payment_method", "Customer_ID")

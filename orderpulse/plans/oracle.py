@@ -197,6 +197,15 @@ SELECT c_mktsegment AS value FROM customer WHERE c_mktsegment IS DISTINCT FROM '
         "publish_json": f"""
 SELECT '{{"item_id":' || event_id || ',"Category":' || to_json({stripped_type}) || '}}' AS value
 FROM events""",
+        "csv_page_kpis": kpi,
+        "csv_raw_listing": with_sales("""
+SELECT CAST(increment_id * 100 + line_number AS VARCHAR) AS item_id, status,
+       CASE status WHEN 'complete' THEN 'success' WHEN 'canceled' THEN 'danger'
+                   WHEN 'order_refunded' THEN 'warning' END AS severity,
+       COALESCE(NULLIF(Category, ''), 'N/A') AS Category, payment_method,
+       CAST(Customer_ID AS VARCHAR) AS Customer_ID
+FROM sales"""),
+        "csv_page_top_categories": DASHBOARD["top_categories"],
         "stream_category_counts": f"""
 SELECT {stripped_type} AS Category, COUNT(*) AS count FROM events
 WHERE event_type IS NOT NULL AND {stripped_type} <> '' GROUP BY 1""",

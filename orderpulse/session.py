@@ -95,7 +95,36 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     """True when ``path`` exists on the (possibly remote) file system."""
     if path.startswith("file:") or path.startswith("/"):
         return os.path.exists(local_path(path))
+    fs, hpath = _fs_path(spark, path)
+    return bool(fs.exists(hpath))
+
+
+def _fs_path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hpath))
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
+def list_dirs(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(name, full path) of the sub-folders of ``path`` (file-system metadata
+    only; one listing call on the driver)."""
+    fs, hpath = _fs_path(spark, path)
+    if not fs.exists(hpath):
+        return []
+    return [(st.getPath().getName(), st.getPath().toString())
+            for st in fs.listStatus(hpath) if st.isDirectory()]
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Recursively delete ``path`` on its file system."""
+    fs, hpath = _fs_path(spark, path)
+    return bool(fs.delete(hpath, True))
+
+
+def list_files(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(name, full path) of the plain files directly under ``path``."""
+    fs, hpath = _fs_path(spark, path)
+    if not fs.exists(hpath):
+        return []
+    return [(st.getPath().getName(), st.getPath().toString())
+            for st in fs.listStatus(hpath) if st.isFile()]

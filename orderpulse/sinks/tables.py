@@ -11,6 +11,9 @@ Layout under ``root`` (a shared folder, normally below
     versions/version=<id>/part=<p>/*.parquet   one folder per part
     pointer/*.parquet                          rows (version, committed_at)
 
+Only the newest ``keep`` committed versions are retained (older version
+folders are deleted after each commit).
+
 Writing a part overwrites only its own folder (dynamic partition
 overwrite), so a replayed micro-batch rewrites the same files instead of
 adding rows: writes are idempotent, which is what makes the stream safe to
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderpulse.session import path_exists
+from orderpulse.session import delete_path, list_dirs, list_files, path_exists
 
 POINTER_SCHEMA = T.StructType([
     T.StructField("version", T.LongType(), False),
@@ -33,8 +36,10 @@ POINTER_SCHEMA = T.StructType([
 
 
 class VersionedTable:
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType | None = None):
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType | None = None,
+                 keep: int | None = 3):
         self.spark = spark
+        self.keep = keep
         self.root = root.rstrip("/")
         self.versions = f"{self.root}/versions"
         self.pointer = f"{self.root}/pointer"
@@ -58,10 +63,37 @@ class VersionedTable:
         self.commit(version)
 
     def commit(self, version: int) -> None:
-        """Move the pointer to ``version`` (appends one pointer row)."""
+        """Move the pointer to ``version`` (appends one pointer row), then
+        drop versions older than the last ``keep`` committed ones."""
         row = self.spark.range(1).select(F.lit(version).cast("long").alias("version"),
                                          F.current_timestamp().alias("committed_at"))
-        row.write.mode("append").parquet(self.pointer)
+        row.coalesce(1).write.mode("append").parquet(self.pointer)
+        if self.keep:
+            self.vacuum(self.keep)
+
+    def vacuum(self, keep: int = 3) -> int:
+        """Delete version folders older than the ``keep`` newest committed
+        versions, so listing cost does not grow with the stream's age.
+        Readers of a just-replaced version keep ``keep - 1`` versions of
+        grace. Returns the number of folders removed."""
+        committed = (self.spark.read.schema(POINTER_SCHEMA).parquet(self.pointer)
+                     .select("version").distinct()
+                     .orderBy(F.col("version").desc()).limit(keep).collect())
+        if len(committed) < keep:
+            return 0
+        floor = min(r.version for r in committed)
+        self._compact_pointer(floor)
+        removed = 0
+        for name, path in list_dirs(self.spark, self.versions):
+            if name.startswith("version="):
+                try:
+                    v = int(name.split("=", 1)[1])
+                except ValueError:
+                    continue
+                if v < floor:
+                    delete_path(self.spark, path)
+                    removed += 1
+        return removed
 
     def commit_complete(self, parts_col: str = "parts") -> int | None:
         """Commit the newest version whose parts are all written.
@@ -88,6 +120,19 @@ class VersionedTable:
             self.commit(int(newest))
         return newest
 
+    def _compact_pointer(self, floor: int, max_files: int = 32) -> None:
+        """Fold the pointer's one-row files into one once there are many;
+        the folded file is written before the old ones are removed, so the
+        newest version is always visible."""
+        old = [p for name, p in list_files(self.spark, self.pointer) if name.endswith(".parquet")]
+        if len(old) <= max_files:
+            return
+        rows = (self.spark.read.schema(POINTER_SCHEMA).parquet(*old)
+                .where(F.col("version") >= F.lit(floor)))
+        rows.coalesce(1).write.mode("append").parquet(self.pointer)
+        for path in old:
+            delete_path(self.spark, path)
+
     # -- reading ---------------------------------------------------------
     def current_version(self) -> int | None:
         if not path_exists(self.spark, self.pointer):

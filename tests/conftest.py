@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -12,15 +11,13 @@ SF_ORACLE = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from orderpulse.session import build_session
-
-    ckpt = tempfile.mkdtemp(prefix="orderpulse-test-ckpt-")
-    s = build_session(
-        "local[4]",
-        app_name="orderpulse-tests",
-        shuffle_partitions=4,
-        extra={"spark.checkpoint.dir": ckpt, "spark.driver.memory": "4g"},
-    )
+    from orderpulse.session import build_session, checkpoint_root
+
+    s = build_session("local[4]", app_name="orderpulse-tests", shuffle_partitions=4,
+                      extra={"spark.driver.memory": "4g"})
+    # the environment's spark.checkpoint.dir when it names one; otherwise
+    # checkpoint_root registers a fresh local folder (local master only)
+    checkpoint_root(s)
     yield s
     s.stop()
 

@@ -134,3 +134,16 @@ def test_upsert_last_write_wins(spark, scratch):
     got = {r.category: (r["count"], r.e) for r in
            table.read().select("category", "count", F.unix_seconds("timestamp").alias("e")).collect()}
     assert got == {"A": (2, 20), "B": (8, 30)}
+
+
+def test_versioned_table_keeps_recent_versions(spark, scratch):
+    from orderpulse.session import list_dirs, list_files
+
+    root = scratch("vacuum")
+    table = VersionedTable(spark, root, keep=2)
+    for v in range(40):
+        table.write_version(spark.createDataFrame([("A", v)], "category string, count long"), v)
+    assert as_dict(table.read()) == {"A": 39}
+    versions = sorted(int(n.split("=")[1]) for n, _ in list_dirs(spark, table.versions))
+    assert versions == [38, 39]
+    assert len([n for n, _ in list_files(spark, table.pointer) if n.endswith(".parquet")]) <= 33
