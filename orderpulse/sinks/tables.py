@@ -75,7 +75,18 @@ class VersionedTable:
         """Delete version folders older than the ``keep`` newest committed
         versions, so listing cost does not grow with the stream's age.
         Readers of a just-replaced version keep ``keep - 1`` versions of
-        grace. Returns the number of folders removed."""
+        grace. Runs only once the folder count reaches ``2 * keep`` (a
+        metadata listing), so most commits pay nothing. Returns the number
+        of folders removed."""
+        folders = []
+        for name, path in list_dirs(self.spark, self.versions):
+            if name.startswith("version="):
+                try:
+                    folders.append((int(name.split("=", 1)[1]), path))
+                except ValueError:
+                    continue
+        if len(folders) < 2 * keep:
+            return 0
         committed = (self.spark.read.schema(POINTER_SCHEMA).parquet(self.pointer)
                      .select("version").distinct()
                      .orderBy(F.col("version").desc()).limit(keep).collect())
@@ -84,15 +95,10 @@ class VersionedTable:
         floor = min(r.version for r in committed)
         self._compact_pointer(floor)
         removed = 0
-        for name, path in list_dirs(self.spark, self.versions):
-            if name.startswith("version="):
-                try:
-                    v = int(name.split("=", 1)[1])
-                except ValueError:
-                    continue
-                if v < floor:
-                    delete_path(self.spark, path)
-                    removed += 1
+        for v, path in folders:
+            if v < floor:
+                delete_path(self.spark, path)
+                removed += 1
         return removed
 
     def commit_complete(self, parts_col: str = "parts") -> int | None:
