@@ -50,3 +50,13 @@ def is_present(c: str | Column) -> Column:
 def category_or_default(c: str | Column, default: str = MISSING_CATEGORY) -> Column:
     """Missing or empty category shown as ``N/A``."""
     return F.coalesce(F.nullif(_col(c), F.lit("")), F.lit(default))
+
+
+def strict_long(c: str | Column, what: str = "value") -> Column:
+    """Integer cast that fails the job on a non-integer value, whatever the
+    session's ANSI setting (null stays null)."""
+    col = _col(c)
+    parsed = col.try_cast("long")
+    bad = col.isNotNull() & parsed.isNull()
+    return F.when(bad, F.raise_error(F.concat(F.lit(f"invalid {what}: "), col.cast("string")))
+                  ).otherwise(parsed)

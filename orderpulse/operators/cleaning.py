@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderpulse.functions.json import is_wellformed_json, json_path
-from orderpulse.functions.text import is_present, py_strip
+from orderpulse.functions.text import is_present, py_strip, strict_long
 
 REASON_OK = "ok"
 REASON_MALFORMED = "malformed"
@@ -42,10 +42,10 @@ def clean_item_rows(df: DataFrame, item_id: str = "item_id", category: str = "Ca
                     strict_ids: bool = False) -> DataFrame:
     """Strip categories (Python semantics), drop empty ones, cast ids.
 
-    ``strict_ids`` uses an ANSI cast (a bad id fails the job); otherwise a
+    ``strict_ids`` fails the job on a bad id; otherwise a
     bad id becomes null (use :func:`classify_messages` to quarantine it).
     """
-    iid = F.col(item_id).cast("long") if strict_ids else F.col(item_id).try_cast("long")
+    iid = strict_long(item_id, "item_id") if strict_ids else F.col(item_id).try_cast("long")
     out = df.select(iid.alias("item_id"), py_strip(category).alias("Category"))
     return valid_categories(out)
 

@@ -23,16 +23,18 @@ from orderpulse.sources.files import read_message_files
 from orderpulse.sources.tables import read_table
 from orderpulse.sources.topic import read_message_file_stream
 from orderpulse.streaming.category_count import (
-    snapshot_message_sink, snapshot_table_sink, start_category_count,
+    snapshot_message_sink, snapshot_table_sink, start_category_count, streaming_session,
 )
 from orderpulse.streaming.loaders import (
     start_append_loader, start_snapshot_loader, start_upsert_loader,
 )
 
 # Fixed parameters: how many files the published messages are split into,
-# and how many micro-batches the replay takes at most.
+# how many micro-batches the replay takes at most, and the state partitions
+# of the stateful count (sized for a category-like key set).
 TARGET_FILES = 6
 TARGET_BATCHES = 3
+STATE_PARTITIONS = 4
 
 
 def _write_split(messages: DataFrame, path: str, rows: int) -> int:
@@ -59,7 +61,8 @@ def publish_events(spark: SparkSession, sf_dir: str, path: str) -> int:
 def run_category_count(spark: SparkSession, sf_dir: str, with_messages: bool) -> tuple[str, VersionedTable]:
     base = scratch_path(spark, "category-count")
     n_files = publish_events(spark, sf_dir, f"{base}/in")
-    stream = read_message_file_stream(spark, f"{base}/in", _files_per_trigger(n_files))
+    job = streaming_session(spark, STATE_PARTITIONS)
+    stream = read_message_file_stream(job, f"{base}/in", _files_per_trigger(n_files))
     table = VersionedTable(spark, f"{base}/category_stats")
     sinks = [snapshot_table_sink(table)]
     if with_messages:

@@ -11,18 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderpulse.functions.text import py_strip
+from orderpulse.functions.text import py_strip, strict_long
 
 
 def item_messages(df: DataFrame, item_id: str = "item_id", category: str = "Category",
                   strict: bool = True) -> DataFrame:
     """``{"item_id": long, "Category": stripped string}`` per row.
 
-    ``strict``: a bad integer id fails the job (ANSI cast), as the reference's
+    ``strict``: a bad integer id fails the job, as the reference's
     publisher stops on it. Otherwise a bad id becomes null and the row is
     still published (the consumer quarantines it).
     """
-    iid = F.col(item_id).cast("long") if strict else F.col(item_id).try_cast("long")
+    iid = strict_long(item_id, "item_id") if strict else F.col(item_id).try_cast("long")
     return df.select(F.to_json(F.struct(iid.alias("item_id"),
                                         py_strip(category).alias("Category"))).alias("value"))
 

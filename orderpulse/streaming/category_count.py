@@ -18,7 +18,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from orderpulse.operators.cleaning import parse_item_messages, valid_categories
@@ -30,6 +30,23 @@ BatchSink = Callable[[DataFrame, int], None]
 DEFAULT_TRIGGER = "5 seconds"
 
 
+def streaming_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """A session for one streaming job, sharing ``spark``'s context.
+
+    A stateful query keeps its state in ``spark.sql.shuffle.partitions``
+    partitions, fixed in the checkpoint at first start. The right number
+    follows the number of *keys* (here: categories), not the data volume,
+    and a batch-sized value (thousands on a large cluster) would make every
+    micro-batch run thousands of tiny state tasks. Build the stream's
+    source on the returned session to give the job its own count.
+    """
+    if not state_partitions:
+        return spark
+    s = spark.newSession()
+    s.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    return s
+
+
 def category_counts(messages: DataFrame, value: str = "value") -> DataFrame:
     """Running count per category (AGG-01). Works for batch and stream."""
     parsed = parse_item_messages(messages, value)

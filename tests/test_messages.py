@@ -39,8 +39,15 @@ def test_strict_id_cast_fails_lenient_keeps_row(spark):
     from orderpulse.sinks.messages import item_messages
 
     df = spark.createDataFrame([("x1", "A")], "item_id string, Category string")
-    with pytest.raises(Exception):
-        item_messages(df, strict=True).collect()
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        try:
+            with pytest.raises(Exception, match="invalid item_id: x1"):
+                item_messages(df, strict=True).collect()
+        finally:
+            spark.conf.set("spark.sql.ansi.enabled", "true")
+    ok = spark.createDataFrame([("12", "A")], "item_id string, Category string")
+    assert item_messages(ok, strict=True).first().value == '{"item_id":12,"Category":"A"}'
     assert item_messages(df, strict=False).first().value == '{"Category":"A"}'
 
 

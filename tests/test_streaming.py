@@ -24,8 +24,11 @@ def item(i, c):
     return json.dumps({"item_id": i, "Category": c})
 
 
-def run_counts(spark, src, ckpt, table, extra_sinks=()):
-    stream = read_message_file_stream(spark, src, max_files_per_trigger=1)
+def run_counts(spark, src, ckpt, table, extra_sinks=(), state_partitions=None):
+    from orderpulse.streaming.category_count import streaming_session
+
+    job = streaming_session(spark, state_partitions)
+    stream = read_message_file_stream(job, src, max_files_per_trigger=1)
     q = start_category_count(stream, ckpt, [snapshot_table_sink(table), *extra_sinks], available_now=True)
     q.awaitTermination()
     return q
@@ -42,8 +45,9 @@ def test_multi_batch_stream_equals_batch_and_restart_continues(spark, scratch):
         write_lines(spark, src, [item(b * 10, "A"), item(b * 10 + 1, "B"), item(b * 10 + 2, "A"),
                                  item(b * 10 + 3, ""), "bad", json.dumps({"item_id": 5})])
     table = VersionedTable(spark, f"{base}/table")
-    q = run_counts(spark, src, f"{base}/ckpt", table)
-    assert q.lastProgress is not None
+    q = run_counts(spark, src, f"{base}/ckpt", table, state_partitions=2)
+    assert q.lastProgress["stateOperators"][0]["numShufflePartitions"] == 2
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"  # caller's session untouched
     want = as_dict(category_counts(spark.read.text(src)), "Category")
     assert as_dict(table.read()) == want == {"A": 6, "B": 3}
     # restart with the same checkpoint after one more file: counts continue
