@@ -68,11 +68,13 @@ def status_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def item_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ-09/10/11: the table page's nine columns for every item, with the
-    ``N/A`` category default and the status style."""
+    ``N/A`` category default and the status style. Money is shown as double
+    (converted once from the exact decimal)."""
     f = item_fact(spark, sf_dir)
     return f.select(
         "increment_id", "line_number", "status", severity("status").alias("severity"),
-        "created_at", "price", "qty_ordered", "grand_total",
+        "created_at", F.col("price").cast("double").alias("price"), "qty_ordered",
+        F.col("grand_total").cast("double").alias("grand_total"),
         category_or_default("Category").alias("Category"),
         "payment_method", "Customer_ID",
     )

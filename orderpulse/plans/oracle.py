@@ -167,7 +167,8 @@ SELECT item_id, status, severity FROM order_rows""",
 SELECT increment_id, line_number, status,
        CASE status WHEN 'complete' THEN 'success' WHEN 'canceled' THEN 'danger'
                    WHEN 'order_refunded' THEN 'warning' END AS severity,
-       created_at, price, qty_ordered, grand_total,
+       created_at, CAST(price AS DOUBLE) AS price, qty_ordered,
+       CAST(grand_total AS DOUBLE) AS grand_total,
        COALESCE(NULLIF(Category, ''), 'N/A') AS Category, payment_method, Customer_ID
 FROM sales"""),
         "kpi_display": f"""
