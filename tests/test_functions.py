@@ -4,7 +4,6 @@ import datetime as dt
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from orderpulse.functions import (
     category_or_default, epoch_to_utc, fixed2, is_present, json_path, money,
