@@ -22,22 +22,28 @@ def _safe_ratio(num: Column, den: Column) -> Column:
     return F.when(den > 0, num.cast("double") / den).otherwise(F.lit(0.0))
 
 
-def kpi_aggregates(status: str = "status") -> list[Column]:
-    """Raw additive aggregates behind every KPI."""
+COMPLETE_ITEMS = "complete_items"
+
+
+def complete_items(status: str = "status") -> Column:
+    """Items whose status is ``complete`` (additive, like the other measures)."""
+    return F.when(is_complete(status), F.col(N_ITEMS)).otherwise(F.lit(0)).cast("long")
+
+
+def kpi_aggregates(complete: Column | None = None) -> list[Column]:
+    """Raw additive aggregates behind every KPI. ``complete`` is the
+    per-row complete-item count (default: the ``complete_items`` column)."""
+    c = F.col(COMPLETE_ITEMS) if complete is None else complete
     return [
         F.coalesce(F.sum(N_ITEMS), F.lit(0)).cast("long").alias("total_orders"),
         sales_money(F.sum(SALES)).alias("_sales"),
         F.coalesce(F.sum(SALES_N), F.lit(0)).cast("long").alias("_sales_n"),
-        F.coalesce(F.sum(F.when(is_complete(status), F.col(N_ITEMS))), F.lit(0))
-        .cast("long").alias("_complete"),
+        F.coalesce(F.sum(c), F.lit(0)).cast("long").alias("_complete"),
     ]
 
 
-def kpi_summary(fact: DataFrame, status: str = "status") -> DataFrame:
-    """One row: total_orders, total_sales, avg_order_value (SQL form: over
-    non-null amounts), avg_order_value_page (page form: over all rows),
-    complete_rate (percent of rows whose status is ``complete``)."""
-    raw = fact.agg(*kpi_aggregates(status))
+def kpis_from_aggregates(raw: DataFrame) -> DataFrame:
+    """The five KPI columns from :func:`kpi_aggregates` output."""
     sales = F.coalesce(F.col("_sales").cast("double"), F.lit(0.0))
     return raw.select(
         F.col("total_orders"),
@@ -48,6 +54,19 @@ def kpi_summary(fact: DataFrame, status: str = "status") -> DataFrame:
     )
 
 
+def kpi_summary(fact: DataFrame, status: str = "status") -> DataFrame:
+    """One row: total_orders, total_sales, avg_order_value (SQL form: over
+    non-null amounts), avg_order_value_page (page form: over all rows),
+    complete_rate (percent of rows whose status is ``complete``)."""
+    return kpis_from_aggregates(fact.agg(*kpi_aggregates(complete_items(status))))
+
+
+def kpi_summary_from_partials(partials: DataFrame) -> DataFrame:
+    """KPIs from rows that already carry the measures and ``complete_items``
+    (for example the state of a streaming aggregate)."""
+    return kpis_from_aggregates(partials.agg(*kpi_aggregates()))
+
+
 def total_orders(fact: DataFrame) -> DataFrame:
     return kpi_summary(fact).select("total_orders")
 

@@ -58,5 +58,7 @@ def _extended() -> dict[str, Query]:
         "append_results": streams.append_results,
         "quarantine": streams.quarantine,
         "upsert_latest": streams.upsert_latest,
+        "stream_dashboard_kpis": streams.stream_dashboard_kpis,
+        "stream_dashboard_top_categories": streams.stream_dashboard_top_categories,
         "dashboard_payload": payload.dashboard_payload,
     }

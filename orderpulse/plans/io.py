@@ -59,7 +59,8 @@ def publish_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_message_files(spark, out)
 
 
-def export_order_items(spark: SparkSession, sf_dir: str, path: str) -> None:
+def export_order_items(spark: SparkSession, sf_dir: str, path: str,
+                       max_records_per_file: int | None = None) -> None:
     """Write the item fact as the 19-column order-item CSV (with header).
 
     Columns whose meaning is unknown (bi_status, mv, month_year,
@@ -87,7 +88,10 @@ def export_order_items(spark: SparkSession, sf_dir: str, path: str) -> None:
         "Customer_ID", null.alias("month_name"),
     )
     assert out.columns == ORDER_ITEM.names
-    out.write.option("header", True).csv(path)
+    w = out.write.option("header", True)
+    if max_records_per_file:
+        w = w.option("maxRecordsPerFile", max_records_per_file)
+    w.csv(path)
 
 
 def _typed_items(spark: SparkSession, sf_dir: str) -> DataFrame:

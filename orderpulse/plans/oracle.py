@@ -199,6 +199,8 @@ SELECT c_mktsegment AS value FROM customer WHERE c_mktsegment IS DISTINCT FROM '
 SELECT '{{"item_id":' || event_id || ',"Category":' || to_json({stripped_type}) || '}}' AS value
 FROM events""",
         "csv_page_kpis": kpi,
+        "stream_dashboard_kpis": kpi,
+        "stream_dashboard_top_categories": DASHBOARD["top_categories"],
         "csv_raw_listing": with_sales("""
 SELECT CAST(increment_id * 100 + line_number AS VARCHAR) AS item_id, status,
        CASE status WHEN 'complete' THEN 'success' WHEN 'canceled' THEN 'danger'

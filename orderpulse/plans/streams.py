@@ -156,3 +156,39 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     q.awaitTermination()
     out = table.read()
     return out.select("category", "count", F.unix_seconds("timestamp").alias("epoch"))
+
+
+def _run_dashboard_stream(spark: SparkSession, sf_dir: str) -> VersionedTable:
+    """Order items exported as 19-column CSV files, replayed as a stream into
+    the incremental dashboard (SNK-10, STR-01…06)."""
+    import math as _math
+
+    from orderpulse.plans.io import export_order_items
+    from orderpulse.schemas import ORDER_ITEM
+    from orderpulse.streaming.dashboard import start_dashboard_stream
+
+    base = scratch_path(spark, "dashboard-stream")
+    n = read_table(spark, sf_dir, "lineitem", ["l_orderkey"]).count()
+    export_order_items(spark, sf_dir, f"{base}/items", max(1, _math.ceil(n / TARGET_FILES)))
+    n_files = len(spark.read.text(f"{base}/items").inputFiles())
+    job = streaming_session(spark, STATE_PARTITIONS)
+    items = (job.readStream.schema(ORDER_ITEM).option("header", True)
+             .option("maxFilesPerTrigger", str(_files_per_trigger(n_files))).csv(f"{base}/items"))
+    table = VersionedTable(spark, f"{base}/payload")
+    q = start_dashboard_stream(items, table, f"{base}/checkpoint", available_now=True)
+    q.awaitTermination()
+    return table
+
+
+def stream_dashboard_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KPI section of the incrementally maintained payload."""
+    from orderpulse.streaming.dashboard import read_kpis
+
+    return read_kpis(_run_dashboard_stream(spark, sf_dir))
+
+
+def stream_dashboard_top_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-categories section of the incrementally maintained payload."""
+    from orderpulse.streaming.dashboard import read_top_categories
+
+    return read_top_categories(_run_dashboard_stream(spark, sf_dir))
