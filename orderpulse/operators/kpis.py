@@ -42,16 +42,20 @@ def kpi_aggregates(complete: Column | None = None) -> list[Column]:
     ]
 
 
-def kpis_from_aggregates(raw: DataFrame) -> DataFrame:
-    """The five KPI columns from :func:`kpi_aggregates` output."""
+def kpi_columns() -> list[Column]:
+    """The five KPI columns over :func:`kpi_aggregates` output."""
     sales = F.coalesce(F.col("_sales").cast("double"), F.lit(0.0))
-    return raw.select(
+    return [
         F.col("total_orders"),
         sales.alias("total_sales"),
         _safe_ratio(F.col("_sales"), F.col("_sales_n")).alias("avg_order_value"),
         _safe_ratio(F.col("_sales"), F.col("total_orders")).alias("avg_order_value_page"),
         _safe_ratio(F.col("_complete") * F.lit(100), F.col("total_orders")).alias("complete_rate"),
-    )
+    ]
+
+
+def kpis_from_aggregates(raw: DataFrame) -> DataFrame:
+    return raw.select(*kpi_columns())
 
 
 def kpi_summary(fact: DataFrame, status: str = "status") -> DataFrame:

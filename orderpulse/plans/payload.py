@@ -7,7 +7,9 @@ ranked entries) are written together as one version of a payload table, and
 readers follow the pointer, so they always see one consistent set.
 
 Array sizes are bounded by the data's date range (days) and by ``top_n``,
-not by the row count, so each section stays small at any scale.
+not by the row count, so each section stays small at any scale. The
+``collect_list`` over days runs in the final single-row aggregate, whose
+input is at most one row per day.
 """
 
 from __future__ import annotations
@@ -15,8 +17,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderpulse.operators import distributions as dist
-from orderpulse.operators import kpis, topk
+from orderpulse.operators import topk
+from orderpulse.operators.kpis import COMPLETE_ITEMS, complete_items, kpi_aggregates, kpi_columns
+from orderpulse.operators.measures import N_ITEMS, SALES, SALES_N
 from orderpulse.plans.fact import category_grain_fact, order_grain_fact
 from orderpulse.session import scratch_path
 from orderpulse.sinks.tables import VersionedTable
@@ -24,17 +27,28 @@ from orderpulse.sinks.tables import VersionedTable
 
 def build_payload(order_fact: DataFrame, category_fact: DataFrame, top_n: int = 5) -> DataFrame:
     """Three rows, one per payload section (``kpis``, ``daily_orders``,
-    ``top_categories``), each with its JSON text. Sections are stacked with a
-    union, so no join is needed to put them in one version."""
-    k = kpis.kpi_summary(order_fact)
-    kpi_row = k.select(F.lit("kpis").alias("section"), F.to_json(F.struct(*k.columns)).alias("payload"))
-    daily = dist.daily_orders(order_fact, drop_null_keys=True).agg(
-        F.sort_array(F.collect_list(F.struct("Working_Date", "orders"))).alias("v"))
-    daily_row = daily.select(F.lit("daily_orders").alias("section"), F.to_json("v").alias("payload"))
+    ``top_categories``), each with its JSON text.
+
+    The KPIs and the daily trend come from one aggregate by working day
+    (one pass over the order-grain fact, at most one row per day), turned
+    into two section rows with ``inline``; the top categories come from the
+    part-grain fact. Sections are stacked with a union, not joined.
+    """
+    by_day = order_fact.groupBy("Working_Date").agg(
+        F.sum(N_ITEMS).alias(N_ITEMS), F.sum(SALES).alias(SALES), F.sum(SALES_N).alias(SALES_N),
+        F.sum(complete_items("status")).alias(COMPLETE_ITEMS))
+    day_entry = F.when(F.col("Working_Date").isNotNull(),
+                       F.struct("Working_Date", F.col(N_ITEMS).cast("long").alias("orders")))
+    raw = by_day.agg(*kpi_aggregates(), F.sort_array(F.collect_list(day_entry)).alias("_daily"))
+    two = raw.select(F.inline(F.array(
+        F.struct(F.lit("kpis").alias("section"),
+                 F.to_json(F.struct(*kpi_columns())).alias("payload")),
+        F.struct(F.lit("daily_orders").alias("section"),
+                 F.to_json("_daily").alias("payload")))))
     top = topk.top_categories(category_fact, n=top_n).agg(
         F.sort_array(F.collect_list(F.struct("rank", "Category", "total"))).alias("v"))
     top_row = top.select(F.lit("top_categories").alias("section"), F.to_json("v").alias("payload"))
-    return kpi_row.unionByName(daily_row).unionByName(top_row)
+    return two.unionByName(top_row)
 
 
 def dashboard_payload(spark: SparkSession, sf_dir: str, version: int = 0) -> DataFrame:
