@@ -18,6 +18,7 @@ from orderpulse.operators import kpis
 from orderpulse.operators.cleaning import clean_item_rows, parse_item_messages
 from orderpulse.operators.snapshot import (
     array_message, envelope_messages, explode_entries, object_messages, route_messages,
+    snapshot_parts,
 )
 from orderpulse.plans.fact import item_fact, order_dimension, order_grain_fact
 from orderpulse.sources.tables import read_table
@@ -105,8 +106,9 @@ def payload_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded in all three snapshot shapes, then routed and parsed back."""
     ev = read_table(spark, sf_dir, "events", ["event_type"])
     counts = ev.groupBy(F.col("event_type").alias("Category")).agg(F.count(F.lit(1)).alias("count"))
-    msgs = (envelope_messages(counts, 1, 0)
-            .unionByName(array_message(counts))
+    parts = snapshot_parts(counts.count())   # bounded message size, as the live sink does
+    msgs = (envelope_messages(counts, 1, 0, parts)
+            .unionByName(array_message(counts, parts=parts))
             .unionByName(object_messages(counts)))
     rows = explode_entries(route_messages(msgs))
     return rows.select("shape", "route", "Category", F.col("count").cast("long").alias("count"))

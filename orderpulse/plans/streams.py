@@ -110,7 +110,7 @@ def _append_inputs(spark: SparkSession, sf_dir: str, path: str) -> int:
     docs = read_table(spark, sf_dir, "documents", ["text"])
     junk = docs.select(F.regexp_replace("text", "[\\r\\n]", " ").alias("value"))
     msgs = object_messages(counts).unionByName(junk)
-    return _write_split(msgs, path, docs.count() + 8)
+    return _write_split(msgs, path, msgs.count())
 
 
 def _run_append(spark: SparkSession, sf_dir: str) -> str:
