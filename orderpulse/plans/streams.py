@@ -155,7 +155,7 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = start_upsert_loader(stream, table, f"{base}/checkpoint", available_now=True)
     q.awaitTermination()
     out = table.read()
-    return out.select("category", "count", F.unix_seconds("timestamp").alias("epoch"))
+    return out.select("category", "count", utc_to_epoch("timestamp").alias("epoch"))
 
 
 def _run_dashboard_stream(spark: SparkSession, sf_dir: str) -> VersionedTable:

@@ -58,10 +58,12 @@ SNAPSHOT_ENVELOPE = T.StructType([
 
 SNAPSHOT_ARRAY = T.ArrayType(CATEGORY_COUNT)
 
-# Row of the keyed snapshot table (category_stats).
+# Row of the keyed snapshot table (category_stats). ``timestamp`` is the
+# snapshot's wall-clock time in UTC (the reference stored a naive local
+# DATETIME); ``updated_at`` is the instant the row was written.
 CATEGORY_STATS = T.StructType([
     T.StructField("category", T.StringType(), False),
     T.StructField("count", T.LongType(), False),
-    T.StructField("timestamp", T.TimestampType(), False),
+    T.StructField("timestamp", T.TimestampNTZType(), False),
     T.StructField("updated_at", T.TimestampType()),
 ])

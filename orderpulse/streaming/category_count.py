@@ -78,10 +78,12 @@ def snapshot_table_sink(table: VersionedTable) -> BatchSink:
     (SNK-07/08/09). Version = batch id, so a replay rewrites the same one."""
     from pyspark.sql import functions as F
 
+    from orderpulse.functions.time import epoch_to_utc
+
     def run(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(F.col("Category").alias("category"),
                             F.col("count").cast("long").alias("count"),
-                            F.current_timestamp().alias("timestamp"),
+                            epoch_to_utc(F.unix_seconds(F.current_timestamp())).alias("timestamp"),
                             F.current_timestamp().alias("updated_at"))
         table.write_version(rows, batch_id)
     return run

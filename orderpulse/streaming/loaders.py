@@ -23,6 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from orderpulse.functions.json import SHAPE_OBJECT
 from orderpulse.functions.text import is_present
+from orderpulse.functions.time import epoch_to_utc
 from orderpulse.operators.snapshot import (
     envelope_rows, explode_entries, latest_per_key, route_messages,
 )
@@ -118,7 +119,8 @@ def start_upsert_loader(messages: DataFrame, table: VersionedTable, checkpoint:
         entries = explode_entries(routed)
         updates = entries.select(
             F.col("Category").alias("category"), F.col("count").cast("long").alias("count"),
-            F.coalesce(F.timestamp_seconds("epoch"), F.current_timestamp()).alias("timestamp"),
+            F.coalesce(epoch_to_utc("epoch"),
+                       epoch_to_utc(F.unix_seconds(F.current_timestamp()))).alias("timestamp"),
             F.col("seq"))
         updates = updates.where(is_present("category") & F.col("count").isNotNull())
         current = table.read() if table.current_version() is not None else \

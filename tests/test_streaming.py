@@ -3,7 +3,7 @@ replays are idempotent, snapshots swap atomically."""
 
 import json
 
-from pyspark.sql import functions as F
+from orderpulse.functions.time import utc_to_epoch
 
 from orderpulse.sinks.messages import write_message_files
 from orderpulse.sinks.tables import VersionedTable, append_batch
@@ -136,7 +136,7 @@ def test_upsert_last_write_wins(spark, scratch):
     q = start_upsert_loader(stream, table, f"{base}/ckpt", available_now=True)
     q.awaitTermination()
     got = {r.category: (r["count"], r.e) for r in
-           table.read().select("category", "count", F.unix_seconds("timestamp").alias("e")).collect()}
+           table.read().select("category", "count", utc_to_epoch("timestamp").alias("e")).collect()}
     assert got == {"A": (2, 20), "B": (8, 30)}
 
 
