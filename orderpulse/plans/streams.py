@@ -30,8 +30,9 @@ from orderpulse.streaming.loaders import (
 )
 
 # Fixed parameters: how many files the published messages are split into,
-# how many micro-batches the replay takes at most, and the state partitions
-# of the stateful count (sized for a category-like key set).
+# how many micro-batches the replay takes at most, and the shuffle width of
+# each streaming job (state partitions of the stateful ones, batch work of
+# the loaders), sized for a category-like key set.
 TARGET_FILES = 6
 TARGET_BATCHES = 3
 STATE_PARTITIONS = 4
@@ -94,7 +95,8 @@ def snapshot_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, _ = run_category_count(spark, sf_dir, with_messages=True)
     results = f"{base}/results"
     n_files = len(read_message_files(spark, results).inputFiles())
-    stream = read_message_file_stream(spark, results, _files_per_trigger(n_files))
+    job = streaming_session(spark, STATE_PARTITIONS)
+    stream = read_message_file_stream(job, results, _files_per_trigger(n_files))
     table = VersionedTable(spark, f"{base}/reloaded")
     q = start_snapshot_loader(stream, table, f"{base}/loader-checkpoint",
                               raw_root=f"{base}/raw", available_now=True)
@@ -116,7 +118,8 @@ def _append_inputs(spark: SparkSession, sf_dir: str, path: str) -> int:
 def _run_append(spark: SparkSession, sf_dir: str) -> str:
     base = scratch_path(spark, "append-loader")
     n_files = _append_inputs(spark, sf_dir, f"{base}/in")
-    stream = read_message_file_stream(spark, f"{base}/in", _files_per_trigger(n_files))
+    job = streaming_session(spark, STATE_PARTITIONS)
+    stream = read_message_file_stream(job, f"{base}/in", _files_per_trigger(n_files))
     q = start_append_loader(stream, f"{base}/category", f"{base}/quarantine",
                             f"{base}/checkpoint", available_now=True)
     q.awaitTermination()
@@ -150,7 +153,8 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.struct(F.col("event_type").alias("Category"),
                          F.col("event_id").alias("count"))).alias("data"))
     n_files = _write_split(ev.select(F.to_json(body).alias("value")), f"{base}/in", n)
-    stream = read_message_file_stream(spark, f"{base}/in", _files_per_trigger(n_files))
+    job = streaming_session(spark, STATE_PARTITIONS)
+    stream = read_message_file_stream(job, f"{base}/in", _files_per_trigger(n_files))
     table = VersionedTable(spark, f"{base}/table")
     q = start_upsert_loader(stream, table, f"{base}/checkpoint", available_now=True)
     q.awaitTermination()
