@@ -81,7 +81,10 @@ ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate",
 
 def order_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders with the reference's column names, one row per order."""
-    o = read_table(spark, sf_dir, "orders", ORDER_COLUMNS)
+    return order_columns(read_table(spark, sf_dir, "orders", ORDER_COLUMNS))
+
+
+def order_columns(o: DataFrame) -> DataFrame:
     return o.select(
         F.col("o_orderkey"),
         status_name("o_orderstatus").alias("status"),
@@ -94,41 +97,62 @@ def order_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_type"])
+    return part_columns(read_table(spark, sf_dir, "part", ["p_partkey", "p_type"]))
+
+
+def part_columns(p: DataFrame) -> DataFrame:
     return p.select("p_partkey", F.col("p_type").alias("Category"))
 
 
+LINEITEM_COLUMNS = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
+                    "l_extendedprice", "l_discount"]
+
+
 def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "lineitem",
-                      ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
-                       "l_extendedprice", "l_discount"])
+    return read_table(spark, sf_dir, "lineitem", LINEITEM_COLUMNS)
 
 
-def order_grain_fact(spark: SparkSession, sf_dir: str, fk_integrity: bool = True) -> DataFrame:
-    """One row per order: order attributes + measures of its items."""
-    li = _lineitem(spark, sf_dir)
-    if not fk_integrity:
-        parts = read_table(spark, sf_dir, "part", ["p_partkey"])
-        li = li.join(parts, li.l_partkey == parts.p_partkey, "left_semi")
+def order_grain(lineitem: DataFrame, orders: DataFrame,
+                part_keys: DataFrame | None = None) -> DataFrame:
+    """One row per order from given ``lineitem`` and ``orders`` frames (raw
+    TPC-H columns); ``part_keys`` (``p_partkey``) applies the part join as a
+    semi join when foreign keys are not trusted."""
+    li = lineitem
+    if part_keys is not None:
+        li = li.join(part_keys, li.l_partkey == part_keys.p_partkey, "left_semi")
     per_order = li.groupBy("l_orderkey").agg(*partial_measures(grand_total_units()))
-    orders = order_dimension(spark, sf_dir)
-    joined = per_order.join(orders, per_order.l_orderkey == orders.o_orderkey, "inner")
+    o = order_columns(orders)
+    joined = per_order.join(o, per_order.l_orderkey == o.o_orderkey, "inner")
     return joined.select("o_orderkey", "status", "created_at", "Working_Date",
                          "payment_method", "Customer_ID", *MEASURES)
 
 
-def category_grain_fact(spark: SparkSession, sf_dir: str, fk_integrity: bool = True) -> DataFrame:
-    """One row per part: its category + measures of its items."""
-    li = _lineitem(spark, sf_dir)
-    if not fk_integrity:
-        okeys = read_table(spark, sf_dir, "orders", ["o_orderkey"])
-        li = li.join(okeys, li.l_orderkey == okeys.o_orderkey, "left_semi")
+def order_grain_fact(spark: SparkSession, sf_dir: str, fk_integrity: bool = True) -> DataFrame:
+    """One row per order: order attributes + measures of its items."""
+    part_keys = None if fk_integrity else read_table(spark, sf_dir, "part", ["p_partkey"])
+    return order_grain(_lineitem(spark, sf_dir), read_table(spark, sf_dir, "orders", ORDER_COLUMNS),
+                       part_keys)
+
+
+def category_grain(lineitem: DataFrame, parts: DataFrame,
+                   order_keys: DataFrame | None = None) -> DataFrame:
+    """One row per part from given ``lineitem`` and ``part`` frames."""
+    li = lineitem
+    if order_keys is not None:
+        li = li.join(order_keys, li.l_orderkey == order_keys.o_orderkey, "left_semi")
     per_part = li.groupBy("l_partkey").agg(*partial_measures(grand_total_units()))
-    parts = part_dimension(spark, sf_dir)
-    joined = per_part.join(parts, per_part.l_partkey == parts.p_partkey, "inner")
+    p = part_columns(parts)
+    joined = per_part.join(p, per_part.l_partkey == p.p_partkey, "inner")
     return joined.select("p_partkey", "Category", *MEASURES)
 
 
+def category_grain_fact(spark: SparkSession, sf_dir: str, fk_integrity: bool = True) -> DataFrame:
+    """One row per part: its category + measures of its items."""
+    order_keys = None if fk_integrity else read_table(spark, sf_dir, "orders", ["o_orderkey"])
+    return category_grain(_lineitem(spark, sf_dir), read_table(spark, sf_dir, "part", ["p_partkey", "p_type"]),
+                          order_keys)
+
+
 def category_rollup(fact: DataFrame) -> DataFrame:
     """Merge part-grain partial measures to one row per category."""
     return fact.groupBy("Category").agg(*merge_measures())
