@@ -4,7 +4,7 @@ from orderpulse import jobs
 from orderpulse.sinks.tables import VersionedTable
 
 
-def test_publish_count_reload_append_chain(spark, scratch, capsys):
+def test_publish_count_reload_upsert_chain(spark, scratch, capsys):
     from orderpulse.session import local_path
 
     base = scratch("jobs")
