@@ -28,8 +28,16 @@ def to_json_row(*cols: str | Column) -> Column:
 
 
 def is_wellformed_json(value: str | Column) -> Column:
-    """True when the text parses as a JSON document."""
-    return F.get_json_object(_col(value), "$").isNotNull()
+    """True when the whole text is exactly one JSON value.
+
+    ``get_json_object(v, '$')`` and ``try_parse_json`` both stop after the
+    first value and accept ``"123 and more text"``; a JSON decoder that reads
+    the whole message rejects it. Wrapping the text in brackets turns any
+    trailing text into a syntax error inside the array, and an array length
+    of exactly one rejects empty text and comma-separated values.
+    """
+    wrapped = F.concat(F.lit("["), _col(value), F.lit("]"))
+    return F.coalesce(F.json_array_length(wrapped) == F.lit(1), F.lit(False))
 
 
 # Message shapes a snapshot topic may carry.

@@ -83,3 +83,14 @@ def test_epoch_round_trip_is_zone_independent(spark):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert out[0].t == dt.datetime(2024, 1, 1, 0, 0, 7)
     assert [r.back for r in out] == [1704067207, 0, 1]
+
+
+def test_wellformed_json_reads_the_whole_text(spark):
+    from orderpulse.functions.json import is_wellformed_json
+
+    cases = {"123": True, '{"a": 1}': True, "[1, 2]": True, '  {"Category": "A"}  ': True,
+             '"s"': True, "null": True, "8294 and then prose": False, '{"a": 1} trailing': False,
+             "1,2": False, "": False, "bad": False, '{"a": 1': False}
+    df = spark.createDataFrame([(k,) for k in cases], "v string")
+    got = {r.v: r.ok for r in df.select("v", is_wellformed_json("v").alias("ok")).collect()}
+    assert got == cases
