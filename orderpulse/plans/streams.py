@@ -18,7 +18,8 @@ from orderpulse.functions.time import utc_to_epoch
 from orderpulse.operators.snapshot import envelope_rows, object_messages
 from orderpulse.session import scratch_path
 from orderpulse.sinks.messages import item_messages, write_message_files
-from orderpulse.sinks.tables import VersionedTable
+from orderpulse.schemas import CATEGORY_COUNT, QUARANTINE
+from orderpulse.sinks.tables import VersionedTable, read_appended
 from orderpulse.sources.files import read_message_files
 from orderpulse.sources.tables import read_table
 from orderpulse.sources.topic import read_message_file_stream
@@ -129,14 +130,15 @@ def _run_append(spark: SparkSession, sf_dir: str) -> str:
 def append_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-06: object messages appended per batch; returns the table."""
     base = _run_append(spark, sf_dir)
-    return spark.read.parquet(f"{base}/category").select("Category", F.col("count").cast("long"))
+    rows = read_appended(spark, f"{base}/category", CATEGORY_COUNT)
+    return rows.select("Category", F.col("count").cast("long"))
 
 
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-07: malformed messages set aside with their reason; returns the
     count per reason."""
     base = _run_append(spark, sf_dir)
-    q = spark.read.parquet(f"{base}/quarantine")
+    q = read_appended(spark, f"{base}/quarantine", QUARANTINE)
     return q.groupBy("reason").agg(F.count(F.lit(1)).alias("messages"))
 
 

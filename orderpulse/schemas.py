@@ -67,3 +67,9 @@ CATEGORY_STATS = T.StructType([
     T.StructField("timestamp", T.TimestampNTZType(), False),
     T.StructField("updated_at", T.TimestampType()),
 ])
+
+# Row of the quarantine table: the message text and why it was set aside.
+QUARANTINE = T.StructType([
+    T.StructField("value", T.StringType()),
+    T.StructField("reason", T.StringType()),
+])

@@ -166,6 +166,15 @@ def append_batch(rows: DataFrame, root: str, batch_id: int) -> None:
      .partitionBy("batch_id").parquet(root))
 
 
+def read_appended(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """Rows of an append table (with their ``batch_id``); empty, with the
+    schema, when no batch has written rows yet."""
+    full = T.StructType(list(schema.fields) + [T.StructField("batch_id", T.LongType())])
+    if not path_exists(spark, root):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(root)
+
+
 def ensure_table(spark: SparkSession, root: str, schema: T.StructType) -> None:
     """Create an empty table with ``schema`` at ``root`` if none exists (SNK-09)."""
     if not path_exists(spark, root):

@@ -151,3 +151,14 @@ def test_versioned_table_keeps_recent_versions(spark, scratch):
     versions = sorted(int(n.split("=")[1]) for n, _ in list_dirs(spark, table.versions))
     assert versions[-2:] == [38, 39] and len(versions) < 4  # pruned once 2*keep folders exist
     assert len([n for n, _ in list_files(spark, table.pointer) if n.endswith(".parquet")]) <= 33
+
+
+def test_read_appended_before_any_rows(spark, scratch):
+    from orderpulse.schemas import CATEGORY_COUNT
+    from orderpulse.sinks.tables import read_appended
+
+    root = scratch("empty-append")
+    assert read_appended(spark, root, CATEGORY_COUNT).count() == 0
+    append_batch(spark.createDataFrame([], CATEGORY_COUNT), root, 0)
+    df = read_appended(spark, root, CATEGORY_COUNT)
+    assert df.count() == 0 and df.columns == ["Category", "count", "batch_id"]
