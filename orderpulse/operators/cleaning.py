@@ -76,6 +76,8 @@ def result_rows(counts: DataFrame, category: str = "Category", count: str = "cou
 
 def result_counts(rows: DataFrame) -> DataFrame:
     """``key``/``value`` rows back to ``Category`` and integer ``count``, keeping
-    only rows with both present (FLT-02, PRJ-13)."""
+    only rows with both present (FLT-02, PRJ-13). The count is checked as
+    text, so ``"0"`` is present and kept; only a missing or empty one drops
+    the row."""
     out = rows.select(F.col("key").alias("Category"), F.col("value").try_cast("long").alias("count"))
-    return out.where(is_present("Category") & F.col("count").isNotNull() & (F.col("count") != 0))
+    return out.where(is_present("Category") & F.col("count").isNotNull())

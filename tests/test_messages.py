@@ -31,7 +31,9 @@ def test_running_count_filter(spark):
 def test_result_rows_round_trip(spark):
     counts = spark.createDataFrame([("A", 3), ("", 1), (None, 2), ("B", 0)], "Category string, count long")
     back = cleaning.result_counts(cleaning.result_rows(counts))
-    assert [(r.Category, r["count"]) for r in back.collect()] == [("A", 3)]
+    assert [(r.Category, r["count"]) for r in back.collect()] == [("A", 3), ("B", 0)]
+    text = spark.createDataFrame([("C", ""), ("D", None), ("E", "7")], "key string, value string")
+    assert [(r.Category, r["count"]) for r in cleaning.result_counts(text).collect()] == [("E", 7)]
 
 
 def test_strict_id_cast_fails_lenient_keeps_row(spark):
