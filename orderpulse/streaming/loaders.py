@@ -45,6 +45,8 @@ def apply_snapshots(batch: DataFrame, table: VersionedTable, raw_root: str | Non
     batch = batch.persist()
     try:
         rows = envelope_rows(batch)
+        # the table's category and count are NOT NULL: entries missing either are dropped
+        rows = rows.where(is_present("Category") & F.col("count").isNotNull())
         staged = rows.select(
             F.col("Category").alias("category"),
             F.col("count").cast("long").alias("count"),

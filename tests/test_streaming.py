@@ -88,7 +88,8 @@ def test_shrinking_snapshot_and_replay(spark, scratch):
     b1 = spark.createDataFrame([(env(1, [("A", 1), ("B", 1)]),)], "value string")
     assert apply_snapshots(b1, table) == 1
     assert as_dict(table.read()) == {"A": 1, "B": 1}
-    b2 = spark.createDataFrame([(env(2, [("A", 5)]),), (None,), ("bad",)], "value string")
+    b2 = spark.createDataFrame([(env(2, [("A", 5), ("", 3), (None, 1), ("Z", None)]),), (None,), ("bad",)],
+                               "value string")
     apply_snapshots(b2, table)
     assert as_dict(table.read()) == {"A": 5}          # B is gone after the reload
     apply_snapshots(b2, table)                         # replayed batch
