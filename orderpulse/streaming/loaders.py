@@ -41,7 +41,11 @@ def _start(stream: DataFrame, checkpoint: str, callback, available_now: bool,
 def apply_snapshots(batch: DataFrame, table: VersionedTable, raw_root: str | None = None,
                     batch_id: int = 0) -> int | None:
     """Stage every envelope part of this batch and commit the newest whole
-    snapshot. Returns the committed version, if any."""
+    snapshot. Returns the committed version, if any.
+
+    Entries without a category or count are dropped. A part whose entries
+    are all invalid stages nothing, so its snapshot never completes and
+    readers keep the previous one: stale, never partial."""
     batch = batch.persist()
     try:
         rows = envelope_rows(batch)
