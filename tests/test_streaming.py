@@ -163,3 +163,16 @@ def test_read_appended_before_any_rows(spark, scratch):
     append_batch(spark.createDataFrame([], CATEGORY_COUNT), root, 0)
     df = read_appended(spark, root, CATEGORY_COUNT)
     assert df.count() == 0 and df.columns == ["Category", "count", "batch_id"]
+
+
+def test_stream_result_independent_of_state_partitions(spark, scratch):
+    base = scratch("invariance")
+    src = f"{base}/in"
+    for b in range(3):
+        write_lines(spark, src, [item(b * 100 + i, "ABCDE"[(i * 7 + b) % 5]) for i in range(40)])
+    results = []
+    for n in (1, 4):
+        table = VersionedTable(spark, f"{base}/t{n}")
+        run_counts(spark, src, f"{base}/ck{n}", table, state_partitions=n)
+        results.append(as_dict(table.read()))
+    assert results[0] == results[1] == as_dict(category_counts(spark.read.text(src)), "Category")
