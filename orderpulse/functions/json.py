@@ -72,7 +72,3 @@ def snapshot_entries(value: str | Column, shape: str | Column) -> Column:
         .when(s == SHAPE_ARRAY, F.from_json(v, SNAPSHOT_ARRAY))
         .when(s == SHAPE_OBJECT, F.array(F.from_json(v, CATEGORY_COUNT)))
     )
-
-
-def envelope_field(value: str | Column, field: str) -> Column:
-    return F.from_json(_col(value), SNAPSHOT_ENVELOPE)[field]

@@ -86,11 +86,6 @@ def merge_measures() -> list[Column]:
     ]
 
 
-def total_items() -> Column:
-    """Row count; 0 on empty input."""
-    return F.coalesce(F.sum(N_ITEMS), F.lit(0)).cast("long")
-
-
 def sales_money(units_sum: Column) -> Column:
     """Exact currency total of a units sum (null stays null)."""
     return units_to_money(units_sum)

@@ -23,8 +23,6 @@ Pages are 1-based; a page beyond the end is empty; ``page < 1`` or
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,7 +133,3 @@ def page_metadata(df: DataFrame, page: int = 1, per_page: int = DEFAULT_PER_PAGE
         F.greatest(F.lit(1), F.lit(page - 2)).cast("long").alias("start_page"),
         F.least(pages, F.lit(page + 2)).cast("long").alias("end_page"),
     )
-
-
-def page_count(total: int, per_page: int) -> int:
-    return math.ceil(total / per_page)

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderpulse.operators.measures import (
-    MEASURES, N_ITEMS, SALES, SALES_N, merge_measures, partial_measures,
+    MEASURES, N_ITEMS, SALES, SALES_N, partial_measures,
 )
 from orderpulse.schemas import MONEY
 from orderpulse.sources.tables import read_table
@@ -153,11 +153,6 @@ def category_grain_fact(spark: SparkSession, sf_dir: str, fk_integrity: bool = T
                           order_keys)
 
 
-def category_rollup(fact: DataFrame) -> DataFrame:
-    """Merge part-grain partial measures to one row per category."""
-    return fact.groupBy("Category").agg(*merge_measures())
-
-
 def item_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full item-level fact (both joins), for listings and item metrics."""
     li = _lineitem(spark, sf_dir)

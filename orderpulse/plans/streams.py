@@ -167,15 +167,13 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _run_dashboard_stream(spark: SparkSession, sf_dir: str) -> VersionedTable:
     """Order items exported as 19-column CSV files, replayed as a stream into
     the incremental dashboard (SNK-10, STR-01…06)."""
-    import math as _math
-
     from orderpulse.plans.io import export_order_items
     from orderpulse.schemas import ORDER_ITEM
     from orderpulse.streaming.dashboard import start_dashboard_stream
 
     base = scratch_path(spark, "dashboard-stream")
     n = read_table(spark, sf_dir, "lineitem", ["l_orderkey"]).count()
-    export_order_items(spark, sf_dir, f"{base}/items", max(1, _math.ceil(n / TARGET_FILES)))
+    export_order_items(spark, sf_dir, f"{base}/items", max(1, math.ceil(n / TARGET_FILES)))
     n_files = len(spark.read.text(f"{base}/items").inputFiles())
     job = streaming_session(spark, STATE_PARTITIONS)
     items = (job.readStream.schema(ORDER_ITEM).option("header", True)
