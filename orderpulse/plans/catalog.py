@@ -46,6 +46,8 @@ def _extended() -> dict[str, Query]:
         "kpi_display": messages.kpi_display,
         "epoch_to_timestamp": messages.epoch_to_timestamp,
         "payload_routing": messages.payload_routing,
+        "message_bytes": messages.message_bytes,
+        "result_rows_roundtrip": messages.result_rows_roundtrip,
         "csv_header_roundtrip": io.csv_header_roundtrip,
         "csv_positional": io.csv_positional,
         "publish_json": io.publish_json,

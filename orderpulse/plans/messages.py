@@ -112,3 +112,23 @@ def payload_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(object_messages(counts)))
     rows = explode_entries(route_messages(msgs))
     return rows.select("shape", "route", "Category", F.col("count").cast("long").alias("count"))
+
+
+def message_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-01/02: messages as a broker delivers them (UTF-8 bytes in
+    ``value``), decoded and parsed."""
+    from orderpulse.functions.json import bytes_to_string
+    from orderpulse.operators.cleaning import parse_item_messages
+
+    raw = event_messages(spark, sf_dir).select(F.encode("value", "UTF-8").alias("value"))
+    return parse_item_messages(raw.select(bytes_to_string("value").alias("value")))
+
+
+def result_rows_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-03/13, FLT-02: the running count per event type shaped as the
+    job's ``key``/``value`` string rows, then read back as integer counts."""
+    from orderpulse.operators.cleaning import result_counts, result_rows
+    from orderpulse.streaming.category_count import category_counts
+
+    counts = category_counts(event_messages(spark, sf_dir).select("value"))
+    return result_counts(result_rows(counts))

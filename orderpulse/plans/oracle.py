@@ -191,6 +191,10 @@ WITH c AS (SELECT event_type AS Category, COUNT(*) AS count FROM events
 SELECT 'envelope' AS shape, 'load' AS route, Category, count FROM c
 UNION ALL SELECT 'array', 'raw', Category, count FROM c
 UNION ALL SELECT 'object', 'raw', Category, count FROM c""",
+        "message_bytes": """
+SELECT CAST(event_id AS VARCHAR) AS item_id, event_type AS Category FROM events""",
+        "result_rows_roundtrip": f"""
+SELECT event_type AS Category, COUNT(*) AS count FROM events WHERE {present} GROUP BY 1""",
         "csv_header_roundtrip": """
 SELECT event_id AS item_id, event_type AS Category FROM events""",
         "csv_positional": """
