@@ -57,18 +57,23 @@ def cmd_count(spark: SparkSession, args) -> None:
     the console and (optionally) snapshot messages."""
     from orderpulse.sinks.tables import VersionedTable
     from orderpulse.streaming.category_count import (
-        console_sink, snapshot_message_sink, snapshot_table_sink, start_category_count,
-        streaming_session,
+        console_sink, object_message_sink, snapshot_message_sink, snapshot_table_sink,
+        start_category_count, streaming_session,
     )
 
     job = streaming_session(spark, args.state_partitions)
-    sinks = [snapshot_table_sink(VersionedTable(spark, args.table))]
+    sinks = []
+    if args.output_mode == "complete":
+        sinks.append(snapshot_table_sink(VersionedTable(spark, args.table)))
+        if args.results:
+            sinks.append(snapshot_message_sink(_writer(args, args.results)))
+    elif args.results:  # update mode: changed categories as object messages
+        sinks.append(object_message_sink(_writer(args, args.results)))
     if args.console:
         sinks.append(console_sink())
-    if args.results:
-        sinks.append(snapshot_message_sink(_writer(args, args.results)))
     q = start_category_count(_messages(job, args, args.max_per_trigger), args.checkpoint, sinks,
-                             trigger=args.trigger, available_now=args.available_now)
+                             trigger=args.trigger, available_now=args.available_now,
+                             output_mode=args.output_mode)
     _run(q, args)
 
 
@@ -154,9 +159,11 @@ def parser() -> argparse.ArgumentParser:
     sp.add_argument("--strict", action="store_true", help="fail on a non-integer item_id")
     sp = common(sub.add_parser("count"))
     sp.add_argument("--messages", required=True)
-    sp.add_argument("--table", required=True)
+    sp.add_argument("--table", help="snapshot table (complete mode)")
     sp.add_argument("--results", help="snapshot messages out (folder or topic)")
     sp.add_argument("--console", action="store_true")
+    sp.add_argument("--output-mode", default="complete", choices=["complete", "update"],
+                    help="update: publish only changed categories as object messages (feed `upsert`)")
     sp = common(sub.add_parser("reload"))
     sp.add_argument("--messages", required=True)
     sp.add_argument("--table", required=True)

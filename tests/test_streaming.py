@@ -176,3 +176,24 @@ def test_stream_result_independent_of_state_partitions(spark, scratch):
         run_counts(spark, src, f"{base}/ck{n}", table, state_partitions=n)
         results.append(as_dict(table.read()))
     assert results[0] == results[1] == as_dict(category_counts(spark.read.text(src)), "Category")
+
+
+def test_update_mode_publishes_changes_and_upsert_keeps_totals(spark, scratch):
+    from orderpulse.streaming.category_count import object_message_sink, streaming_session
+
+    base = scratch("update-mode")
+    src = f"{base}/in"
+    write_lines(spark, src, [item(1, "A"), item(2, "B"), item(3, "A")])
+    write_lines(spark, src, [item(4, "A")])                       # only A changes
+    job = streaming_session(spark, 2)
+    q = start_category_count(read_message_file_stream(job, src, max_files_per_trigger=1),
+                             f"{base}/ck", [object_message_sink(lambda m: write_message_files(m, f"{base}/out"))],
+                             available_now=True, output_mode="update")
+    q.awaitTermination()
+    sent = sorted((r.value for r in spark.read.text(f"{base}/out").collect()))
+    assert sent == ['{"Category":"A","count":2}', '{"Category":"A","count":3}', '{"Category":"B","count":1}']
+    table = VersionedTable(spark, f"{base}/keyed")
+    up = start_upsert_loader(read_message_file_stream(spark, f"{base}/out"), table, f"{base}/ck2",
+                             available_now=True)
+    up.awaitTermination()
+    assert as_dict(table.read()) == {"A": 3, "B": 1}
