@@ -61,6 +61,8 @@ def cmd_count(spark: SparkSession, args) -> None:
         start_category_count, streaming_session,
     )
 
+    if args.output_mode == "complete" and not args.table:
+        raise SystemExit("count: --table is required in complete mode")
     job = streaming_session(spark, args.state_partitions)
     sinks = []
     if args.output_mode == "complete":
