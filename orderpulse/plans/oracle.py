@@ -198,7 +198,8 @@ SELECT event_type AS Category, COUNT(*) AS count FROM events WHERE {present} GRO
         "csv_header_roundtrip": """
 SELECT event_id AS item_id, event_type AS Category FROM events""",
         "csv_positional": """
-SELECT c_mktsegment AS value FROM customer WHERE c_mktsegment IS DISTINCT FROM 'gender'""",
+SELECT c_mktsegment AS value FROM customer
+WHERE c_mktsegment IS NOT NULL AND c_mktsegment <> 'gender'""",
         "publish_json": f"""
 SELECT '{{"item_id":' || event_id || ',"Category":' || to_json({stripped_type}) || '}}' AS value
 FROM events""",

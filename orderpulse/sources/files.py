@@ -36,12 +36,13 @@ def read_positional_csv(spark: SparkSession, path: str, index: int,
                         header_value: str | None = None, name: str = "value") -> DataFrame:
     """Column ``index`` (0-based) of a CSV read without a header; rows whose
     value equals ``header_value`` (the header row, wherever it occurs) are
-    dropped."""
+    dropped, and so are rows too short to have the column (or with it
+    empty), which would otherwise become empty messages."""
     df = spark.read.option("header", False).csv(path)
-    c = F.col(f"_c{index}")
-    out = df.select(c.alias(name))
+    c = F.col(f"_c{index}") if f"_c{index}" in df.columns else F.lit(None).cast("string")
+    out = df.select(c.alias(name)).where(F.col(name).isNotNull())
     if header_value is not None:
-        out = out.where(F.col(name).isNull() | (F.col(name) != F.lit(header_value)))
+        out = out.where(F.col(name) != F.lit(header_value))
     return out
 
 

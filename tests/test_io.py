@@ -32,7 +32,7 @@ def test_positional_csv_drops_header_value_anywhere(spark, scratch):
     from orderpulse.session import local_path
     p = scratch("pos")
     lines = ["a,b,c,d,e,f,g,h,i,gender", "1,2,3,4,5,6,7,8,9,F", "1,2,3,4,5,6,7,8,9,gender",
-             "1,2,3,4,5,6,7,8,9,M,extra"]
+             "1,2,3,4,5,6,7,8,9,M,extra", "1,2,3", "1,2,3,4,5,6,7,8,9,"]
     write_text(local_path(p), "\n".join(lines) + "\n")
     assert [r.value for r in read_positional_csv(spark, p, 9, "gender").collect()] == ["F", "M"]
 
