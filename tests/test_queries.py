@@ -89,3 +89,27 @@ def test_scan_prunes_columns_and_aggregates_before_join(spark):
     # partial aggregation on l_orderkey happens below the join with orders
     join_at = plan.find("Join")
     assert join_at > 0 and plan.find("l_orderkey", join_at) > 0
+
+
+def _formatted(spark, df):
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode)
+
+
+def test_keyset_page_pushes_the_key_filter_into_the_scan(spark):
+    text = _formatted(spark, E.queries()["order_page_after"](spark, SF_SMALL))
+    assert "PushedFilters: [IsNotNull(o_orderkey), GreaterThan(o_orderkey,9999)]" in text
+
+
+def test_top_k_plans_as_take_ordered(spark):
+    assert "TakeOrderedAndProject" in _plan(E.queries()["top_categories"](spark, SF_SMALL))
+    assert "TakeOrderedAndProject" in _plan(E.queries()["order_page"](spark, SF_SMALL))
+
+
+@pytest.mark.parametrize("name", [n for n in NAMES if not n.startswith(("stream_", "snapshot_", "append",
+                                                                        "quarantine", "upsert", "csv_",
+                                                                        "publish", "dashboard"))])
+def test_no_python_udf_in_plan(spark, name):
+    plan = _plan(E.queries()[name](spark, SF_SMALL))
+    for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"):
+        assert node not in plan
