@@ -82,3 +82,33 @@ def test_processing_time_trigger(spark, scratch):
     finally:
         q.stop()
     assert [(r.category, r["count"]) for r in table.read().collect()] == [("A", 1)]
+
+
+def test_jdbc_reader_argument_checks(spark):
+    import pytest
+
+    from orderpulse.sources.jdbc import read_jdbc
+
+    with pytest.raises(ValueError):
+        read_jdbc(spark, "jdbc:none://x")                       # neither table nor query
+    with pytest.raises(ValueError):
+        read_jdbc(spark, "jdbc:none://x", table="t", query="select 1")
+    with pytest.raises(ValueError):
+        read_jdbc(spark, "jdbc:none://x", query="select 1", partition_column="id",
+                  lower_bound=0, upper_bound=10)
+
+
+def test_update_mode_is_validated(spark, scratch):
+    import pytest
+
+    from orderpulse.streaming.category_count import start_category_count
+
+    import os
+
+    from orderpulse.session import local_path
+
+    src = scratch("nothing")
+    os.makedirs(local_path(src))
+    stream = read_message_file_stream(spark, src)
+    with pytest.raises(ValueError):
+        start_category_count(stream, scratch("ck"), [], output_mode="append")
