@@ -107,17 +107,19 @@ def cmd_upsert(spark: SparkSession, args) -> None:
 
 
 def cmd_dashboard(spark: SparkSession, args) -> None:
-    """Incremental KPI payload from 19-column order-item CSV files."""
+    """Incremental KPI payload from 19-column order-item files (CSV or Parquet)."""
     from orderpulse.schemas import ORDER_ITEM
     from orderpulse.sinks.tables import VersionedTable
     from orderpulse.streaming.category_count import streaming_session
     from orderpulse.streaming.dashboard import start_dashboard_stream
 
     job = streaming_session(spark, args.state_partitions)
-    reader = job.readStream.schema(ORDER_ITEM).option("header", True)
+    reader = job.readStream.schema(ORDER_ITEM)
     if args.max_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(args.max_per_trigger))
-    q = start_dashboard_stream(reader.csv(args.items), VersionedTable(spark, args.table),
+    items = (reader.option("header", True).csv(args.items) if args.format == "csv"
+             else reader.parquet(args.items))
+    q = start_dashboard_stream(items, VersionedTable(spark, args.table),
                                args.checkpoint, refresh=args.trigger, available_now=args.available_now)
     _run(q, args)
 
@@ -179,6 +181,7 @@ def parser() -> argparse.ArgumentParser:
     sp.add_argument("--table", required=True)
     sp = common(sub.add_parser("dashboard"))
     sp.add_argument("--items", required=True)
+    sp.add_argument("--format", default="csv", choices=["csv", "parquet"])
     sp.add_argument("--table", required=True)
     sp = sub.add_parser("kpis")
     sp.add_argument("--items", required=True)

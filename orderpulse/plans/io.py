@@ -60,8 +60,9 @@ def publish_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_order_items(spark: SparkSession, sf_dir: str, path: str,
-                       max_records_per_file: int | None = None) -> None:
-    """Write the item fact as the 19-column order-item CSV (with header).
+                       max_records_per_file: int | None = None, fmt: str = "csv") -> None:
+    """Write the item fact as the 19-column order-item table: CSV with a
+    header (the reference's file), or Parquet.
 
     Columns whose meaning is unknown (bi_status, mv, month_year,
     fiscal_year, month_name) are written empty rather than invented;
@@ -88,10 +89,15 @@ def export_order_items(spark: SparkSession, sf_dir: str, path: str,
         "Customer_ID", null.alias("month_name"),
     )
     assert out.columns == ORDER_ITEM.names
-    w = out.write.option("header", True)
+    w = out.write
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", max_records_per_file)
-    w.csv(path)
+    if fmt == "csv":
+        w.option("header", True).csv(path)
+    elif fmt == "parquet":
+        w.parquet(path)
+    else:
+        raise ValueError("fmt must be 'csv' or 'parquet'")
 
 
 def _typed_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,19 +165,19 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run_dashboard_stream(spark: SparkSession, sf_dir: str) -> VersionedTable:
-    """Order items exported as 19-column CSV files, replayed as a stream into
-    the incremental dashboard (SNK-10, STR-01…06)."""
+    """Order items (the 19-column rows, landing as Parquet files) replayed as
+    a stream into the incremental dashboard (SNK-10, STR-01…06)."""
     from orderpulse.plans.io import export_order_items
     from orderpulse.schemas import ORDER_ITEM
     from orderpulse.streaming.dashboard import start_dashboard_stream
 
     base = scratch_path(spark, "dashboard-stream")
     n = read_table(spark, sf_dir, "lineitem", ["l_orderkey"]).count()
-    export_order_items(spark, sf_dir, f"{base}/items", max(1, math.ceil(n / TARGET_FILES)))
-    n_files = len(spark.read.text(f"{base}/items").inputFiles())
+    export_order_items(spark, sf_dir, f"{base}/items", max(1, math.ceil(n / TARGET_FILES)), fmt="parquet")
+    n_files = len(spark.read.schema(ORDER_ITEM).parquet(f"{base}/items").inputFiles())
     job = streaming_session(spark, STATE_PARTITIONS)
-    items = (job.readStream.schema(ORDER_ITEM).option("header", True)
-             .option("maxFilesPerTrigger", str(_files_per_trigger(n_files))).csv(f"{base}/items"))
+    items = (job.readStream.schema(ORDER_ITEM)
+             .option("maxFilesPerTrigger", str(_files_per_trigger(n_files))).parquet(f"{base}/items"))
     table = VersionedTable(spark, f"{base}/payload")
     q = start_dashboard_stream(items, table, f"{base}/checkpoint", available_now=True)
     q.awaitTermination()
