@@ -16,14 +16,17 @@ from pyspark.sql import functions as F
 
 def read_topic_stream(spark: SparkSession, topic: str, bootstrap_servers: str,
                       starting_offsets: str = "latest",
-                      max_offsets_per_trigger: int | None = None) -> DataFrame:
+                      max_offsets_per_trigger: int | None = None,
+                      fail_on_data_loss: bool = True) -> DataFrame:
     """Subscribe to ``topic``. ``starting_offsets`` applies only when the
-    checkpoint has no stored progress (``earliest`` or ``latest``)."""
+    checkpoint has no stored progress (``earliest`` or ``latest``).
+    Offsets that expired from the broker stop the query unless
+    ``fail_on_data_loss`` is turned off."""
     reader = (spark.readStream.format("kafka")
               .option("kafka.bootstrap.servers", bootstrap_servers)
               .option("subscribe", topic)
               .option("startingOffsets", starting_offsets)
-              .option("failOnDataLoss", "false"))
+              .option("failOnDataLoss", str(fail_on_data_loss).lower()))
     if max_offsets_per_trigger:
         reader = reader.option("maxOffsetsPerTrigger", str(max_offsets_per_trigger))
     raw = reader.load()
