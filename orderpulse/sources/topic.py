@@ -1,8 +1,9 @@
 """Message sources: a topic broker, or message files as an offline stand-in.
 
 Both give a streaming DataFrame with one string column ``value`` (plus
-``seq``: the broker offset, or the file's modification time for files), so
-every downstream operator is the same whichever transport is used.
+``seq``: the arrival time in microseconds, from the broker timestamp or the
+file's modification time), so every downstream operator is the same
+whichever transport is used.
 
 The broker connector needs the ``spark-sql-kafka`` package on the cluster's
 classpath; it is not installed here, so tests use the file source.
@@ -30,8 +31,10 @@ def read_topic_stream(spark: SparkSession, topic: str, bootstrap_servers: str,
     if max_offsets_per_trigger:
         reader = reader.option("maxOffsetsPerTrigger", str(max_offsets_per_trigger))
     raw = reader.load()
+    # arrival order across partitions: the broker timestamp (offsets only
+    # order messages within one partition)
     return raw.select(F.col("value").cast("string").alias("value"),
-                      F.col("offset").alias("seq"))
+                      F.unix_micros(F.col("timestamp")).alias("seq"))
 
 
 def read_message_file_stream(spark: SparkSession, path: str,
@@ -62,4 +65,4 @@ def read_topic_batch(spark: SparkSession, topic: str, bootstrap_servers: str) ->
            .option("startingOffsets", "earliest")
            .option("endingOffsets", "latest").load())
     return raw.select(F.col("value").cast("string").alias("value"),
-                      F.col("offset").alias("seq"))
+                      F.unix_micros(F.col("timestamp")).alias("seq"))
