@@ -44,6 +44,9 @@ class VersionedTable:
         self.versions = f"{self.root}/versions"
         self.pointer = f"{self.root}/pointer"
         self.schema = schema
+        # the version this object last committed: a table has one writer, so
+        # the writer need not read its own pointer back
+        self._committed: int | None = None
 
     # -- writing ---------------------------------------------------------
     def write_parts(self, rows: DataFrame, version_col: str = "version",
@@ -68,6 +71,7 @@ class VersionedTable:
         row = self.spark.range(1).select(F.lit(version).cast("long").alias("version"),
                                          F.current_timestamp().alias("committed_at"))
         row.coalesce(1).write.mode("append").parquet(self.pointer)
+        self._committed = max(version, self._committed) if self._committed is not None else version
         if self.keep:
             self.vacuum(self.keep)
 
@@ -141,6 +145,8 @@ class VersionedTable:
 
     # -- reading ---------------------------------------------------------
     def current_version(self) -> int | None:
+        if self._committed is not None:
+            return self._committed
         if not path_exists(self.spark, self.pointer):
             return None
         row = self.spark.read.schema(POINTER_SCHEMA).parquet(self.pointer).agg(
