@@ -23,6 +23,11 @@ additive (see ``orderpulse.operators.measures``), so the plans here
 A key that holds a third of all items collapses to one partial row per map
 task before any shuffle, so neither plan has a skewed join partition.
 
+``order_grain`` / ``category_grain`` take the input frames, so the same plan
+runs over the Parquet files (``*_fact``) or over a bucketed layout
+(``orderpulse.plans.layout``), where the aggregate and the join need no
+exchange at all.
+
 Skipping the other dimension's join relies on foreign-key integrity (every
 item's order and part exist), which TPC-H style data guarantees. Pass
 ``fk_integrity=False`` to keep the inner-join semantics on data that may
