@@ -40,19 +40,30 @@ def _check(page: int, per_page: int) -> None:
 
 
 def page_rows(df: DataFrame, key: str, page: int = 1, per_page: int = DEFAULT_PER_PAGE,
-              shallow_limit: int = SHALLOW_LIMIT, fanout: int | None = None) -> DataFrame:
-    """Rows of 1-based ``page`` ordered by the unique, non-null numeric
-    column ``key``."""
+              shallow_limit: int = SHALLOW_LIMIT, fanout: int | None = None,
+              tiebreak: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Rows of 1-based ``page`` ordered by the non-null numeric column
+    ``key``, then by the ``tiebreak`` columns.
+
+    ``key`` need not be unique: deep pages narrow on whole key values and
+    count exactly, and the final step orders by ``key`` and ``tiebreak``.
+    Give tie-break columns that make the order total (or cover every output
+    column, so that tied rows are identical) for a deterministic page. One
+    key value shared by more rows than ``shallow_limit`` cannot be split by
+    narrowing; its rows then go through the top-k step together.
+    """
     _check(page, per_page)
     offset = (page - 1) * per_page
+    order = [F.col(key).asc_nulls_first()] + [F.col(c).asc_nulls_first() for c in tiebreak]
     if offset + per_page <= shallow_limit:
-        return df.orderBy(F.col(key).asc_nulls_first()).offset(offset).limit(per_page)
+        return df.orderBy(*order).offset(offset).limit(per_page)
     return _ranked_page(df.where(F.col(key).isNotNull()), key, offset, per_page, fanout,
-                        max(shallow_limit, per_page))
+                        max(shallow_limit, per_page), order)
 
 
 def _ranked_page(df: DataFrame, key: str, offset: int, per_page: int,
-                 fanout: int | None = None, shallow_limit: int = SHALLOW_LIMIT) -> DataFrame:
+                 fanout: int | None = None, shallow_limit: int = SHALLOW_LIMIT,
+                 order: list | None = None) -> DataFrame:
     """Exact deep page by narrowing the key range.
 
     Each round splits the current key range at approximate quantiles
@@ -105,7 +116,7 @@ def _ranked_page(df: DataFrame, key: str, offset: int, per_page: int,
             cond = cond & (k < F.lit(upper))
         cur = df.where(cond)
         skip -= start
-    return cur.orderBy(k.asc_nulls_first()).offset(skip).limit(per_page)
+    return cur.orderBy(*(order or [k.asc_nulls_first()])).offset(skip).limit(per_page)
 
 
 def page_after(df: DataFrame, key: str, after_key=None, per_page: int = DEFAULT_PER_PAGE) -> DataFrame:

@@ -38,6 +38,7 @@ def _extended() -> dict[str, Query]:
         "order_page": listing.order_page,
         "order_page_deep": listing.order_page_deep,
         "order_page_after": listing.order_page_after,
+        "item_page": listing.item_page,
         "page_metadata": listing.page_metadata,
         "json_extract": messages.json_extract,
         "clean_categories": messages.clean_categories,

@@ -12,6 +12,7 @@ from orderpulse.plans.fact import order_dimension
 # Fixed parameters of the registered page queries.
 PAGE = 3
 DEEP_PAGE = 401
+ITEM_PAGE = 1001
 AFTER_KEY = 9_999
 PER_PAGE = paging.DEFAULT_PER_PAGE
 
@@ -46,3 +47,22 @@ def order_page_after(spark: SparkSession, sf_dir: str, after_key: int = AFTER_KE
 def page_metadata(spark: SparkSession, sf_dir: str, page: int = PAGE, per_page: int = PER_PAGE) -> DataFrame:
     """LIM-02: total, total pages and the page-number band."""
     return paging.page_metadata(order_rows(spark, sf_dir), page, per_page)
+
+
+ITEM_COLUMNS = ["increment_id", "line_number", "status", "created_at", "price", "qty_ordered",
+                "grand_total", "Category", "payment_method", "Customer_ID"]
+
+
+def item_page(spark: SparkSession, sf_dir: str, page: int = ITEM_PAGE, per_page: int = PER_PAGE) -> DataFrame:
+    """LIM-01 over item rows, as the table page lists them: ordered by the
+    order key, ties broken by every other listed column (the line key is not
+    unique in the supplied data, so identical rows may tie, and they are
+    interchangeable). Deep pages narrow on the order key."""
+    from orderpulse.plans.fact import item_fact
+
+    f = item_fact(spark, sf_dir).select(
+        "increment_id", "line_number", "status", "created_at",
+        F.col("price").cast("double").alias("price"), "qty_ordered",
+        F.col("grand_total").cast("double").alias("grand_total"),
+        "Category", "payment_method", "Customer_ID")
+    return paging.page_rows(f, "increment_id", page, per_page, tiebreak=ITEM_COLUMNS[1:])

@@ -145,6 +145,15 @@ def _extended() -> dict[str, str]:
         "order_page_deep": _page_sql(listing.DEEP_PAGE, per),
         "order_page_after": f"""WITH {ORDER_ROWS}
 SELECT * FROM order_rows WHERE item_id > {listing.AFTER_KEY} ORDER BY item_id LIMIT {per}""",
+        "item_page": with_sales(f"""
+SELECT increment_id, line_number, status, created_at, CAST(price AS DOUBLE) AS price, qty_ordered,
+       CAST(grand_total AS DOUBLE) AS grand_total, Category, payment_method, Customer_ID
+FROM sales
+ORDER BY increment_id NULLS FIRST, line_number NULLS FIRST, status NULLS FIRST,
+         created_at NULLS FIRST, price NULLS FIRST, qty_ordered NULLS FIRST,
+         grand_total NULLS FIRST, Category NULLS FIRST, payment_method NULLS FIRST,
+         Customer_ID NULLS FIRST
+LIMIT {per} OFFSET {(listing.ITEM_PAGE - 1) * per}"""),
         "page_metadata": f"""
 SELECT CAST({page} AS BIGINT) AS page, CAST({per} AS BIGINT) AS per_page,
        COUNT(*) AS total,

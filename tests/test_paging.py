@@ -58,3 +58,15 @@ def test_deep_page_plan_has_no_single_partition_window(table):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
     assert out.where(F.col("k").isNull()).count() == 0
+
+
+def test_non_unique_key_with_tiebreak_matches_slice(spark):
+    # 1,500 rows over 40 key values; one value holds a third of the rows
+    rows = [(0 if i % 3 == 0 else 1 + i % 39, i * 7919 % 1000, f"s{i % 13}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "k long, a long, s string").repartition(4)
+    ordered = sorted(rows, key=lambda r: (r[0], r[1], r[2]))
+    for page in (1, 7, 21, 40, 60, 61):
+        want = ordered[(page - 1) * 25: page * 25]
+        got = [tuple(r) for r in paging.page_rows(df, "k", page, 25, shallow_limit=50, fanout=4,
+                                                  tiebreak=["a", "s"]).collect()]
+        assert got == want, page
