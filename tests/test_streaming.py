@@ -197,3 +197,37 @@ def test_update_mode_publishes_changes_and_upsert_keeps_totals(spark, scratch):
                              available_now=True)
     up.awaitTermination()
     assert as_dict(table.read()) == {"A": 3, "B": 1}
+
+
+def test_crash_after_the_write_replays_without_duplicates(spark, scratch):
+    import pytest
+
+    from orderpulse.schemas import CATEGORY_COUNT
+    from orderpulse.sinks.tables import read_appended
+    from orderpulse.streaming.loaders import split_object_messages
+
+    base = scratch("crash")
+    for b in range(3):
+        write_lines(spark, f"{base}/in", [json.dumps({"Category": f"C{b}", "count": b + 1}),
+                                          json.dumps({"Category": "X", "count": 10 * b})])
+    crash = {"armed": True}
+
+    def sink(batch, batch_id):
+        good, _ = split_object_messages(batch)
+        append_batch(good, f"{base}/t", batch_id)
+        if batch_id == 1 and crash["armed"]:      # the write landed; the batch never commits
+            crash["armed"] = False
+            raise RuntimeError("simulated failure after the write")
+
+    def run():
+        stream = read_message_file_stream(spark, f"{base}/in", max_files_per_trigger=1)
+        return (stream.writeStream.option("checkpointLocation", f"{base}/ck")
+                .foreachBatch(sink).trigger(availableNow=True).start())
+
+    with pytest.raises(Exception):
+        run().awaitTermination()
+    run().awaitTermination()                       # restart: batch 1 is replayed, then batch 2
+    rows = sorted((r.Category, r["count"], r.batch_id)
+                  for r in read_appended(spark, f"{base}/t", CATEGORY_COUNT).collect())
+    assert len(rows) == 6 and len({(c, n) for c, n, _ in rows}) == 6
+    assert {b for _, _, b in rows} == {0, 1, 2}
