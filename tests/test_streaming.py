@@ -231,3 +231,32 @@ def test_crash_after_the_write_replays_without_duplicates(spark, scratch):
                   for r in read_appended(spark, f"{base}/t", CATEGORY_COUNT).collect())
     assert len(rows) == 6 and len({(c, n) for c, n, _ in rows}) == 6
     assert {b for _, _, b in rows} == {0, 1, 2}
+
+
+def test_crash_before_pointer_moves_keeps_the_old_snapshot(spark, scratch):
+    import pytest
+
+    base = scratch("crash-snap")
+    write_lines(spark, f"{base}/in", [item(1, "A"), item(2, "B")])
+    write_lines(spark, f"{base}/in", [item(3, "A")])
+    table = VersionedTable(spark, f"{base}/t")
+    real_commit = VersionedTable.commit
+    crash = {"armed": True}
+
+    def flaky_commit(self, version):
+        if version == 1 and crash["armed"]:       # parts of version 1 are written, pointer not moved
+            crash["armed"] = False
+            assert as_dict(VersionedTable(spark, f"{base}/t").read()) == {"A": 1, "B": 1}
+            raise RuntimeError("simulated failure before the pointer moves")
+        real_commit(self, version)
+
+    VersionedTable.commit = flaky_commit
+    try:
+        with pytest.raises(Exception):
+            run_counts(spark, f"{base}/in", f"{base}/ck", table)
+        fresh = VersionedTable(spark, f"{base}/t")
+        assert as_dict(fresh.read()) == {"A": 1, "B": 1}   # readers still see batch 0 whole
+        run_counts(spark, f"{base}/in", f"{base}/ck", fresh)
+    finally:
+        VersionedTable.commit = real_commit
+    assert as_dict(VersionedTable(spark, f"{base}/t").read()) == {"A": 2, "B": 1}
