@@ -27,12 +27,20 @@ def test_every_query_has_an_oracle_or_is_listed():
     assert set(ORACLE) <= set(NAMES)
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "date": "DATE", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", [n for n in NAMES if n in ORACLE])
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_ORACLE)
     rows = [tuple(r) for r in df.collect()]
     rel = duck.sql(ORACLE[name])
     assert canon(df.columns, rows) == canon(rel.columns, rel.fetchall())
+    # same column types, not just equal values
+    spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString().upper())
+                   for f in df.schema.fields}
+    assert spark_types == dict(zip(rel.columns, [str(t) for t in rel.types]))
 
 
 def test_entry_smoke(spark):
