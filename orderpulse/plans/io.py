@@ -126,14 +126,12 @@ def csv_page_top_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_raw_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-04, FLT-04, PRJ-09…11: the table page read as untyped string rows;
     rows without an item id are skipped, the category defaults to ``N/A``
-    and each row gets its status style."""
-    from orderpulse.functions.labels import severity
-    from orderpulse.functions.text import category_or_default, is_present
+    and each row gets its status style. The columns whose text is Spark's
+    own formatting (timestamps, decimals) are left out of the result."""
+    from orderpulse.operators.listing import table_page_rows
     from orderpulse.sources.files import read_raw_csv
 
     path = scratch_path(spark, "order-items-raw")
     export_order_items(spark, sf_dir, path)
-    raw = read_raw_csv(spark, path)
-    return raw.where(is_present("item_id")).select(
-        "item_id", "status", severity("status").alias("severity"),
-        category_or_default("Category").alias("Category"), "payment_method", "Customer_ID")
+    rows = table_page_rows(read_raw_csv(spark, path))
+    return rows.select("item_id", "status", "severity", "Category", "payment_method", "Customer_ID")

@@ -94,3 +94,17 @@ def test_exact_money_sum(spark):
     f = fact(spark, [("complete", Decimal("0.1"), "A", D1, "x", 1),
                      ("complete", Decimal("0.2"), "A", D1, "x", 1)])
     assert kpis.total_sales(f).first().total_sales == 0.3
+
+
+def test_table_page_rows(spark):
+    from orderpulse.operators.listing import table_page_rows
+    from orderpulse.schemas import LISTING_COLUMNS
+
+    raw = spark.createDataFrame(
+        [("1", "complete", "t", "1.0", "1", "2.0", "", "card", "7"),
+         ("", "canceled", "t", "1.0", "1", "2.0", "A", "card", "7"),
+         (None, "canceled", "t", "1.0", "1", "2.0", "A", "card", "7"),
+         ("3", "processing", "t", "1.0", "1", "2.0", None, "cash", "8")],
+        ", ".join(f"{c} string" for c in LISTING_COLUMNS))
+    got = [(r.item_id, r.Category, r.severity) for r in table_page_rows(raw).collect()]
+    assert got == [("1", "N/A", "success"), ("3", "N/A", None)]
