@@ -36,3 +36,21 @@ def test_kpis_job_prints(spark, scratch, capsys):
     jobs.main(["kpis", "--items", path, "--rows", "3"], spark)
     out = capsys.readouterr().out
     assert "total_orders" in out and "Category" in out and "Working_Date" in out
+
+
+def test_publish_strict_fails_on_bad_id(spark, scratch):
+    import os
+
+    import pytest
+
+    from orderpulse.session import local_path
+
+    base = scratch("strict")
+    os.makedirs(local_path(f"{base}/csv"))
+    with open(local_path(f"{base}/csv") + "/part-0.csv", "w", encoding="utf-8") as fh:
+        fh.write("item_id,Category\n1,A\nx1,B\n")
+    with pytest.raises(Exception, match="invalid item_id: x1"):
+        jobs.main(["publish", "--csv", f"{base}/csv", "--out", f"{base}/strict-out", "--strict"], spark)
+    jobs.main(["publish", "--csv", f"{base}/csv", "--out", f"{base}/lenient-out"], spark)
+    sent = sorted(r.value for r in spark.read.text(f"{base}/lenient-out").collect())
+    assert sent == ['{"Category":"B"}', '{"item_id":1,"Category":"A"}']
