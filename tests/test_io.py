@@ -112,3 +112,14 @@ def test_update_mode_is_validated(spark, scratch):
     stream = read_message_file_stream(spark, src)
     with pytest.raises(ValueError):
         start_category_count(stream, scratch("ck"), [], output_mode="append")
+
+
+def test_topic_source_needs_the_connector(spark):
+    """No broker connector is installed here: the topic source must fail
+    loudly (never fall back silently); with the connector it would load."""
+    import pytest
+
+    from orderpulse.sources.topic import read_topic_stream
+
+    with pytest.raises(Exception, match="(?i)kafka"):
+        read_topic_stream(spark, "category", "localhost:9092")
