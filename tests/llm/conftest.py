@@ -1,0 +1,10 @@
+import pytest
+
+
+@pytest.fixture()
+def documents(spark):
+    """A documents-like frame from (doc_id, text[, lang, source]) rows."""
+    def make(rows):
+        full = [(*r, *([None] * (4 - len(r)))) for r in rows]
+        return spark.createDataFrame(full, "doc_id long, text string, lang string, source string")
+    return make
