@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from orderpulse.llm import license_scan
+
 LINE_DEDUP = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -23,5 +25,55 @@ FROM marked GROUP BY doc_id
 """
 
 
+TOP_K = """
+WITH good AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM good q JOIN good c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def license_sql(threshold: float = license_scan.THRESHOLD) -> str:
+    known = ",\n".join(
+        "({}, '{}', [{}])".format(i, name, ", ".join(f"'{g}'" for g in license_scan.template_bigrams(text)))
+        for i, (name, text) in enumerate(license_scan.TEMPLATES))
+    return rf"""
+WITH templates(tid, license, grams) AS (VALUES {known}),
+docs AS (SELECT doc_id, coalesce(text, '') AS text, regexp_split_to_array(coalesce(text, ''), '\n[ \t\r]*\n') AS ps
+         FROM documents),
+units AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS u FROM docs
+  UNION ALL
+  SELECT doc_id, p FROM (SELECT doc_id, unnest(ps) AS p FROM docs) WHERE contains(p, chr(10))
+  UNION ALL
+  SELECT doc_id, text FROM docs WHERE len(ps) > 1),
+words AS (
+  SELECT doc_id, string_split(trim(regexp_replace(lower(u), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM units),
+grams AS (
+  SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+  FROM words WHERE len(w) > 1),
+hits AS (
+  SELECT doc_id, license, 2 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice
+  FROM grams JOIN templates ON 2 * least(len(g), len(grams)) >= {threshold} * (len(g) + len(grams)) - 0.001),
+best AS (
+  SELECT doc_id, count(*) AS n_hits, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
+         max(dice) AS best_dice, arg_min(license, struct_pack(d := -dice, l := license)) AS best_license
+  FROM hits WHERE dice >= {threshold} GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_hits, 0) AS n_hits, coalesce(licenses, '') AS licenses, best_license,
+       coalesce(best_dice, 0.0) AS best_dice
+FROM documents d LEFT JOIN best USING (doc_id)
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op10_line_dedup": LINE_DEDUP}
+    return {
+        "op5_top_k": TOP_K,
+        "op6_license_scan": license_sql(),
+        "op10_line_dedup": LINE_DEDUP,
+    }

@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderpulse.llm import language_id, line_dedup, packing
+from orderpulse.llm import html_text, language_id, license_scan, line_dedup, packing, topk
 from orderpulse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return license_scan.summarize(scanned, ["doc_id"])
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -35,6 +49,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     return {
+        "op3_html_text": op3_html_text,
+        "op5_top_k": op5_top_k,
+        "op6_license_scan": op6_license_scan,
         "op7_packing": op7_packing,
         "op9_language_id": op9_language_id,
         "op10_line_dedup": op10_line_dedup,
