@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orderpulse.llm import license_scan
+from orderpulse.llm import imatch, license_scan
 
 LINE_DEDUP = r"""
 WITH lines AS (
@@ -71,8 +71,53 @@ FROM documents d LEFT JOIN best USING (doc_id)
 """
 
 
+def fingerprint_sql(low: float = imatch.LOW, high: float = imatch.HIGH, draws: int = imatch.DRAWS) -> str:
+    return rf"""
+WITH ring AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS nx
+  FROM documents WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+texts AS (
+  SELECT doc_id, 0 AS kind, t FROM ring
+  UNION ALL
+  SELECT doc_id, 1, left(t, length(t) - length(t) // 2) || left(nx, length(t) // 2) FROM ring),
+words AS (
+  SELECT doc_id, kind, t, unnest(list_distinct(string_split(regexp_replace(lower(t), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ')))
+         AS term FROM texts),
+lexicon AS (
+  SELECT term FROM words WHERE kind = 0 AND term <> '' GROUP BY term
+  HAVING count(*) >= {low} * (SELECT count(*) FROM documents)
+     AND count(*) <= greatest(1.0, {high} * (SELECT count(*) FROM documents))),
+coded AS (
+  SELECT term, r, CASE WHEN v = 0 THEN 15 ELSE least(15, 16 - length(bin(v))) END AS step
+  FROM (SELECT term, r, CAST('0x' || substr(sha256(term), 4 * r + 1, 4) AS BIGINT) AS v
+        FROM lexicon, (SELECT unnest(range(0, {draws})) AS r))),
+found AS (SELECT doc_id, kind, r, term, step, max(step) OVER (PARTITION BY doc_id, kind, r) AS top
+          FROM words JOIN coded USING (term)),
+hashed AS (
+  SELECT doc_id, kind, r, lower(to_hex(top)) || substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) AS h
+  FROM found WHERE step = top GROUP BY doc_id, kind, r, top),
+prints AS (
+  SELECT x.doc_id, x.kind, x.t, string_agg(coalesce(h, '-' || substr(sha256(x.t), 1, 8)), ',' ORDER BY x.r) AS fp,
+         list(coalesce(h, '-' || substr(sha256(x.t), 1, 8)) ORDER BY x.r) AS hs
+  FROM (SELECT doc_id, kind, t, unnest(range(0, {draws})) AS r FROM texts) x
+  LEFT JOIN hashed ON x.doc_id = hashed.doc_id AND x.kind = hashed.kind AND x.r = hashed.r
+  GROUP BY x.doc_id, x.kind, x.t),
+beside AS (
+  SELECT a.doc_id, length(a.t) AS n_chars, sha256(b.t) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint,
+         a.hs AS ha, b.hs AS hb, coalesce(lead(a.hs) OVER w, first_value(a.hs) OVER w) AS hn
+  FROM prints a JOIN prints b ON a.doc_id = b.doc_id AND a.kind = 0 AND b.kind = 1
+  WINDOW w AS (ORDER BY a.doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+       len(list_filter(range(1, {draws} + 1), lambda i: ha[i] = hb[i])) / {draws}.0 AS near_edited,
+       len(list_filter(range(1, {draws} + 1), lambda i: ha[i] = hn[i])) / {draws}.0 AS near_next
+FROM beside
+"""
+
+
 def all_sql() -> dict[str, str]:
     return {
+        "op4_fingerprints": fingerprint_sql(),
         "op5_top_k": TOP_K,
         "op6_license_scan": license_sql(),
         "op10_line_dedup": LINE_DEDUP,

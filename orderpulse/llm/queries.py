@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderpulse.llm import html_text, language_id, license_scan, line_dedup, packing, topk
+from orderpulse.llm import html_text, imatch, language_id, license_scan, line_dedup, packing, topk
 from orderpulse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare_edited(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
@@ -50,6 +54,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     return {
         "op3_html_text": op3_html_text,
+        "op4_fingerprints": op4_fingerprints,
         "op5_top_k": op5_top_k,
         "op6_license_scan": op6_license_scan,
         "op7_packing": op7_packing,
