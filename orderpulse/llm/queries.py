@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderpulse.llm import html_text, imatch, language_id, license_scan, line_dedup, packing, topk
+from orderpulse.llm import html_text, imatch, language_id, license_scan, line_dedup, mixing, near_dup, packing, topk
 from orderpulse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -37,6 +41,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), path("byte_bpe_50k.json"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source")).drop("source_rank")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
@@ -53,11 +61,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     return {
+        "op2_near_dup": op2_near_dup,
         "op3_html_text": op3_html_text,
         "op4_fingerprints": op4_fingerprints,
         "op5_top_k": op5_top_k,
         "op6_license_scan": op6_license_scan,
         "op7_packing": op7_packing,
+        "op8_mixing": op8_mixing,
         "op9_language_id": op9_language_id,
         "op10_line_dedup": op10_line_dedup,
     }
