@@ -8,20 +8,38 @@ stage's ``docs``. ``run`` applies them to ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orderpulse.llm import line_dedup, packing
-from orderpulse.llm.common import materialize, table
+from orderpulse.llm import line_dedup, mixing, near_dup, packing, quality
+from orderpulse.llm.common import materialize, shuffle_partitions, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+
 
-    out = line_dedup.dedup_lines(docs)
+def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose the lines that another document holds; ``n_chars`` follows.
+    A document that loses all its lines goes (one that was empty before stays)."""
+    out = line_dedup.dedup_lines(docs).where((F.col("n_dropped") < F.col("n_lines")) | (F.col("n_dropped") == 0))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class stays."""
+    return near_dup.keep_one(docs).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, written in the order of the mixture."""
+    mixed = mixing.mix(docs)
+    return (mixed.repartitionByRange(shuffle_partitions(spark), "mix_slot", "mix_offset")
+            .sortWithinPartitions("mix_slot", "mix_offset").select(*COLUMNS))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -29,11 +47,14 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("quality", filter_quality),
     ("line_dedup", drop_shared_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
 
-#: tokenisation, the language model and the near-dedup classes are beyond SQL; tests compare with brute force
+#: tokenisation, the language model and the near-duplicate classes are beyond SQL; tests compare with brute force
 ORACLE_SQL = None
 
 

@@ -28,6 +28,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(small: DataFrame) -> DataFrame:
+    """Gives the small side of a skewed join an exchange of its own, so that
+    both sides of the join are shuffle stages, which adaptive execution can
+    split when one key holds many rows."""
+    return small.repartition(shuffle_partitions(small.sparkSession))
+
+
 def salt(*columns: Column | str) -> Column:
     """A 64-bit row hash for dealing rows out evenly."""
     return F.xxhash64(*columns)

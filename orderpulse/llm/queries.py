@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderpulse.llm import html_text, imatch, language_id, license_scan, line_dedup, mixing, near_dup, packing, topk
+from orderpulse.llm import html_text, imatch, language_id, license_scan, line_dedup, mixing, near_dup, packing, quality, topk
 from orderpulse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -61,6 +65,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     return {
+        "op1_quality": op1_quality,
         "op2_near_dup": op2_near_dup,
         "op3_html_text": op3_html_text,
         "op4_fingerprints": op4_fingerprints,
