@@ -28,6 +28,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def isolate(docs: DataFrame, **roles: str) -> DataFrame:
+    """The columns that an operator reads under its own names, and all other
+    columns in the struct ``rest``, so that no name of theirs can clash."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in roles.values()]
+    rest = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
+    return docs.select(*[F.col(f"`{c}`").alias(r) for r, c in roles.items()], rest.alias("rest"))
+
+
+def restore(done: DataFrame, docs: DataFrame, roles: dict[str, str], drop: tuple[str, ...] = (),
+            **added: Column) -> DataFrame:
+    """The columns of ``docs`` again (without ``drop``), then ``added``, which
+    replace columns of the same name."""
+    role_of = {c: r for r, c in roles.items()}
+    back = [F.col(role_of[c]).alias(c) if c in role_of else F.col("rest").getField(c).alias(c)
+            for c in docs.columns if c not in added and c not in drop]
+    return done.select(*back, *[v.alias(n) for n, v in added.items()])
+
+
 def spread(small: DataFrame) -> DataFrame:
     """Gives the small side of a skewed join an exchange of its own, so that
     both sides of the join are shuffle stages, which adaptive execution can

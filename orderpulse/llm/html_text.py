@@ -20,7 +20,6 @@ not matter.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -28,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderpulse.llm.common import isolate, restore
+
 FEED = 1 << 16
 #: share of the cluster's characters that a region must hold
 COVER = 0.8
@@ -217,17 +218,13 @@ def main_text(html: str | None) -> str:
     return "\n".join(select(read_lines(html))) if html else ""
 
 
-def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The ``keep`` columns, ``text`` and ``n_chars`` of every page."""
-    from pyspark.sql import types as T
-
-    inner = pages.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(html_col).alias("html"))
+def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """``pages`` without its html, with ``text`` and ``n_chars``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [main_text(h) for h in batch["html"]]
-            yield batch.drop(columns="html").assign(text=texts, n_chars=[len(t) for t in texts])
+    @F.pandas_udf("string")
+    def read(html: pd.Series) -> pd.Series:
+        return pd.Series([main_text(h) for h in html], dtype=object)
 
-    schema = T.StructType([*[f for f in inner.schema.fields if f.name != "html"],
-                           T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return inner.mapInPandas(run, schema).toDF(*keep, "text", "n_chars")
+    roles = {"html": html_col}
+    done = isolate(pages, **roles).withColumn("main", read("html"))
+    return restore(done, pages, roles, drop=(html_col,), text=F.col("main"), n_chars=F.char_length("main").cast("long"))

@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderpulse.llm.common import isolate, restore
+
 BUCKETS = 1 << 16
 MAX_CELLS = 1 << 25
 ALPHA = 0.5
@@ -160,16 +162,13 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
             score_out: str = "score") -> DataFrame:
     """``docs`` without its text, with the predicted language and its posterior probability."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in (text_col, lang_out, score_out)]
-    schema = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            langs, scores = shared.value.score(list(batch["text"]))
-            yield batch.drop(columns="text").assign(lang=langs, score=scores)
 
-    from pyspark.sql import types as T
+    @F.pandas_udf("lang string, score double")
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        langs, scores = shared.value.score(list(texts))
+        return pd.DataFrame({"lang": langs, "score": scores})
 
-    out = T.StructType([*[f for f in schema.schema.fields if f.name != "text"],
-                        T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
-    return schema.mapInPandas(run, out).toDF(*keep, lang_out, score_out)
+    roles = {"text": text_col}
+    done = isolate(docs, **roles).withColumn("found", judge("text"))
+    return restore(done, docs, roles, drop=(text_col,),
+                   **{lang_out: F.col("found.lang"), score_out: F.col("found.score")})

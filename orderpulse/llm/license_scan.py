@@ -20,6 +20,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderpulse.llm.common import isolate, restore
+
 THRESHOLD = 0.8
 
 # Common licence statements and notices, (licence, text).
@@ -102,7 +104,8 @@ def scan(docs: DataFrame, text_col: str = "text", out: str = "license_hits", thr
         return F.transform(units, lambda u, i: F.struct(F.lit(kind).alias("unit"), i.alias("number"),
                                                         _words(u).alias("words")))
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = isolate(docs, text=text_col)
+    text = F.coalesce(F.col("text"), F.lit(""))
     paragraphs = F.split(text, r"\n[ \t\r]*\n")
     units = F.concat(
         numbered(F.split(text, "\n"), "line"),
@@ -117,15 +120,15 @@ def scan(docs: DataFrame, text_col: str = "text", out: str = "license_hits", thr
 
     def against(u: Column) -> Column:
         n = F.size(u["grams"])
-        near = F.filter(F.col("_templates"), lambda t: n.between(t["lo"], t["hi"]))
+        near = F.filter(F.col("templates"), lambda t: n.between(t["lo"], t["hi"]))
         return F.transform(near, lambda t: F.struct(
             t["license"].alias("license"),
             (2 * F.size(F.array_intersect(u["grams"], t["grams"])) / (n + F.size(t["grams"]))).alias("dice"),
             u["unit"].alias("unit"), u["number"].alias("number")))
 
-    hits = F.filter(F.flatten(F.transform(F.col("_grams"), against)), lambda h: h["dice"] >= threshold)
-    return docs.withColumn("_templates", known).withColumn("_grams", grams).withColumn(out, hits).drop(
-        "_templates", "_grams")
+    hits = F.filter(F.flatten(F.transform(F.col("grams"), against)), lambda h: h["dice"] >= threshold)
+    done = rows.withColumn("templates", known).withColumn("grams", grams)
+    return restore(done, docs, {"text": text_col}, **{out: hits})
 
 
 def summarize(scanned: DataFrame, keep: list[str], hits_col: str = "license_hits") -> DataFrame:

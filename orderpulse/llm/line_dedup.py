@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderpulse.llm.common import isolate, restore, spread
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -42,37 +44,33 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``n_dropped``. Keys of at least ``min_chars`` code points found in at
     least ``min_docs`` documents lose all lines except in the document with
     the largest id that holds them."""
-    text = F.col(text_col)
+    roles = {"id": id_col, "text": text_col}
+    rows = isolate(docs, **roles)
+    text = F.col("text")
     own = F.xxhash64(text)  # tells apart rows that share an id
     long_lines = (
-        docs.where(F.col(id_col).isNotNull() & (F.char_length(text) >= min_chars))
-        .select(F.col(id_col).alias("_id"), own.alias("_own"), F.posexplode(_lines(text)).alias("_pos", "_line"))
-        .where(F.char_length("_line") >= min_chars)
-        .select("_id", "_own", "_pos", line_key(F.col("_line")).alias("_key"))
-        .where(F.char_length("_key") >= min_chars)
-        .select("_id", "_own", "_pos", F.unhex(F.md5("_key")).alias("_h"))
+        rows.where(F.col("id").isNotNull() & (F.char_length(text) >= min_chars))
+        .select("id", own.alias("own"), F.posexplode(_lines(text)).alias("pos", "line"))
+        .where(F.char_length("line") >= min_chars)
+        .select("id", "own", "pos", line_key(F.col("line")).alias("key"))
+        .where(F.char_length("key") >= min_chars)
+        .select("id", "own", "pos", F.unhex(F.md5("key")).alias("h"))
     )
     shared = (
-        long_lines.groupBy("_h").agg(F.countDistinct("_id").alias("_n"), F.max("_id").alias("_holder"))
-        .where(F.col("_n") >= min_docs)
-        .select(F.col("_h").alias("_sh"), "_holder")
-        # an exchange of its own on the small side lets the join split a hot line
-        .repartition("_holder")
+        long_lines.groupBy("h").agg(F.countDistinct("id").alias("n"), F.max("id").alias("holder"))
+        .where(F.col("n") >= min_docs)
+        .select(F.col("h").alias("sh"), "holder")
     )
     drops = (
-        long_lines.join(shared, (F.col("_h") == F.col("_sh")) & (F.col("_id") != F.col("_holder")))
-        .groupBy(F.col("_id").alias("_did"), F.col("_own").alias("_down"))
-        .agg(F.collect_list("_pos").alias("_gone"))
-    )
-    last = F.size("_all") - 1
-    keep = F.array_except(F.sequence(F.lit(0), last), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), text).otherwise(
-        F.array_join(F.transform(keep, lambda i: F.get(F.col("_all"), i)), "\n"))
-    return (
-        docs.join(drops, (F.col(id_col) == F.col("_did")) & (own == F.col("_down")), "left")
-        .withColumn("_all", _lines(text))
-        .withColumn(text_col, kept)
-        .withColumn("n_lines", F.size("_all").cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size(F.array_distinct("_gone")), F.lit(0)).cast("long"))
-        .drop("_did", "_down", "_gone", "_all")
+        long_lines.join(spread(shared), (F.col("h") == F.col("sh")) & (F.col("id") != F.col("holder")))
+        .groupBy(F.col("id").alias("did"), F.col("own").alias("down"))
+        .agg(F.collect_list("pos").alias("gone"))
     )
+    keep = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), text).otherwise(
+        F.array_join(F.transform(keep, lambda i: F.get(F.col("lines"), i)), "\n"))
+    done = rows.join(drops, (F.col("id") == F.col("did")) & (own == F.col("down")), "left").withColumn(
+        "lines", _lines(text)).withColumn("kept", kept)
+    return restore(
+        done, docs, {"id": id_col, "kept": text_col}, n_lines=F.size("lines").cast("long"),
+        n_dropped=F.coalesce(F.size(F.array_distinct("gone")), F.lit(0)).cast("long"))

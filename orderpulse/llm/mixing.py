@@ -28,15 +28,13 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from orderpulse.llm.common import rank_within, shuffle_partitions
+from orderpulse.llm.common import isolate, rank_within, restore, shuffle_partitions
 
 BLOCK_DOCS = 32
 PERIOD = 4096
@@ -124,41 +122,39 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     ``target_share`` (its source's share in that phase). Order by mix_slot,
     mix_offset for the mixture. ``weights`` default to the square root of the
     sources' sizes."""
-    sizes = {r["s"]: r["n"] for r in docs.groupBy(F.col(source_col).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    roles = {"id": id_col, "source": source_col}
+    rows = isolate(docs, **roles)
+    sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     blocks = {s: -(-n // block_docs) for s, n in sizes.items()}
     if weights is None:
         target = {s: n ** ALPHA for s, n in sizes.items()}
     else:
         least = min((w for w in weights.values() if w > 0), default=1.0)
         target = {s: weights.get(s, least) if weights.get(s, least) > 0 else least for s in sizes}
-    phases = plan(blocks, target, period)
-    buckets = 4 * shuffle_partitions(docs.sparkSession)
-    order = docs.withColumn("_mh", F.xxhash64(F.col(id_col), F.lit(8)))
-    ranked = rank_within(order, source_col, ["_mh", id_col], buckets, "source_rank").drop("_mh")
-    own = ranked.withColumns({"_src": F.col(source_col), "_blk": F.floor(F.col("source_rank") / block_docs)})
-
-    # one row for each source and phase and each of its slots in a period; size: sources x period
-    spans: dict = {}
-    for phase in phases:
+    # for each source its runs: first block, first slot, period, share, and its slots in a period
+    runs_of: dict = {}
+    for phase in plan(blocks, target, period):
         for s, m in phase.slots.items():
-            spans.setdefault(s, []).append((phase.starts[s], phase.first_slot, phase.period, m / phase.period, phase.at[s]))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            slot = np.zeros(len(batch), dtype=np.int64)
-            share = np.zeros(len(batch))
-            block = batch["_blk"].to_numpy()
-            for s, rows in batch.groupby("_src", dropna=False, sort=False).indices.items():
-                runs = spans[None if pd.isna(s) else s]
-                run = np.searchsorted(np.array([r[0] for r in runs]), block[rows], side="right") - 1
-                for k in np.unique(run):
-                    start, first, length, part, at = runs[k]
-                    mine = rows[run == k]
-                    i = block[mine] - start
-                    slot[mine] = first + (i // len(at)) * length + at[i % len(at)]
-                    share[mine] = part
-            yield batch.drop(columns=["_src", "_blk"]).assign(mix_slot=slot, target_share=share)
-
-    fields = [f for f in own.schema.fields if f.name not in ("_src", "_blk")]
-    schema = T.StructType([*fields, T.StructField("mix_slot", T.LongType()), T.StructField("target_share", T.DoubleType())])
-    return own.mapInPandas(place, schema).withColumn("mix_offset", F.col("source_rank") % block_docs)
+            runs_of.setdefault(s, []).append((phase.starts[s], phase.first_slot, phase.period, m / phase.period, phase.at[s]))
+
+    @F.pandas_udf("slot long, share double")
+    def place(source: pd.Series, block: pd.Series) -> pd.DataFrame:
+        slot, share = np.zeros(len(block), dtype=np.int64), np.zeros(len(block))
+        number = block.to_numpy()
+        for s, own in source.groupby(source, dropna=False, sort=False).indices.items():
+            runs = runs_of[None if pd.isna(s) else s]
+            run = np.searchsorted(np.array([r[0] for r in runs]), number[own], side="right") - 1
+            for k in np.unique(run):
+                start, first, length, part, at = runs[k]
+                mine = own[run == k]
+                i = number[mine] - start
+                slot[mine] = first + (i // len(at)) * length + at[i % len(at)]
+                share[mine] = part
+        return pd.DataFrame({"slot": slot, "share": share})
+
+    buckets = 4 * shuffle_partitions(docs.sparkSession)
+    dealt = rows.withColumn("deal", F.xxhash64("id", F.lit(8)))
+    ranked = rank_within(dealt, "source", ["deal", "id"], buckets, "rank")
+    done = ranked.withColumn("spot", place("source", F.floor(F.col("rank") / block_docs)))
+    return restore(done, docs, roles, source_rank=F.col("rank"), mix_slot=F.col("spot.slot"),
+                   mix_offset=F.col("rank") % block_docs, target_share=F.col("spot.share"))

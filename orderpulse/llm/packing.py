@@ -125,12 +125,11 @@ def tokenize(batches: Iterator[pd.DataFrame], path: str, max_len: int) -> Iterat
             for start in range(0, len(tokens), max_len):
                 piece = tokens[start:start + max_len]
                 rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(tokens)))
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-        return out.astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     for batch in batches:
         texts = ["" if t is None else t for t in batch["text"]]
-        ids = [None if pd.isna(x) else int(x) for x in batch["doc_id"]]
+        ids = list(batch["doc_id"])
         begin, size = 0, 0
         for i, t in enumerate(texts):
             size += len(t)
@@ -198,7 +197,7 @@ def slots(packs: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, dtype=np.int64) for k, v in runs.items()}
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -206,7 +205,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset. A document is its ids followed by id 0; documents
     longer than ``max_len`` are cut into full pieces and a rest."""
-    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
+    cut = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
         lambda batches: tokenize(batches, tokenizer_path, max_len), PIECES)
     pieces = materialize(cut, "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -227,4 +226,5 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 offset[own] = run[at, 2]
             yield batch.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
 
-    return ranked.mapInPandas(place, PIECES + ", sequence_id long, offset long")
+    packed = ranked.mapInPandas(place, PIECES + ", sequence_id long, offset long")
+    return packed.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))

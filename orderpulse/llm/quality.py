@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderpulse.llm.common import materialize, shuffle_partitions, spread
+from orderpulse.llm.common import isolate, materialize, restore, shuffle_partitions, spread
 
 BITS = 20
 VOCAB = 1 << BITS
@@ -375,5 +375,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **opti
     """``docs`` without the rejected documents. Of rows that repeat an id all
     stay if one is kept; rows with a null id stay."""
     judged = classify(docs, labels, id_col, **options).where(F.col(id_col).isNotNull())
-    gone = judged.groupBy(F.col(id_col).alias("_gone")).agg(F.max("keep").alias("_any")).where("not _any")
-    return docs.join(gone.select("_gone"), docs[id_col] == F.col("_gone"), "left_anti")
+    gone = judged.groupBy(F.col(id_col).alias("gone")).agg(F.max("keep").alias("kept")).where("not kept").select("gone")
+    roles = {"id": id_col}
+    return restore(isolate(docs, **roles).join(gone, F.col("id") == F.col("gone"), "left_anti"), docs, roles)

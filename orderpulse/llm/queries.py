@@ -22,7 +22,7 @@ def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(table(spark, sf_dir, "pages"))
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
