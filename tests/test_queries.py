@@ -11,9 +11,10 @@ import __spark_entry__ as E  # noqa: E402
 from oracle_check import canon, duck_connect  # noqa: E402
 
 from conftest import SF_ORACLE, SF_SMALL  # noqa: E402
+from orderpulse.plans import catalog, oracle  # noqa: E402
 
-NAMES = sorted(E.queries())
-ORACLE = E.oracle_sql()
+NAMES = sorted(catalog.all_queries())
+ORACLE = oracle.all_sql()
 DIRECT = [n for n in NAMES if n not in ORACLE]
 
 
