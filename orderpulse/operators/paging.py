@@ -1,21 +1,24 @@
 """Paged listings (LIM-01) and page metadata (LIM-02).
 
-Three exact ways to fetch page ``p`` of ``per_page`` rows ordered by a unique
-key, chosen by how deep the page is:
-
-* shallow pages (``p * per_page <= shallow_limit``): ``orderBy.offset.limit``,
-  planned as ``TakeOrderedAndProject`` — each task keeps only its best
-  ``p * per_page`` rows, so nothing but those reaches the final merge.
-* deep pages: the key range is narrowed round by round. Approximate
-  quantiles split the range, an exact count per sub-range (at most
-  ``fanout`` rows to the driver) says which sub-ranges hold the page, and
-  the offset is reduced by the rows before them. When the offset inside the
-  range is small the shallow method finishes. No task or driver ever holds
-  more than the page plus ``fanout`` counts, and a unique key cuts the range
-  by about ``fanout`` per round.
-* keyset pages (:func:`page_after`): ``key > last_key`` then the first
-  ``per_page`` — the filter reaches the Parquet reader, so row groups below
-  the key are skipped. This is the recommended way to walk a large table.
+Two exact ways to fetch page ``p`` of ``per_page`` rows, ordered by a key and
+tie-break columns, nulls first:
+
+* :func:`page_rows` finds any page. The rows before the page are skipped in
+  rounds: the range of the first order column that still holds the page is
+  cut at sampled values, an exact count per sub-range (at most ``fanout``
+  rows to the driver) says which of them hold the page, and the offset loses
+  the rows before them. Nulls are a range of their own, the first. A range of
+  one value is cut by the next order column. Once at most ``window`` rows lie
+  before the end of the page, ``orderBy.offset.limit`` finishes, planned as
+  ``TakeOrderedAndProject``. How many rounds run does not change the page,
+  and any orderable type can be the key.
+* :func:`page_after` is the keyset page: ``key > last_key``, then the first
+  ``per_page``. The filter reaches the Parquet reader. This is the
+  recommended way to walk a large table.
+
+Bounds keep the key's type, so they reach the Parquet reader as well, and the
+narrowing can read a cheaper frame than the listing (``keys``), for example
+the key column of the largest table instead of a join.
 
 Pages are 1-based; a page beyond the end is empty; ``page < 1`` or
 ``per_page < 1`` is rejected.
@@ -23,13 +26,13 @@ Pages are 1-based; a page beyond the end is empty; ``page < 1`` or
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_PER_PAGE = 25
-SHALLOW_LIMIT = 10_000
+DEFAULT_WINDOW = 10_000
 DEFAULT_FANOUT = 128
-MAX_ROUNDS = 12
+SAMPLE_PER_RANGE = 32
 
 
 def _check(page: int, per_page: int) -> None:
@@ -40,83 +43,95 @@ def _check(page: int, per_page: int) -> None:
 
 
 def page_rows(df: DataFrame, key: str, page: int = 1, per_page: int = DEFAULT_PER_PAGE,
-              shallow_limit: int = SHALLOW_LIMIT, fanout: int | None = None,
-              tiebreak: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """Rows of 1-based ``page`` ordered by the non-null numeric column
-    ``key``, then by the ``tiebreak`` columns.
+              window: int = DEFAULT_WINDOW, fanout: int = DEFAULT_FANOUT,
+              tiebreak: list[str] | tuple[str, ...] = (), keys: DataFrame | None = None) -> DataFrame:
+    """Rows of 1-based ``page`` ordered by ``key``, then by ``tiebreak``.
 
-    ``key`` need not be unique: deep pages narrow on whole key values and
-    count exactly, and the final step orders by ``key`` and ``tiebreak``.
     Give tie-break columns that make the order total (or cover every output
-    column, so that tied rows are identical) for a deterministic page. One
-    key value shared by more rows than ``shallow_limit`` cannot be split by
-    narrowing; its rows then go through the top-k step together.
+    column, so that tied rows are identical) for a deterministic page.
+    ``keys`` holds the same values of ``key`` as ``df``, row for row, and is
+    read instead of it while narrowing on the key.
     """
     _check(page, per_page)
-    offset = (page - 1) * per_page
-    order = [F.col(key).asc_nulls_first()] + [F.col(c).asc_nulls_first() for c in tiebreak]
-    if offset + per_page <= shallow_limit:
-        return df.orderBy(*order).offset(offset).limit(per_page)
-    return _ranked_page(df.where(F.col(key).isNotNull()), key, offset, per_page, fanout,
-                        max(shallow_limit, per_page), order)
-
-
-def _ranked_page(df: DataFrame, key: str, offset: int, per_page: int,
-                 fanout: int | None = None, shallow_limit: int = SHALLOW_LIMIT,
-                 order: list | None = None) -> DataFrame:
-    """Exact deep page by narrowing the key range.
-
-    Each round splits the current key range at approximate quantiles
-    (``fanout`` boundaries reach the driver), counts the rows per sub-range
-    exactly (``fanout`` small rows reach the driver), keeps only the
-    sub-ranges that hold the page, and subtracts the rows before them from
-    the offset. Quantiles are only used to choose boundaries; the counts are
-    exact, so the page is exact. A unique key splits the rows about evenly,
-    so every round divides the range by ~``fanout``; once the offset inside
-    the range is small, ``TakeOrderedAndProject`` finishes. Each round is a
-    filtered scan whose key-range predicate reaches the Parquet reader.
-    """
-    fanout = fanout or DEFAULT_FANOUT
-    k = F.col(key)
-    cur, skip = df, offset
-    lower = upper = None
-    for _ in range(MAX_ROUNDS):
-        if skip + per_page <= shallow_limit:
-            break
-        probs = [i / fanout for i in range(1, fanout)]
-        bounds = sorted(set(b for b in cur.approxQuantile(key, probs, 1.0 / (4 * fanout))
-                            if b is not None))
-        if not bounds:
-            break
-        # sub-range index = number of boundaries <= key (0 … len(bounds))
-        arr = F.array(*[F.lit(b) for b in bounds])
-        bucket = F.size(F.filter(arr, lambda b: b <= k))
-        counts = sorted((r["b"], r["n"]) for r in
-                        cur.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
-        before, first, last, start = 0, None, None, 0
-        for b, n in counts:
-            if first is None and before + n > skip:
-                first, start = b, before
-            if first is not None:
-                last = b
-                if before + n >= skip + per_page:
+    order = [key, *tiebreak]
+    by = [F.col(c).asc_nulls_first() for c in order]
+    pieces = _pieces(df, keys, order, (page - 1) * per_page, per_page, max(window, per_page), max(2, fanout))
+    found = [(df if cond is None else df.where(cond)).orderBy(*by).offset(skip).limit(take)
+             for cond, skip, take in pieces]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionAll(more)
+    return out if len(found) == 1 else out.orderBy(*by)
+
+
+def _both(a: Column | None, b: Column | None) -> Column | None:
+    return b if a is None else a if b is None else a & b
+
+
+def _index_of(key: Column, cuts: list[Column]) -> Column:
+    """Number of ``cuts`` (sorted) at or below ``key``, by bisection."""
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key >= cuts[mid], search(mid + 1, hi)).otherwise(search(lo, mid))
+    return search(0, len(cuts))
+
+
+def _ranges(k: Column, cuts: list[Column]) -> tuple[Column, list[tuple[Column, bool]]]:
+    """(number of a row's range, [(range, whether it is one value)]) in order.
+    A single cut value gets a range of its own."""
+    if len(cuts) == 1:
+        at = F.when(k.isNull(), 0).when(k < cuts[0], 1).when(k == cuts[0], 2).otherwise(3)
+        return at, [(k.isNull(), True), (k < cuts[0], False), (k == cuts[0], True), (k > cuts[0], False)]
+    at = F.when(k.isNull(), F.lit(0)).otherwise(_index_of(k, cuts) + 1)
+    inner = [((k >= a) & (k < b), False) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return at, [(k.isNull(), True), (k < cuts[0], False), *inner, (k >= cuts[-1], False)]
+
+
+def _pieces(df: DataFrame, keys: DataFrame | None, order: list[str], skip: int, take: int, window: int,
+            fanout: int) -> list[tuple[Column | None, int, int]]:
+    """(range, rows to skip in it, rows to take): one, or two when the page
+    begins at the end of a range that holds very many rows."""
+    cond: Column | None = None
+    later: list[tuple[Column | None, int, int]] = []
+    for column in order:
+        k, kind = F.col(column), df.schema[column].dataType
+        source = keys if keys is not None and column == order[0] else df
+        while skip + take > window:
+            rows = source if cond is None else source.where(cond)
+            cuts = _cuts(rows, column, fanout)
+            if not cuts:
+                break  # nulls only: the next column orders them
+            at, ranges = _ranges(k, [F.lit(c).cast(kind) for c in cuts])
+            counts = sorted((r["b"], r["n"]) for r in rows.groupBy(at.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+            passed, first, size = 0, None, 0
+            for b, n in counts:
+                if passed + n > skip:
+                    first, size = b, n
                     break
-            before += n
-        if first is None:  # page beyond the end
-            return cur.where(F.lit(False)).limit(0)
-        new_lower = bounds[first - 1] if first > 0 else lower
-        new_upper = bounds[last] if last < len(bounds) else upper
-        if (new_lower, new_upper) == (lower, upper):
-            break  # cannot narrow further
-        lower, upper = new_lower, new_upper
-        cond = F.lit(True)
-        if lower is not None:
-            cond = cond & (k >= F.lit(lower))
-        if upper is not None:
-            cond = cond & (k < F.lit(upper))
-        cur = df.where(cond)
-        skip -= start
-    return cur.orderBy(*(order or [k.asc_nulls_first()])).offset(skip).limit(per_page)
+                passed += n
+            if first is None:  # the page lies beyond the end
+                return [(F.lit(False), 0, take)]
+            skip -= passed
+            if size - skip < take and first < len(ranges) - 1:
+                after = ranges[first + 1][0]
+                for r, _ in ranges[first + 2:]:
+                    after = after | r
+                later.append((_both(cond, after), 0, take - (size - skip)))
+                take = size - skip
+            cond = _both(cond, ranges[first][0])
+            if ranges[first][1]:
+                break  # one value: the next column cuts it
+    return [(cond, skip, take), *reversed(later)]
+
+
+def _cuts(rows: DataFrame, column: str, fanout: int) -> list:
+    """At most ``fanout`` sorted, distinct, non-null values that cut the rows
+    into about equal ranges, from a small random sample."""
+    sampled = rows.where(F.col(column).isNotNull()).select(column, F.rand(17).alias("_r"))
+    values = sorted(r[0] for r in sampled.orderBy("_r").limit(fanout * SAMPLE_PER_RANGE).select(column).collect())
+    return sorted({values[i * len(values) // fanout] for i in range(fanout)}) if values else []
 
 
 def page_after(df: DataFrame, key: str, after_key=None, per_page: int = DEFAULT_PER_PAGE) -> DataFrame:

@@ -37,6 +37,7 @@ def _extended() -> dict[str, Query]:
     return {
         "order_page": listing.order_page,
         "order_page_deep": listing.order_page_deep,
+        "order_page_nulls": listing.order_page_nulls,
         "order_page_after": listing.order_page_after,
         "item_page": listing.item_page,
         "page_metadata": listing.page_metadata,

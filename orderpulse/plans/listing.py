@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orderpulse.functions.labels import severity
 from orderpulse.operators import paging
 from orderpulse.plans.fact import order_dimension
+from orderpulse.sources.tables import read_table
 
 # Fixed parameters of the registered page queries.
 PAGE = 3
@@ -32,10 +33,30 @@ def order_page(spark: SparkSession, sf_dir: str, page: int = PAGE, per_page: int
 
 def order_page_deep(spark: SparkSession, sf_dir: str, page: int = DEEP_PAGE,
                     per_page: int = PER_PAGE) -> DataFrame:
-    """LIM-01, deep page: forced through the range-narrowing path (with a
-    small final window so the narrowing rounds are exercised)."""
-    return paging.page_rows(order_rows(spark, sf_dir), "item_id", page, per_page,
-                            shallow_limit=per_page * 4, fanout=16)
+    """LIM-01, deep page: the key column is narrowed first (a small final
+    window makes the rounds run on small tables, too)."""
+    return paging.page_rows(order_rows(spark, sf_dir), "item_id", page, per_page, window=per_page * 4, fanout=16)
+
+
+def null_key_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order rows with every 20th key null and, for the order of those,
+    the key itself as ``item_no``."""
+    rows = order_rows(spark, sf_dir)
+    key = F.col("item_id")
+    return rows.select(F.when(key % 20 != 0, key).alias("item_id"), key.alias("item_no"), "status", "grand_total")
+
+
+def order_page_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LIM-01 with null keys, which come first: a page found in one step and
+    the same page, and a deep one, found by narrowing."""
+    rows = null_key_rows(spark, sf_dir)
+
+    def page(name: str, number: int, window: int) -> DataFrame:
+        found = paging.page_rows(rows, "item_id", number, PER_PAGE, window=window, fanout=8, tiebreak=["item_no"])
+        return found.select(F.lit(name).alias("path"), "*")
+
+    return (page("one step", PAGE, paging.DEFAULT_WINDOW).unionAll(page("narrowed", PAGE, PER_PAGE))
+            .unionAll(page("deep", DEEP_PAGE, PER_PAGE * 4)))
 
 
 def order_page_after(spark: SparkSession, sf_dir: str, after_key: int = AFTER_KEY,
@@ -57,12 +78,14 @@ def item_page(spark: SparkSession, sf_dir: str, page: int = ITEM_PAGE, per_page:
     """LIM-01 over item rows, as the table page lists them: ordered by the
     order key, ties broken by every other listed column (the line key is not
     unique in the supplied data, so identical rows may tie, and they are
-    interchangeable). Deep pages narrow on the order key."""
+    interchangeable). Narrowing reads ``l_orderkey`` alone; the joins run
+    once, over the rows of the final range."""
     from orderpulse.plans.fact import item_fact
 
+    keys = read_table(spark, sf_dir, "lineitem", ["l_orderkey"]).select(F.col("l_orderkey").alias("increment_id"))
     f = item_fact(spark, sf_dir).select(
         "increment_id", "line_number", "status", "created_at",
         F.col("price").cast("double").alias("price"), "qty_ordered",
         F.col("grand_total").cast("double").alias("grand_total"),
         "Category", "payment_method", "Customer_ID")
-    return paging.page_rows(f, "increment_id", page, per_page, tiebreak=ITEM_COLUMNS[1:])
+    return paging.page_rows(f, "increment_id", page, per_page, tiebreak=ITEM_COLUMNS[1:], keys=keys)

@@ -143,6 +143,13 @@ def _extended() -> dict[str, str]:
     return {
         "order_page": _page_sql(page, per),
         "order_page_deep": _page_sql(listing.DEEP_PAGE, per),
+        "order_page_nulls": f"""WITH {ORDER_ROWS},
+r AS (SELECT CASE WHEN item_id % 20 <> 0 THEN item_id END AS item_id, item_id AS item_no, status, grand_total
+      FROM order_rows),
+n AS (SELECT *, row_number() OVER (ORDER BY item_id NULLS FIRST, item_no) - 1 AS at FROM r)
+SELECT path, item_id, item_no, status, grand_total
+FROM n JOIN (VALUES ('one step', {page}), ('narrowed', {page}), ('deep', {listing.DEEP_PAGE})) p(path, number)
+  ON at // {per} = number - 1""",
         "order_page_after": f"""WITH {ORDER_ROWS}
 SELECT * FROM order_rows WHERE item_id > {listing.AFTER_KEY} ORDER BY item_id LIMIT {per}""",
         "item_page": with_sales(f"""

@@ -19,7 +19,7 @@ def test_shallow_and_deep_agree_with_slice(table, page, per_page):
     df, keys = table
     want = keys[(page - 1) * per_page: page * per_page]
     shallow = [r.k for r in paging.page_rows(df, "k", page, per_page).collect()]
-    deep = [r.k for r in paging.page_rows(df, "k", page, per_page, shallow_limit=per_page, fanout=8).collect()]
+    deep = [r.k for r in paging.page_rows(df, "k", page, per_page, window=per_page, fanout=8).collect()]
     assert shallow == want
     assert deep == want
 
@@ -54,7 +54,7 @@ def test_metadata(spark, table):
 
 def test_deep_page_plan_has_no_single_partition_window(table):
     df, _ = table
-    out = paging.page_rows(df, "k", 60, 25, shallow_limit=25, fanout=8)
+    out = paging.page_rows(df, "k", 60, 25, window=25, fanout=8)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
     assert out.where(F.col("k").isNull()).count() == 0
@@ -67,6 +67,31 @@ def test_non_unique_key_with_tiebreak_matches_slice(spark):
     ordered = sorted(rows, key=lambda r: (r[0], r[1], r[2]))
     for page in (1, 7, 21, 40, 60, 61):
         want = ordered[(page - 1) * 25: page * 25]
-        got = [tuple(r) for r in paging.page_rows(df, "k", page, 25, shallow_limit=50, fanout=4,
+        got = [tuple(r) for r in paging.page_rows(df, "k", page, 25, window=50, fanout=4,
                                                   tiebreak=["a", "s"]).collect()]
         assert got == want, page
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "double", "date", "decimal(12,2)"])
+def test_every_page_is_the_same_by_both_ways(spark, kind):
+    # a third of the keys null, one value in a third of the rows, the rest unique
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, i * 7919 % 1009) for i in range(600)]
+    df = spark.createDataFrame(rows, "n long, t long").repartition(4)
+    key = F.date_add(F.lit("2020-01-01").cast("date"), F.col("n").cast("int")) if kind == "date" else F.col("n").cast(kind)
+    df = df.select(key.alias("k"), "t")
+    seen = []
+    for page in (1, 2, 3, 7, 8, 9, 13, 15, 16, 17, 20, 24, 25):
+        plain = [tuple(r) for r in paging.page_rows(df, "k", page, 25, tiebreak=["t"]).collect()]
+        narrowed = [tuple(r) for r in paging.page_rows(df, "k", page, 25, window=25, fanout=4, tiebreak=["t"]).collect()]
+        assert narrowed == plain
+        seen += plain
+    assert len(seen) == 12 * 25 and len(set(seen)) == len(seen)
+
+
+def test_bounds_reach_the_scan(spark):
+    from orderpulse.plans import listing
+
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    for query, column in ((listing.order_page_deep, "o_orderkey"), (listing.item_page, "l_orderkey")):
+        text = query(spark, "/root/testdata/sf0.01")._jdf.queryExecution().explainString(mode)
+        assert f"GreaterThanOrEqual({column}," in text and "cast(" not in text.split("PushedFilters")[1].split("ReadSchema")[0]
