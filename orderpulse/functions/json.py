@@ -31,13 +31,21 @@ def is_wellformed_json(value: str | Column) -> Column:
     """True when the whole text is exactly one JSON value.
 
     ``get_json_object(v, '$')`` and ``try_parse_json`` both stop after the
-    first value and accept ``"123 and more text"``; a JSON decoder that reads
-    the whole message rejects it. Wrapping the text in brackets turns any
-    trailing text into a syntax error inside the array, and an array length
-    of exactly one rejects empty text and comma-separated values.
+    first value and accept ``"123 and more text"``. Here the text becomes the
+    first element of an array whose second is a digest of the text. Trailing
+    text is then a syntax error; a ``]`` or ``,`` in it cannot close or
+    extend the array, because the digest must still come second of two.
+    Strict parsing (``allowSingleQuotes=false``) rejects single quotes.
     """
-    wrapped = F.concat(F.lit("["), _col(value), F.lit("]"))
-    return F.coalesce(F.json_array_length(wrapped) == F.lit(1), F.lit(False))
+    v = _col(value)
+    digest = F.sha2(v, 256)
+    wrapped = F.concat(F.lit("["), v, F.lit(',"'), digest, F.lit('"]'))
+    strict = F.from_json(v, "v string, _bad string", {
+        "allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+    whole = (F.json_array_length(wrapped) == 2) & (F.get_json_object(wrapped, "$[1]") == digest)
+    # an object is checked by the strict parser as well; other values have no names to quote
+    quoted = F.when(F.ltrim(v).startswith("{"), strict["_bad"].isNull()).otherwise(F.lit(True))
+    return F.coalesce(whole & quoted, F.lit(False))
 
 
 # Message shapes a snapshot topic may carry.

@@ -9,7 +9,6 @@ folder under ``/tmp``, which is then registered as the checkpoint dir.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -92,9 +91,8 @@ def local_path(path: str) -> str:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """True when ``path`` exists on the (possibly remote) file system."""
-    if path.startswith("file:") or path.startswith("/"):
-        return os.path.exists(local_path(path))
+    """True when ``path`` exists on the file system that Spark resolves it on
+    (a bare path belongs to ``fs.defaultFS``, not to the driver's disk)."""
     fs, hpath = _fs_path(spark, path)
     return bool(fs.exists(hpath))
 

@@ -37,6 +37,12 @@ def write_message_files(messages: DataFrame, path: str, mode: str = "append") ->
     messages.select("value").write.mode(mode).text(path)
 
 
+def write_message_batch(messages: DataFrame, path: str, batch: str) -> None:
+    """Write one batch's messages to a folder of their own below ``path``;
+    writing the batch again replaces them, so a replay sends nothing twice."""
+    messages.select("value").write.mode("overwrite").text(f"{path.rstrip('/')}/batch={batch}")
+
+
 def write_topic(messages: DataFrame, topic: str, bootstrap_servers: str) -> None:
     """Publish ``value`` (and ``key`` if present) to a topic."""
     cols = ["value"] + (["key"] if "key" in messages.columns else [])
@@ -45,6 +51,14 @@ def write_topic(messages: DataFrame, topic: str, bootstrap_servers: str) -> None
      .option("topic", topic).save())
 
 
-def print_messages(messages: DataFrame, n: int = 20) -> None:
-    """Show the first ``n`` messages (console inspection only)."""
-    messages.select(F.col("value").cast("string").alias("value")).show(n, truncate=False)
+def print_rows(rows: DataFrame) -> None:
+    """Print every row, whole. Rows come to the driver one partition at a
+    time, so printing needs the memory of the largest partition only."""
+    print("\t".join(rows.columns))
+    for row in rows.toLocalIterator():
+        print("\t".join("" if v is None else str(v) for v in row))
+
+
+def print_messages(messages: DataFrame) -> None:
+    """Print every raw message (SNK-11)."""
+    print_rows(messages.select(F.col("value").cast("string").alias("value")))

@@ -24,6 +24,8 @@ def read_jdbc(spark: SparkSession, url: str, table: str | None = None,
     if partition_column:
         if table is None:
             raise ValueError("partitioned reads need a table, not a query")
+        if lower_bound is None or upper_bound is None:
+            raise ValueError("partitioned reads need lower_bound and upper_bound")
         reader = (reader.option("partitionColumn", partition_column)
                   .option("lowerBound", str(lower_bound))
                   .option("upperBound", str(upper_bound))
