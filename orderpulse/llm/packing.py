@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,9 @@ from orderpulse.llm.common import materialize, rank_within, shuffle_partitions
 MAX_LEN = 1024
 END = 0
 #: characters tokenised at a time, so that memory does not follow the batch
-CHUNK = 4_000_000
+CHUNK = 2_000_000
+#: pieces whose ids a worker keeps from one chunk to the next
+KNOWN = 100_000
 
 
 class PieceTokenizer:
@@ -44,10 +47,14 @@ class PieceTokenizer:
 
     def __init__(self, path: str):
         import json
+        import os
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.run = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)  # without offsets
+        self.known: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -60,19 +67,30 @@ class PieceTokenizer:
         self.specials = [t["content"] for t in spec.get("added_tokens") or []]
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        out: list[np.ndarray] = []
+        for i in range(0, len(texts), self.JOIN):  # few encodings at a time: they are large objects
+            out += [np.array(e.ids, dtype=np.uint32) for e in self.run(texts[i:i + self.JOIN], add_special_tokens=False)]
+        return out
 
-    def _distinct(self, pieces: list[str]) -> list[np.ndarray]:
+    def _distinct(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces that each begin with a blank or line end: several are
-        encoded in one string and told apart by the ids that open a piece."""
-        out: list[np.ndarray] = []
-        groups = [pieces[i:i + self.JOIN] for i in range(0, len(pieces), self.JOIN)]
+        encoded in one string and told apart by the ids that open a piece.
+        Pieces met before are remembered, up to ``KNOWN`` of them."""
+        new = [p for p in pieces if p not in self.known]
+        fresh: dict[str, bytes] = {}
+        groups = [new[i:i + self.JOIN] for i in range(0, len(new), self.JOIN)]
         for group, ids in zip(groups, self._whole(["".join(g) for g in groups]), strict=True):
             starts = np.flatnonzero(self.opens[ids])
-            if len(starts) == len(group) and (len(starts) == 0 or starts[0] == 0):
-                out += np.split(ids, starts[1:])
+            if len(starts) == len(group) and starts[0] == 0:
+                data, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                for p, a, b in zip(group, cuts, cuts[1:], strict=False):
+                    fresh[p] = data[a:b]
             else:
-                out += self._whole(group)
+                fresh.update((p, x.tobytes()) for p, x in zip(group, self._whole(group), strict=True))
+        out = [fresh[p] if p in fresh else self.known[p] for p in pieces]
+        room = KNOWN - len(self.known)
+        if room > 0:
+            self.known.update(list(fresh.items())[:room])
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -93,9 +111,9 @@ class PieceTokenizer:
             return [next(whole) for _ in texts]
         codes, distinct = pd.factorize(np.array(pieces, dtype=object))
         ids = self._distinct([p if p[:1] == "\n" else " " + p for p in distinct])
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
+        sizes = np.array([len(x) for x in ids], dtype=np.int64) // 4
         begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        flat = np.concatenate(ids)
+        flat = np.frombuffer(b"".join(ids), dtype=np.uint32)
         each = sizes[codes]
         total = np.cumsum(each)
         at = np.arange(total[-1]) - np.repeat(total - each, each) + np.repeat(begins[codes], each)
@@ -114,8 +132,14 @@ class PieceTokenizer:
         return out
 
 
+@lru_cache(maxsize=2)
+def tokenizer(path: str) -> PieceTokenizer:
+    """One for each worker process."""
+    return PieceTokenizer(path)
+
+
 def tokenize(batches: Iterator[pd.DataFrame], path: str, max_len: int) -> Iterator[pd.DataFrame]:
-    tok = PieceTokenizer(path)
+    tok = tokenizer(path)
     end = np.array([END], dtype=np.uint32)
 
     def cut(ids: list, texts: list[str]) -> pd.DataFrame:
