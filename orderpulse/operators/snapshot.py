@@ -1,19 +1,17 @@
 """Category-count snapshots: build the messages, read them back, merge.
 
-A snapshot is the full running count table at one micro-batch. The
-reference sends it as one JSON message; a message holding every category
-grows with the key count, so here a snapshot is split into ``parts``
-messages by a hash of the category, each with at most about
-``max_entries`` entries. Each part is built by its own task
-(``collect_list`` per part), never on the driver. The envelope keeps the
-reference's ``timestamp`` and ``data`` fields and adds ``snapshot_id``,
-``part`` and ``parts`` so the consumer can tell when a snapshot is whole.
+A snapshot is the full running count table at one micro-batch. It is sent as
+``parts`` envelope messages, split by a hash of the category; ``parts`` is a
+setting of the producer, not a function of the data, and a part without
+entries is sent as well, so a consumer that has seen ``parts`` messages has
+the whole snapshot. The envelope keeps the ``timestamp`` and ``data`` fields
+of the plain form and adds ``snapshot_id``, ``part`` and ``parts``; a plain
+envelope, ``{timestamp, data}``, and the array form ``[{Category, count}]``
+are read as snapshots of one part.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,27 +22,26 @@ from orderpulse.functions.text import is_present
 from orderpulse.functions.time import epoch_to_utc
 from orderpulse.schemas import SNAPSHOT_ENVELOPE
 
-DEFAULT_MAX_ENTRIES = 10_000
-
 
-def snapshot_parts(n_entries: int, max_entries: int = DEFAULT_MAX_ENTRIES) -> int:
-    """Parts needed so a hash split keeps each part near or below the cap."""
-    if n_entries <= max_entries:
-        return 1
-    return math.ceil(2 * n_entries / max_entries)
+def _entries(counts: DataFrame, category: str, count: str) -> DataFrame:
+    rows = counts.where(is_present(category) & F.col(count).isNotNull())
+    return rows.select(F.struct(F.col(category).alias("Category"), F.col(count).cast("long").alias("count")).alias("e"))
 
 
 def envelope_messages(counts: DataFrame, snapshot_id: int | Column, timestamp: int | Column,
                       parts: int = 1, category: str = "Category", count: str = "count") -> DataFrame:
-    """Snapshot envelope messages (``value``) for a count table.
+    """``parts`` snapshot envelope messages (``value``) for a count table.
 
-    ``parts`` comes from :func:`snapshot_parts` on the table's row count.
-    Rows without a category or count are left out (FLT-02).
+    Each part is put together by its own task. Rows without a category or
+    count are left out (FLT-02); a part may have no entries.
     """
-    rows = counts.where(is_present(category) & F.col(count).isNotNull())
-    entry = F.struct(F.col(category).alias("Category"), F.col(count).cast("long").alias("count"))
-    part = (F.pmod(F.xxhash64(F.col(category)), F.lit(parts)) if parts > 1 else F.lit(0)).cast("int")
-    grouped = rows.groupBy(part.alias("part")).agg(F.sort_array(F.collect_list(entry)).alias("data"))
+    if parts < 1:
+        raise ValueError("parts must be at least 1")
+    entries = _entries(counts, category, count)
+    part = F.pmod(F.xxhash64("e.Category"), F.lit(parts)).cast("int")
+    filled = entries.select(part.alias("part"), "e")
+    every = counts.sparkSession.range(parts).select(F.col("id").cast("int").alias("part"), F.lit(None).alias("e"))
+    grouped = filled.unionByName(every).groupBy("part").agg(F.sort_array(F.collect_list("e")).alias("data"))
     sid = snapshot_id if isinstance(snapshot_id, Column) else F.lit(snapshot_id)
     ts = timestamp if isinstance(timestamp, Column) else F.lit(timestamp)
     body = F.struct(ts.cast("long").alias("timestamp"), sid.cast("long").alias("snapshot_id"),
@@ -52,23 +49,15 @@ def envelope_messages(counts: DataFrame, snapshot_id: int | Column, timestamp: i
     return grouped.select(F.to_json(body).alias("value"))
 
 
-def array_message(counts: DataFrame, category: str = "Category", count: str = "count",
-                  parts: int = 1) -> DataFrame:
-    """The reference's array form ``[{Category, count}]``: one message, or
-    ``parts`` messages split by a hash of the category (the array form has
-    no field to say so, which is why the envelope is the form we write)."""
-    rows = counts.where(is_present(category) & F.col(count).isNotNull())
-    entry = F.struct(F.col(category).alias("Category"), F.col(count).cast("long").alias("count"))
-    part = (F.pmod(F.xxhash64(F.col(category)), F.lit(parts)) if parts > 1 else F.lit(0)).cast("int")
-    grouped = rows.groupBy(part.alias("part")).agg(F.sort_array(F.collect_list(entry)).alias("data"))
-    return grouped.select(F.to_json("data").alias("value"))
+def array_message(counts: DataFrame, category: str = "Category", count: str = "count") -> DataFrame:
+    """The array form ``[{Category, count}]``: one message, whose size follows
+    the number of categories (the form has no field to number parts)."""
+    return _entries(counts, category, count).agg(F.to_json(F.sort_array(F.collect_list("e"))).alias("value"))
 
 
 def object_messages(counts: DataFrame, category: str = "Category", count: str = "count") -> DataFrame:
     """The object form ``{Category, count}``: one message per category."""
-    rows = counts.where(is_present(category) & F.col(count).isNotNull())
-    return rows.select(F.to_json(F.struct(F.col(category).alias("Category"),
-                                          F.col(count).cast("long").alias("count"))).alias("value"))
+    return _entries(counts, category, count).select(F.to_json("e").alias("value"))
 
 
 def route_messages(messages: DataFrame, value: str = "value") -> DataFrame:
@@ -82,30 +71,34 @@ def route_messages(messages: DataFrame, value: str = "value") -> DataFrame:
     return messages.select("*", shape.alias("shape")).withColumn("route", route)
 
 
+def parsed_messages(messages: DataFrame, value: str = "value") -> DataFrame:
+    """Every message that is not a tombstone, parsed once: ``shape``,
+    ``entries`` (null for shapes without any), ``epoch``, ``snapshot_id``,
+    ``part`` and ``parts``. A message that is not split is part 0 of 1."""
+    kept = messages.where(F.col(value).isNotNull())
+    shaped = kept.select("*", snapshot_shape(value).alias("shape"))
+    env = F.when(F.col("shape") == SHAPE_ENVELOPE, F.from_json(F.col(value), SNAPSHOT_ENVELOPE))
+    read = shaped.withColumn("_env", env)
+    other = F.when(F.col("shape").isin(SHAPE_ARRAY, SHAPE_OBJECT), snapshot_entries(F.col(value), F.col("shape")))
+    return read.select(
+        *shaped.columns, F.coalesce(F.col("_env.data"), other).alias("entries"), F.col("_env.timestamp").alias("epoch"),
+        F.col("_env.snapshot_id").alias("snapshot_id"), F.coalesce(F.col("_env.part"), F.lit(0)).alias("part"),
+        F.coalesce(F.col("_env.parts"), F.lit(1)).alias("parts"))
+
+
 def explode_entries(routed: DataFrame, value: str = "value") -> DataFrame:
     """One row per (message, entry) for envelope, array and object shapes,
     with the envelope's snapshot fields (null for the other shapes)."""
-    v = F.col(value)
-    env = F.from_json(v, SNAPSHOT_ENVELOPE)
-    kept = routed.where(F.col("shape").isin(SHAPE_ENVELOPE, SHAPE_ARRAY, SHAPE_OBJECT))
-    with_entries = kept.select(
-        "*",
-        F.when(F.col("shape") == SHAPE_ENVELOPE, env["snapshot_id"]).alias("snapshot_id"),
-        F.when(F.col("shape") == SHAPE_ENVELOPE, env["part"]).alias("part"),
-        F.when(F.col("shape") == SHAPE_ENVELOPE, env["parts"]).alias("parts"),
-        F.when(F.col("shape") == SHAPE_ENVELOPE, env["timestamp"]).alias("epoch"),
-        snapshot_entries(v, F.col("shape")).alias("_entries"),
-    )
-    exploded = with_entries.select("*", F.explode("_entries").alias("_e")).drop("_entries")
-    return (exploded.select("*", F.col("_e.Category").alias("Category"),
-                            F.col("_e.count").alias("count")).drop("_e"))
+    base = [c for c in routed.columns if c != "shape"]
+    parsed = parsed_messages(routed.select(*base), value)
+    exploded = parsed.select(*base, "shape", "snapshot_id", "part", "parts", "epoch", F.posexplode("entries").alias("entry", "_e"))
+    return exploded.select("*", F.col("_e.Category").alias("Category"), F.col("_e.count").alias("count")).drop("_e")
 
 
 def envelope_rows(messages: DataFrame, value: str = "value") -> DataFrame:
     """Snapshot rows carried by envelope messages: snapshot_id, part, parts,
     epoch, timestamp (UTC), Category, count."""
-    routed = route_messages(messages.where(F.col(value).isNotNull()), value)
-    rows = explode_entries(routed.where(F.col("route") == "load"), value)
+    rows = explode_entries(route_messages(messages, value), value).where(F.col("shape") == SHAPE_ENVELOPE)
     return rows.select("snapshot_id", "part", "parts", "epoch",
                        epoch_to_utc("epoch").alias("timestamp"), "Category", "count")
 

@@ -33,7 +33,7 @@ def all_queries() -> dict[str, Query]:
 
 
 def _extended() -> dict[str, Query]:
-    from orderpulse.plans import io, listing, messages, payload, streams
+    from orderpulse.plans import io, layout, listing, messages, payload, streams
     return {
         "order_page": listing.order_page,
         "order_page_deep": listing.order_page_deep,
@@ -48,10 +48,14 @@ def _extended() -> dict[str, Query]:
         "kpi_display": messages.kpi_display,
         "epoch_to_timestamp": messages.epoch_to_timestamp,
         "payload_routing": messages.payload_routing,
+        "tombstone_routing": messages.tombstone_routing,
+        "result_map": messages.result_map,
         "message_bytes": messages.message_bytes,
         "result_rows_roundtrip": messages.result_rows_roundtrip,
         "csv_header_roundtrip": io.csv_header_roundtrip,
         "csv_positional": io.csv_positional,
+        "csv_quoted_roundtrip": io.csv_quoted_roundtrip,
+        "ensured_table": io.ensured_table,
         "publish_json": io.publish_json,
         "csv_page_kpis": io.csv_page_kpis,
         "csv_page_top_categories": io.csv_page_top_categories,
@@ -59,10 +63,18 @@ def _extended() -> dict[str, Query]:
         "stream_category_counts": streams.stream_category_counts,
         "stream_snapshot_rows": streams.stream_snapshot_rows,
         "snapshot_reload": streams.snapshot_reload,
+        "snapshot_many_parts": streams.snapshot_many_parts,
+        "snapshot_reload_plain": streams.snapshot_reload_plain,
+        "snapshot_reload_empty": streams.snapshot_reload_empty,
+        "stream_restart_counts": streams.stream_restart_counts,
         "append_results": streams.append_results,
+        "append_from_envelopes": streams.append_from_envelopes,
+        "append_from_array": streams.append_from_array,
         "quarantine": streams.quarantine,
         "upsert_latest": streams.upsert_latest,
         "stream_dashboard_kpis": streams.stream_dashboard_kpis,
         "stream_dashboard_top_categories": streams.stream_dashboard_top_categories,
         "dashboard_payload": payload.dashboard_payload,
+        "dashboard_payload_rows": payload.dashboard_payload_rows,
+        "layout_kpis": layout.layout_kpis,
     }

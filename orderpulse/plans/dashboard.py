@@ -1,8 +1,8 @@
 """Dashboard metrics over the supplied tables, each at its cheapest grain.
 
 Category metrics run on the part-grain fact, order metrics on the
-order-grain fact (see ``orderpulse.plans.fact``); only the item listing
-needs the full item-level join.
+order-grain fact (see ``orderpulse.plans.fact``); totals over all items read
+``lineitem`` alone; only the item listing needs the full item-level join.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orderpulse.operators import distributions as dist
 from orderpulse.operators import kpis, topk
-from orderpulse.plans.fact import category_grain_fact, order_grain_fact
+from orderpulse.plans.fact import category_grain_fact, item_totals_fact, order_grain_fact
 
 
 def top_categories(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
@@ -23,11 +23,11 @@ def kpi_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def avg_order_value_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kpis.avg_order_value_page(order_grain_fact(spark, sf_dir))
+    return kpis.avg_order_value_page(item_totals_fact(spark, sf_dir))
 
 
 def avg_order_value_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kpis.avg_order_value_sql(order_grain_fact(spark, sf_dir))
+    return kpis.avg_order_value_sql(item_totals_fact(spark, sf_dir))
 
 
 def complete_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,11 +35,11 @@ def complete_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def total_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kpis.total_sales(order_grain_fact(spark, sf_dir))
+    return kpis.total_sales(item_totals_fact(spark, sf_dir))
 
 
 def total_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kpis.total_orders(order_grain_fact(spark, sf_dir))
+    return kpis.total_orders(item_totals_fact(spark, sf_dir))
 
 
 def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

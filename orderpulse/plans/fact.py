@@ -15,8 +15,9 @@ additive (see ``orderpulse.operators.measures``), so the plans here
 
 * :func:`order_grain_fact` – lineitem summed per ``l_orderkey``, then joined
   to ``orders``. The aggregate's output is already hash-partitioned by the
-  key, so the join shuffles only ``orders``; the lineitem shuffle carries
-  partial sums, not items.
+  key, so the join shuffles only ``orders``. Where the items of an order lie
+  together, the lineitem shuffle carries partial sums; in unsorted data it is
+  near the number of items, and ``orderpulse.plans.layout`` avoids it.
 * :func:`category_grain_fact` – lineitem summed per ``l_partkey``, then
   joined to ``part``: roughly items/parts times fewer rows reach the join.
 
@@ -44,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderpulse.operators.measures import (
-    MEASURES, N_ITEMS, SALES, SALES_N, partial_measures,
+    MEASURES, N_ITEMS, SALES, SALES_N, UNITS_SUM_INPUT, partial_measures,
 )
 from orderpulse.schemas import MONEY
 from orderpulse.sources.tables import read_table
@@ -158,6 +159,16 @@ def category_grain_fact(spark: SparkSession, sf_dir: str, fk_integrity: bool = T
                           order_keys)
 
 
+def item_totals_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item rows with their measures and no dimension: totals over all items
+    need no join and only the one-row exchange of their last step."""
+    units = grand_total_units().cast(UNITS_SUM_INPUT)
+    one = F.lit(1).cast("long")
+    return _lineitem(spark, sf_dir).select(
+        F.lit(None).cast("string").alias("status"), one.alias(N_ITEMS), units.alias(SALES),
+        F.when(units.isNotNull(), one).otherwise(F.lit(0)).alias(SALES_N))
+
+
 def item_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full item-level fact (both joins), for listings and item metrics."""
     li = _lineitem(spark, sf_dir)

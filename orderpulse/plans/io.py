@@ -48,6 +48,34 @@ def csv_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_message_files(spark, out)
 
 
+def csv_quoted_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-01: document texts with quotes, commas and line breaks added,
+    written to RFC 4180 and read back whole."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    path = scratch_path(spark, "csv-quoted")
+    quoted = F.concat(F.lit('he said "x", ok\n'), F.col("text"), F.lit(',"'))
+    (docs.select(F.col("doc_id").alias("item_id"), quoted.alias("Category"), F.lit("z").alias("last"))
+     .write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path))
+    rows = read_named_csv(spark, path, ["item_id", "Category", "last"], multi_line=True)
+    return rows.select(F.col("item_id").cast("long").alias("item_id"), F.sha2("Category", 256).alias("sha"), "last")
+
+
+def ensured_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-09: a table that is made empty with its schema when it is missing,
+    left alone when it is there; rows before and after an append."""
+    from orderpulse.schemas import CATEGORY_COUNT
+    from orderpulse.sinks.tables import ensure_table
+
+    path = scratch_path(spark, "ensured")
+    ev = read_table(spark, sf_dir, "events", ["event_type"])
+    counts = ev.groupBy(F.col("event_type").alias("Category")).agg(F.count(F.lit(1)).alias("count"))
+    ensure_table(spark, path, CATEGORY_COUNT)
+    empty = spark.read.parquet(path).count()
+    counts.write.mode("append").parquet(path)
+    ensure_table(spark, path, CATEGORY_COUNT)
+    return spark.read.parquet(path).select(F.lit(empty).cast("long").alias("rows_before"), "Category", "count")
+
+
 def publish_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-01, PRJ-06: ``{"item_id", "Category"}`` messages per event, written
     as message files and read back as text."""

@@ -74,3 +74,14 @@ def order_grain_bucketed(spark: SparkSession, prefix: str = "orderpulse") -> Dat
 def category_grain_bucketed(spark: SparkSession, prefix: str = "orderpulse") -> DataFrame:
     return category_grain(spark.table(_name(prefix, "lineitem_by_part")),
                           spark.table(_name(prefix, "part_by_part")))
+
+
+def layout_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KPIs over the bucketed layout, written once under a fresh name."""
+    from orderpulse.operators import kpis
+    from orderpulse.session import scratch_path
+
+    root = scratch_path(spark, "layout")
+    prefix = root.rsplit("/", 1)[1].replace("-", "_")
+    write_layout(spark, sf_dir, root, int(spark.conf.get("spark.sql.shuffle.partitions")), prefix)
+    return kpis.kpi_summary(order_grain_bucketed(spark, prefix))

@@ -18,7 +18,6 @@ from orderpulse.operators import kpis
 from orderpulse.operators.cleaning import clean_item_rows, parse_item_messages
 from orderpulse.operators.snapshot import (
     array_message, envelope_messages, explode_entries, object_messages, route_messages,
-    snapshot_parts,
 )
 from orderpulse.plans.fact import item_fact, order_dimension, order_grain_fact
 from orderpulse.sources.tables import read_table
@@ -106,14 +105,28 @@ def payload_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded in all three snapshot shapes, then routed and parsed back."""
     ev = read_table(spark, sf_dir, "events", ["event_type"])
     counts = ev.groupBy(F.col("event_type").alias("Category")).agg(F.count(F.lit(1)).alias("count"))
-    parts = snapshot_parts(counts.count())   # bounded message size, as the live sink does
-    msgs = (envelope_messages(counts, 1, 0, parts)
-            .unionByName(array_message(counts, parts=parts))
-            .unionByName(object_messages(counts)))
+    tombstones = ev.groupBy("event_type").agg(F.lit(None).cast("string").alias("value")).select("value")
+    msgs = (envelope_messages(counts, 1, 0, parts=3)
+            .unionByName(array_message(counts))
+            .unionByName(object_messages(counts)).unionByName(tombstones))
     rows = explode_entries(route_messages(msgs))
     return rows.select("shape", "route", "Category", F.col("count").cast("long").alias("count"))
 
 
+def tombstone_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-05/06: every tenth event's message is null; messages by route."""
+    msgs = event_messages(spark, sf_dir).select(F.when(F.col("event_id") % 10 != 0, F.col("value")).alias("value"))
+    return route_messages(msgs).groupBy("shape", "route").agg(F.count(F.lit(1)).alias("messages"))
+
+
+def result_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-14: orders per payment method as one map, read back by key."""
+    from orderpulse.operators.distributions import as_map, payment_distribution
+
+    grouped = payment_distribution(order_grain_fact(spark, sf_dir))
+    return as_map(grouped, "payment_method", "orders").select(F.explode("map").alias("payment_method", "orders"))
+
+
 def message_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ-01/02: messages as a broker delivers them (UTF-8 bytes in
     ``value``), decoded and parsed."""

@@ -146,10 +146,10 @@ def _extended() -> dict[str, str]:
         "order_page_nulls": f"""WITH {ORDER_ROWS},
 r AS (SELECT CASE WHEN item_id % 20 <> 0 THEN item_id END AS item_id, item_id AS item_no, status, grand_total
       FROM order_rows),
-n AS (SELECT *, row_number() OVER (ORDER BY item_id NULLS FIRST, item_no) - 1 AS at FROM r)
+n AS (SELECT *, row_number() OVER (ORDER BY item_id NULLS FIRST, item_no) - 1 AS place FROM r)
 SELECT path, item_id, item_no, status, grand_total
 FROM n JOIN (VALUES ('one step', {page}), ('narrowed', {page}), ('deep', {listing.DEEP_PAGE})) p(path, number)
-  ON at // {per} = number - 1""",
+  ON place // {per} = number - 1""",
         "order_page_after": f"""WITH {ORDER_ROWS}
 SELECT * FROM order_rows WHERE item_id > {listing.AFTER_KEY} ORDER BY item_id LIMIT {per}""",
         "item_page": with_sales(f"""
@@ -207,6 +207,31 @@ WITH c AS (SELECT event_type AS Category, COUNT(*) AS count FROM events
 SELECT 'envelope' AS shape, 'load' AS route, Category, count FROM c
 UNION ALL SELECT 'array', 'raw', Category, count FROM c
 UNION ALL SELECT 'object', 'raw', Category, count FROM c""",
+        "tombstone_routing": """
+SELECT CASE WHEN event_id % 10 = 0 THEN 'tombstone' ELSE 'object' END AS shape,
+       CASE WHEN event_id % 10 = 0 THEN 'skip' ELSE 'raw' END AS route, COUNT(*) AS messages
+FROM events GROUP BY 1, 2""",
+        "result_map": DASHBOARD["payment_distribution"],
+        "csv_quoted_roundtrip": """
+SELECT doc_id AS item_id, sha256('he said "x", ok' || chr(10) || text || ',"') AS sha, 'z' AS last FROM documents""",
+        "ensured_table": f"""
+SELECT CAST(0 AS BIGINT) AS rows_before, event_type AS Category, COUNT(*) AS count FROM events GROUP BY 2""",
+        "snapshot_many_parts": f"""
+SELECT {stripped_type} AS category, COUNT(*) AS count FROM events
+WHERE event_type IS NOT NULL AND {stripped_type} <> '' GROUP BY 1""",
+        "snapshot_reload_plain": f"""
+SELECT event_type AS category, COUNT(*) AS count FROM events WHERE {present} GROUP BY 1""",
+        "snapshot_reload_empty": f"""
+SELECT COUNT(DISTINCT event_type) AS rows_before, CAST(0 AS BIGINT) AS rows_after FROM events WHERE {present}""",
+        "append_from_envelopes": f"""
+SELECT event_type AS Category, COUNT(*) AS count FROM events WHERE {present} GROUP BY 1""",
+        "append_from_array": f"""
+SELECT event_type AS Category, COUNT(*) AS count FROM events WHERE {present} GROUP BY 1""",
+        "stream_restart_counts": f"""
+WITH e AS (SELECT event_id, {stripped_type} AS c FROM events WHERE event_type IS NOT NULL AND {stripped_type} <> '')
+SELECT 'half' AS run, c AS Category, COUNT(*) AS count FROM e WHERE event_id % 2 = 0 GROUP BY 2
+UNION ALL SELECT 'resumed', c, COUNT(*) FROM e GROUP BY 2
+UNION ALL SELECT 'fresh', c, COUNT(*) FROM e GROUP BY 2""",
         "message_bytes": """
 SELECT CAST(event_id AS VARCHAR) AS item_id, event_type AS Category FROM events""",
         "result_rows_roundtrip": f"""
@@ -220,6 +245,15 @@ WHERE c_mktsegment IS NOT NULL AND c_mktsegment <> 'gender'""",
 SELECT '{{"item_id":' || event_id || ',"Category":' || to_json({stripped_type}) || '}}' AS value
 FROM events""",
         "csv_page_kpis": kpi,
+        "layout_kpis": kpi,
+        "dashboard_payload_rows": f"""
+WITH k AS ({kpi}), d AS ({DASHBOARD["daily_orders"]}), t AS ({DASHBOARD["top_categories"]}),
+s AS (SELECT section, label, value FROM (
+  SELECT 'kpis' AS section, unnest(['total_orders', 'total_sales', 'avg_order_value', 'avg_order_value_page', 'complete_rate']) AS label,
+         unnest([CAST(total_orders AS DOUBLE), total_sales, avg_order_value, avg_order_value_page, complete_rate]) AS value FROM k))
+SELECT * FROM s
+UNION ALL SELECT 'daily_orders', strftime(Working_Date, '%Y-%m-%d'), CAST(orders AS DOUBLE) FROM d WHERE Working_Date IS NOT NULL
+UNION ALL SELECT 'top_categories', rank || ' ' || Category, total FROM t""",
         "stream_dashboard_kpis": kpi,
         "stream_dashboard_top_categories": DASHBOARD["top_categories"],
         "csv_raw_listing": with_sales("""
@@ -242,7 +276,8 @@ WHERE event_type IS NOT NULL AND {stripped_type} <> '' GROUP BY 1""",
         "append_results": f"""
 SELECT event_type AS Category, COUNT(*) AS count FROM events WHERE {present} GROUP BY 1""",
         "quarantine": """
-WITH m AS (SELECT regexp_replace(text, '[\\r\\n]', ' ', 'g') AS t FROM documents),
+WITH m AS (SELECT regexp_replace(text, '[\\r\\n]', ' ', 'g') AS t FROM documents
+           UNION ALL VALUES ('{"Category":"a","count":1}] junk'), ('{''Category'':''a'',''count'':1}'), ('1],[2')),
 s AS (
   SELECT CASE
     WHEN NOT json_valid(t) THEN 'malformed'
@@ -253,20 +288,16 @@ s AS (
   FROM m)
 SELECT reason, COUNT(*) AS messages FROM s WHERE reason <> 'object' GROUP BY reason""",
         "upsert_latest": f"""
-SELECT category, count, epoch FROM (
-  SELECT event_type AS category, event_id AS count,
-         date_diff('second', TIMESTAMP '1970-01-01 00:00:00', ts) AS epoch,
-         row_number() OVER (PARTITION BY event_type
-                            ORDER BY date_diff('second', TIMESTAMP '1970-01-01 00:00:00', ts) DESC,
-                                     event_id DESC) AS rn
-  FROM events WHERE {present}) t
-WHERE rn = 1""",
+SELECT event_type AS category, min(event_id) AS count,
+       max(date_diff('second', TIMESTAMP '1970-01-01 00:00:00', ts)) AS epoch
+FROM events WHERE {present} GROUP BY 1""",
     }
 
 
 def all_sql() -> dict[str, str]:
     """Oracle statements by query name. ``dashboard_payload`` has none: its
-    result is JSON text whose formatting is Spark's own (rows-only check)."""
+    result is JSON text whose formatting is Spark's own;
+    ``dashboard_payload_rows`` checks what the text says."""
     out: dict[str, str] = {}
     out.update(DASHBOARD)
     out.update(_extended())

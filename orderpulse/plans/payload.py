@@ -51,9 +51,29 @@ def build_payload(order_fact: DataFrame, category_fact: DataFrame, top_n: int =
     return two.unionByName(top_row)
 
 
-def dashboard_payload(spark: SparkSession, sf_dir: str, version: int = 0) -> DataFrame:
+def dashboard_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the payload as a new version of a payload table; return it."""
     table = VersionedTable(spark, scratch_path(spark, "payload"))
     payload = build_payload(order_grain_fact(spark, sf_dir), category_grain_fact(spark, sf_dir))
-    table.write_version(payload, version)
+    table.write_version(payload)
     return table.read()
+
+
+def payload_rows(payload: DataFrame) -> DataFrame:
+    """The payload's JSON read back: (section, label, value) for every KPI,
+    day and ranked category."""
+    kpis = ["total_orders", "total_sales", "avg_order_value", "avg_order_value_page", "complete_rate"]
+    entry = lambda label, value: F.struct(label.alias("label"), value.cast("double").alias("value"))
+    k = F.from_json("payload", ", ".join(f"{c} double" for c in kpis))
+    d = F.from_json("payload", "array<struct<Working_Date:date,orders:long>>")
+    t = F.from_json("payload", "array<struct<rank:long,Category:string,total:double>>")
+    rows = (F.when(F.col("section") == "kpis", F.array(*[entry(F.lit(c), k[c]) for c in kpis]))
+            .when(F.col("section") == "daily_orders",
+                  F.transform(d, lambda x: entry(F.date_format(x["Working_Date"], "yyyy-MM-dd"), x["orders"])))
+            .otherwise(F.transform(t, lambda x: entry(F.concat_ws(" ", x["rank"].cast("string"), x["Category"]), x["total"]))))
+    return payload.select("section", F.inline(rows))
+
+
+def dashboard_payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-10, all three sections, as rows."""
+    return payload_rows(dashboard_payload(spark, sf_dir))

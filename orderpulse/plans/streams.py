@@ -9,16 +9,14 @@ the sink's final content as a DataFrame.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderpulse.functions.time import utc_to_epoch
-from orderpulse.operators.snapshot import envelope_rows, object_messages
+from orderpulse.operators.snapshot import array_message, envelope_messages, envelope_rows, object_messages
 from orderpulse.session import scratch_path
-from orderpulse.sinks.messages import item_messages, write_message_files
-from orderpulse.schemas import CATEGORY_COUNT, QUARANTINE
+from orderpulse.sinks.messages import item_messages, write_message_batch
+from orderpulse.schemas import CATEGORY_COUNT, CATEGORY_STATS, QUARANTINE
 from orderpulse.sinks.tables import VersionedTable, read_appended
 from orderpulse.sources.files import read_message_files
 from orderpulse.sources.tables import read_table
@@ -30,46 +28,39 @@ from orderpulse.streaming.loaders import (
     start_append_loader, start_snapshot_loader, start_upsert_loader,
 )
 
-# Fixed parameters: how many files the published messages are split into,
-# how many micro-batches the replay takes at most, and the shuffle width of
-# each streaming job (state partitions of the stateful ones, batch work of
-# the loaders), sized for a category-like key set.
-TARGET_FILES = 6
-TARGET_BATCHES = 3
+# Fixed parameters: messages in a file, files in a micro-batch, and the
+# shuffle width of each streaming job (state partitions of the stateful ones,
+# batch work of the loaders), sized for a category-like key set.
+MESSAGES_PER_FILE = 200_000
+FILES_PER_TRIGGER = 8
 STATE_PARTITIONS = 4
 
 
-def _write_split(messages: DataFrame, path: str, rows: int) -> int:
-    """Write message files of at most ``rows/TARGET_FILES`` lines each (no
-    shuffle: ``maxRecordsPerFile`` only rolls files inside each task)."""
-    per_file = max(1, math.ceil(rows / TARGET_FILES))
-    messages.write.option("maxRecordsPerFile", per_file).mode("append").text(path)
-    return len(read_message_files(messages.sparkSession, path).inputFiles())
-
-
-def _files_per_trigger(n_files: int) -> int:
-    return max(1, math.ceil(n_files / TARGET_BATCHES))
+def _write_split(messages: DataFrame, path: str) -> None:
+    """Write message files of bounded size (no shuffle: ``maxRecordsPerFile``
+    only rolls files inside each task), so a batch of ``FILES_PER_TRIGGER``
+    files is bounded as well, however many there are."""
+    messages.write.option("maxRecordsPerFile", MESSAGES_PER_FILE).mode("append").text(path)
 
 
-def publish_events(spark: SparkSession, sf_dir: str, path: str) -> int:
-    """Item messages for every event; returns the number of files written."""
-    ev = read_table(spark, sf_dir, "events", ["event_id", "event_type"])
-    n = ev.count()
+def publish_events(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Item messages for every event, in several files."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "event_type"]).repartition(FILES_PER_TRIGGER + 1)
     msgs = item_messages(ev.select(F.col("event_id").alias("item_id"),
                                    F.col("event_type").alias("Category")))
-    return _write_split(msgs, path, n)
+    _write_split(msgs, path)
 
 
-def run_category_count(spark: SparkSession, sf_dir: str, with_messages: bool) -> tuple[str, VersionedTable]:
+def run_category_count(spark: SparkSession, sf_dir: str, with_messages: bool, parts: int = 1) -> tuple[str, VersionedTable]:
     base = scratch_path(spark, "category-count")
-    n_files = publish_events(spark, sf_dir, f"{base}/in")
+    publish_events(spark, sf_dir, f"{base}/in")
     job = streaming_session(spark, STATE_PARTITIONS)
-    stream = read_message_file_stream(job, f"{base}/in", _files_per_trigger(n_files))
-    table = VersionedTable(spark, f"{base}/category_stats")
+    stream = read_message_file_stream(job, f"{base}/in", FILES_PER_TRIGGER)
+    table = VersionedTable(spark, f"{base}/category_stats", CATEGORY_STATS)
     sinks = [snapshot_table_sink(table)]
     if with_messages:
         sinks.append(snapshot_message_sink(
-            lambda m: write_message_files(m, f"{base}/results")))
+            lambda m, batch: write_message_batch(m, f"{base}/results", batch), parts=parts))
     q = start_category_count(stream, f"{base}/checkpoint", sinks, available_now=True)
     q.awaitTermination()
     return base, table
@@ -90,48 +81,139 @@ def stream_snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("Category", F.col("count").cast("long").alias("count")))
 
 
-def snapshot_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-07, SNK-08: the snapshot messages consumed by the loader into a
-    versioned table; returns the committed table."""
-    base, _ = run_category_count(spark, sf_dir, with_messages=True)
-    results = f"{base}/results"
-    n_files = len(read_message_files(spark, results).inputFiles())
+def _reload(spark: SparkSession, base: str, results: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     job = streaming_session(spark, STATE_PARTITIONS)
-    stream = read_message_file_stream(job, results, _files_per_trigger(n_files))
-    table = VersionedTable(spark, f"{base}/reloaded")
+    stream = read_message_file_stream(job, results, files_per_trigger)
+    table = VersionedTable(spark, f"{base}/reloaded", CATEGORY_STATS)
     q = start_snapshot_loader(stream, table, f"{base}/loader-checkpoint",
                               raw_root=f"{base}/raw", available_now=True)
     q.awaitTermination()
     return table.read().select("category", "count")
 
 
-def _append_inputs(spark: SparkSession, sf_dir: str, path: str) -> int:
-    """Object messages with per-category counts of ``events``, followed by
-    every document text as a (malformed) message, line breaks folded."""
+def snapshot_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-07, SNK-08: the snapshot messages consumed by the loader into a
+    versioned table; returns the committed table."""
+    base, _ = run_category_count(spark, sf_dir, with_messages=True)
+    return _reload(spark, base, f"{base}/results")
+
+
+def snapshot_many_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-05: snapshots in more parts than there are categories, so that
+    some parts are empty, loaded whole."""
+    base, _ = run_category_count(spark, sf_dir, with_messages=True, parts=16)
+    return _reload(spark, base, f"{base}/results")
+
+
+def _event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", ["event_type"])
-    counts = ev.groupBy(F.col("event_type").alias("Category")).agg(F.count(F.lit(1)).alias("count"))
+    return ev.groupBy(F.col("event_type").alias("Category")).agg(F.count(F.lit(1)).alias("count"))
+
+
+def _plain_envelopes(counts: DataFrame, epoch: int) -> DataFrame:
+    """``{"timestamp", "data"}`` without any part numbers."""
+    body = envelope_messages(counts, 0, epoch).select(F.from_json("value", "timestamp long, data array<struct<Category:string,count:long>>").alias("b"))
+    return body.select(F.to_json("b").alias("value"))
+
+
+def snapshot_reload_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-07: plain envelopes, an array message and an empty snapshot. The
+    newest by timestamp is loaded, whatever the order of arrival."""
+    base = scratch_path(spark, "reload-plain")
+    counts = _event_counts(spark, sf_dir)
+    _plain_envelopes(counts.withColumn("count", F.lit(0)), 1_000).write.mode("append").text(f"{base}/in")
+    _plain_envelopes(counts, 4_000_000_000).coalesce(1).write.mode("append").text(f"{base}/in")
+    _plain_envelopes(counts.where("false"), 2_000).write.mode("append").text(f"{base}/in")
+    array_message(counts.withColumn("count", F.lit(1))).write.mode("append").text(f"{base}/in")
+    return _reload(spark, base, f"{base}/in")
+
+
+def snapshot_reload_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-08: an empty snapshot after a full one empties the table; returns
+    the number of rows before and after."""
+    base = scratch_path(spark, "reload-empty")
+    counts = _event_counts(spark, sf_dir)
+    _plain_envelopes(counts, 1_000).coalesce(1).write.mode("append").text(f"{base}/in")
+    before = _reload(spark, base, f"{base}/in").agg(F.count(F.lit(1)).alias("rows_before"))
+    before = spark.createDataFrame(before.collect(), before.schema)
+    _plain_envelopes(counts.where("false"), 2_000).coalesce(1).write.mode("append").text(f"{base}/in")
+    after = _reload(spark, base, f"{base}/in").agg(F.count(F.lit(1)).alias("rows_after"))
+    return before.join(after, F.lit(True))
+
+
+def stream_restart_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-03: the count stops, more files arrive, it resumes; then a fresh
+    checkpoint counts everything again into the same table, whose newest
+    version must be the one that is read."""
+    base = scratch_path(spark, "restart")
+    ev = read_table(spark, sf_dir, "events", ["event_id", "event_type"])
+    table = VersionedTable(spark, f"{base}/table", CATEGORY_STATS)
+
+    def count(rows: DataFrame | None, checkpoint: str) -> None:
+        if rows is not None:
+            item_messages(rows.select(F.col("event_id").alias("item_id"), F.col("event_type").alias("Category"))
+                          ).write.mode("append").text(f"{base}/in")
+        job = streaming_session(spark, STATE_PARTITIONS)
+        q = start_category_count(read_message_file_stream(job, f"{base}/in", FILES_PER_TRIGGER), f"{base}/{checkpoint}",
+                                 [snapshot_table_sink(table)], available_now=True)
+        q.awaitTermination()
+
+    def counted(run: str) -> DataFrame:
+        rows = table.read().select(F.lit(run).alias("run"), F.col("category").alias("Category"), "count")
+        return spark.createDataFrame(rows.collect(), rows.schema)  # one row a category
+
+    count(ev.where("event_id % 2 = 0"), "first")
+    half = counted("half")
+    count(ev.where("event_id % 2 <> 0"), "first")
+    whole = counted("resumed")
+    count(None, "second")
+    return half.unionAll(whole).unionAll(counted("fresh"))
+
+
+# Fixed texts that look like JSON and are not.
+NOT_JSON = ['{"Category":"a","count":1}] junk', "{'Category':'a','count':1}", "1],[2"]
+
+
+def _append_inputs(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Object messages with per-category counts of ``events``, followed by
+    every document text as a (malformed) message, line breaks folded, and
+    some texts that are nearly JSON."""
     docs = read_table(spark, sf_dir, "documents", ["text"])
     junk = docs.select(F.regexp_replace("text", "[\\r\\n]", " ").alias("value"))
-    msgs = object_messages(counts).unionByName(junk)
-    return _write_split(msgs, path, msgs.count())
+    near = spark.createDataFrame([(t,) for t in NOT_JSON], "value string")
+    _write_split(object_messages(_event_counts(spark, sf_dir)).unionByName(junk).unionByName(near), path)
 
 
-def _run_append(spark: SparkSession, sf_dir: str) -> str:
+def _run_append(spark: SparkSession, sf_dir: str, publish=_append_inputs) -> str:
     base = scratch_path(spark, "append-loader")
-    n_files = _append_inputs(spark, sf_dir, f"{base}/in")
+    publish(spark, sf_dir, f"{base}/in")
     job = streaming_session(spark, STATE_PARTITIONS)
-    stream = read_message_file_stream(job, f"{base}/in", _files_per_trigger(n_files))
+    stream = read_message_file_stream(job, f"{base}/in", FILES_PER_TRIGGER)
     q = start_append_loader(stream, f"{base}/category", f"{base}/quarantine",
                             f"{base}/checkpoint", available_now=True)
     q.awaitTermination()
     return base
 
 
+def _appended(spark: SparkSession, base: str) -> DataFrame:
+    return read_appended(spark, f"{base}/category", CATEGORY_COUNT).select("Category", F.col("count").cast("long"))
+
+
 def append_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-06: object messages appended per batch; returns the table."""
-    base = _run_append(spark, sf_dir)
-    rows = read_appended(spark, f"{base}/category", CATEGORY_COUNT)
-    return rows.select("Category", F.col("count").cast("long"))
+    return _appended(spark, _run_append(spark, sf_dir))
+
+
+def append_from_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-06: the entries of envelope messages, in parts, appended."""
+    return _appended(spark, _run_append(spark, sf_dir, lambda s, d, path: _write_split(
+        envelope_messages(_event_counts(s, d), 1, 0, parts=3), path)))
+
+
+def append_from_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-06: the entries of one array message appended."""
+    return _appended(spark, _run_append(spark, sf_dir, lambda s, d, path: _write_split(
+        array_message(_event_counts(s, d)), path)))
 
 
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,25 +225,34 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-07: one envelope per event (timestamp = event time, count =
-    event id) merged into a keyed table; per category the latest event
-    wins (ties on the second go to the larger count)."""
+    """SNK-07: one envelope per event (timestamp = event time, count = event
+    id) merged into a keyed table. Events arrive in the order of their ids
+    within a file; a second file then lowers every category's count with the
+    same timestamp: per category the last message to arrive wins."""
     base = scratch_path(spark, "upsert")
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "event_type"])
-    n = ev.count()
-    body = F.struct(
-        utc_to_epoch("ts").alias("timestamp"), F.col("event_id").alias("snapshot_id"),
-        F.lit(0).alias("part"), F.lit(1).alias("parts"),
-        F.array(F.struct(F.col("event_type").alias("Category"),
-                         F.col("event_id").alias("count"))).alias("data"))
-    n_files = _write_split(ev.select(F.to_json(body).alias("value")), f"{base}/in", n)
-    job = streaming_session(spark, STATE_PARTITIONS)
-    stream = read_message_file_stream(job, f"{base}/in", _files_per_trigger(n_files))
-    table = VersionedTable(spark, f"{base}/table")
-    q = start_upsert_loader(stream, table, f"{base}/checkpoint", available_now=True)
-    q.awaitTermination()
-    out = table.read()
-    return out.select("category", "count", utc_to_epoch("timestamp").alias("epoch"))
+
+    def envelopes(rows: DataFrame) -> DataFrame:
+        return rows.select(F.to_json(F.struct("timestamp", F.array(F.struct("Category", "count")).alias("data"))).alias("value"))
+
+    first = ev.select(utc_to_epoch("ts").alias("timestamp"), F.col("event_type").alias("Category"),
+                      F.col("event_id").alias("count"))
+    _write_split(envelopes(first), f"{base}/in")
+    table = VersionedTable(spark, f"{base}/table", CATEGORY_STATS)
+
+    def load() -> None:
+        job = streaming_session(spark, STATE_PARTITIONS)
+        q = start_upsert_loader(read_message_file_stream(job, f"{base}/in", FILES_PER_TRIGGER), table,
+                                f"{base}/checkpoint", available_now=True)
+        q.awaitTermination()
+
+    load()
+    newest = first.groupBy("Category").agg(F.max("timestamp").alias("timestamp"), F.min("count").alias("low"),
+                                           F.max("count").alias("high"))
+    pairs = newest.select("timestamp", "Category", F.explode(F.array("high", "low")).alias("count"))
+    envelopes(pairs.coalesce(1).sortWithinPartitions("Category", F.desc("count"))).write.mode("append").text(f"{base}/in")
+    load()
+    return table.read().select("category", "count", utc_to_epoch("timestamp").alias("epoch"))
 
 
 def _run_dashboard_stream(spark: SparkSession, sf_dir: str) -> VersionedTable:
@@ -172,12 +263,10 @@ def _run_dashboard_stream(spark: SparkSession, sf_dir: str) -> VersionedTable:
     from orderpulse.streaming.dashboard import start_dashboard_stream
 
     base = scratch_path(spark, "dashboard-stream")
-    n = read_table(spark, sf_dir, "lineitem", ["l_orderkey"]).count()
-    export_order_items(spark, sf_dir, f"{base}/items", max(1, math.ceil(n / TARGET_FILES)), fmt="parquet")
-    n_files = len(spark.read.schema(ORDER_ITEM).parquet(f"{base}/items").inputFiles())
+    export_order_items(spark, sf_dir, f"{base}/items", MESSAGES_PER_FILE, fmt="parquet")
     job = streaming_session(spark, STATE_PARTITIONS)
     items = (job.readStream.schema(ORDER_ITEM)
-             .option("maxFilesPerTrigger", str(_files_per_trigger(n_files))).parquet(f"{base}/items"))
+             .option("maxFilesPerTrigger", str(FILES_PER_TRIGGER)).parquet(f"{base}/items"))
     table = VersionedTable(spark, f"{base}/payload")
     q = start_dashboard_stream(items, table, f"{base}/checkpoint", available_now=True)
     q.awaitTermination()

@@ -1,28 +1,27 @@
 """Table sinks: versioned snapshot tables, idempotent appends, JDBC.
 
-``VersionedTable`` replaces the reference's truncate-then-insert reload
-(during which readers could see an empty or partial table) by an atomic
-swap: a snapshot is written as a new version directory, and readers follow
-a pointer that moves only after every part of that version is written.
+``VersionedTable`` replaces a truncate-then-insert reload (during which
+readers could see an empty or partial table) by an atomic swap: a snapshot is
+written as a new version directory, and readers follow a pointer that moves
+only after the version is whole.
 
 Layout under ``root`` (a shared folder, normally below
 ``spark.checkpoint.dir`` or a warehouse path)::
 
-    versions/version=<id>/part=<p>/*.parquet   one folder per part
-    pointer/*.parquet                          rows (version, committed_at)
+    versions/version=<n>/*.parquet        one folder per version
+    pointer/*.parquet                     rows (version, tag, committed_at)
+    staging/snapshot=<key>/part=<p>/      parts of snapshots not yet whole
 
-Only the newest ``keep`` committed versions are retained (older version
-folders are deleted after each commit).
-
-Writing a part overwrites only its own folder (dynamic partition
-overwrite), so a replayed micro-batch rewrites the same files instead of
-adding rows: writes are idempotent, which is what makes the stream safe to
-restart after a lost executor or driver.
+Version numbers are handed out here: the next one is greater than every
+folder and every committed version, whatever batch ids a producer uses, so
+the table outlives checkpoints and restarted producers. ``tag`` names the
+write (query and batch); writing a committed tag again does nothing, which
+makes a replayed micro-batch harmless. Of the committed versions the newest
+``keep`` are kept, and never is the one that the pointer names removed.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,154 +30,153 @@ from orderpulse.session import delete_path, list_dirs, list_files, path_exists
 
 POINTER_SCHEMA = T.StructType([
     T.StructField("version", T.LongType(), False),
+    T.StructField("tag", T.StringType()),
     T.StructField("committed_at", T.TimestampType(), False),
 ])
 
 
 class VersionedTable:
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType | None = None,
-                 keep: int | None = 3):
+                 keep: int = 3):
+        if keep < 1:
+            raise ValueError("keep must be at least 1")
         self.spark = spark
         self.keep = keep
         self.root = root.rstrip("/")
         self.versions = f"{self.root}/versions"
         self.pointer = f"{self.root}/pointer"
+        self.staging = f"{self.root}/staging"
         self.schema = schema
-        # the version this object last committed: a table has one writer, so
-        # the writer need not read its own pointer back
-        self._committed: int | None = None
 
     # -- writing ---------------------------------------------------------
-    def write_parts(self, rows: DataFrame, version_col: str = "version",
-                    part_col: str = "part") -> None:
-        """Write rows carrying ``version`` and ``part`` columns; each
-        (version, part) folder is replaced as a whole."""
-        (rows.write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic")
-         .partitionBy(version_col, part_col)
-         .parquet(self.versions))
-
-    def write_version(self, rows: DataFrame, version: int) -> None:
-        """Write a whole single-part version and commit it."""
-        self.write_parts(rows.select("*", F.lit(version).cast("long").alias("version"),
-                                     F.lit(0).alias("part"),
-                                     F.lit(1).alias("parts")))
-        self.commit(version)
-
-    def commit(self, version: int) -> None:
+    def write_version(self, rows: DataFrame, tag: object = None) -> int:
+        """Write ``rows`` as a new version and commit it; with a ``tag`` that
+        is committed already, do nothing. Returns the version."""
+        tag = None if tag is None else str(tag)
+        log = self._log()
+        for r in log:
+            if tag is not None and r["tag"] == tag:
+                return r["version"]
+        version = 1 + max([-1, *(r["version"] for r in log), *(v for v, _ in self._folders())])
+        rows.write.mode("overwrite").parquet(f"{self.versions}/version={version}")
+        self.commit(version, tag)
+        return version
+
+    def commit(self, version: int, tag: str | None = None) -> None:
         """Move the pointer to ``version`` (appends one pointer row), then
-        drop versions older than the last ``keep`` committed ones."""
-        row = self.spark.range(1).select(F.lit(version).cast("long").alias("version"),
+        drop what is no longer needed."""
+        row = self.spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(tag).cast("string").alias("tag"),
                                          F.current_timestamp().alias("committed_at"))
         row.coalesce(1).write.mode("append").parquet(self.pointer)
-        self._committed = max(version, self._committed) if self._committed is not None else version
-        if self.keep:
-            self.vacuum(self.keep)
+        self.vacuum()
 
-    def vacuum(self, keep: int = 3) -> int:
-        """Delete version folders older than the ``keep`` newest committed
-        versions, so listing cost does not grow with the stream's age.
-        Readers of a just-replaced version keep ``keep - 1`` versions of
-        grace. Runs only once the folder count reaches ``2 * keep`` (a
-        metadata listing), so most commits pay nothing. Returns the number
-        of folders removed."""
-        folders = []
+    def _folders(self) -> list[tuple[int, str]]:
+        found = []
         for name, path in list_dirs(self.spark, self.versions):
-            if name.startswith("version="):
-                try:
-                    folders.append((int(name.split("=", 1)[1]), path))
-                except ValueError:
-                    continue
-        if len(folders) < 2 * keep:
+            if name.startswith("version=") and name[8:].isdigit():
+                found.append((int(name[8:]), path))
+        return found
+
+    def _log(self) -> list:
+        """The pointer's rows; ``vacuum`` bounds their number."""
+        if not path_exists(self.spark, self.pointer):
+            return []
+        return self.spark.read.schema(POINTER_SCHEMA).parquet(self.pointer).collect()
+
+    def vacuum(self) -> int:
+        """Delete version folders that are older than the ``keep`` newest
+        committed ones, once there are twice as many (a metadata listing).
+        Readers of a just-replaced version keep ``keep - 1`` versions of
+        grace. Returns the number of folders removed."""
+        folders = self._folders()
+        if len(folders) < 2 * self.keep:
             return 0
-        committed = (self.spark.read.schema(POINTER_SCHEMA).parquet(self.pointer)
-                     .select("version").distinct()
-                     .orderBy(F.col("version").desc()).limit(keep).collect())
-        if len(committed) < keep:
+        kept = sorted({r["version"] for r in self._log()})[-self.keep:]
+        if len(kept) < self.keep:
             return 0
-        floor = min(r.version for r in committed)
-        self._compact_pointer(floor)
         removed = 0
         for v, path in folders:
-            if v < floor:
+            if v < kept[0]:
                 delete_path(self.spark, path)
                 removed += 1
+        self._compact_pointer()
         return removed
 
-    def commit_complete(self, parts_col: str = "parts") -> int | None:
-        """Commit the newest version whose parts are all written.
-
-        Scans only versions newer than the current one (partition pruning
-        on the ``version`` folder); the result has one row per pending
-        version, so only a handful of small rows reach the driver.
-        """
-        if not path_exists(self.spark, self.versions):
-            return None
-        current = self.current_version()
-        try:
-            staged = self.spark.read.parquet(self.versions)
-        except AnalysisException:  # folder exists but no part written yet
-            return None
-        if current is not None:
-            staged = staged.where(F.col("version") > F.lit(current))
-        done = (staged.groupBy("version")
-                .agg(F.countDistinct("part").alias("have"), F.max(parts_col).alias("need"))
-                .where(F.col("have") >= F.col("need"))
-                .agg(F.max("version").alias("v")).first())
-        newest = done["v"] if done else None
-        if newest is not None:
-            self.commit(int(newest))
-        return newest
-
-    def _compact_pointer(self, floor: int, max_files: int = 32) -> None:
+    def _compact_pointer(self, max_files: int = 32) -> None:
         """Fold the pointer's one-row files into one once there are many;
         the folded file is written before the old ones are removed, so the
-        newest version is always visible."""
+        newest version is always visible. Tags stay for the newest rows."""
         old = [p for name, p in list_files(self.spark, self.pointer) if name.endswith(".parquet")]
         if len(old) <= max_files:
             return
-        rows = (self.spark.read.schema(POINTER_SCHEMA).parquet(*old)
-                .where(F.col("version") >= F.lit(floor)))
-        rows.coalesce(1).write.mode("append").parquet(self.pointer)
+        rows = self.spark.read.schema(POINTER_SCHEMA).parquet(*old).orderBy(F.desc("version")).limit(max_files).collect()
+        self.spark.createDataFrame(rows, POINTER_SCHEMA).coalesce(1).write.mode("append").parquet(self.pointer)
         for path in old:
             delete_path(self.spark, path)
 
+    # -- snapshots in parts ------------------------------------------------
+    def stage(self, parts: DataFrame) -> None:
+        """Write parts of snapshots: rows with ``snapshot`` (sortable text),
+        ``part``, ``parts`` and ``data`` (array of table rows, maybe empty).
+        A part written again replaces itself."""
+        (parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("snapshot", "part").parquet(self.staging))
+
+    def commit_complete(self) -> int | None:
+        """Commit the newest staged snapshot that has all its parts, then
+        drop it and everything staged before it. Only the staged folders are
+        read; one small row a snapshot reaches the driver."""
+        names = [(n, p) for n, p in list_dirs(self.spark, self.staging) if n.startswith("snapshot=")]
+        if not names:
+            return None
+        staged = self.spark.read.option("basePath", self.staging).schema(
+            "snapshot string, part int, parts int, data array<struct<category:string,count:bigint,timestamp:timestamp_ntz,"
+            "updated_at:timestamp>>").parquet(self.staging)
+        whole = (staged.groupBy("snapshot").agg(F.countDistinct("part").alias("have"), F.max("parts").alias("need"))
+                 .where("have >= need").agg(F.max("snapshot").alias("s")).first())["s"]
+        if whole is None:
+            return None
+        entries = staged.where(F.col("snapshot") == whole).select("part", F.posexplode("data").alias("at", "row"))
+        # one row a category: of several entries the last
+        rows = entries.groupBy("row.category").agg(F.max_by("row", F.struct("part", "at")).alias("row")).select("row.*")
+        version = self.write_version(rows, f"snapshot {whole}")
+        for name, path in names:
+            if name[9:] <= whole:
+                delete_path(self.spark, path)
+        return version
+
     # -- reading ---------------------------------------------------------
     def current_version(self) -> int | None:
-        if self._committed is not None:
-            return self._committed
-        if not path_exists(self.spark, self.pointer):
-            return None
-        row = self.spark.read.schema(POINTER_SCHEMA).parquet(self.pointer).agg(
-            F.max("version").alias("v")).first()
-        return None if row is None or row["v"] is None else int(row["v"])
+        return max((r["version"] for r in self._log()), default=None)
 
     def read(self) -> DataFrame:
-        """The committed snapshot (empty with ``schema`` if none yet)."""
+        """The committed snapshot (empty with ``schema`` if none yet). Reads
+        the one version folder."""
         v = self.current_version()
         if v is None:
             if self.schema is None:
                 raise FileNotFoundError(f"no committed version under {self.root}")
             return self.spark.createDataFrame([], self.schema)
-        df = self.spark.read.parquet(self.versions).where(F.col("version") == F.lit(v))
-        return df.drop("version", "part", "parts")
+        reader = self.spark.read.schema(self.schema) if self.schema is not None else self.spark.read
+        return reader.parquet(f"{self.versions}/version={v}")
 
 
-def append_batch(rows: DataFrame, root: str, batch_id: int) -> None:
-    """Append rows tagged with ``batch_id``; replaying a batch replaces its
-    own folder instead of adding the rows again (SNK-06)."""
-    (rows.select("*", F.lit(batch_id).cast("long").alias("batch_id"))
+def append_batch(rows: DataFrame, root: str, batch_id: int, run: str = "") -> None:
+    """Append rows tagged with ``run`` and ``batch_id``; replaying a batch
+    replaces its own rows instead of adding them again (SNK-06). Batches of
+    another run (a fresh checkpoint counts from 0 again) are left alone."""
+    (rows.select("*", F.lit(run).alias("run"), F.lit(batch_id).cast("long").alias("batch_id"))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").parquet(root))
+     .partitionBy("run", "batch_id").parquet(root))
 
 
 def read_appended(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     """Rows of an append table (with their ``batch_id``); empty, with the
     schema, when no batch has written rows yet."""
-    full = T.StructType(list(schema.fields) + [T.StructField("batch_id", T.LongType())])
+    full = T.StructType([*schema.fields, T.StructField("run", T.StringType()), T.StructField("batch_id", T.LongType())])
     if not path_exists(spark, root):
-        return spark.createDataFrame([], full)
-    return spark.read.schema(full).parquet(root)
+        return spark.createDataFrame([], full).drop("run")
+    return spark.read.schema(full).parquet(root).drop("run")
 
 
 def ensure_table(spark: SparkSession, root: str, schema: T.StructType) -> None:
@@ -187,24 +185,37 @@ def ensure_table(spark: SparkSession, root: str, schema: T.StructType) -> None:
         spark.createDataFrame([], schema).write.mode("ignore").parquet(root)
 
 
+def _jdbc(rows: DataFrame, url: str, table: str, properties: dict[str, str] | None):
+    w = rows.write.format("jdbc").option("url", url).option("dbtable", table)
+    for k, v in (properties or {}).items():
+        w = w.option(k, v)
+    return w
+
+
 def write_jdbc_snapshot(rows: DataFrame, url: str, table: str,
                         properties: dict[str, str] | None = None,
                         column_types: str | None = None) -> None:
     """Replace a relational table's rows in one overwrite; ``truncate`` keeps
     the table definition (SNK-08 against a database). Atomicity is whatever
     the database gives one such statement sequence."""
-    w = rows.write.format("jdbc").option("url", url).option("dbtable", table)
-    w = w.option("truncate", "true")
+    w = _jdbc(rows, url, table, properties).option("truncate", "true")
     if column_types:
         w = w.option("createTableColumnTypes", column_types)
-    for k, v in (properties or {}).items():
-        w = w.option(k, v)
     w.mode("overwrite").save()
 
 
-def append_jdbc(rows: DataFrame, url: str, table: str,
+def append_jdbc(rows: DataFrame, url: str, table: str, batch_id: int, run: str = "",
                 properties: dict[str, str] | None = None) -> None:
-    w = rows.write.format("jdbc").option("url", url).option("dbtable", table)
+    """Append rows with the ``run`` and ``batch_id`` that wrote them. A
+    database append cannot replace its own rows, so the batch is skipped when
+    the table holds rows of it already; a batch that failed half-way must be
+    deleted there by these two columns."""
+    spark = rows.sparkSession
+    reader = spark.read.format("jdbc").option("url", url).option(
+        "query", f"SELECT count(*) AS n FROM {table} WHERE run = '{run}' AND batch_id = {int(batch_id)}")
     for k, v in (properties or {}).items():
-        w = w.option(k, v)
-    w.mode("append").save()
+        reader = reader.option(k, v)
+    if reader.load().first()[0]:
+        return
+    tagged = rows.select("*", F.lit(run).alias("run"), F.lit(batch_id).cast("long").alias("batch_id"))
+    _jdbc(tagged, url, table, properties).mode("append").save()

@@ -75,4 +75,4 @@ def read_raw_csv(spark: SparkSession, path: str, multi_line: bool = False) -> Da
 
 def read_message_files(spark: SparkSession, path: str) -> DataFrame:
     """Batch read of message files: one message per line, column ``value``."""
-    return spark.read.text(path)
+    return spark.read.text(path).select("value")

@@ -1,9 +1,10 @@
 """Message sources: a topic broker, or message files as an offline stand-in.
 
-Both give a streaming DataFrame with one string column ``value`` (plus
-``seq``: the arrival time in microseconds, from the broker timestamp or the
-file's modification time), so every downstream operator is the same
-whichever transport is used.
+Both give a streaming DataFrame with one string column ``value`` and the
+arrival: ``seq`` (microseconds, from the broker timestamp or the file's
+modification time), ``source`` (partition or file), ``block`` and, from the
+broker, ``line`` (the offset; files are numbered in the batch). Downstream
+operators are the same whichever transport is used.
 
 The broker connector needs the ``spark-sql-kafka`` package on the cluster's
 classpath; it is not installed here, so tests use the file source.
@@ -30,16 +31,16 @@ def read_topic_stream(spark: SparkSession, topic: str, bootstrap_servers: str,
               .option("failOnDataLoss", str(fail_on_data_loss).lower()))
     if max_offsets_per_trigger:
         reader = reader.option("maxOffsetsPerTrigger", str(max_offsets_per_trigger))
-    raw = reader.load()
     # arrival order across partitions: the broker timestamp (offsets only
     # order messages within one partition)
-    return raw.select(F.col("value").cast("string").alias("value"),
-                      F.unix_micros(F.col("timestamp")).alias("seq"))
+    return reader.load().select(
+        F.col("value").cast("string").alias("value"), F.unix_micros(F.col("timestamp")).alias("seq"),
+        F.col("partition").cast("string").alias("source"), F.lit(0).cast("long").alias("block"),
+        F.col("offset").alias("line"))
 
 
 def read_message_file_stream(spark: SparkSession, path: str,
-                             max_files_per_trigger: int | None = None,
-                             latest_first: bool = False) -> DataFrame:
+                             max_files_per_trigger: int | None = None) -> DataFrame:
     """New message files under ``path``; each line is one message.
 
     ``max_files_per_trigger`` paces the replay (the reference sleeps 0.1 s
@@ -48,21 +49,10 @@ def read_message_file_stream(spark: SparkSession, path: str,
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    if latest_first:
-        reader = reader.option("latestFirst", "true")
     raw = reader.load(path)
     return raw.select(
         "value",
         F.unix_micros(F.col("_metadata.file_modification_time")).alias("seq"),
+        F.col("_metadata.file_name").alias("source"),
+        F.col("_metadata.file_block_start").alias("block"),
     )
-
-
-def read_topic_batch(spark: SparkSession, topic: str, bootstrap_servers: str) -> DataFrame:
-    """Everything currently on ``topic`` as a batch DataFrame."""
-    raw = (spark.read.format("kafka")
-           .option("kafka.bootstrap.servers", bootstrap_servers)
-           .option("subscribe", topic)
-           .option("startingOffsets", "earliest")
-           .option("endingOffsets", "latest").load())
-    return raw.select(F.col("value").cast("string").alias("value"),
-                      F.unix_micros(F.col("timestamp")).alias("seq"))

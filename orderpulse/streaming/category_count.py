@@ -9,8 +9,10 @@ so it kept the state twice and could emit different counts to the two
 sinks; here the state is kept once and every sink sees the same batch.
 
 Fault tolerance: the aggregate's state and the source progress live in the
-checkpoint (a shared folder); every sink below is idempotent per
-``batch_id``, so a batch replayed after a failure rewrites, not duplicates.
+checkpoint (a shared folder). A sink gets the batch id and the id of the
+query; tables and message files use them to make a replayed batch rewrite,
+not duplicate. A topic cannot take a message back: there a batch replayed
+after a failure is sent again, and the loaders bear that.
 """
 
 from __future__ import annotations
@@ -22,10 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from orderpulse.operators.cleaning import parse_item_messages, valid_categories
-from orderpulse.operators.snapshot import envelope_messages, snapshot_parts
+from orderpulse.operators.snapshot import envelope_messages
+from orderpulse.sinks.messages import print_rows
 from orderpulse.sinks.tables import VersionedTable
 
-BatchSink = Callable[[DataFrame, int], None]
+#: result rows, batch id, id of the query
+BatchSink = Callable[[DataFrame, int, str], None]
+#: messages, name of the batch (the same for a replay)
+MessageWriter = Callable[[DataFrame, str], None]
 
 DEFAULT_TRIGGER = "5 seconds"
 
@@ -53,60 +59,64 @@ def category_counts(messages: DataFrame, value: str = "value") -> DataFrame:
     return valid_categories(parsed).groupBy("Category").count()
 
 
-def fan_out(sinks: Sequence[BatchSink]) -> BatchSink:
+def fan_out(sinks: Sequence[BatchSink], checkpoint: str) -> Callable[[DataFrame, int], None]:
     """One batch callback that feeds every sink the same cached result."""
+    from orderpulse.streaming.loaders import run_id
+
+    known: dict[str, str] = {}
+
     def run(batch: DataFrame, batch_id: int) -> None:
+        if "run" not in known:
+            known["run"] = run_id(batch.sparkSession, checkpoint)
         batch.persist()
         try:
             for sink in sinks:
-                sink(batch, batch_id)
+                sink(batch, batch_id, known["run"])
         finally:
             batch.unpersist()
     return run
 
 
-def console_sink(n: int = 1000) -> BatchSink:
-    """Print the result table (SNK-03); shows at most ``n`` rows."""
-    def run(batch: DataFrame, batch_id: int) -> None:
+def console_sink() -> BatchSink:
+    """Print the whole result table (SNK-03)."""
+    def run(batch: DataFrame, batch_id: int, run: str = "") -> None:
         print(f"-- batch {batch_id}")
-        batch.show(n, truncate=False)
+        print_rows(batch)
     return run
 
 
 def snapshot_table_sink(table: VersionedTable) -> BatchSink:
     """Atomically replace the snapshot table with this batch's counts
-    (SNK-07/08/09). Version = batch id, so a replay rewrites the same one."""
+    (SNK-07/08/09). The version is tagged with query and batch, so a replay
+    writes nothing new."""
     from pyspark.sql import functions as F
 
     from orderpulse.functions.time import epoch_to_utc
 
-    def run(batch: DataFrame, batch_id: int) -> None:
+    def run(batch: DataFrame, batch_id: int, run: str = "") -> None:
         rows = batch.select(F.col("Category").alias("category"),
                             F.col("count").cast("long").alias("count"),
                             epoch_to_utc(F.unix_seconds(F.current_timestamp())).alias("timestamp"),
                             F.current_timestamp().alias("updated_at"))
-        table.write_version(rows, batch_id)
+        table.write_version(rows, f"{run} {batch_id}")
     return run
 
 
-def snapshot_message_sink(write: Callable[[DataFrame], None],
-                          max_entries: int = 10_000,
+def snapshot_message_sink(write: MessageWriter, parts: int = 1,
                           clock: Callable[[], float] = time.time) -> BatchSink:
-    """Publish the batch as snapshot envelope messages (SNK-04/05).
+    """Publish the batch as ``parts`` snapshot envelope messages (SNK-04/05).
 
-    An empty batch sends nothing, as in the reference. The only value that
-    reaches the driver is the row count, used to pick the number of parts.
+    Choose ``parts`` for the number of categories that one message should
+    hold; it does not change with the data. An empty batch sends nothing, as
+    in the reference.
     """
-    def run(batch: DataFrame, batch_id: int) -> None:
-        n = batch.count()
-        if n == 0:
-            return
-        parts = snapshot_parts(n, max_entries)
-        write(envelope_messages(batch, batch_id, int(clock()), parts))
+    def run(batch: DataFrame, batch_id: int, run: str = "") -> None:
+        if not batch.isEmpty():
+            write(envelope_messages(batch, batch_id, int(clock()), parts), f"{run}-{batch_id}")
     return run
 
 
-def object_message_sink(write: Callable[[DataFrame], None]) -> BatchSink:
+def object_message_sink(write: MessageWriter) -> BatchSink:
     """Publish each result row as an object message ``{Category, count}``.
 
     With ``output_mode="update"`` a batch holds only the categories whose
@@ -114,8 +124,8 @@ def object_message_sink(write: Callable[[DataFrame], None]) -> BatchSink:
     number of categories; the upsert loader keeps the keyed table."""
     from orderpulse.operators.snapshot import object_messages
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        write(object_messages(batch))
+    def run(batch: DataFrame, batch_id: int, run: str = "") -> None:
+        write(object_messages(batch), f"{run}-{batch_id}")
     return run
 
 
@@ -135,7 +145,7 @@ def start_category_count(messages: DataFrame, checkpoint: str, sinks: Sequence[B
     counts = category_counts(messages)
     writer = (counts.writeStream.outputMode(output_mode)
               .option("checkpointLocation", checkpoint)
-              .foreachBatch(fan_out(sinks)))
+              .foreachBatch(fan_out(sinks, checkpoint)))
     if query_name:
         writer = writer.queryName(query_name)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)

@@ -20,6 +20,7 @@ from orderpulse.operators import topk
 from orderpulse.operators.kpis import COMPLETE_ITEMS, complete_items, kpi_summary_from_partials
 from orderpulse.operators.measures import N_ITEMS, SALES, SALES_N, with_item_measures
 from orderpulse.sinks.tables import VersionedTable
+from orderpulse.streaming.loaders import run_id
 
 DEFAULT_REFRESH = "5 seconds"
 
@@ -59,7 +60,7 @@ def start_dashboard_stream(items: DataFrame, table: VersionedTable, checkpoint:
     def run(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            table.write_version(payload_sections(batch, top_n), batch_id)
+            table.write_version(payload_sections(batch, top_n), f"{run_id(batch.sparkSession, checkpoint)} {batch_id}")
         finally:
             batch.unpersist()
 

@@ -54,9 +54,36 @@ def test_bytes_to_string(spark):
 def test_print_and_console_sink(spark, capsys):
     df = spark.createDataFrame([("hello",)], "value string")
     print_messages(df)
-    console_sink(10)(spark.createDataFrame([("A", 1)], "Category string, count long"), 3)
+    console_sink()(spark.range(3000).selectExpr("cast(id as string) as Category", "id as count"), 3)
     out = capsys.readouterr().out
-    assert "hello" in out and "-- batch 3" in out and "A" in out
+    assert "hello" in out and "-- batch 3" in out and "\n2999\t2999" in out   # every row
+
+
+def test_quoted_fields(spark, scratch):
+    from orderpulse.session import local_path
+    p = scratch("quoted")
+    write_text(local_path(p), 'item_id,Category,extra\n1,"he said ""x"", ok",2\n2,"two\nlines",3\n')
+    rows = read_named_csv(spark, p, ["item_id", "Category", "extra"], multi_line=True).collect()
+    assert [tuple(r) for r in rows] == [("1", 'he said "x", ok', "2"), ("2", "two\nlines", "3")]
+
+
+def test_lines_of_the_wrong_width_are_set_aside(spark, scratch):
+    from pyspark.sql import types as T
+
+    from orderpulse.session import local_path
+    from orderpulse.sources.files import read_typed_csv
+    p = scratch("width")
+    write_text(local_path(p), "a,b\n1,2\n3\n4,x\n5,6,7\n")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    rows = read_typed_csv(spark, p, schema, corrupt="bad").collect()
+    assert [(r.a, r.b, r.bad) for r in rows] == [(1, 2, None), (3, None, "3"), (4, None, "4,x"), (5, 6, "5,6,7")]
+
+
+def test_positional_csv_with_a_short_first_line(spark, scratch):
+    from orderpulse.session import local_path
+    p = scratch("ragged")
+    write_text(local_path(p), "a,b\n1,2,3,4,5,6,7,8,9,F\n1,2,3,4,5,6,7,8,9,M,x\n")
+    assert [r.value for r in read_positional_csv(spark, p, 9).collect()] == ["F", "M"]
 
 
 def test_ensure_table_creates_schema_once(spark, scratch):
@@ -96,6 +123,8 @@ def test_jdbc_reader_argument_checks(spark):
     with pytest.raises(ValueError):
         read_jdbc(spark, "jdbc:none://x", query="select 1", partition_column="id",
                   lower_bound=0, upper_bound=10)
+    with pytest.raises(ValueError):
+        read_jdbc(spark, "jdbc:none://x", table="t", partition_column="id")     # no bounds
 
 
 def test_update_mode_is_validated(spark, scratch):

@@ -74,13 +74,24 @@ def test_all_three_shapes_read(spark):
 def test_envelope_split_into_parts(spark):
     counts = spark.range(1000).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("Category"),
                                       F.col("id").alias("count"))
-    parts = snapshot.snapshot_parts(1000, max_entries=100)
-    env = snapshot.envelope_messages(counts, 1, 0, parts)
+    env = snapshot.envelope_messages(counts, 1, 0, 16)
     rows = snapshot.envelope_rows(env)
-    assert rows.count() == 1000
+    assert rows.count() == 1000 and env.count() == 16
     sizes = [r.n for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()]
-    assert len(sizes) == parts and max(sizes) <= 100
-    assert {r.parts for r in rows.select("parts").distinct().collect()} == {parts}
+    assert len(sizes) == 16 and max(sizes) <= 120
+    assert {r.parts for r in rows.select("parts").distinct().collect()} == {16}
+    few = snapshot.envelope_messages(counts.limit(3), 1, 0, 16)     # parts without entries are sent
+    assert few.count() == 16 and snapshot.envelope_rows(few).count() == 3
+
+
+def test_strict_json(spark):
+    from orderpulse.functions.json import is_wellformed_json
+
+    good = ['{"a":1}', "[1,2]", "7", ' {"a": "]"} ', '"x"', "null", '{"a": "it\'s"}', "[]", "{}"]
+    bad = ['{"Category":"a","count":1}] junk', "{'Category':'a','count':1}", "1],[2", "", " ", "1,2", "123 and more", "{"]
+    df = msgs(spark, good + bad + [None])
+    got = [r.ok for r in df.select(is_wellformed_json("value").alias("ok")).collect()]
+    assert got == [True] * len(good) + [False] * (len(bad) + 1)
 
 
 def test_latest_per_key(spark):

@@ -105,6 +105,37 @@ def _formatted(spark, df):
     return df._jdf.queryExecution().explainString(mode)
 
 
+@pytest.mark.parametrize("name", ["total_orders", "total_sales", "avg_order_value_page", "avg_order_value_sql"])
+def test_totals_scan_once_without_a_join(spark, name):
+    plan = _plan(E.queries()[name](spark, SF_SMALL)).split("== Initial Plan ==")[0]
+    assert "Join" not in plan and plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+    assert "Exchange SinglePartition" in plan
+
+
+def test_a_hot_part_key_is_split(spark):
+    """Item rows join ``part`` by an exchange on both sides, which adaptive
+    execution splits when one part holds a third of the items."""
+    from orderpulse.plans.fact import part_columns
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        items = spark.range(0, 300_000, 1, 8).selectExpr(
+            "if(id % 3 = 0, 7, id % 5000) as l_partkey", "id as l_orderkey", "uuid() as pad")
+        parts = part_columns(spark.range(5000).selectExpr("id as p_partkey", "concat('t', id % 9) as p_type"))
+        joined = items.join(parts, items.l_partkey == parts.p_partkey)
+        joined.write.format("noop").mode("overwrite").save()
+        assert joined.count() == 300_000
+        joined.collect()[:1]
+        assert "skew=true" in _plan(joined) or "isSkewJoin=true" in _plan(joined)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_keyset_page_pushes_the_key_filter_into_the_scan(spark):
     text = _formatted(spark, E.queries()["order_page_after"](spark, SF_SMALL))
     assert "PushedFilters: [IsNotNull(o_orderkey), GreaterThan(o_orderkey,9999)]" in text

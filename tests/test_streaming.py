@@ -5,7 +5,7 @@ import json
 
 from orderpulse.functions.time import utc_to_epoch
 
-from orderpulse.sinks.messages import write_message_files
+from orderpulse.sinks.messages import write_message_batch, write_message_files
 from orderpulse.sinks.tables import VersionedTable, append_batch
 from orderpulse.sources.topic import read_message_file_stream
 from orderpulse.streaming.category_count import (
@@ -62,7 +62,8 @@ def test_snapshot_messages_and_loader(spark, scratch):
     for b in range(2):
         write_lines(spark, src, [item(b, "A"), item(b + 10, "B")])
     table = VersionedTable(spark, f"{base}/table")
-    sink = snapshot_message_sink(lambda m: write_message_files(m, f"{base}/results"), clock=lambda: 1700000000)
+    sink = snapshot_message_sink(lambda m, batch: write_message_batch(m, f"{base}/results", batch),
+                                 clock=lambda: 1700000000)
     run_counts(spark, src, f"{base}/ckpt", table, [sink])
     msgs = [json.loads(r.value) for r in spark.read.text(f"{base}/results").collect()]
     assert len(msgs) == 2 and all(m["timestamp"] == 1700000000 for m in msgs)
@@ -82,11 +83,11 @@ def test_shrinking_snapshot_and_replay(spark, scratch):
     table = VersionedTable(spark, f"{base}/t")
 
     def env(sid, data, part=0, parts=1):
-        return json.dumps({"timestamp": 1, "snapshot_id": sid, "part": part, "parts": parts,
+        return json.dumps({"timestamp": sid, "snapshot_id": sid, "part": part, "parts": parts,
                            "data": [{"Category": c, "count": n} for c, n in data]})
 
     b1 = spark.createDataFrame([(env(1, [("A", 1), ("B", 1)]),)], "value string")
-    assert apply_snapshots(b1, table) == 1
+    assert apply_snapshots(b1, table) == 0
     assert as_dict(table.read()) == {"A": 1, "B": 1}
     b2 = spark.createDataFrame([(env(2, [("A", 5), ("", 3), (None, 1), ("Z", None)]),), (None,), ("bad",)],
                                "value string")
@@ -107,20 +108,25 @@ def test_append_is_idempotent_per_batch(spark, scratch):
     append_batch(rows, root, 0)
     append_batch(rows, root, 0)
     append_batch(rows, root, 1)
+    append_batch(rows, root, 0, "another run")   # a fresh checkpoint counts from 0 again
     df = spark.read.parquet(root)
-    assert df.count() == 2 and {r.batch_id for r in df.collect()} == {0, 1}
+    assert df.count() == 3 and {r.batch_id for r in df.collect()} == {0, 1}
 
 
 def test_append_loader_quarantines(spark, scratch):
     base = scratch("append-loader")
     write_lines(spark, f"{base}/in", [json.dumps({"Category": "A", "count": 3}), "bad",
-                                      json.dumps({"Category": "", "count": 1}), "[1,2]"])
+                                      json.dumps({"Category": "", "count": 1}), "7",
+                                      json.dumps([{"Category": "B", "count": 1}]), '{"Category":"a","count":1}] junk',
+                                      json.dumps({"timestamp": 1, "data": [{"Category": "C", "count": 2}]}),
+                                      json.dumps({"timestamp": 1, "data": []}), "{'Category':'a','count':1}"])
     stream = read_message_file_stream(spark, f"{base}/in")
     q = start_append_loader(stream, f"{base}/t", f"{base}/q", f"{base}/ckpt", available_now=True)
     q.awaitTermination()
-    assert [(r.Category, r["count"]) for r in spark.read.parquet(f"{base}/t").collect()] == [("A", 3)]
+    assert sorted((r.Category, r["count"]) for r in spark.read.parquet(f"{base}/t").collect()) == [
+        ("A", 3), ("B", 1), ("C", 2)]
     reasons = sorted(r.reason for r in spark.read.parquet(f"{base}/q").collect())
-    assert reasons == ["array", "invalid_entry", "malformed"]
+    assert reasons == ["invalid_entry", "malformed", "malformed", "malformed", "other"]
 
 
 def test_upsert_last_write_wins(spark, scratch):
@@ -130,15 +136,18 @@ def test_upsert_last_write_wins(spark, scratch):
         return json.dumps({"timestamp": ts, "snapshot_id": 0, "part": 0, "parts": 1,
                            "data": [{"Category": c, "count": n}]})
 
-    write_lines(spark, f"{base}/in", [env(10, "A", 1), env(20, "A", 2), env(15, "B", 7)])
-    write_lines(spark, f"{base}/in", [env(5, "A", 99), env(30, "B", 8)])
+    write_lines(spark, f"{base}/in", [env(10, "A", 10), env(10, "A", 4), env(15, "B", 7)])
     table = VersionedTable(spark, f"{base}/t")
+    q = start_upsert_loader(read_message_file_stream(spark, f"{base}/in"), table, f"{base}/ckpt", available_now=True)
+    q.awaitTermination()
+    assert as_dict(table.read()) == {"A": 4, "B": 7}   # the later, smaller count of the same second
+    write_lines(spark, f"{base}/in", [env(5, "A", 99), env(30, "B", 8)])
     stream = read_message_file_stream(spark, f"{base}/in", max_files_per_trigger=1)
     q = start_upsert_loader(stream, table, f"{base}/ckpt", available_now=True)
     q.awaitTermination()
     got = {r.category: (r["count"], r.e) for r in
            table.read().select("category", "count", utc_to_epoch("timestamp").alias("e")).collect()}
-    assert got == {"A": (2, 20), "B": (8, 30)}
+    assert got == {"A": (99, 5), "B": (8, 30)}
 
 
 def test_versioned_table_keeps_recent_versions(spark, scratch):
@@ -165,6 +174,73 @@ def test_read_appended_before_any_rows(spark, scratch):
     assert df.count() == 0 and df.columns == ["Category", "count", "batch_id"]
 
 
+def test_version_numbers_outlive_a_fresh_checkpoint(spark, scratch):
+    table = VersionedTable(spark, scratch("fresh"))
+    for batch in range(8):
+        table.write_version(spark.createDataFrame([("A", batch)], "category string, count long"), f"one {batch}")
+    for batch in range(2):
+        table.write_version(spark.createDataFrame([("B", batch)], "category string, count long"), f"two {batch}")
+        assert as_dict(table.read()) == {"B": batch}
+    assert table.write_version(spark.createDataFrame([("C", 9)], "category string, count long"), "two 1") == 9
+    assert as_dict(VersionedTable(spark, table.root).read()) == {"B": 1}    # the replay wrote nothing
+
+
+def test_empty_version_is_read_and_updated(spark, scratch):
+    base = scratch("empty-version")
+    table = VersionedTable(spark, f"{base}/t")
+    table.write_version(spark.createDataFrame([], "category string, count long"))
+    assert table.read().count() == 0
+    write_lines(spark, f"{base}/in", ["junk"])
+    keyed = VersionedTable(spark, f"{base}/k")
+
+    def run():
+        start_upsert_loader(read_message_file_stream(spark, f"{base}/in"), keyed, f"{base}/ck",
+                            available_now=True).awaitTermination()
+    run()
+    write_lines(spark, f"{base}/in", [json.dumps({"Category": "A", "count": 1})])
+    run()
+    assert as_dict(keyed.read()) == {"A": 1}
+
+
+def test_plain_envelopes_arrays_and_empty_snapshots(spark, scratch):
+    base = scratch("plain")
+    table = VersionedTable(spark, f"{base}/t")
+
+    def load(*messages):
+        return apply_snapshots(spark.createDataFrame([(m,) for m in messages], "value string").coalesce(1), table)
+
+    load(json.dumps({"timestamp": 10, "data": [{"Category": "A", "count": 1}, {"Category": "A", "count": 2}]}))
+    assert as_dict(table.read()) == {"A": 2}           # one row a category: the last entry
+    load(json.dumps({"timestamp": 30, "data": [{"Category": "B", "count": 1}]}),
+         json.dumps({"timestamp": 20, "data": [{"Category": "C", "count": 1}]}))
+    assert as_dict(table.read()) == {"B": 1}
+    load(json.dumps({"timestamp": 40, "data": []}))
+    assert as_dict(table.read()) == {}
+    again = spark.createDataFrame([('[{"Category": "D", "count": 4}]', 50_000_000)], "value string, seq long")
+    apply_snapshots(again, table)
+    assert as_dict(table.read()) == {"D": 4}
+
+
+def test_existence_is_asked_of_the_default_file_system(spark, scratch):
+    from orderpulse.session import _fs_path, path_exists
+
+    root = scratch("mount")
+    spark.range(1).write.parquet(f"{root}/log")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.viewfs.mounttable.shop.link./shared", root if "://" in root else f"file://{root}")
+    conf.set("fs.defaultFS", "viewfs://shop/")
+    try:
+        assert path_exists(spark, "/shared/log") and not path_exists(spark, "/shared/none")
+        assert "viewfs" in _fs_path(spark, "/shared/log")[0].getUri().toString()
+        assert spark.read.parquet("/shared/log").count() == 1
+        table = VersionedTable(spark, "/shared/t")
+        table.write_version(spark.range(2).select("id"))
+        assert VersionedTable(spark, "/shared/t").read().count() == 2
+    finally:
+        conf.set("fs.defaultFS", before)
+
+
 def test_stream_result_independent_of_state_partitions(spark, scratch):
     base = scratch("invariance")
     src = f"{base}/in"
@@ -187,10 +263,10 @@ def test_update_mode_publishes_changes_and_upsert_keeps_totals(spark, scratch):
     write_lines(spark, src, [item(4, "A")])                       # only A changes
     job = streaming_session(spark, 2)
     q = start_category_count(read_message_file_stream(job, src, max_files_per_trigger=1),
-                             f"{base}/ck", [object_message_sink(lambda m: write_message_files(m, f"{base}/out"))],
+                             f"{base}/ck", [object_message_sink(lambda m, b: write_message_batch(m, f"{base}/out", b))],
                              available_now=True, output_mode="update")
     q.awaitTermination()
-    sent = sorted((r.value for r in spark.read.text(f"{base}/out").collect()))
+    sent = sorted((r.value for r in spark.read.text(f"{base}/out").select("value").collect()))
     assert sent == ['{"Category":"A","count":2}', '{"Category":"A","count":3}', '{"Category":"B","count":1}']
     table = VersionedTable(spark, f"{base}/keyed")
     up = start_upsert_loader(read_message_file_stream(spark, f"{base}/out"), table, f"{base}/ck2",
@@ -204,7 +280,7 @@ def test_crash_after_the_write_replays_without_duplicates(spark, scratch):
 
     from orderpulse.schemas import CATEGORY_COUNT
     from orderpulse.sinks.tables import read_appended
-    from orderpulse.streaming.loaders import split_object_messages
+    from orderpulse.streaming.loaders import split_messages
 
     base = scratch("crash")
     for b in range(3):
@@ -213,7 +289,7 @@ def test_crash_after_the_write_replays_without_duplicates(spark, scratch):
     crash = {"armed": True}
 
     def sink(batch, batch_id):
-        good, _ = split_object_messages(batch)
+        good, _ = split_messages(batch)
         append_batch(good, f"{base}/t", batch_id)
         if batch_id == 1 and crash["armed"]:      # the write landed; the batch never commits
             crash["armed"] = False
@@ -243,12 +319,12 @@ def test_crash_before_pointer_moves_keeps_the_old_snapshot(spark, scratch):
     real_commit = VersionedTable.commit
     crash = {"armed": True}
 
-    def flaky_commit(self, version):
+    def flaky_commit(self, version, tag=None):
         if version == 1 and crash["armed"]:       # parts of version 1 are written, pointer not moved
             crash["armed"] = False
             assert as_dict(VersionedTable(spark, f"{base}/t").read()) == {"A": 1, "B": 1}
             raise RuntimeError("simulated failure before the pointer moves")
-        real_commit(self, version)
+        real_commit(self, version, tag)
 
     VersionedTable.commit = flaky_commit
     try:
