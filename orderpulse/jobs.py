@@ -146,11 +146,14 @@ def cmd_append(spark: SparkSession, args) -> None:
 
 
 def cmd_upsert(spark: SparkSession, args) -> None:
+    from orderpulse.schemas import CATEGORY_STATS
+    from orderpulse.sinks.tables import KeyedTable
     from orderpulse.streaming.category_count import streaming_session
     from orderpulse.streaming.loaders import start_upsert_loader
 
     job = streaming_session(spark, args.state_partitions)
-    q = start_upsert_loader(_messages(job, args, args.max_per_trigger), _table(spark, args.table), args.checkpoint,
+    table = KeyedTable(spark, args.table, CATEGORY_STATS, "category")
+    q = start_upsert_loader(_messages(job, args, args.max_per_trigger), table, args.checkpoint,
                             available_now=args.available_now, trigger=args.trigger,
                             target=_relational(args, snapshot=True))
     _run(q, args)

@@ -17,7 +17,7 @@ from orderpulse.operators.snapshot import array_message, envelope_messages, enve
 from orderpulse.session import scratch_path
 from orderpulse.sinks.messages import item_messages, write_message_batch
 from orderpulse.schemas import CATEGORY_COUNT, CATEGORY_STATS, QUARANTINE
-from orderpulse.sinks.tables import VersionedTable, read_appended
+from orderpulse.sinks.tables import KeyedTable, VersionedTable, read_appended
 from orderpulse.sources.files import read_message_files
 from orderpulse.sources.tables import read_table
 from orderpulse.sources.topic import read_message_file_stream
@@ -238,7 +238,7 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = ev.select(utc_to_epoch("ts").alias("timestamp"), F.col("event_type").alias("Category"),
                       F.col("event_id").alias("count"))
     _write_split(envelopes(first), f"{base}/in")
-    table = VersionedTable(spark, f"{base}/table", CATEGORY_STATS)
+    table = KeyedTable(spark, f"{base}/table", CATEGORY_STATS, "category", buckets=8)
 
     def load() -> None:
         job = streaming_session(spark, STATE_PARTITIONS)

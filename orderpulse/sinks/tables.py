@@ -22,7 +22,9 @@ makes a replayed micro-batch harmless. Of the committed versions the newest
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,6 +163,80 @@ class VersionedTable:
         return reader.parquet(f"{self.versions}/version={v}")
 
 
+class KeyedTable(VersionedTable):
+    """A table of one row per ``key``, cut into ``buckets`` by a hash of the
+    key. A version writes only the buckets that an update touches; its
+    manifest (one number per bucket, kept beside the pointer) says which
+    version holds each bucket now. So an update costs what it touches, not
+    the table, and readers still see one whole version.
+
+        versions/version=<n>/bucket=<b>/*.parquet
+        manifests/version=<n>/*.parquet        rows (bucket, held_by)
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str, buckets: int = 64, keep: int = 3):
+        super().__init__(spark, root, schema, keep)
+        self.key, self.buckets = key, buckets
+        self.manifests = f"{self.root}/manifests"
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def _manifest(self, version: int | None) -> dict[int, int]:
+        if version is None:
+            return {}
+        rows = self.spark.read.schema("bucket int, held_by long").parquet(f"{self.manifests}/version={version}").collect()
+        return {r["bucket"]: r["held_by"] for r in rows}
+
+    def _rows(self, held: dict[int, int]) -> DataFrame:
+        if not held:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(
+            *[f"{self.versions}/version={v}/bucket={b}" for b, v in sorted(held.items())])
+
+    def merge(self, updates: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame], tag: object = None) -> int | None:
+        """Replace the buckets that ``updates`` touch by ``combine(current
+        rows of those buckets, updates)``. Returns the number of buckets
+        written, or None when ``tag`` is committed already."""
+        log = self._log()
+        tag = None if tag is None else str(tag)
+        if tag is not None and any(r["tag"] == tag for r in log):
+            return None
+        touched = sorted(r[0] for r in updates.select(self.bucket()).distinct().collect())
+        if not touched:
+            return 0
+        current = max((r["version"] for r in log), default=None)
+        held = self._manifest(current)
+        version = 1 + max([-1, *(r["version"] for r in log), *(v for v, _ in self._folders())])
+        rows = combine(self._rows({b: held[b] for b in touched if b in held}), updates)
+        (rows.withColumn("bucket", self.bucket()).repartition("bucket").write.mode("overwrite")
+         .partitionBy("bucket").parquet(f"{self.versions}/version={version}"))
+        held.update(dict.fromkeys(touched, version))
+        (self.spark.createDataFrame(sorted(held.items()), "bucket int, held_by long").coalesce(1)
+         .write.mode("overwrite").parquet(f"{self.manifests}/version={version}"))
+        self.commit(version, tag)
+        return len(touched)
+
+    def vacuum(self) -> int:
+        """Delete the version folders that no kept manifest names."""
+        folders = self._folders()
+        if len(folders) < 2 * self.keep + self.buckets:
+            return 0
+        kept = sorted({r["version"] for r in self._log()})[-self.keep:]
+        named = {v for k in kept for v in self._manifest(k).values()}
+        removed = 0
+        for v, path in folders:
+            if v < kept[0] and v not in named:
+                delete_path(self.spark, path)
+                delete_path(self.spark, f"{self.manifests}/version={v}")
+                removed += 1
+        self._compact_pointer()
+        return removed
+
+    def read(self) -> DataFrame:
+        return self._rows(self._manifest(self.current_version()))
+
+
 def append_batch(rows: DataFrame, root: str, batch_id: int, run: str = "") -> None:
     """Append rows tagged with ``run`` and ``batch_id``; replaying a batch
     replaces its own rows instead of adding them again (SNK-06). Batches of

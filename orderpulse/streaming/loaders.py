@@ -32,8 +32,7 @@ from pyspark.sql.streaming import StreamingQuery
 from orderpulse.functions.json import SHAPE_ARRAY, SHAPE_ENVELOPE
 from orderpulse.functions.time import epoch_to_utc
 from orderpulse.operators.snapshot import latest_per_key, parsed_messages
-from orderpulse.schemas import CATEGORY_STATS
-from orderpulse.sinks.tables import VersionedTable, append_batch
+from orderpulse.sinks.tables import KeyedTable, VersionedTable, append_batch
 
 #: rows, batch id, run
 RowSink = Callable[[DataFrame, int, str], None]
@@ -181,19 +180,13 @@ def updates_of(batch: DataFrame) -> DataFrame:
                        epoch_to_utc(seconds).alias("timestamp"), *ARRIVAL, "entry")
 
 
-def start_upsert_loader(messages: DataFrame, table: VersionedTable, checkpoint: str,
+def start_upsert_loader(messages: DataFrame, table: KeyedTable, checkpoint: str,
                         available_now: bool = False, trigger: str = "1 second",
                         target: RowSink | None = None) -> StreamingQuery:
     def run(batch: DataFrame, batch_id: int, run: str) -> None:
         updates = updates_of(batch).persist()
         try:
-            if updates.isEmpty():
-                return
-            current = table.read() if table.current_version() is not None else \
-                batch.sparkSession.createDataFrame([], CATEGORY_STATS)
-            # lineage of the new version includes the old one; writing it cuts it
-            table.write_version(upsert_rows(current, updates), f"{run} {batch_id}")
-            if target is not None:
+            if table.merge(updates, upsert_rows, f"{run} {batch_id}") and target is not None:
                 target(table.read(), batch_id, run)
         finally:
             updates.unpersist()

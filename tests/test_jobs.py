@@ -1,7 +1,8 @@
 """The runnable jobs chained end to end on message folders."""
 
 from orderpulse import jobs
-from orderpulse.sinks.tables import VersionedTable
+from orderpulse.schemas import CATEGORY_STATS
+from orderpulse.sinks.tables import KeyedTable, VersionedTable
 
 
 def test_publish_count_reload_upsert_chain(spark, scratch, capsys):
@@ -30,7 +31,7 @@ def test_publish_count_reload_upsert_chain(spark, scratch, capsys):
     assert '"Category":"B"' in capsys.readouterr().out
     jobs.main(["upsert", "--messages", f"{base}/res", "--checkpoint", f"{base}/ck3",
                "--table", f"{base}/keyed", "--available-now"], spark)
-    assert {r.category: r["count"] for r in VersionedTable(spark, f"{base}/keyed").read().collect()} == stats
+    assert {r.category: r["count"] for r in KeyedTable(spark, f"{base}/keyed", CATEGORY_STATS, "category").read().collect()} == stats
 
 
 def test_kpis_job_prints(spark, scratch, capsys):

@@ -6,7 +6,8 @@ import json
 from orderpulse.functions.time import utc_to_epoch
 
 from orderpulse.sinks.messages import write_message_batch, write_message_files
-from orderpulse.sinks.tables import VersionedTable, append_batch
+from orderpulse.schemas import CATEGORY_STATS
+from orderpulse.sinks.tables import KeyedTable, VersionedTable, append_batch
 from orderpulse.sources.topic import read_message_file_stream
 from orderpulse.streaming.category_count import (
     category_counts, snapshot_message_sink, snapshot_table_sink, start_category_count,
@@ -34,6 +35,10 @@ def run_counts(spark, src, ckpt, table, extra_sinks=(), state_partitions=None):
     return q
 
 
+def keyed_table(spark, root, **options):
+    return KeyedTable(spark, root, CATEGORY_STATS, "category", **options)
+
+
 def as_dict(df, k="category", v="count"):
     return {r[k]: r[v] for r in df.collect()}
 
@@ -137,7 +142,7 @@ def test_upsert_last_write_wins(spark, scratch):
                            "data": [{"Category": c, "count": n}]})
 
     write_lines(spark, f"{base}/in", [env(10, "A", 10), env(10, "A", 4), env(15, "B", 7)])
-    table = VersionedTable(spark, f"{base}/t")
+    table = keyed_table(spark, f"{base}/t")
     q = start_upsert_loader(read_message_file_stream(spark, f"{base}/in"), table, f"{base}/ckpt", available_now=True)
     q.awaitTermination()
     assert as_dict(table.read()) == {"A": 4, "B": 7}   # the later, smaller count of the same second
@@ -191,7 +196,7 @@ def test_empty_version_is_read_and_updated(spark, scratch):
     table.write_version(spark.createDataFrame([], "category string, count long"))
     assert table.read().count() == 0
     write_lines(spark, f"{base}/in", ["junk"])
-    keyed = VersionedTable(spark, f"{base}/k")
+    keyed = keyed_table(spark, f"{base}/k")
 
     def run():
         start_upsert_loader(read_message_file_stream(spark, f"{base}/in"), keyed, f"{base}/ck",
@@ -268,7 +273,7 @@ def test_update_mode_publishes_changes_and_upsert_keeps_totals(spark, scratch):
     q.awaitTermination()
     sent = sorted((r.value for r in spark.read.text(f"{base}/out").select("value").collect()))
     assert sent == ['{"Category":"A","count":2}', '{"Category":"A","count":3}', '{"Category":"B","count":1}']
-    table = VersionedTable(spark, f"{base}/keyed")
+    table = keyed_table(spark, f"{base}/keyed")
     up = start_upsert_loader(read_message_file_stream(spark, f"{base}/out"), table, f"{base}/ck2",
                              available_now=True)
     up.awaitTermination()
@@ -336,3 +341,25 @@ def test_crash_before_pointer_moves_keeps_the_old_snapshot(spark, scratch):
     finally:
         VersionedTable.commit = real_commit
     assert as_dict(VersionedTable(spark, f"{base}/t").read()) == {"A": 2, "B": 1}
+
+
+def test_an_update_rewrites_only_its_buckets(spark, scratch):
+    from orderpulse.session import list_dirs
+    from orderpulse.streaming.loaders import updates_of, upsert_rows
+
+    table = keyed_table(spark, scratch("buckets"), buckets=8, keep=2)
+
+    def merge(pairs, tag):
+        lines = [(json.dumps({"Category": c, "count": n}),) for c, n in pairs]
+        return table.merge(updates_of(spark.createDataFrame(lines, "value string").coalesce(1)), upsert_rows, tag)
+
+    want = {f"c{i}": i for i in range(100)}
+    assert merge(want.items(), "a") == 8
+    for i in range(30):
+        want[f"c{i % 3}"] = 1000 + i
+        assert merge([(f"c{i % 3}", 1000 + i)], f"b{i}") == 1      # one bucket of eight
+        assert merge([(f"c{i % 3}", -1)], f"b{i}") is None         # a replay writes nothing
+    assert as_dict(table.read()) == want
+    assert as_dict(keyed_table(spark, table.root, buckets=8).read()) == want
+    folders = {n for n, _ in list_dirs(spark, table.versions)}
+    assert "version=0" in folders and len(folders) < 25            # old versions of the hot buckets are gone
