@@ -23,8 +23,8 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the lines that another document holds; ``n_chars`` follows.
-    A document that loses all its lines goes (one that was empty before stays)."""
-    out = line_dedup.dedup_lines(docs).where((F.col("n_dropped") < F.col("n_lines")) | (F.col("n_dropped") == 0))
+    Every document stays, also one that has lost all its lines."""
+    out = line_dedup.dedup_lines(docs)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
