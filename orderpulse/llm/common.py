@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orderpulse.session import checkpoint_root, scratch_path
+from orderpulse.session import checkpoint_root, delete_path, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -28,6 +30,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, Callable[[], None]]:
+    """Like ``materialize``, in files bucketed by ``key``: later joins and
+    groups by the key read them without a shuffle of this side. The second
+    value removes the table once nothing reads it any more."""
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    path = scratch_path(spark, f"llm-{name}")
+    called = path.rsplit("/", 1)[1].replace("-", "_")
+    (df.write.option("compression", "zstd").option("path", path)
+     .bucketBy(shuffle_partitions(spark), key).saveAsTable(called))
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {called}")
+        delete_path(spark, path)
+
+    return spark.table(called), drop
+
+
 def isolate(docs: DataFrame, **roles: str) -> DataFrame:
     """The columns that an operator reads under its own names, and all other
     columns in the struct ``rest``, so that no name of theirs can clash."""

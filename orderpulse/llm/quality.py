@@ -10,7 +10,7 @@ are in trusted text.
 Counts are joined shard by shard:
 
 1. ``blocks``: each batch of documents becomes one row with its compressed
-   word ids (the only form in which texts are shuffled).
+   word ids, written once in buckets; neither texts nor words are shuffled.
 2. ``counts``: blocks send the distinct bigrams of their trusted documents to
    shards, ranges of a mixed 40-bit bigram key. A frequent bigram arrives
    once a block, so no key is hot. A shard sums its bigrams and adds up, for
@@ -18,7 +18,7 @@ Counts are joined shard by shard:
    Those per-word sums have ``VOCAB`` cells however large the corpus is; they
    are merged by Spark and broadcast.
 3. ``scores``: blocks ask each shard for the counts of their distinct
-   bigrams; the answers (small numbers, well compressed) meet the block again
+   bigrams of known words; the answers (small numbers, well compressed) meet the block again
    and give the log probability of every document.
 
 A document is rejected when its perplexity, shrunk towards the median of its
@@ -37,7 +37,7 @@ never trusted. An empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderpulse.llm.common import isolate, materialize, restore, shuffle_partitions, spread
+from orderpulse.llm.common import isolate, materialize, materialize_bucketed, restore, shuffle_partitions, spread
 
 BITS = 20
 VOCAB = 1 << BITS
@@ -58,6 +58,8 @@ HELD_OUT = 5
 PRIOR_WORDS = 32
 UPPER, MIDDLE, MARGIN = 0.99, 0.5, 0.5
 MIN_HELD_OUT = 20
+#: languages whose quantiles are broadcast; more are joined by a shuffle
+MAX_BROADCAST_LANGS = 10_000
 PARTS = 64  # of the per-word sums
 _MASK = np.uint64((1 << 2 * BITS) - 1)
 _HALF = np.uint64(BITS)
@@ -245,7 +247,11 @@ class Model:
         total = max(follows.sum(), 1.0)
         mass = low[kind].sum() / total if follows.any() else 1.0
         self.follows = np.maximum(follows - low[kind], 0.0) / total + mass / VOCAB
-        self.trained = bool(follows.any())
+        self.opens, self.ends = context > 0, follows > 0
+
+    def known(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Where a count may be above zero: both words occur in their places."""
+        return self.opens[before.astype(np.int64)] & self.ends[ids.astype(np.int64)]
 
     def bits(self, before: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         before, ids = before.astype(np.int64), ids.astype(np.int64)
@@ -253,12 +259,13 @@ class Model:
         return -np.log2(own + self.spare[before] * self.follows[ids])
 
 
-def ask(batches: Iterator[pd.DataFrame], shards: int) -> Iterator[pd.DataFrame]:
-    """Distinct bigrams of all documents of each block, by shard."""
+def ask(batches: Iterator[pd.DataFrame], shards: int, model: Model) -> Iterator[pd.DataFrame]:
+    """Distinct bigrams of known words of all documents of each block, by shard."""
     for batch in batches:
         for row in batch.itertuples():
             _, before, ids = bigrams(row.lengths, row.vocab, row.codes)
-            keys = np.unique(keys_of(before, ids))
+            may = model.known(before, ids)
+            keys = np.unique(keys_of(before[may], ids[may]))
             cuts = np.searchsorted(keys, shard_edges(shards))
             yield pd.DataFrame([(s, row.block, squeeze_keys(k)) for s, k in enumerate(np.split(keys, cuts)) if len(k)],
                                columns=["shard", "block", "keys"])
@@ -279,10 +286,10 @@ def answer(counted: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["block", "shard", "counts"])
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+def _blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, Callable[[], None]]:
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"),
                        F.col(lang_col).cast("string").alias("lang"))
-    return materialize(rows.mapInPandas(to_blocks, BLOCKS), "blocks")
+    return materialize_bucketed(rows.mapInPandas(to_blocks, BLOCKS), "blocks", "block")
 
 
 def _trusted(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
@@ -314,7 +321,7 @@ def score(blocks: DataFrame, counts: DataFrame, model: Model, shards: int) -> Da
     """(id, lang, n_words, bits): total bits of every document."""
     shared = blocks.sparkSession.sparkContext.broadcast(model)  # VOCAB cells
     asked = blocks.select("block", "lengths", "vocab", "codes").mapInPandas(
-        lambda b: ask(b, shards), "shard int, block string, keys binary")
+        lambda b: ask(b, shards, shared.value), "shard int, block string, keys binary")
     answers = counts.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(
         answer, "block string, shard int, counts binary")
 
@@ -322,10 +329,13 @@ def score(blocks: DataFrame, counts: DataFrame, model: Model, shards: int) -> Da
         row = own.iloc[0]
         n = unsqueeze(row["lengths"]).astype(np.int64)
         doc, before, ids = bigrams(row["lengths"], row["vocab"], row["codes"])
-        keys, place = np.unique(keys_of(before, ids), return_inverse=True)
-        counts = [unsqueeze(c) for _, c in sorted(zip(found["shard"], found["counts"], strict=True), key=lambda x: x[0])]
-        known = np.concatenate(counts).astype(np.int64) if counts else np.zeros(len(keys), np.int64)
-        bits = shared.value.bits(before, ids, known[place]) if len(ids) else np.zeros(0)
+        may = shared.value.known(before, ids)
+        place = np.unique(keys_of(before[may], ids[may]), return_inverse=True)[1]
+        parts = [unsqueeze(c) for _, c in sorted(zip(found["shard"], found["counts"], strict=True), key=lambda x: x[0])]
+        counts = np.zeros(len(ids), dtype=np.int64)
+        if parts:
+            counts[may] = np.concatenate(parts).astype(np.int64)[place]
+        bits = shared.value.bits(before, ids, counts) if len(ids) else np.zeros(0)
         return pd.DataFrame({"id": row["ids"], "lang": row["langs"], "n_words": n,
                              "bits": np.bincount(doc, bits, len(n)) if len(n) else np.zeros(0)})
 
@@ -338,10 +348,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(id_col, lang, n_words, perplexity, threshold, keep): one row per row of
     ``docs``; ``threshold`` bounds the shrunk perplexity."""
     shards = shuffle_partitions(docs.sparkSession)
-    blocks = _blocks(docs, id_col, text_col, lang_col)
+    blocks, drop_blocks = _blocks(docs, id_col, text_col, lang_col)
     trusted = materialize(_trusted(labels, id_col, label_col), "trusted")
     counts, model = train(blocks, trusted, shards)
     scores = materialize(score(blocks, counts, model, shards), "scores")
+    drop_blocks()
 
     rate = F.when(F.col("n_words") > 0, F.col("bits") / F.col("n_words"))
     rated = scores.withColumn("rate", rate).withColumn("g", F.coalesce("lang", F.lit("")))
@@ -354,8 +365,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         base = with_middle if column == "shrunk" else held
         quantiles = F.percentile_approx(column, at, 10000).alias("q")
         overall = base.agg(quantiles).first()["q"] or [None] * len(at)
-        own = base.groupBy("g").agg(quantiles, F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_HELD_OUT)
-        joined = frame.join(spread(own.select(F.col("g").alias("_g"), "q")), F.col("g") == F.col("_g"), "left")
+        own = base.groupBy("g").agg(quantiles, F.count(F.lit(1)).alias("n")).where(
+            F.col("n") >= MIN_HELD_OUT).select(F.col("g").alias("_g"), "q")
+        rows = own.limit(MAX_BROADCAST_LANGS + 1).collect()
+        few = len(rows) <= MAX_BROADCAST_LANGS
+        small = F.broadcast(frame.sparkSession.createDataFrame(rows, own.schema)) if few else spread(own)
+        joined = frame.join(small, F.col("g") == F.col("_g"), "left")
         return joined.withColumns({n: F.coalesce(F.get("q", F.lit(i)), F.lit(v).cast("double"))
                                    for i, (n, v) in enumerate(zip(names, overall, strict=True))}).drop("_g", "q")
 
