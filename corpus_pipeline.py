@@ -40,10 +40,24 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             .sortWithinPartitions("mix_slot", "mix_offset").select(*COLUMNS))
 
 
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """``docs``, as read from files, with ``place``: the row's number by file name and row."""
+    rows = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).orderBy("_file").collect()
+    starts, begin = [], 0
+    for r in sizes:
+        starts.append((r["_file"], begin))
+        begin += r["n"]
+    files = docs.sparkSession.createDataFrame(starts, "_file string, _begin long")
+    return rows.join(F.broadcast(files), "_file").withColumn("place", F.col("_begin") + F.col("_row")).drop(
+        "_file", "_row", "_begin")
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences follow the mixture, that is the order of the rows in their files."""
     from public_tokenizers import path
 
-    return packing.pack(docs, path("byte_bpe_50k.json"))
+    return packing.pack(in_file_order(docs), path("byte_bpe_50k.json"), order_col="place")
 
 
 STAGES = [

@@ -78,12 +78,15 @@ def salt(*columns: Column | str) -> Column:
     return F.xxhash64(*columns)
 
 
-def rank_within(df: DataFrame, key: str, order: list[str], buckets: int, out: str) -> DataFrame:
+def rank_within(df: DataFrame, key: str, order: list[str], buckets: int, out: str, bucket: Column | None = None) -> DataFrame:
     """Number the rows of each ``key`` 0, 1, 2, … without gathering a key in
     one task: rows are dealt into ``buckets`` by a hash of ``order``,
     numbered inside (key, bucket), and shifted by the sizes of the key's
-    earlier buckets. ``df`` must give the same rows when read again."""
-    spread = df.withColumn("_rb", F.pmod(salt(*order), F.lit(buckets)))
+    earlier buckets. With ``bucket``, a number that never falls along
+    ``order``, the numbers follow ``order`` over the whole key. ``df`` must
+    give the same rows when read again."""
+    dealt = F.pmod(salt(*order), F.lit(buckets)) if bucket is None else bucket
+    spread = df.withColumn("_rb", dealt)
     sizes = spread.groupBy(key, "_rb").agg(F.count(F.lit(1)).alias("_rn"))
     before = Window.partitionBy(key).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.select(F.col(key).alias("_rk"), F.col("_rb").alias("_rc"),

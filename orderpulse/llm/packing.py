@@ -7,6 +7,12 @@ room, and keeps counts of patterns instead of sequences. The plan is as large
 as the length histogram (at most ``max_len`` lengths), whatever the corpus.
 Pieces then find their sequence by their rank among the pieces of equal length.
 
+With an order column the sequences follow that order: pieces of equal length
+are ranked by it, every pattern takes its pieces evenly from the whole order
+(its k-th of c sequences, from 0, those about (k + u) / c of the way through
+each length, with u between 0 and 1 for each pattern), and sequences are
+numbered by their earliest piece.
+
 Defined results: a null text is an empty one (a single end token). Repeated
 rows and rows with a null id are packed like any other row. An empty table
 gives an empty result.
@@ -27,6 +33,8 @@ from orderpulse.llm.common import materialize, rank_within, shuffle_partitions
 
 MAX_LEN = 1024
 END = 0
+#: multiples of it, without their whole part, lie evenly between 0 and 1
+GOLDEN = 0.6180339887498949
 #: characters tokenised at a time, so that memory does not follow the batch
 CHUNK = 2_000_000
 #: pieces whose ids a worker keeps from one chunk to the next
@@ -142,26 +150,28 @@ def tokenize(batches: Iterator[pd.DataFrame], path: str, max_len: int) -> Iterat
     tok = tokenizer(path)
     end = np.array([END], dtype=np.uint32)
 
-    def cut(ids: list, texts: list[str]) -> pd.DataFrame:
+    def cut(ids: list, texts: list[str], places: list) -> pd.DataFrame:
         rows = []
-        for doc_id, tokens in zip(ids, tok.encode(texts), strict=True):
+        for doc_id, place, tokens in zip(ids, places, tok.encode(texts), strict=True):
             tokens = np.concatenate([tokens, end]).astype("<u4")
             for start in range(0, len(tokens), max_len):
                 piece = tokens[start:start + max_len]
-                rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(tokens)))
-        return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(tokens), place))
+        done = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "place"])
+        return done.astype({"place": "Int64"})
 
     for batch in batches:
         texts = ["" if t is None else t for t in batch["text"]]
         ids = list(batch["doc_id"])
+        places = [None if pd.isna(p) else int(p) for p in batch["place"]]
         begin, size = 0, 0
         for i, t in enumerate(texts):
             size += len(t)
             if size >= CHUNK:
-                yield cut(ids[begin:i + 1], texts[begin:i + 1])
+                yield cut(ids[begin:i + 1], texts[begin:i + 1], places[begin:i + 1])
                 begin, size = i + 1, 0
         if begin < len(texts):
-            yield cut(ids[begin:], texts[begin:])
+            yield cut(ids[begin:], texts[begin:], places[begin:])
 
 
 def plan_packs(histogram: dict[int, int], max_len: int = MAX_LEN) -> list[tuple[list[int], int]]:
@@ -221,20 +231,65 @@ def slots(packs: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, dtype=np.int64) for k, v in runs.items()}
 
 
+def in_order(pieces: DataFrame, packs: list[tuple[list[int], int]], buckets: int) -> DataFrame:
+    """``pieces`` with sequence_id and offset, along their column ``place``.
+    One row for each piece of a sequence is made in tasks and meets the
+    pieces by length and rank; the driver holds the patterns only."""
+    spark = pieces.sparkSession
+    ends = np.cumsum([count for _, count in packs])
+    total = int(ends[-1]) if packs else 0
+
+    def seats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            number = batch["id"].to_numpy()
+            pattern = np.searchsorted(ends, number, side="right")
+            for p in np.unique(pattern):
+                own = number[pattern == p]
+                lengths, count = packs[p]
+                share = (own - (ends[p] - count) + (p + 1) * GOLDEN % 1) / count
+                offset = 0
+                for length in lengths:
+                    yield pd.DataFrame({"length": length, "share": share, "sequence": own, "offset": offset})
+                    offset += length
+
+    seat = spark.range(total).mapInPandas(seats, "length long, share double, sequence long, offset long")
+    seat = rank_within(seat, "length", ["share", "sequence", "offset"], buckets, "rank",
+                       F.floor(F.col("share") * buckets)).drop("share")
+    low, high = pieces.agg(F.min("place"), F.max("place")).first()
+    width = 1 if low is None else (high - low) // buckets + 1
+    along = F.coalesce(F.floor((F.col("place") - F.lit(low or 0)) / F.lit(width)), F.lit(buckets))  # nulls last
+    pieces = pieces.withColumn("late", F.col("place").isNull())
+    ranked = rank_within(pieces, "length", ["late", "place", "doc_id", "start"], buckets, "rank", along)
+    seated = materialize(ranked.join(seat, ["length", "rank"]), "seated")
+    first = seated.groupBy("sequence").agg(F.min("place").alias("place")).withColumns(
+        {"late": F.col("place").isNull(), "all": F.lit(0)})
+    numbered = rank_within(materialize(first, "first"), "all", ["late", "place", "sequence"], buckets, "sequence_id", along)
+    return seated.join(numbered.select("sequence", "sequence_id"), "sequence")
+
+
 PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-         max_len: int = MAX_LEN) -> DataFrame:
+         max_len: int = MAX_LEN, order_col: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset. A document is its ids followed by id 0; documents
-    longer than ``max_len`` are cut into full pieces and a rest."""
-    cut = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        lambda batches: tokenize(batches, tokenizer_path, max_len), PIECES)
-    pieces = materialize(cut, "pieces")
+    longer than ``max_len`` are cut into full pieces and a rest. ``order_col``
+    (whole numbers, close together; nulls last) gives the documents' order."""
+    place_of = F.lit(None) if order_col is None else F.col(order_col)
+    cut = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"),
+                      place_of.cast("long").alias("place")).mapInPandas(
+        lambda batches: tokenize(batches, tokenizer_path, max_len), PIECES + ", place long")
+    pieces = materialize(cut if order_col else cut.drop("place"), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    runs = slots(plan_packs(histogram, max_len))
+    packs = plan_packs(histogram, max_len)
     buckets = 4 * shuffle_partitions(docs.sparkSession)
+    id_type = docs.schema[id_col].dataType
+    if order_col is not None:
+        done = in_order(pieces, packs, buckets)
+        return done.select(F.col("doc_id").cast(id_type).alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens",
+                           "sequence_id", "offset")
+    runs = slots(packs)
     ranked = rank_within(pieces, "length", ["doc_id", "start"], buckets, "rank")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -251,4 +306,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             yield batch.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
 
     packed = ranked.mapInPandas(place, PIECES + ", sequence_id long, offset long")
-    return packed.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
+    return packed.withColumn("doc_id", F.col("doc_id").cast(id_type))

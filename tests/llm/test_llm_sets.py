@@ -291,6 +291,55 @@ def test_pipeline_stages(spark):
     assert pipeline.run(spark, SF).count() == packed.count()
 
 
+def test_mixture_reaches_the_sequences(spark, monkeypatch):
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*pipeline.COLUMNS)
+
+    def packed(before):
+        rows = pipeline.pack_sequences(spark, pipeline.materialize(before, "mixed"), SF).collect()
+        return {(r["doc_id"], r["start"]): (r["sequence_id"], r["offset"], r["length"], r["ids_crc32"]) for r in rows}
+
+    first, inner = docs.select("source").first()[0], mixing.mix
+    monkeypatch.setattr(mixing, "mix", lambda d, weights=None: inner(d, weights, block_docs=1))  # the table is small
+    mixed = packed(pipeline.mix_sources(spark, docs, SF))
+    order = mixing.mix(docs).orderBy("mix_slot", "mix_offset").select("doc_id").collect()
+    place = {r["doc_id"]: n for n, r in enumerate(order)}
+    firsts, filled = {}, collections.defaultdict(list)
+    for (doc_id, _), (sequence, offset, length, _) in mixed.items():
+        firsts[sequence] = min(place[doc_id], firsts.get(sequence, len(place)))
+        filled[sequence].append((offset, length))
+    assert [firsts[k] for k in range(len(firsts))] == sorted(firsts.values())
+    for parts in filled.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+        assert sum(n for _, n in parts) <= 1024
+    plain = packed(docs)  # the stage left out
+    monkeypatch.setattr(mixing, "mix", lambda d: inner(d, {first: 50.0, "other": 1.0}, block_docs=1))
+    other = packed(pipeline.mix_sources(spark, docs, SF))
+    assert mixed.keys() == plain.keys() == other.keys()
+    assert all(mixed[k][2:] == plain[k][2:] == other[k][2:] for k in mixed)
+    assert sum(mixed[k] != plain[k] for k in mixed) > len(mixed) / 2
+    assert sum(mixed[k] != other[k] for k in mixed) > len(mixed) / 2
+
+
+def test_sequences_take_their_pieces_from_one_part_of_the_order(spark):
+    from public_tokenizers import path
+
+    from orderpulse.llm import packing
+
+    rnd = random.Random(3)
+    docs = [(i, " ".join(["word"] * 23 * rnd.randint(1, 20)), None if i > 1990 else i) for i in range(2000)]
+    frame_ = spark.createDataFrame(docs, "doc_id long, text string, at long")
+    out = packing.pack(frame_, path("byte_bpe_50k.json"), order_col="at").toPandas()
+    assert sorted(out["doc_id"]) == list(range(2000))
+    assert (out.groupby("sequence_id")["length"].sum() <= 1024).all()
+    firsts = out.groupby("sequence_id")["doc_id"].min()
+    assert list(firsts.index) == list(range(len(firsts))) and firsts.is_monotonic_increasing
+    assert np.corrcoef(out["doc_id"], out["sequence_id"])[0, 1] > 0.8, np.corrcoef(out["doc_id"], out["sequence_id"])
+    assert packing.pack(frame_.limit(0), path("byte_bpe_50k.json"), order_col="at").count() == 0
+
+
 def test_pipeline_takes_empty_documents(spark):
     import corpus_pipeline as pipeline
 
