@@ -179,6 +179,36 @@ def test_mixture_is_whole_and_ordered(spark):
     assert (out.set_index("doc_id")["mix_slot"].sort_index() == again.set_index("doc_id")["mix_slot"].sort_index()).all()
 
 
+def test_weights_hold_exactly_over_many_periods(spark):
+    sources = [f"s{i}" for i in range(20) for _ in range(400)] + ["rare"] * 3
+    weights = {f"s{i}": 1.0 for i in range(20)} | {"rare": 0.005}
+    docs = spark.createDataFrame([(i, s) for i, s in enumerate(sources)], "doc_id long, source string")
+    out = mixing.mix(docs, weights, block_docs=1, period=64).toPandas().sort_values("mix_slot")
+    assert list(out["mix_slot"]) == list(range(len(sources)))
+    first = out["target_share"].map(lambda x: min(abs(x - w / 20.005) for w in weights.values())) < 1e-12
+    whole = int(np.argmin(first)) if not first.all() else len(out)  # slots before a source runs out
+    assert whole > 7900
+    for s, w in weights.items():
+        placed = (out["source"].to_numpy()[:whole] == s).cumsum()
+        assert np.abs(placed - np.arange(1, whole + 1) * w / 20.005).max() < 1
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_states_give_the_whole_schedule(seed):
+    rnd = random.Random(seed)
+    blocks = {f"s{i}": rnd.randint(0, 300) for i in range(9)} | {None: 7}
+    weights = {s: rnd.choice([0.003, 1, rnd.random()]) + 1e-9 for s in blocks}
+    phases = mixing.plan(blocks, weights)
+    order = [s for phase in phases for s in phase.order]
+    share = [phase.slots[s] / phase.period for phase in phases for s in phase.order]
+    assert collections.Counter(order) == collections.Counter({s: n for s, n in blocks.items() if n})
+    states = mixing.States(blocks, weights, 32)
+    for s, i in states.number.items():
+        slot, found = states.find(i, np.arange(blocks[s]), states.part)
+        assert [order[t] for t in slot] == [s] * blocks[s] and (np.diff(slot) > 0).all()
+        assert [share[t] for t in slot] == list(found)
+
+
 def test_mixing_edges(spark):
     assert mixing.mix(frame(spark, EDGE)).count() == len(EDGE)
     assert mixing.mix(frame(spark, [])).count() == 0
