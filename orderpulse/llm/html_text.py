@@ -4,8 +4,9 @@ The standard-library parser streams events; block elements end a line, and
 each line keeps its characters, its number of tags and the elements it lies
 in. The ratio of characters to tags per line is smoothed with a Gaussian,
 and lines above the deviation of the smoothed ratios form the content
-cluster. The region is the smallest container that holds nearly all of that
-cluster, so short paragraphs and the headline inside it are kept. Elements
+cluster. The region is every article and main element where these hold nearly
+all of that cluster, else the smallest container around the whole cluster, so
+short paragraphs and the headline inside it are kept. Elements
 that by their tag, class, id or role are menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles or reader comments never take part.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from orderpulse.llm.common import isolate, restore
 
 FEED = 1 << 16
-#: share of the cluster's characters that a region must hold
+#: share of the cluster's characters that article and main elements must hold to be the region
 COVER = 0.8
 LINK_SHARE = 0.5
 SIGMA = 1.0
@@ -42,7 +43,11 @@ BREAKS = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary "
     "table tbody tfoot thead title tr ul".split())
 CONTAINERS = frozenset("article main section div td body html blockquote table".split())
-KEPT_OPEN = BREAKS - VOID - {"p"} | {"td", "th"}
+REGIONS = frozenset("article main section div".split())
+KEPT_OPEN = BREAKS - VOID | {"td", "th"}
+#: start tags that end an open paragraph, and elements that a paragraph's end does not reach out of
+ENDS_P = KEPT_OPEN - {"body", "head", "html", "title"} | {"hr"}
+P_SCOPE = frozenset("table td th caption button object template html".split())
 SKIPPED = frozenset(
     "head title nav footer aside form script style noscript template iframe object select button textarea svg canvas "
     "dialog menu audio video map label input fieldset".split())
@@ -118,6 +123,8 @@ class _Reader(HTMLParser):
         self.tags += 1
         if tag == "a":
             self.in_link = 1
+        if tag in ENDS_P:
+            self._end_paragraph()
         if tag in VOID:
             return
         skipped = self._is_skipped(tag, attrs)
@@ -135,6 +142,13 @@ class _Reader(HTMLParser):
         if tag not in VOID and tag in ("svg", "iframe", "object", "canvas"):
             self.handle_endtag(tag)
 
+    def _end_paragraph(self) -> None:
+        for at in range(len(self.open) - 1, -1, -1):
+            if self.open[at][0] == "p":
+                self._close(at)
+            if at >= len(self.open) or self.open[at][0] in P_SCOPE | REGIONS:
+                break
+
     def _close(self, at: int) -> None:
         for _, skipped, _ in self.open[at:]:
             self.skipped -= skipped
@@ -194,24 +208,33 @@ def select(lines: list[Line]) -> list[str]:
     if not lines:
         return []
     chosen = cluster(lines)
-    weight: dict[tuple, int] = {}
-    total = 0
-    for line, is_content in zip(lines, chosen, strict=True):
-        if is_content:
-            total += len(line.text)
-            for element in line.path:
-                weight[element] = weight.get(element, 0) + len(line.text)
-    holds = [e for e, n in weight.items() if n >= COVER * total and e[0] not in ("body", "html", "table", "td")]
-    # prefer the outermost article or main element that holds the cluster, else the innermost container
-    marked = [e for e in holds if e[0] in ("main", "article")]
-    if marked or holds:
-        region = min(marked, key=lambda e: e[1]) if marked else max(holds, key=lambda e: e[1])
-        return [x.text for x in lines if region in x.path]
-    articles = [x.text for x in lines if any(t in ("main", "article") for t, _ in x.path)]
-    if sum(map(len, articles)) >= COVER * total:
-        return articles
-    at = np.flatnonzero(chosen)
-    return [x.text for x in lines[at[0]:at[-1] + 1] if x.links <= LINK_SHARE * len(x.text)]
+    # smoothing takes in short lines beside long ones: of these, lists of links are no content
+    text = np.array([x.links <= LINK_SHARE * len(x.text) for x in lines])
+    if (chosen & text).any():
+        chosen &= text
+    content = [x for x, is_content in zip(lines, chosen, strict=True) if is_content]
+    marked = [any(t in ("main", "article") for t, _ in x.path) for x in lines]
+    inside = sum(len(x.text) for x, m, c in zip(lines, marked, chosen, strict=True) if m and c)
+    if any(marked) and inside >= COVER * sum(len(x.text) for x in content):
+        return [x.text for x, m in zip(lines, marked, strict=True) if m]
+    # the containers around all content lines, down to the last that may be a region
+    around = list(content[0].path)
+    for x in content:
+        same = 0
+        while same < min(len(around), len(x.path)) and around[same] == x.path[same]:
+            same += 1
+        del around[same:]
+    while around and around[-1][0] not in REGIONS:
+        around.pop()
+    if around:
+        return [x.text for x in lines if around[-1] in x.path]
+    # only the page itself holds all: its own lines, and from the first to the last of its parts with content
+    parts = [next((e for e in x.path if e[0] not in ("html", "body")), None) for x in lines]
+    held = {e for e, is_content in zip(parts, chosen, strict=True) if is_content} - {None}
+    whole = {e for e in held if e[0] != "table"}
+    at = [n for n, e in enumerate(parts) if chosen[n] or e in held]
+    return [x.text for n, (x, e) in enumerate(zip(lines, parts, strict=True))
+            if e in whole or chosen[n] or (text[n] and (e is None or at[0] <= n <= at[-1]))]
 
 
 def main_text(html: str | None) -> str:

@@ -242,6 +242,27 @@ def test_page_without_article():
     assert html_text.main_text(page) == "T\nA long paragraph of text about the matter at hand.\nShort."
 
 
+def sentences(n, word):
+    return " ".join(f"{word}{i} is a word of this sentence." for i in range(n))
+
+
+@pytest.mark.parametrize("page", [
+    "<body><div class=links><a href=a>one</a> <a href=b>two</a></div><div id=post><section><p>{a}</p></section><section><p>{b}</p>"
+    "</section></div></body>",
+    "<body><div class=links><a href=a>one</a> <a href=b>two</a></div><section><p>{a}</p></section><section><p>{b}</p></section></body>",
+    "<body><div id=post><blockquote><p>{a}</p></blockquote><p>{b}</p></div></body>",
+    "<body><blockquote><p>{a}</p></blockquote><p>{b}</p></body>",
+    "<body><div>menu</div><article><p>{a}</p></article><article><p>{b}</p></article></body>",
+    "<body><article><p class=promo>buy<p>{a}<p>{b}</article></body>",
+    "<body><article><p>{a}<div class=ad>buy</div><p class=ad>buy<div>{b}</div></article></body>",
+    "<body><article><p>{a} <span class=ad>buy<p>{b}</p></article></body>",
+])
+def test_uneven_parts_are_all_kept(page):
+    for n, m in ((17, 3), (3, 17), (30, 1)):
+        a, b = sentences(n, "red"), sentences(m, "blue")
+        assert html_text.main_text(page.format(a=a, b=b)) == a + "\n" + b
+
+
 @pytest.mark.parametrize("html, want", [
     (None, ""), ("", ""), ("plain words", "plain words"), ("<p>a<p>b", "a\nb"), ("<article><p>a</p><p>cut <a hre", "a\ncut"),
     ("<![CDATA[x]]>y", "y"), ("<article>" + "<p>w</p>" * 20000 + "</article>", "\n".join(["w"] * 20000)), ("<nav>menu</nav>", ""),
