@@ -39,6 +39,30 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+FILL_MIDDLE = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+         sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d
+  FROM documents),
+drawn AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(d, 1, 8) AS BIGINT) % (len(u) + 1) AS h1,
+         CAST('0x' || substr(d, 9, 8) AS BIGINT) % (len(u) + 1) AS h2,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+              WHEN CAST('0x' || substr(d, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM units),
+cut AS (
+  SELECT *, array_to_string(u[1:least(h1, h2)], '') AS p, array_to_string(u[least(h1, h2) + 1:greatest(h1, h2)], '') AS m,
+         array_to_string(u[greatest(h1, h2) + 1:], '') AS s
+  FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM cut
+"""
+
+
 def license_sql(threshold: float = license_scan.THRESHOLD) -> str:
     known = ",\n".join(
         "({}, '{}', [{}])".format(i, name, ", ".join(f"'{g}'" for g in license_scan.template_bigrams(text)))
@@ -121,4 +145,5 @@ def all_sql() -> dict[str, str]:
         "op5_top_k": TOP_K,
         "op6_license_scan": license_sql(),
         "op10_line_dedup": LINE_DEDUP,
+        "op13_fill_middle": FILL_MIDDLE,
     }

@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderpulse.llm import html_text, imatch, language_id, license_scan, line_dedup, mixing, near_dup, packing, quality, topk
+from orderpulse.llm import (
+    fill_middle,
+    html_text,
+    imatch,
+    language_id,
+    lattice_lm,
+    license_scan,
+    line_dedup,
+    mixing,
+    near_dup,
+    packing,
+    quality,
+    topk,
+)
 from orderpulse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +76,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    rows = docs.withColumns({"held_out": F.coalesce(fold == 1, F.lit(False)), "learn": fold != 1})
+    scored = lattice_lm.score_documents(rows, "learn", path("piece_bpe_32k.model"), class_col="lang")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fill_middle.transform(table(spark, sf_dir, "documents", "doc_id", "text"))
+    restored = fill_middle.rebuild(F.col("text"), F.col("form"))
+    return docs.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("text", 256).alias("output_sha256"),
+                       F.sha2(restored, 256).alias("restored_sha256"))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_quality": op1_quality,
@@ -75,4 +105,6 @@ def all_queries() -> dict[str, Query]:
         "op8_mixing": op8_mixing,
         "op9_language_id": op9_language_id,
         "op10_line_dedup": op10_line_dedup,
+        "op11_lattice_lm": op11_lattice_lm,
+        "op13_fill_middle": op13_fill_middle,
     }
