@@ -63,6 +63,44 @@ FROM cut
 """
 
 
+# crc32() is the CRC-32 of a decimal number, bit by bit over its digits
+PREFIX_TRIE = r"""
+WITH own AS (
+  SELECT conv_id, list({'u': md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')),
+                        'l': length(coalesce(text, ''))}
+                       ORDER BY turn NULLS FIRST,
+                                md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')))
+         AS ts
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+hashed AS (
+  SELECT conv_id, ts, xor(list_reduce(
+           list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+           lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])),
+                                    lambda x, i: xor(x >> 1, CAST(3988292384 AS BIGINT) * (x & 1)))),
+         CAST(4294967295 AS BIGINT)) % 6 AS h
+  FROM own),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.ts, [])[1:c.h], c.ts[c.h + 1:]) AS ts
+  FROM hashed c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100),
+prefixes AS (
+  SELECT conv_id AS c, d, len(ts) AS n, ts[d]['l'] AS l, md5(array_to_string(list_transform(ts[1:d], lambda t: t['u']), '')) AS k,
+         CASE WHEN d > 0 THEN md5(array_to_string(list_transform(ts[1:d - 1], lambda t: t['u']), '')) END AS pk
+  FROM (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT k, d, any_value(pk) AS pk, min(c) AS conv_id, count(*) AS n_convs, any_value(coalesce(l, 0)) AS l,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256
+  FROM prefixes GROUP BY k, d),
+counted AS (
+  SELECT x.*, coalesce(y.n, 0) AS n_children FROM nodes x LEFT JOIN (SELECT pk, count(*) AS n FROM nodes GROUP BY pk) y ON x.k = y.pk),
+below AS (
+  SELECT a.k, sum(CAST(x.n_children = 0 AS INTEGER)) AS n_leaves, sum((x.n_convs - 1) * x.l) AS saved
+  FROM counted x JOIN prefixes a ON a.c = x.conv_id AND a.d <= x.d GROUP BY a.k)
+SELECT x.conv_id, x.d AS depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves,
+       CAST(b.saved AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM counted x JOIN below b ON x.k = b.k LEFT JOIN nodes p ON x.pk = p.k
+"""
+
+
 def license_sql(threshold: float = license_scan.THRESHOLD) -> str:
     known = ",\n".join(
         "({}, '{}', [{}])".format(i, name, ", ".join(f"'{g}'" for g in license_scan.template_bigrams(text)))
@@ -145,5 +183,6 @@ def all_sql() -> dict[str, str]:
         "op5_top_k": TOP_K,
         "op6_license_scan": license_sql(),
         "op10_line_dedup": LINE_DEDUP,
+        "op12_prefix_trie": PREFIX_TRIE,
         "op13_fill_middle": FILL_MIDDLE,
     }

@@ -18,6 +18,7 @@ from orderpulse.llm import (
     mixing,
     near_dup,
     packing,
+    prefix_trie,
     quality,
     topk,
 )
@@ -86,6 +87,11 @@ def op11_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return prefix_trie.trie(prefix_trie.share_heads(prefix_trie.paths_of(turns)))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fill_middle.transform(table(spark, sf_dir, "documents", "doc_id", "text"))
     restored = fill_middle.rebuild(F.col("text"), F.col("form"))
@@ -106,5 +112,6 @@ def all_queries() -> dict[str, Query]:
         "op9_language_id": op9_language_id,
         "op10_line_dedup": op10_line_dedup,
         "op11_lattice_lm": op11_lattice_lm,
+        "op12_prefix_trie": op12_prefix_trie,
         "op13_fill_middle": op13_fill_middle,
     }
