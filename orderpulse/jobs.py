@@ -132,12 +132,12 @@ def cmd_reload(spark: SparkSession, args) -> None:
 
 def cmd_append(spark: SparkSession, args) -> None:
     from orderpulse.schemas import CATEGORY_COUNT
-    from orderpulse.sinks.tables import ensure_table
+    from orderpulse.sinks.tables import AppendTable
     from orderpulse.streaming.category_count import streaming_session
     from orderpulse.streaming.loaders import start_append_loader
 
     if not args.jdbc_url:
-        ensure_table(spark, f"{args.table}/run=none/batch_id=-1", CATEGORY_COUNT)
+        AppendTable(spark, args.table).ensure(CATEGORY_COUNT)
     job = streaming_session(spark, args.state_partitions)
     q = start_append_loader(_messages(job, args, args.max_per_trigger), args.table, args.quarantine, args.checkpoint,
                             available_now=args.available_now, trigger=args.trigger,

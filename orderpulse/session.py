@@ -9,6 +9,7 @@ folder under ``/tmp``, which is then registered as the checkpoint dir.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -126,3 +127,53 @@ def list_files(spark: SparkSession, path: str) -> list[tuple[str, str]]:
         return []
     return [(st.getPath().getName(), st.getPath().toString())
             for st in fs.listStatus(hpath) if st.isFile()]
+
+
+def create_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Create ``path`` with ``text`` if it does not exist; False if it does.
+    It appears whole, and of several writers exactly one succeeds: by a hard
+    link on a local or mounted file system, elsewhere by a rename, which HDFS
+    refuses when the target exists. (Object stores without such a rename need
+    a lock service; none is built in.)"""
+    fs, hpath = _fs_path(spark, path)
+    temp = f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}.tmp"
+    fs.mkdirs(hpath.getParent())
+    if fs.getUri().getScheme() == "file":
+        target, source = local_path(hpath.toUri().getPath()), local_path(_fs_path(spark, temp)[1].toUri().getPath())
+        with open(source, "w", encoding="utf-8") as f:
+            f.write(text)
+        try:
+            os.link(source, target)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(source)
+        return True
+    htemp = _fs_path(spark, temp)[1]
+    out = fs.create(htemp, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.exists(hpath) and fs.rename(htemp, hpath):
+        return True
+    fs.delete(htemp, False)
+    return False
+
+
+def read_file(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file; None if it does not exist (any more)."""
+    fs, hpath = _fs_path(spark, path)
+    if not fs.exists(hpath):
+        return None
+    source = fs.open(hpath)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+
+
+def file_sizes(spark: SparkSession, path: str, suffix: str = ".parquet") -> list[int]:
+    """Sizes of the files directly under ``path`` (metadata only)."""
+    fs, hpath = _fs_path(spark, path)
+    if not fs.exists(hpath):
+        return []
+    return [st.getLen() for st in fs.listStatus(hpath) if st.isFile() and st.getPath().getName().endswith(suffix)]
