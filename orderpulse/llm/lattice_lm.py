@@ -53,8 +53,8 @@ from pyspark.sql import functions as F
 from orderpulse.llm.common import isolate, materialize, restore
 from orderpulse.llm.quality import squeeze, unsqueeze
 
-BLOCK_CHARS = 8_000_000
-ROUNDS = 4
+BLOCK_CHARS = 12_000_000
+ROUNDS = 3
 MAX_CLASSES = 16
 #: weight of the vocabulary's own order against the fitted counts, in pieces
 PRIOR = 100.0
@@ -382,7 +382,7 @@ def _to_blocks(batches: Iterator[pd.DataFrame], classes: int) -> Iterator[pd.Dat
         rank[order] = np.arange(len(order), dtype=np.uint32)
         of = np.repeat(own, lengths)
         learned = {f"l{k}": [np.bincount(codes[of == k], minlength=len(vocab))[order]] for k in range(classes)}
-        return pd.DataFrame({"block": [f"{part}-{n}"], "rows": [list(rows["row"])], "lengths": [squeeze(lengths)],
+        return pd.DataFrame({"block": [part << 32 | n], "rows": [list(rows["row"])], "lengths": [squeeze(lengths)],
                              "codes": [squeeze(rank[codes] if len(codes) else codes)], "vocab": [list(vocab[order])]} | learned)
 
     for batch in batches:
@@ -477,7 +477,7 @@ def score_documents(docs: DataFrame, train_col: str, vocabulary_path: str, id_co
     row_type = carried.schema["row"].dataType.simpleString()
     classes = len(ends)
     blocks = materialize(carried.mapInPandas(
-        lambda b: _to_blocks(b, classes), f"block string, rows array<{row_type}>, lengths binary, codes binary, "
+        lambda b: _to_blocks(b, classes), f"block long, rows array<{row_type}>, lengths binary, codes binary, "
         "vocab array<string>, " + ", ".join(f"l{k} array<bigint>" for k in range(classes))), "blocks")
     counted, counts = count_words(blocks, ends)
     shared = spark.sparkContext.broadcast(fit(counted, counts, Vocabulary(vocabulary_path), rounds))
@@ -486,9 +486,12 @@ def score_documents(docs: DataFrame, train_col: str, vocabulary_path: str, id_co
         for batch in batches:
             c = _class_counts(batch, classes)
             lp = counts.words_log(c, spell(list(batch["word"]), shared.value))
-            yield pd.DataFrame({"word": batch["word"], "c": c.sum(axis=1), "lp": list(lp)})
+            data = lp.astype("<f4").tobytes()
+            yield pd.DataFrame({"word": batch["word"], "c": c.sum(axis=1),
+                                "lp": [data[i:i + 4 * classes] for i in range(0, len(data), 4 * classes)]})
 
-    scored = materialize(counted.mapInPandas(judge, "word string, c long, lp array<double>"), "scored")
+    # the scores of a word, one for each class, travel as 32-bit floats
+    scored = materialize(counted.mapInPandas(judge, "word string, c long, lp binary"), "scored")
     asked = blocks.select(F.col("block").alias("asker"), F.posexplode("vocab").alias("at", "asked"))
     answers = asked.join(scored, F.col("asked") == F.col("word")).select("asker", "at", "c", "lp")
 
@@ -498,7 +501,8 @@ def score_documents(docs: DataFrame, train_col: str, vocabulary_path: str, id_co
         codes = unsqueeze(row["codes"]).astype(np.int64)
         c, lp = np.zeros(len(found), dtype=np.int64), np.zeros((len(found), classes))
         if len(found):
-            c[found["at"]], lp[found["at"]] = found["c"], np.stack(found["lp"])
+            c[found["at"]] = found["c"]
+            lp[found["at"]] = np.frombuffer(b"".join(found["lp"]), dtype="<f4").reshape(-1, classes)
         doc = np.repeat(np.arange(len(lengths)), lengths)
 
         def sums(values: np.ndarray) -> np.ndarray:
