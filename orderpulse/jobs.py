@@ -173,7 +173,7 @@ def cmd_dashboard(spark: SparkSession, args) -> None:
     items = (reader.option("header", True).csv(args.items) if args.format == "csv"
              else reader.parquet(args.items))
     q = start_dashboard_stream(items, VersionedTable(spark, args.table),
-                               args.checkpoint, refresh=args.trigger, available_now=args.available_now)
+                               args.checkpoint, refresh_every=args.trigger, available_now=args.available_now)
     _run(q, args)
 
 

@@ -65,14 +65,18 @@ def _extended() -> dict[str, Query]:
         "snapshot_reload": streams.snapshot_reload,
         "snapshot_many_parts": streams.snapshot_many_parts,
         "snapshot_reload_plain": streams.snapshot_reload_plain,
+        "snapshot_reload_late": streams.snapshot_reload_late,
         "snapshot_reload_empty": streams.snapshot_reload_empty,
         "stream_restart_counts": streams.stream_restart_counts,
         "append_results": streams.append_results,
         "append_from_envelopes": streams.append_from_envelopes,
         "append_from_array": streams.append_from_array,
+        "append_compacted": streams.append_compacted,
+        "keyed_growth": streams.keyed_growth,
         "quarantine": streams.quarantine,
         "upsert_latest": streams.upsert_latest,
         "stream_dashboard_kpis": streams.stream_dashboard_kpis,
+        "stream_dashboard_payload": streams.stream_dashboard_payload,
         "stream_dashboard_top_categories": streams.stream_dashboard_top_categories,
         "dashboard_payload": payload.dashboard_payload,
         "dashboard_payload_rows": payload.dashboard_payload_rows,

@@ -221,6 +221,18 @@ SELECT {stripped_type} AS category, COUNT(*) AS count FROM events
 WHERE event_type IS NOT NULL AND {stripped_type} <> '' GROUP BY 1""",
         "snapshot_reload_plain": f"""
 SELECT event_type AS category, COUNT(*) AS count FROM events WHERE {present} GROUP BY 1""",
+        "snapshot_reload_late": f"""
+SELECT stage, event_type AS category, COUNT(*) + more AS count
+FROM events, (VALUES ('later batch', 3), ('after restart', 3), ('newer', 4)) s(stage, more)
+WHERE {present} GROUP BY stage, more, event_type""",
+        "append_compacted": f"""
+SELECT event_type AS Category, COUNT(*) AS messages, CAST(SUM(event_id) AS BIGINT) AS total, MAX(event_id) AS largest
+FROM events WHERE {present} GROUP BY 1""",
+        "keyed_growth": """
+SELECT o_orderkey AS item_id, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE status END AS status, customer,
+       CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS revision
+FROM (SELECT o_orderkey, max(o_orderstatus) AS status, CAST(arg_max(o_custkey, {'a': o_orderstatus, 'b': o_custkey}) AS BIGINT) AS customer
+      FROM orders GROUP BY 1)""",
         "snapshot_reload_empty": f"""
 SELECT COUNT(DISTINCT event_type) AS rows_before, CAST(0 AS BIGINT) AS rows_after FROM events WHERE {present}""",
         "append_from_envelopes": f"""
@@ -253,6 +265,14 @@ s AS (SELECT section, label, value FROM (
          unnest([CAST(total_orders AS DOUBLE), total_sales, avg_order_value, avg_order_value_page, complete_rate]) AS value FROM k))
 SELECT * FROM s
 UNION ALL SELECT 'daily_orders', strftime(Working_Date, '%Y-%m-%d'), CAST(orders AS DOUBLE) FROM d WHERE Working_Date IS NOT NULL
+UNION ALL SELECT 'top_categories', rank || ' ' || Category, total FROM t""",
+        "stream_dashboard_payload": f"""
+WITH k AS ({kpi}), d AS ({DASHBOARD["daily_orders"]}), t AS ({DASHBOARD["top_categories"]}),
+s AS (SELECT section, label, value FROM (
+  SELECT 'kpis' AS section, unnest(['total_orders', 'total_sales', 'avg_order_value', 'avg_order_value_page', 'complete_rate']) AS label,
+         unnest([CAST(total_orders AS DOUBLE), total_sales, avg_order_value, avg_order_value_page, complete_rate]) AS value FROM k))
+SELECT * FROM s
+UNION ALL SELECT 'daily_orders', strftime(Working_Date, '%Y-%m-%d'), CAST(orders AS DOUBLE) FROM d WHERE Working_Date IS NOT NULL
 UNION ALL SELECT 'top_categories', rank || ' ' || Category, total FROM t""",
         "stream_dashboard_kpis": kpi,
         "stream_dashboard_top_categories": DASHBOARD["top_categories"],

@@ -116,16 +116,42 @@ def _plain_envelopes(counts: DataFrame, epoch: int) -> DataFrame:
     return body.select(F.to_json("b").alias("value"))
 
 
+def _kept(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` as they are now, whatever their table holds later."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def snapshot_reload_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-07: plain envelopes, an array message and an empty snapshot. The
-    newest by timestamp is loaded, whatever the order of arrival."""
+    """STR-07: plain envelopes, an array message and an empty snapshot, one
+    message file in a micro-batch. The newest by timestamp is loaded, whatever
+    the order of arrival."""
     base = scratch_path(spark, "reload-plain")
     counts = _event_counts(spark, sf_dir)
     _plain_envelopes(counts.withColumn("count", F.lit(0)), 1_000).write.mode("append").text(f"{base}/in")
     _plain_envelopes(counts, 4_000_000_000).coalesce(1).write.mode("append").text(f"{base}/in")
     _plain_envelopes(counts.where("false"), 2_000).write.mode("append").text(f"{base}/in")
     array_message(counts.withColumn("count", F.lit(1))).write.mode("append").text(f"{base}/in")
-    return _reload(spark, base, f"{base}/in")
+    return _reload(spark, base, f"{base}/in", files_per_trigger=1)
+
+
+def snapshot_reload_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-07, SNK-08: snapshots that arrive late, one in a micro-batch: after
+    a newer one, after a restart of the loader, and then a newer one. Returns
+    the table after each run."""
+    base = scratch_path(spark, "reload-late")
+    counts = _event_counts(spark, sf_dir)
+
+    def load(stage: str, *snapshots: tuple[int, int]) -> DataFrame:
+        for epoch, more in snapshots:
+            changed = counts.withColumn("count", F.col("count") + more)
+            _plain_envelopes(changed, epoch).coalesce(1).write.mode("append").text(f"{base}/in")
+        now = _reload(spark, base, f"{base}/in", files_per_trigger=1)
+        return _kept(now.select(F.lit(stage).alias("stage"), "category", "count"), f"{base}/{stage}")
+
+    first = load("later batch", (1_000, 1), (3_000, 3), (2_000, 2))
+    second = load("after restart", (2_500, 25))
+    return first.unionAll(second).unionAll(load("newer", (2_900, 29), (4_000, 4)))
 
 
 def snapshot_reload_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +185,7 @@ def stream_restart_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def counted(run: str) -> DataFrame:
         rows = table.read().select(F.lit(run).alias("run"), F.col("category").alias("Category"), "count")
-        return spark.createDataFrame(rows.collect(), rows.schema)  # one row a category
+        return _kept(rows, f"{base}/{run}")
 
     count(ev.where("event_id % 2 = 0"), "first")
     half = counted("half")
@@ -215,6 +241,56 @@ def append_from_array(spark: SparkSession, sf_dir: str) -> DataFrame:
         array_message(_event_counts(s, d)), path)))
 
 
+#: message files of append_compacted, each a micro-batch of its own
+APPEND_BATCHES = 20
+
+
+def append_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-06: one object message per event, appended in many micro-batches;
+    the table compacts its folders on the way. Returns what every category
+    holds."""
+    base = scratch_path(spark, "append-compacted")
+    ev = read_table(spark, sf_dir, "events", ["event_id", "event_type"])
+    rows = ev.select(F.col("event_type").alias("Category"), F.col("event_id").alias("count"))
+    object_messages(rows.repartition(APPEND_BATCHES, "count")).write.text(f"{base}/in")
+    job = streaming_session(spark, STATE_PARTITIONS)
+    files = read_message_file_stream(job, f"{base}/in", 1)
+    start_append_loader(files, f"{base}/category", f"{base}/quarantine", f"{base}/checkpoint",
+                        available_now=True).awaitTermination()
+    return _appended(spark, base).groupBy("Category").agg(
+        F.count(F.lit(1)).alias("messages"), F.sum("count").alias("total"), F.max("count").alias("largest"))
+
+
+#: commits of keyed_growth; each adds a part of the orders
+KEYED_BATCHES = 4
+#: buckets that the whole table of keyed_growth has, at least
+KEYED_BUCKETS = 16
+
+
+def keyed_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-07: a table keyed by order that starts as one bucket and splits
+    buckets as orders arrive in several commits; then every tenth order is
+    updated. Returns the table."""
+    orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus", "o_custkey"])
+    latest = orders.groupBy("o_orderkey").agg(F.max(F.struct("o_orderstatus", "o_custkey")).alias("o")).select("o_orderkey", "o.*")
+    rows = latest.select(F.col("o_orderkey").alias("item_id"), F.col("o_orderstatus").alias("status"),
+                         F.col("o_custkey").cast("long").alias("customer"), F.lit(0).alias("revision"))
+    base = scratch_path(spark, "keyed-growth")
+    table = KeyedTable(spark, base, rows.schema, "item_id", buckets=1, max_rows=max(1, orders.count() // KEYED_BUCKETS))
+
+    def newest(current: DataFrame, updates: DataFrame) -> DataFrame:
+        values = ["status", "customer", "revision"]
+        both = current.select("item_id", *values).unionByName(updates.select("item_id", *values))
+        return both.groupBy("item_id").agg(F.max_by(F.struct(*values), "revision").alias("v")).select("item_id", "v.*")
+
+    for part in range(KEYED_BATCHES):
+        table.merge(rows.where(F.pmod("item_id", F.lit(KEYED_BATCHES)) == part), newest, f"load {part}")
+    changed = rows.where(F.col("item_id") % 10 == 0).select("item_id", F.lit("X").alias("status"), "customer", F.lit(1).alias("revision"))
+    table.merge(changed, newest, "update")
+    table.merge(changed.withColumn("revision", F.lit(2)), newest, "update")  # a replay: nothing happens
+    return table.read()
+
+
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-07: malformed messages set aside with their reason; returns the
     count per reason."""
@@ -279,6 +355,13 @@ def stream_dashboard_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_kpis(_run_dashboard_stream(spark, sf_dir))
 
 
+def stream_dashboard_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-10: every section of the incrementally maintained payload, as rows."""
+    from orderpulse.plans.payload import payload_rows
+
+    return payload_rows(_run_dashboard_stream(spark, sf_dir).read())
+
+
 def stream_dashboard_top_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-categories section of the incrementally maintained payload."""
     from orderpulse.streaming.dashboard import read_top_categories

@@ -320,7 +320,8 @@ class KeyedTable(VersionedTable):
                     stay.append([b, v, rows, at])
                     continue
                 old.append([b, v, rows, at])
-                extra = max(0, -(-(rows + more) // self.max_rows) - 1).bit_length()
+                # split to three quarters of the bound, as the halves of a bucket are not quite equal
+                extra = 0 if rows + more <= self.max_rows else max(1, -(-4 * (rows + more) // (3 * self.max_rows)) - 1).bit_length()
                 new += [[b + extra, high << b | v, 0, -1] for high in range(1 << extra)]
             version = self._claim()
             path = f"{self.versions}/version={version}"
