@@ -3,22 +3,36 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir)
 and returns a DataFrame that is written as Parquet and read again as the next
 stage's ``docs``. ``run`` applies them to ``documents``.
+
+Defined results: a null, empty or wordless text with an id is rejected by the first
+stage. Rows with a null id are scored but never trusted, and pass every later
+stage as they are: they lose no line, have no class and so stay, are mixed and
+packed. Of rows that repeat an id with an equal text, one stays after the near-
+duplicate stage; a text of any length is worked whole. A null source or
+language is one of its own. Other columns than those of ``documents`` are
+dropped by the first stage, and a missing one is null. An empty table gives an
+empty result. Ties (equal texts) leave the smallest id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orderpulse.llm import line_dedup, mixing, near_dup, packing, quality
 from orderpulse.llm.common import materialize, shuffle_partitions, table
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+
+
+def as_documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents; one that ``docs`` lacks is null."""
+    return docs.select(*[F.col(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in COLUMNS.items()])
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+    return as_documents(quality.keep_good(as_documents(docs), table(spark, sf_dir, "labels")))
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,16 +55,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def in_file_order(docs: DataFrame) -> DataFrame:
-    """``docs``, as read from files, with ``place``: the row's number by file name and row."""
+    """``docs``, as read from files, with ``place``: the row's number by file
+    (by the number in its name, so also beyond 100,000 files) and row."""
     rows = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    sizes = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).orderBy("_file").collect()
-    starts, begin = [], 0
-    for r in sizes:
-        starts.append((r["_file"], begin))
-        begin += r["n"]
-    files = docs.sparkSession.createDataFrame(starts, "_file string, _begin long")
-    return rows.join(F.broadcast(files), "_file").withColumn("place", F.col("_begin") + F.col("_row")).drop(
-        "_file", "_row", "_begin")
+    number = F.regexp_extract("_file", r"part-(\d+)", 1).cast("long")
+    before = Window.orderBy(number, "_file").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a file, and the stage before writes one file a shuffle partition
+    sizes = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select(F.col("_file").alias("_of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_begin"))
+    return rows.join(starts, F.col("_file") == F.col("_of")).withColumn("place", F.col("_begin") + F.col("_row")).drop(
+        "_file", "_row", "_of", "_begin")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
