@@ -445,7 +445,8 @@ def fit(counted: DataFrame, counts: Counts, v: Vocabulary, rounds: int = ROUNDS)
                 freed = counts.all.freed(whole)
                 total += expect(list(batch["word"]), freed * c / whole if columns == classes else freed, shared.value)
             used = np.flatnonzero(total.any(axis=1))
-            yield pd.DataFrame({"piece": used, "n": list(total[used])})
+            if len(used):
+                yield pd.DataFrame({"piece": used, "n": list(total[used])})
 
         sums = learned.mapInPandas(part, "piece long, n array<double>").groupBy("piece").agg(
             F.array(*[F.sum(F.get("n", F.lit(k))) for k in range(columns)]).alias("n")).collect()

@@ -29,10 +29,10 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_one_query_for_each_operator():
     names = list(queries.all_queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
 
 
-@pytest.mark.parametrize("name", ["op4_fingerprints", "op6_license_scan", "op10_line_dedup"])
+@pytest.mark.parametrize("name", ["op4_fingerprints", "op6_license_scan", "op10_line_dedup", "op13_fill_middle"])
 def test_native_operators_run_no_python(spark, name):
     plan = queries.all_queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "ExistingRDD"))
