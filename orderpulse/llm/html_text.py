@@ -4,11 +4,14 @@ The standard-library parser streams events; block elements end a line, and
 each line keeps its characters, its number of tags and the elements it lies
 in. The ratio of characters to tags per line is smoothed with a Gaussian,
 and lines above the deviation of the smoothed ratios form the content
-cluster. The region is every article and main element where these hold nearly
-all of that cluster, else the smallest container around the whole cluster, so
-short paragraphs and the headline inside it are kept. Elements
-that by their tag, class, id or role are menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles or reader comments never take part.
+cluster. The region is the smallest container around the whole cluster,
+whatever its tag, so short paragraphs and the headline inside it are kept, and
+an article beside it that holds none of the cluster is not. Tags and names only
+exclude: elements that by their tag, class, id or role are menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles or reader comments
+never take part. A compound name counts only if all its words are such words
+or words of page parts (``related-posts`` does, ``related-work`` does not). A
+label or button inside a paragraph is text of that paragraph.
 
 Map-only: each page is handled where it lies, whole, in bounded memory.
 
@@ -31,8 +34,6 @@ from pyspark.sql import functions as F
 from orderpulse.llm.common import isolate, restore
 
 FEED = 1 << 16
-#: share of the cluster's characters that article and main elements must hold to be the region
-COVER = 0.8
 LINK_SHARE = 0.5
 SIGMA = 1.0
 
@@ -60,8 +61,16 @@ SKIPPED_WORDS = frozenset(
     "commentlist disqus respond reply replies cookie cookies consent gdpr notice notices notification alert popup "
     "modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations "
     "widget toolbar pagination pager login search searchbox copyright disclaimer topbar hidden".split())
+# Words of class and id names that only say which part of a page something is.
+PART_WORDS = frozenset(
+    "area article articles bar block blog body bottom box btn button buttons card cards class col column container content "
+    "entry fixed float group head heading holder icon icons id inner item items js layer left link links list main module "
+    "outer page panel part pane position post posts primary right row secondary section site slot small stories story sub "
+    "text title top unit view web wp wrap wrapper".split())
 HEADER_WORDS = frozenset(["header", "siteheader", "pageheader"])
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies".split())
+#: elements that are text where they stand in a paragraph
+INLINE_CONTROLS = frozenset(["label", "button"])
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _OPEN_END = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)$")
@@ -99,7 +108,7 @@ class _Reader(HTMLParser):
 
     def _is_skipped(self, tag: str, attrs: list) -> bool:
         if tag in SKIPPED:
-            return True
+            return tag not in INLINE_CONTROLS or not self._in_paragraph()
         inside = any(t in ("article", "main") for t, _, _ in self.open)
         if tag == "header" and not inside:
             return True
@@ -112,10 +121,15 @@ class _Reader(HTMLParser):
             return False
         if values.get("role", "").lower() in SKIPPED_ROLES and not (inside and tag == "header"):
             return True
-        words = {w.lower() for k in ("class", "id") for w in _WORD.findall(values.get(k, ""))}
+        names = [{w.lower() for w in _WORD.findall(n)} for k in ("class", "id") for n in values.get(k, "").split()]
         if tag == "article":
-            return bool(words & COMMENT_WORDS)
-        return bool(words & SKIPPED_WORDS) or (not inside and bool(words & HEADER_WORDS))
+            return any(words & COMMENT_WORDS for words in names)
+        marks = SKIPPED_WORDS if inside else SKIPPED_WORDS | HEADER_WORDS
+        return any(words & marks and words <= marks | PART_WORDS for words in names)
+
+    def _in_paragraph(self) -> bool:
+        """Whether text here belongs to an open paragraph."""
+        return any(t == "p" for t, _, _ in self.open)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BREAKS:
@@ -213,10 +227,6 @@ def select(lines: list[Line]) -> list[str]:
     if (chosen & text).any():
         chosen &= text
     content = [x for x, is_content in zip(lines, chosen, strict=True) if is_content]
-    marked = [any(t in ("main", "article") for t, _ in x.path) for x in lines]
-    inside = sum(len(x.text) for x, m, c in zip(lines, marked, chosen, strict=True) if m and c)
-    if any(marked) and inside >= COVER * sum(len(x.text) for x in content):
-        return [x.text for x, m in zip(lines, marked, strict=True) if m]
     # the containers around all content lines, down to the last that may be a region
     around = list(content[0].path)
     for x in content:
