@@ -38,6 +38,7 @@ def _extended() -> dict[str, Query]:
         "order_page": listing.order_page,
         "order_page_deep": listing.order_page_deep,
         "order_page_nulls": listing.order_page_nulls,
+        "order_page_indexed": listing.order_page_indexed,
         "order_page_after": listing.order_page_after,
         "item_page": listing.item_page,
         "page_metadata": listing.page_metadata,
@@ -61,6 +62,7 @@ def _extended() -> dict[str, Query]:
         "csv_page_top_categories": io.csv_page_top_categories,
         "csv_raw_listing": io.csv_raw_listing,
         "stream_category_counts": streams.stream_category_counts,
+        "stream_paced_bytes": streams.stream_paced_bytes,
         "stream_snapshot_rows": streams.stream_snapshot_rows,
         "snapshot_reload": streams.snapshot_reload,
         "snapshot_many_parts": streams.snapshot_many_parts,

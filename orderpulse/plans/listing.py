@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderpulse.functions.labels import severity
-from orderpulse.operators import paging
+from orderpulse.operators import page_index, paging
 from orderpulse.plans.fact import order_dimension
+from orderpulse.session import scratch_path
 from orderpulse.sources.tables import read_table
 
 # Fixed parameters of the registered page queries.
@@ -59,6 +60,24 @@ def order_page_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionAll(page("deep", DEEP_PAGE, PER_PAGE * 4)))
 
 
+#: rows in a file of the page index of order_page_indexed: small, so that pages cross files on small tables, too
+INDEX_FILE_ROWS = 1_010
+
+
+def order_page_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LIM-01 from a page index over the rows of ``order_page_nulls``: a page
+    among the null keys, a deep one, one across two files, and one beyond the end."""
+    rows = null_key_rows(spark, sf_dir)
+    root = scratch_path(spark, "page-index")
+    page_index.write_page_index(rows, root, "item_id", ["item_no"], rows_per_file=INDEX_FILE_ROWS)
+
+    def page(number: int) -> DataFrame:
+        found = page_index.indexed_page(spark, root, rows.schema, number, PER_PAGE)
+        return found.select(F.lit(number).cast("long").alias("page"), "*")
+
+    return page(PAGE).unionAll(page(DEEP_PAGE)).unionAll(page(INDEX_FILE_ROWS // PER_PAGE + 1)).unionAll(page(10 ** 12))
+
+
 def order_page_after(spark: SparkSession, sf_dir: str, after_key: int = AFTER_KEY,
                      per_page: int = PER_PAGE) -> DataFrame:
     """Keyset page: the rows after a known key."""

@@ -150,6 +150,16 @@ n AS (SELECT *, row_number() OVER (ORDER BY item_id NULLS FIRST, item_no) - 1 AS
 SELECT path, item_id, item_no, status, grand_total
 FROM n JOIN (VALUES ('one step', {page}), ('narrowed', {page}), ('deep', {listing.DEEP_PAGE})) p(path, number)
   ON place // {per} = number - 1""",
+        "order_page_indexed": f"""WITH {ORDER_ROWS},
+r AS (SELECT CASE WHEN item_id % 20 <> 0 THEN item_id END AS item_id, item_id AS item_no, status, grand_total
+      FROM order_rows),
+n AS (SELECT *, row_number() OVER (ORDER BY item_id NULLS FIRST, item_no) - 1 AS place FROM r)
+SELECT page, item_id, item_no, status, grand_total
+FROM n JOIN (VALUES (CAST({page} AS BIGINT)), ({listing.DEEP_PAGE}), ({listing.INDEX_FILE_ROWS // per + 1}), ({10 ** 12})) p(page)
+  ON place // {per} = page - 1""",
+        "stream_paced_bytes": f"""
+SELECT {stripped_type} AS Category, COUNT(*) AS count, CAST(0 AS BIGINT) AS batches_over_limit FROM events
+WHERE event_type IS NOT NULL AND {stripped_type} <> '' GROUP BY 1""",
         "order_page_after": f"""WITH {ORDER_ROWS}
 SELECT * FROM order_rows WHERE item_id > {listing.AFTER_KEY} ORDER BY item_id LIMIT {per}""",
         "item_page": with_sales(f"""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from orderpulse.functions.time import utc_to_epoch
 from orderpulse.operators.snapshot import array_message, envelope_messages, envelope_rows, object_messages
-from orderpulse.session import scratch_path
+from orderpulse.session import file_sizes, scratch_path
 from orderpulse.sinks.messages import item_messages, write_message_batch
 from orderpulse.schemas import CATEGORY_COUNT, CATEGORY_STATS, QUARANTINE
 from orderpulse.sinks.tables import KeyedTable, VersionedTable, read_appended
@@ -72,6 +72,40 @@ def stream_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read().select(F.col("category").alias("Category"), "count")
 
 
+#: rows in a message file of stream_paced_bytes, from file to file in turn, and bytes in a micro-batch
+PACED_FILE_ROWS = (50, 4_000, 700)
+PACED_BYTES = 400_000
+
+
+def stream_paced_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-06: the count over message files of very different sizes, admitted
+    by bytes. Returns it with the number of micro-batches over the limit."""
+    base = scratch_path(spark, "paced")
+    ev = read_table(spark, sf_dir, "events", ["event_id", "event_type"])
+    messages = item_messages(ev.select(F.col("event_id").alias("item_id"), F.col("event_type").alias("Category")))
+    turn = F.pmod(F.xxhash64("value"), F.lit(len(PACED_FILE_ROWS)))
+    for n, size in enumerate(PACED_FILE_ROWS):
+        messages.where(turn == n).write.option("maxRecordsPerFile", size * max(1, ev.count() // 20_000)).mode("append").text(f"{base}/in")
+    job = streaming_session(spark, STATE_PARTITIONS)
+    # the limit follows the largest file, as the writer bounds files by rows
+    limit = max(PACED_BYTES, *file_sizes(spark, f"{base}/in", ".txt"))
+    stream = read_message_file_stream(job, f"{base}/in", max_bytes_per_trigger=limit)
+    table = VersionedTable(spark, f"{base}/table", CATEGORY_STATS)
+    q = start_category_count(stream, f"{base}/checkpoint", [snapshot_table_sink(table)], available_now=True)
+    q.awaitTermination()
+    read = _files_of_batches(spark, f"{base}/checkpoint").join(
+        spark.read.format("binaryFile").load(f"{base}/in").select(F.col("path"), "length"), "path")
+    over = read.groupBy("batch").agg(F.sum("length").alias("bytes")).where(F.col("bytes") > limit).count()
+    return table.read().select(F.col("category").alias("Category"), "count", F.lit(over).cast("long").alias("batches_over_limit"))
+
+
+def _files_of_batches(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(path, batch): which micro-batch admitted a file, by the file source's own progress log."""
+    lines = spark.read.text(f"{checkpoint}/sources/0").where("value like '{%'")
+    return lines.select(F.get_json_object("value", "$.path").alias("path"),
+                        F.get_json_object("value", "$.batchId").cast("long").alias("batch")).distinct()
+
+
 def stream_snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-04/05: the newest snapshot message's entries, read back."""
     base, _ = run_category_count(spark, sf_dir, with_messages=True)

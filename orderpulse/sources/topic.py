@@ -40,15 +40,23 @@ def read_topic_stream(spark: SparkSession, topic: str, bootstrap_servers: str,
 
 
 def read_message_file_stream(spark: SparkSession, path: str,
-                             max_files_per_trigger: int | None = None) -> DataFrame:
+                             max_files_per_trigger: int | None = None,
+                             max_bytes_per_trigger: int | None = None) -> DataFrame:
     """New message files under ``path``; each line is one message.
 
-    ``max_files_per_trigger`` paces the replay (the reference sleeps 0.1 s
-    per row; here pacing is per file and micro-batch).
+    The replay is paced (the reference sleeps 0.1 s per row) by files or by
+    bytes in a micro-batch, one of the two. A batch by bytes takes the oldest
+    files that fit, or one file that is larger than the limit: files are not
+    split, so let the writer bound them (``write_message_files`` with
+    ``max_rows``).
     """
+    if max_files_per_trigger and max_bytes_per_trigger:
+        raise ValueError("give a number of files or of bytes, not both")
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    if max_bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", str(max_bytes_per_trigger))
     raw = reader.load(path)
     return raw.select(
         "value",

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 
 from orderpulse.functions import bytes_to_string
 from orderpulse.schemas import CATEGORY_STATS
@@ -152,3 +153,51 @@ def test_topic_source_needs_the_connector(spark):
 
     with pytest.raises(Exception, match="(?i)kafka"):
         read_topic_stream(spark, "category", "localhost:9092")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_equal_predicates_cover_each_row_once(spark, seed):
+    import random
+
+    import duckdb
+
+    from orderpulse.sources.jdbc import equal_predicates, histogram_query
+
+    rnd = random.Random(seed)
+    values = [None] * rnd.choice([0, 50]) + [int(rnd.paretovariate(0.7)) - rnd.choice([0, 500]) for _ in range(3000)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (k BIGINT)")
+    con.executemany("INSERT INTO t VALUES (?)", [(v,) for v in values])
+    low, high = con.sql("SELECT min(k), max(k) FROM t").fetchall()[0]
+    histogram = [(int(a), b) for a, b in con.sql(histogram_query("t", "k", low, high, 4096)).fetchall()]
+    assert sum(n for _, n in histogram) == sum(v is not None for v in values)
+    parts = equal_predicates("k", histogram, 6)
+    counts = [con.sql(f"SELECT count(*) FROM t WHERE {p}").fetchall()[0][0] for p in parts]
+    assert sum(counts) == len(values) and len(parts) <= 7
+    assert con.sql("SELECT count(*) FROM t WHERE " + " + ".join(f"coalesce(CAST(({p}) AS INT), 0)" for p in parts) + " <> 1").fetchall()[0][0] == 0
+    largest = max(n for _, n in histogram)
+    assert max(counts[1:]) <= len(values) / 6 + largest
+    # rows outside the counted span are read as well, and an empty table has two parts
+    assert spark.range(-10 ** 7, 10 ** 7, 10 ** 6).toDF("k").where(" OR ".join(f"({p})" for p in parts)).count() == 20
+    assert equal_predicates("k", [], 6) == ["k IS NULL", "k IS NOT NULL"]
+    assert equal_predicates("k", [(5, 100)], 6) == ["k IS NULL", "k IS NOT NULL"]
+
+
+def test_balanced_read_asks_the_database_for_its_bounds(spark, monkeypatch):
+    from pyspark.sql import DataFrameReader
+
+    from orderpulse.sources import jdbc
+
+    asked = []
+
+    def fake(spark_, url, table=None, query=None, properties=None, **_):
+        asked.append(query)
+        if "MIN(k)" in query:
+            return spark.createDataFrame([(0, 99)], "low long, high long")
+        return spark.createDataFrame([(0, 90), (50, 5), (60, 5)], "low long, n long")
+
+    monkeypatch.setattr(jdbc, "read_jdbc", fake)
+    monkeypatch.setattr(DataFrameReader, "jdbc", lambda self, url, table, predicates, properties: (table, predicates))
+    assert jdbc.read_jdbc_balanced(spark, "jdbc:none:", "t", "k", partitions=2, cells_per_partition=5) == (
+        "t", ["k IS NULL", "k < 50", "k >= 50"])
+    assert asked[1] == "SELECT 0 + 10 * FLOOR((k - 0) / 10) AS low, COUNT(*) AS n FROM t WHERE k IS NOT NULL GROUP BY FLOOR((k - 0) / 10)"

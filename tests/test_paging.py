@@ -95,3 +95,25 @@ def test_bounds_reach_the_scan(spark):
     for query, column in ((listing.order_page_deep, "o_orderkey"), (listing.item_page, "l_orderkey")):
         text = query(spark, "/root/testdata/sf0.01")._jdf.queryExecution().explainString(mode)
         assert f"GreaterThanOrEqual({column}," in text and "cast(" not in text.split("PushedFilters")[1].split("ReadSchema")[0]
+
+
+def test_indexed_pages_equal_page_rows(spark, scratch):
+    import random
+
+    from orderpulse.operators import page_index, paging
+
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, "", "a", "b", "zz"]), rnd.choice([None, 1, 2, 3]), i) for i in range(700)]
+    df = spark.createDataFrame(rows, "k string, t int, id int")
+    root = scratch("page-index")
+    page_index.write_page_index(df, root, "k", ["t", "id"], rows_per_file=90)
+    index = spark.read.parquet(f"{root}/index").orderBy("first_row").collect()
+    assert len(index) >= 8 and [r["first_row"] for r in index] == [sum(x["rows"] for x in index[:i]) for i in range(len(index))]
+    for page, size in ((1, 25), (4, 25), (1, 700), (3, 300), (28, 25), (29, 25), (10 ** 9, 25)):
+        want = paging.page_rows(df, "k", page, size, tiebreak=["t", "id"]).collect()
+        assert page_index.indexed_page(spark, root, df.schema, page, size).collect() == want
+    with pytest.raises(ValueError):
+        page_index.indexed_page(spark, root, df.schema, 0)
+    empty = scratch("page-index-empty")
+    page_index.write_page_index(df.limit(0), empty, "k", ["t", "id"])
+    assert page_index.indexed_page(spark, empty, df.schema, 1).count() == 0
