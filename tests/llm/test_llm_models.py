@@ -359,3 +359,33 @@ def test_file_order_is_by_number(spark, tmp_path, scratch):
         shutil.copy(f, local_path(f"{base}/in/part-{n}-x.snappy.parquet"))
     rows = pipeline.in_file_order(spark.read.parquet(f"{base}/in")).orderBy("place").collect()
     assert [r["id"] for r in rows] == list(range(6)) and [r["place"] for r in rows] == list(range(6))
+
+
+# language identification --------------------------------------------------------
+
+def test_two_thousand_languages_in_blocks_match_brute_force(spark):
+    from orderpulse.llm import language_id
+
+    rnd = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"l{k:04d}" for k in range(2000)]
+    rows = [(k, " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(2, 6))) for _ in range(3)), names[k]) for k in range(2000)]
+    rows += [(9000 + k, t, n) for k, (_, t, n) in enumerate(rows[:40])] + [(9999, None, "l0000"), (9998, "twin", "zz"), (9997, "twin", "za")]
+    buckets = 1 << 10
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), buckets=buckets)
+    assert model.blocks == 8 and len(model.langs) == 2002
+    # the dense matrix of all languages
+    langs = sorted({r[2] for r in rows})
+    counts, docs = np.zeros((len(langs), buckets)), collections.Counter(r[2] for r in rows)
+    for _, text, lang in rows:
+        triple, pair, _ = language_id._features([text or ""], buckets)
+        counts[langs.index(lang)] += np.bincount(triple, minlength=buckets) + np.bincount(pair, minlength=buckets)
+    logs = np.log((counts + language_id.ALPHA) / (counts.sum(axis=1, keepdims=True) + language_id.ALPHA * buckets))
+    priors = np.log([docs[x] / len(rows) for x in langs])
+    dense = language_id.Model(langs, np.rint(logs * language_id.UNIT).astype(np.int32), np.rint(priors * language_id.UNIT).astype(np.int64), buckets)
+    texts = [rows[5][1], rows[1500][1], "twin", None, "", "12!", PROSE] + [r[1] for r in rows[::97]]
+    want = list(zip(*dense.score(texts), strict=True))
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(asked, model).collect()}
+    assert [got[i][0] for i in range(len(texts))] == [w for w, _ in want] and got[2][0] == "za"
+    assert np.allclose([got[i][1] for i in range(len(texts))], [s for _, s in want])
