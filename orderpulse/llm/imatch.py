@@ -7,13 +7,13 @@ not depend on the number of documents: a document has some average number
 documents, so there are at most ``m / LOW`` of them. That is what makes the
 broadcast of the lexicon safe.
 
-``DRAWS`` random draws each order the lexicon into nested subsets of density
-1, 1/2, 1/4, … (by the leading zero bits of a hash). From each draw a text
-takes the sparsest subset that still holds one of its terms, sorts its
-distinct terms in that subset and hashes them. So short and long texts both
-get hashes that survive some edits. The likeness of two texts is the share of
-draws with equal subset and hash; it is 1 for equal texts and follows the
-overlap of their terms otherwise.
+The lexicon has ``len(SHIFTS)`` random subsets, the draws, each of a density
+fixed beforehand, 1/4 to 1/4096, for texts of few and of very many terms. For
+each draw a text's distinct terms in the subset are sorted and hashed, all of
+them; a draw without a term of the text has no hash. The likeness of two texts
+is the share of equal hashes among the draws in which either has one; it is 1
+for equal texts. A hash is equal when all its terms are, so a sparse draw
+survives edits that a dense one does not.
 
 Built-in functions only. ``with_neighbour`` pairs every document with the
 next one in descending id order without a global sort: ids are cut into
@@ -23,8 +23,8 @@ greatest of all visits the lowest range, which closes the ring). The text is
 shuffled once; the lexicon join, the grouping and both windows reuse that
 partitioning.
 
-Defined results: a null text is empty. A text without a lexicon term gets its
-own hash in every draw, so it is like equal texts only. Rows that repeat an
+Defined results: a null text is empty. A text without a term in any draw gets
+its own hash in every one, so it is like equal texts only. Rows that repeat an
 id are ordered by a hash of their text; null ids come last. An only document
 is its own neighbour. An empty table gives an empty result.
 """
@@ -37,7 +37,11 @@ from pyspark.sql import functions as F
 from orderpulse.llm.common import shuffle_partitions
 
 LOW, HIGH = 0.001, 0.25
-DRAWS = 16
+#: density of each draw, as a power of 1/2
+SHIFTS = [2] * 4 + [4] * 8 + [6] * 16 + [8] * 16 + [10] * 12 + [12] * 4
+#: the first draws, which look at all lexicon terms of a text; few terms are in any of the others
+DENSE = 12
+DRAWS = len(SHIFTS)
 MAX_CELLS = 1 << 16
 
 
@@ -48,35 +52,37 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(term, code): terms in the band; ``code`` packs for each draw the
-    density step (leading zero bits of 16 hash bits, at most 15) in 4 bits."""
+    """(term, code): terms in the band; bit r of ``code`` tells whether the
+    term is in draw r, by three hex digits of an MD5 of the term."""
     n = docs.count()
     counted = (docs.select(F.explode(terms(F.col(text_col))).alias("term"))
                .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     band = counted.where((F.col("df") >= low * n) & (F.col("df") <= max(1.0, high * n)))
-    digest = F.sha2("term", 256)
+    digests = [F.md5(F.concat(F.lit(f"{i} "), F.col("term"))) for i in range(-(-DRAWS // 10))]
     code = F.lit(0).cast("long")
-    for draw in range(DRAWS):
-        bits = F.conv(F.substring(digest, 4 * draw + 1, 4), 16, 10).cast("long")
-        step = F.least(F.lit(15), F.when(bits == 0, F.lit(16)).otherwise(16 - F.length(F.bin(bits)))).cast("long")
-        code = code.bitwiseOR(F.shiftleft(step, 4 * draw))
+    for draw, shift in enumerate(SHIFTS):
+        value = F.conv(F.substring(digests[draw // 10], 3 * (draw % 10) + 1, 3), 16, 10).cast("int")
+        code = code.bitwiseOR(F.when(value < 4096 >> shift, F.lit(1 << draw)).otherwise(0))
     return band.select("term", code.alias("code"))
 
 
 def fingerprint(found: str, own: str) -> Column:
-    """Hash per draw, joined by '-'. ``found``: sorted array of (term, code);
-    ``own``: digest of the text, for a text without lexicon terms."""
-    step = "shiftright(t.code, 4 * r) & 15"
-    return F.expr(f"""
-        array_join(transform(sequence(0, {DRAWS - 1}), r -> if(size({found}) = 0, concat('-', substr({own}, 1, 8)),
-          transform(array(array_max(transform({found}, t -> {step}))), top -> concat(
-            lower(hex(top)), substr(md5(array_join(transform(filter({found}, t -> {step} = top), t -> t.term), ' ')), 1, 8)
-          ))[0])), ',')""")
+    """Hash per draw, joined by commas, '-' for a draw without a term.
+    ``found``: sorted array of (term, code); ``own``: digest of the text."""
+    def hashes(rows: str, first: int, last: int) -> str:
+        return f"""transform(sequence({first}, {last}), r -> transform(
+            array(filter({rows}, t -> (shiftright(t.code, r) & 1) = 1)),
+            s -> if(size(s) = 0, '-', substr(md5(array_join(transform(s, t -> t.term), ' ')), 1, 6)))[0])"""
+
+    sparse = f"filter({found}, t -> shiftright(t.code, {DENSE}) <> 0)"
+    every = f"concat({hashes(found, 0, DENSE - 1)}, transform(array({sparse}), f -> {hashes('f', DENSE, DRAWS - 1)})[0])"
+    return F.expr(f"""transform(array({every}), h -> if(exists(h, x -> x <> '-'), array_join(h, ','),
+        array_join(array_repeat(concat('=', substr({own}, 1, 6)), {DRAWS}), ',')))[0]""")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    same = F.filter(F.zip_with(F.split(a, ","), F.split(b, ","), lambda x, y: x == y), lambda x: x)
-    return F.size(same) / F.lit(float(DRAWS))
+    pairs = F.filter(F.arrays_zip(F.split(a, ",").alias("a"), F.split(b, ",").alias("b")), lambda p: (p["a"] != "-") | (p["b"] != "-"))
+    return F.size(F.filter(pairs, lambda p: p["a"] == p["b"])) / F.size(pairs).cast("double")
 
 
 def _ranges(docs: DataFrame, id_col: str, parts: int) -> tuple[Column, Column]:

@@ -133,7 +133,8 @@ FROM documents d LEFT JOIN best USING (doc_id)
 """
 
 
-def fingerprint_sql(low: float = imatch.LOW, high: float = imatch.HIGH, draws: int = imatch.DRAWS) -> str:
+def fingerprint_sql(low: float = imatch.LOW, high: float = imatch.HIGH) -> str:
+    draws, shifts = imatch.DRAWS, imatch.SHIFTS
     return rf"""
 WITH ring AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -151,28 +152,32 @@ lexicon AS (
   HAVING count(*) >= {low} * (SELECT count(*) FROM documents)
      AND count(*) <= greatest(1.0, {high} * (SELECT count(*) FROM documents))),
 coded AS (
-  SELECT term, r, CASE WHEN v = 0 THEN 15 ELSE least(15, 16 - length(bin(v))) END AS step
-  FROM (SELECT term, r, CAST('0x' || substr(sha256(term), 4 * r + 1, 4) AS BIGINT) AS v
-        FROM lexicon, (SELECT unnest(range(0, {draws})) AS r))),
-found AS (SELECT doc_id, kind, r, term, step, max(step) OVER (PARTITION BY doc_id, kind, r) AS top
-          FROM words JOIN coded USING (term)),
+  SELECT term, r
+  FROM (SELECT term, r, CAST('0x' || substr(md5((r // 10) || ' ' || term), 3 * (r % 10) + 1, 3) AS INTEGER) AS v
+        FROM lexicon, (SELECT unnest(range(0, {draws})) AS r))
+  WHERE v < 4096 >> list_extract({shifts}, CAST(r + 1 AS BIGINT))),
 hashed AS (
-  SELECT doc_id, kind, r, lower(to_hex(top)) || substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) AS h
-  FROM found WHERE step = top GROUP BY doc_id, kind, r, top),
+  SELECT doc_id, kind, r, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 6) AS h
+  FROM words JOIN coded USING (term) GROUP BY doc_id, kind, r),
+drawn AS (SELECT DISTINCT doc_id, kind FROM hashed),
 prints AS (
-  SELECT x.doc_id, x.kind, x.t, string_agg(coalesce(h, '-' || substr(sha256(x.t), 1, 8)), ',' ORDER BY x.r) AS fp,
-         list(coalesce(h, '-' || substr(sha256(x.t), 1, 8)) ORDER BY x.r) AS hs
+  SELECT x.doc_id, x.kind, x.t,
+         list(CASE WHEN drawn.doc_id IS NULL THEN '=' || substr(sha256(x.t), 1, 6) ELSE coalesce(h, '-') END ORDER BY x.r) AS hs
   FROM (SELECT doc_id, kind, t, unnest(range(0, {draws})) AS r FROM texts) x
   LEFT JOIN hashed ON x.doc_id = hashed.doc_id AND x.kind = hashed.kind AND x.r = hashed.r
+  LEFT JOIN drawn ON x.doc_id = drawn.doc_id AND x.kind = drawn.kind
   GROUP BY x.doc_id, x.kind, x.t),
 beside AS (
-  SELECT a.doc_id, length(a.t) AS n_chars, sha256(b.t) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint,
+  SELECT a.doc_id, length(a.t) AS n_chars, sha256(b.t) AS edited_sha256, array_to_string(a.hs, ',') AS fingerprint,
+         array_to_string(b.hs, ',') AS edited_fingerprint,
          a.hs AS ha, b.hs AS hb, coalesce(lead(a.hs) OVER w, first_value(a.hs) OVER w) AS hn
   FROM prints a JOIN prints b ON a.doc_id = b.doc_id AND a.kind = 0 AND b.kind = 1
   WINDOW w AS (ORDER BY a.doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-       len(list_filter(range(1, {draws} + 1), lambda i: ha[i] = hb[i])) / {draws}.0 AS near_edited,
-       len(list_filter(range(1, {draws} + 1), lambda i: ha[i] = hn[i])) / {draws}.0 AS near_next
+       len(list_filter(range(1, {draws} + 1), lambda i: ha[i] = hb[i] AND ha[i] <> '-'))
+         / CAST(len(list_filter(range(1, {draws} + 1), lambda i: ha[i] <> '-' OR hb[i] <> '-')) AS DOUBLE) AS near_edited,
+       len(list_filter(range(1, {draws} + 1), lambda i: ha[i] = hn[i] AND ha[i] <> '-'))
+         / CAST(len(list_filter(range(1, {draws} + 1), lambda i: ha[i] <> '-' OR hn[i] <> '-')) AS DOUBLE) AS near_next
 FROM beside
 """
 

@@ -389,3 +389,29 @@ def test_two_thousand_languages_in_blocks_match_brute_force(spark):
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(asked, model).collect()}
     assert [got[i][0] for i in range(len(texts))] == [w for w, _ in want] and got[2][0] == "za"
     assert np.allclose([got[i][1] for i in range(len(texts))], [s for _, s in want])
+
+
+# fingerprints -------------------------------------------------------------------
+
+def test_fingerprints_hash_all_terms_of_fixed_subsets(spark):
+    from orderpulse.llm import imatch
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    codes = {r["term"]: r["code"] for r in imatch.lexicon(docs).collect()}
+    split = lambda t: {w for w in re.sub(r"[^\w]|_", " ", t.lower()).split() if w}
+    for r in (0, 5, 15, 30, 50):  # subsets have the density that was fixed beforehand
+        share = sum(c >> r & 1 for c in codes.values()) / len(codes)
+        assert abs(share - 2.0 ** -imatch.SHIFTS[r]) < 4 * math.sqrt(2.0 ** -imatch.SHIFTS[r] / len(codes)) + 1e-9
+    out = {r["doc_id"]: r["fingerprint"].split(",") for r in imatch.compare_edited(docs).collect()}
+    terms_in_hashes, single, hashes = 0, 0, 0
+    for d in docs.collect():
+        own = sorted(split(d["text"] or "") & codes.keys())
+        for r, got in enumerate(out[d["doc_id"]]):
+            chosen = [w for w in own if codes[w] >> r & 1]
+            if got != "-" and not got.startswith("="):
+                assert chosen and got == hashlib.md5(" ".join(chosen).encode()).hexdigest()[:6]
+                terms_in_hashes, hashes, single = terms_in_hashes + len(chosen), hashes + 1, single + (len(chosen) == 1)
+            else:
+                assert not chosen
+    # a hash covers about 7 terms on average, and most cover more than one
+    assert terms_in_hashes / hashes > 5 and single / hashes < 0.5
