@@ -69,6 +69,8 @@ def _extended() -> dict[str, Query]:
         "snapshot_reload_plain": streams.snapshot_reload_plain,
         "snapshot_reload_late": streams.snapshot_reload_late,
         "snapshot_reload_empty": streams.snapshot_reload_empty,
+        "topic_start_policies": streams.topic_start_policies,
+        "stream_reseeded_counts": streams.stream_reseeded_counts,
         "stream_restart_counts": streams.stream_restart_counts,
         "append_results": streams.append_results,
         "append_from_envelopes": streams.append_from_envelopes,

@@ -254,6 +254,14 @@ WITH e AS (SELECT event_id, {stripped_type} AS c FROM events WHERE event_type IS
 SELECT 'half' AS run, c AS Category, COUNT(*) AS count FROM e WHERE event_id % 2 = 0 GROUP BY 2
 UNION ALL SELECT 'resumed', c, COUNT(*) FROM e GROUP BY 2
 UNION ALL SELECT 'fresh', c, COUNT(*) FROM e GROUP BY 2""",
+        "topic_start_policies": f"""
+WITH e AS (SELECT event_id, {stripped_type} AS c FROM events WHERE event_type IS NOT NULL AND {stripped_type} <> '')
+SELECT 'earliest' AS policy, 'first' AS run, c AS Category, COUNT(*) AS count FROM e WHERE event_id % 2 = 0 GROUP BY 3
+UNION ALL SELECT 'earliest', 'resumed', c, COUNT(*) FROM e GROUP BY 3
+UNION ALL SELECT 'latest', 'resumed', c, COUNT(*) FROM e WHERE event_id % 2 <> 0 GROUP BY 3""",
+        "stream_reseeded_counts": f"""
+SELECT {stripped_type} AS Category, COUNT(*) AS count, COUNT(*) AS in_state FROM events
+WHERE event_type IS NOT NULL AND {stripped_type} <> '' GROUP BY 1""",
         "message_bytes": """
 SELECT CAST(event_id AS VARCHAR) AS item_id, event_type AS Category FROM events""",
         "result_rows_roundtrip": f"""

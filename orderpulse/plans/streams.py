@@ -19,10 +19,11 @@ from orderpulse.sinks.messages import item_messages, write_message_batch
 from orderpulse.schemas import CATEGORY_COUNT, CATEGORY_STATS, QUARANTINE
 from orderpulse.sinks.tables import KeyedTable, VersionedTable, read_appended
 from orderpulse.sources.files import read_message_files
+from orderpulse.sources.message_log import MessageLog, committed_offsets, read_message_log
 from orderpulse.sources.tables import read_table
 from orderpulse.sources.topic import read_message_file_stream
 from orderpulse.streaming.category_count import (
-    snapshot_message_sink, snapshot_table_sink, start_category_count, streaming_session,
+    counts_of_state, snapshot_message_sink, snapshot_table_sink, start_category_count, streaming_session,
 )
 from orderpulse.streaming.loaders import (
     start_append_loader, start_snapshot_loader, start_upsert_loader,
@@ -229,6 +230,61 @@ def stream_restart_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return half.unionAll(whole).unionAll(counted("fresh"))
 
 
+def _item_values(rows: DataFrame) -> DataFrame:
+    return item_messages(rows.select(F.col("event_id").alias("item_id"), F.col("event_type").alias("Category")))
+
+
+def topic_start_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-06: two counts over one message table, one from its earliest and one
+    from its latest offsets; each stops, more messages arrive, and it goes on
+    from its stored offsets. Returns the counts after each run."""
+    base = scratch_path(spark, "start-policy")
+    ev = read_table(spark, sf_dir, "events", ["event_id", "event_type"])
+    log = MessageLog(spark, f"{base}/topic")
+    out = None
+    for run, part in (("first", F.col("event_id") % 2 == 0), ("resumed", F.col("event_id") % 2 != 0)):
+        log.append(_item_values(ev.where(part)))
+        for policy in ("earliest", "latest"):
+            job = streaming_session(spark, STATE_PARTITIONS)
+            table = VersionedTable(spark, f"{base}/{policy}", CATEGORY_STATS)
+            start_category_count(read_message_log(job, f"{base}/topic", policy), f"{base}/checkpoint-{policy}",
+                                 [snapshot_table_sink(table)], available_now=True).awaitTermination()
+            now = _kept(table.read().select(F.lit(policy).alias("policy"), F.lit(run).alias("run"),
+                                            F.col("category").alias("Category"), "count"), f"{base}/{policy}-{run}")
+            out = now if out is None else out.unionAll(now)
+    return out
+
+
+#: state partitions of the second query of stream_reseeded_counts
+MORE_STATE_PARTITIONS = 16
+
+
+def stream_reseeded_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-03: a count stops; its state and offsets are read from its
+    checkpoint, and a query with another number of state partitions goes on
+    from there over the messages that came since, and once more after a stop."""
+    base = scratch_path(spark, "reseeded")
+    ev = read_table(spark, sf_dir, "events", ["event_id", "event_type"])
+    log = MessageLog(spark, f"{base}/topic")
+    old = VersionedTable(spark, f"{base}/old", CATEGORY_STATS)
+    log.append(_item_values(ev.where("event_id % 3 = 0")))
+    job = streaming_session(spark, STATE_PARTITIONS)
+    start_category_count(read_message_log(job, f"{base}/topic", "earliest"), f"{base}/checkpoint-old",
+                         [snapshot_table_sink(old)], available_now=True).awaitTermination()
+
+    counts_of_state(spark, f"{base}/checkpoint-old").write.parquet(f"{base}/seeds")
+    offsets = committed_offsets(spark, f"{base}/checkpoint-old")
+    table = VersionedTable(spark, f"{base}/new", CATEGORY_STATS)
+    for rest in (1, 2):
+        log.append(_item_values(ev.where(F.col("event_id") % 3 == rest)))
+        wide = streaming_session(spark, MORE_STATE_PARTITIONS)
+        seeds = wide.readStream.schema("Category string, count long").parquet(f"{base}/seeds")
+        start_category_count(read_message_log(wide, f"{base}/topic", offsets), f"{base}/checkpoint-new",
+                             [snapshot_table_sink(table)], available_now=True, seeds=seeds).awaitTermination()
+    states = counts_of_state(spark, f"{base}/checkpoint-new").select(F.col("Category"), F.col("count").alias("in_state"))
+    return table.read().select(F.col("category").alias("Category"), "count").join(states, "Category")
+
+
 # Fixed texts that look like JSON and are not.
 NOT_JSON = ['{"Category":"a","count":1}] junk', "{'Category':'a','count':1}", "1],[2"]
 

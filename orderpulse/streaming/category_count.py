@@ -21,6 +21,7 @@ import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from orderpulse.operators.cleaning import parse_item_messages, valid_categories
@@ -59,6 +60,23 @@ def category_counts(messages: DataFrame, value: str = "value") -> DataFrame:
     return valid_categories(parsed).groupBy("Category").count()
 
 
+def counts_of_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(Category, count): the state of a counting query after its last
+    committed batch, read from its checkpoint."""
+    state = spark.read.format("statestore").load(checkpoint)
+    number = state.schema["value"].dataType.names[0]  # count, or the sum of a reseeded count
+    return state.select(F.col("key.Category").alias("Category"), F.col("value").getField(number).cast("long").alias("count"))
+
+
+def reseeded_counts(messages: DataFrame, seeds: DataFrame, value: str = "value") -> DataFrame:
+    """Running count that goes on from the counts of another query: ``seeds``
+    is a stream of (Category, count), ``messages`` the messages after it. The
+    number of state partitions is this query's own."""
+    fresh = valid_categories(parse_item_messages(messages, value)).select("Category", F.lit(1).cast("long").alias("count"))
+    both = fresh.unionByName(seeds.select("Category", F.col("count").cast("long").alias("count")))
+    return both.groupBy("Category").agg(F.sum("count").alias("count"))
+
+
 def fan_out(sinks: Sequence[BatchSink], checkpoint: str) -> Callable[[DataFrame, int], None]:
     """One batch callback that feeds every sink the same cached result."""
     from orderpulse.streaming.loaders import run_id
@@ -89,8 +107,6 @@ def snapshot_table_sink(table: VersionedTable) -> BatchSink:
     """Atomically replace the snapshot table with this batch's counts
     (SNK-07/08/09). The version is tagged with query and batch, so a replay
     writes nothing new."""
-    from pyspark.sql import functions as F
-
     from orderpulse.functions.time import epoch_to_utc
 
     def run(batch: DataFrame, batch_id: int, run: str = "") -> None:
@@ -131,18 +147,20 @@ def object_message_sink(write: MessageWriter) -> BatchSink:
 
 def start_category_count(messages: DataFrame, checkpoint: str, sinks: Sequence[BatchSink],
                          trigger: str | None = DEFAULT_TRIGGER, available_now: bool = False,
-                         query_name: str | None = None, output_mode: str = "complete") -> StreamingQuery:
+                         query_name: str | None = None, output_mode: str = "complete",
+                         seeds: DataFrame | None = None) -> StreamingQuery:
     """Start the counting query (STR-01…05).
 
     ``trigger`` is the processing-time interval (the reference used 5 s);
     ``available_now`` processes what is there in bounded batches and stops.
     ``output_mode``: ``complete`` (the reference's; every batch carries the
     whole count table, which the snapshot sinks need) or ``update`` (only
-    changed categories; pair it with :func:`object_message_sink`).
+    changed categories; pair it with :func:`object_message_sink`). With
+    ``seeds`` the count goes on from another query's (``reseeded_counts``).
     """
     if output_mode not in ("complete", "update"):
         raise ValueError("output_mode must be 'complete' or 'update'")
-    counts = category_counts(messages)
+    counts = category_counts(messages) if seeds is None else reseeded_counts(messages, seeds)
     writer = (counts.writeStream.outputMode(output_mode)
               .option("checkpointLocation", checkpoint)
               .foreachBatch(fan_out(sinks, checkpoint)))
