@@ -109,24 +109,32 @@ def license_sql(threshold: float = license_scan.THRESHOLD) -> str:
 WITH templates(tid, license, grams) AS (VALUES {known}),
 docs AS (SELECT doc_id, coalesce(text, '') AS text, regexp_split_to_array(coalesce(text, ''), '\n[ \t\r]*\n') AS ps
          FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS u FROM docs),
+cut AS (SELECT doc_id, string_split(regexp_replace(u, '([.!?:;])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)) AS s FROM lines),
 units AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS u FROM docs
-  UNION ALL
-  SELECT doc_id, p FROM (SELECT doc_id, unnest(ps) AS p FROM docs) WHERE contains(p, chr(10))
-  UNION ALL
-  SELECT doc_id, text FROM docs WHERE len(ps) > 1),
+  SELECT row_number() OVER () AS uid, doc_id, u FROM (
+    SELECT doc_id, u FROM lines
+    UNION ALL
+    SELECT doc_id, unnest(s) FROM cut WHERE len(s) > 1
+    UNION ALL
+    SELECT doc_id, p FROM (SELECT doc_id, unnest(ps) AS p FROM docs) WHERE contains(p, chr(10))
+    UNION ALL
+    SELECT doc_id, text FROM docs WHERE len(ps) > 1)),
 words AS (
-  SELECT doc_id, string_split(trim(regexp_replace(lower(u), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM units),
+  SELECT uid, doc_id, string_split(trim(regexp_replace(lower(u), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM units),
 grams AS (
-  SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+  SELECT uid, doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
   FROM words WHERE len(w) > 1),
-hits AS (
-  SELECT doc_id, license, 2 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice
+near AS (
+  SELECT uid, doc_id, license, 2 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice
   FROM grams JOIN templates ON 2 * least(len(g), len(grams)) >= {threshold} * (len(g) + len(grams)) - 0.001),
+hits AS (
+  SELECT uid, doc_id, max(dice) AS dice, arg_min(license, struct_pack(d := -dice, l := license)) AS license
+  FROM near WHERE dice >= {threshold} GROUP BY uid, doc_id),
 best AS (
   SELECT doc_id, count(*) AS n_hits, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
          max(dice) AS best_dice, arg_min(license, struct_pack(d := -dice, l := license)) AS best_license
-  FROM hits WHERE dice >= {threshold} GROUP BY doc_id)
+  FROM hits GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_hits, 0) AS n_hits, coalesce(licenses, '') AS licenses, best_license,
        coalesce(best_dice, 0.0) AS best_dice
 FROM documents d LEFT JOIN best USING (doc_id)

@@ -415,3 +415,44 @@ def test_fingerprints_hash_all_terms_of_fixed_subsets(spark):
                 assert not chosen
     # a hash covers about 7 terms on average, and most cover more than one
     assert terms_in_hashes / hashes > 5 and single / hashes < 0.5
+
+
+# licences -----------------------------------------------------------------------
+
+def test_notices_and_tags_are_named_rightly(spark):
+    from orderpulse.llm import license_scan
+
+    gnu = {n: license_scan.GNU_NOTICE.format(what=w, name=long_, version=v, colon=":", comma=",") for n, w, long_, v in license_scan.GNU}
+    cases = [
+        ("MIT", "SPDX-License-Identifier: MIT"), ("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0-only"),
+        ("MIT", "Copyright (c) 2020 Jane Doe. Licensed under the MIT License."),
+        ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+                    "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+        *gnu.items(),
+        *[(n, "Copyright 2021 The Authors\n\n" + "\n\n".join(ps)) for n, ps in license_scan.WHOLE.items()],
+        ("MIT", "A readme.\nWith prose: all of it long. " + PROSE + ". Released under the MIT License. " + PROSE + "."),
+        (None, PROSE), (None, "The license of the driver was renewed in May."),
+    ]
+    out = license_scan.summarize(license_scan.scan(frame(spark, list(enumerate(t for _, t in cases)))), ["doc_id"]).collect()
+    found = {r["doc_id"]: r for r in out}
+    for i, (name, text) in enumerate(cases):
+        # paragraphs that two licences share name one of them; the whole text is named by its own
+        assert name == found[i]["best_license"] or name == "BSD-2-Clause" and name in found[i]["licenses"].split(","), (text[:60], found[i])
+    assert len({n for n, _ in license_scan.TEMPLATES}) >= 20 and len({t for _, t in license_scan.TEMPLATES}) == len(license_scan.TEMPLATES)
+
+
+def test_dice_matches_brute_force(spark):
+    from orderpulse.llm import license_scan
+
+    rnd = random.Random(6)
+    texts = []
+    for name, text in license_scan.TEMPLATES:
+        words = text.replace("\n\n", " ").split(" ")
+        texts.append(" ".join(w for w in words if rnd.random() > 0.06))
+    hits = license_scan.scan(frame(spark, list(enumerate(texts)))).select("doc_id", F.explode("license_hits").alias("h")).collect()
+    got = {r["doc_id"]: (r["h"]["license"], r["h"]["dice"]) for r in hits if r["h"]["unit"] == "line"}
+    sets = [(n, set(license_scan.template_bigrams(t))) for n, t in license_scan.TEMPLATES]
+    for i, text in enumerate(texts):
+        own = set(license_scan.template_bigrams(text))
+        dice, name = min((-2 * len(own & b) / max(1, len(own) + len(b)), n) for n, b in sets)
+        assert got.get(i) == ((name, -dice) if -dice >= license_scan.THRESHOLD else None)
