@@ -14,7 +14,8 @@ keeps k of them, thinned before its shuffle.
 Defined results: vectors that are null or hold a null or non-finite component
 take no part; only vectors of equal dimension meet. Ties go to the smaller
 id, and rows that repeat an id are candidates of their own (all but those
-with the query's id). Ids that are null take no part. An empty table gives an
+with the query's id); of rows that repeat a query's id only one asks, the least
+by dimension and bytes. Ids that are null take no part. An empty table gives an
 empty result. Products beyond 64 bits are held at the 64-bit limits.
 """
 
@@ -149,8 +150,9 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
     own, ask = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(query_blocks))
     candidates = packed.select("id", "dim", "vec", own.alias("block"),
                                every(query_blocks).alias("part"))
-    queries = packed.where("asks").select("id", "dim", "vec", ask.alias("part"),
-                                          every(blocks).alias("block"))
+    # of rows that repeat a query's id one asks
+    asked = packed.where("asks").groupBy("id").agg(F.min(F.struct("dim", "vec")).alias("q")).select("id", "q.*")
+    queries = asked.select("id", "dim", "vec", ask.alias("part"), every(blocks).alias("block"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []

@@ -456,3 +456,22 @@ def test_dice_matches_brute_force(spark):
         own = set(license_scan.template_bigrams(text))
         dice, name = min((-2 * len(own & b) / max(1, len(own) + len(b)), n) for n, b in sets)
         assert got.get(i) == ((name, -dice) if -dice >= license_scan.THRESHOLD else None)
+
+
+# top-k -----------------------------------------------------------------------------
+
+def test_a_repeated_query_asks_once(spark):
+    from orderpulse.llm import topk
+
+    rnd = random.Random(3)
+    rows = [(i, [rnd.uniform(-1, 1) for _ in range(4)]) for i in range(1, 60)]
+    rows += [(100, [0.5, 0.5, 0.1, 0.2])] * 2 + [(200, [0.1, 0.2, 0.3, 0.4]), (200, [0.9, 0.2, 0.3, 0.4])]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    for q in (100, 200):
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in out if r["query_id"] == q)
+        assert [r for r, _, _ in mine] == list(range(1, 11))
+        assert len({(v, s) for _, v, s in mine if v < 100}) == len([v for _, v, _ in mine if v < 100])
+        whole = lambda x: [math.floor(1024 * c) for c in x]
+        asks = min((np.array(whole(v), dtype="<i8").tobytes(), whole(v)) for i, v in rows if i == q)[1]
+        scores = sorted(((-sum(a * b for a, b in zip(asks, whole(v), strict=True)), i) for i, v in rows if i != q))[:10]
+        assert [(v, s) for _, v, s in mine] == [(i, -s) for s, i in scores]
