@@ -12,8 +12,9 @@ Counts are joined shard by shard:
 1. ``blocks``: each batch of documents becomes one row with its compressed
    word ids, written once in buckets; neither texts nor words are shuffled.
 2. ``counts``: blocks send the distinct bigrams of their trusted documents to
-   shards, ranges of a mixed 40-bit bigram key. A frequent bigram arrives
-   once a block, so no key is hot. A shard sums its bigrams and adds up, for
+   shards, ranges of a mixed 40-bit bigram key, one for every ``SHARD_WORDS``
+   words of the corpus. A frequent bigram arrives once a block, so no key is
+   hot. A shard sums its bigrams and adds up, for
    every word, what Kneser-Ney needs of it as a context and as a successor.
    Those per-word sums have ``VOCAB`` cells however large the corpus is; they
    are merged by Spark and broadcast.
@@ -53,6 +54,8 @@ VOCAB = 1 << BITS
 #: ids below this one are the document start (0) and places in a run of one word
 FIRST_WORD, MAX_RUN = 16, 9
 BLOCK_CHARS = 16_000_000
+#: words of the corpus for each shard of bigrams: what a shard holds, and what all blocks ask it, is at most that many
+SHARD_WORDS = 8_000_000
 #: one trusted document in so many is held out for the thresholds
 HELD_OUT = 5
 PRIOR_WORDS = 32
@@ -132,7 +135,7 @@ def to_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = np.argsort(-counts, kind="stable")  # frequent words get small codes
         rank = np.empty(len(order), dtype=np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        return pd.DataFrame({"block": [f"{part}-{n}"], "ids": [list(rows["id"])], "langs": [list(rows["lang"])],
+        return pd.DataFrame({"block": [f"{part}-{n}"], "n_words": [len(ids)], "ids": [list(rows["id"])], "langs": [list(rows["lang"])],
                              "lengths": [squeeze(lengths)], "vocab": [squeeze(vocab[order])],
                              "codes": [squeeze(rank[codes] if len(codes) else codes)]})
 
@@ -147,7 +150,7 @@ def to_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield block(batch.iloc[begin:])
 
 
-BLOCKS = "block string, ids array<string>, langs array<string>, lengths binary, vocab binary, codes binary"
+BLOCKS = "block string, n_words long, ids array<string>, langs array<string>, lengths binary, vocab binary, codes binary"
 
 
 def bigrams(lengths: bytes, vocab: bytes, codes: bytes, keep: np.ndarray | None = None):
@@ -292,6 +295,13 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple
     return materialize_bucketed(rows.mapInPandas(to_blocks, BLOCKS), "blocks", "block")
 
 
+def count_shards(blocks: DataFrame) -> int:
+    """Shards of bigrams: at least one a task, and as many as the corpus needs
+    for the largest group to be bounded whatever its size."""
+    words = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
+    return max(shuffle_partitions(blocks.sparkSession), -(-words // SHARD_WORDS))
+
+
 def _trusted(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     """(tid, held): trusted ids and whether they are held out."""
     good = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("string").alias("tid")).agg(
@@ -347,8 +357,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
              label_col: str = "quality") -> DataFrame:
     """(id_col, lang, n_words, perplexity, threshold, keep): one row per row of
     ``docs``; ``threshold`` bounds the shrunk perplexity."""
-    shards = shuffle_partitions(docs.sparkSession)
     blocks, drop_blocks = _blocks(docs, id_col, text_col, lang_col)
+    shards = count_shards(blocks)
     trusted = materialize(_trusted(labels, id_col, label_col), "trusted")
     counts, model = train(blocks, trusted, shards)
     scores = materialize(score(blocks, counts, model, shards), "scores")

@@ -475,3 +475,76 @@ def test_a_repeated_query_asks_once(spark):
         asks = min((np.array(whole(v), dtype="<i8").tobytes(), whole(v)) for i, v in rows if i == q)[1]
         scores = sorted(((-sum(a * b for a, b in zip(asks, whole(v), strict=True)), i) for i, v in rows if i != q))[:10]
         assert [(v, s) for _, v, s in mine] == [(i, -s) for s, i in scores]
+
+
+# quality ---------------------------------------------------------------------------
+
+def test_shards_follow_the_corpus_and_bound_every_group(spark, monkeypatch):
+    from orderpulse.llm import quality
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    whole = {r["doc_id"]: (r["n_words"], r["keep"], round(r["perplexity"] or 0, 6)) for r in quality.classify(docs, labels).collect()}
+    monkeypatch.setattr(quality, "SHARD_WORDS", 10_000)
+    monkeypatch.setattr(quality, "BLOCK_CHARS", 300_000)
+    blocks, drop = quality._blocks(docs, "doc_id", "text", "lang")
+    shards = quality.count_shards(blocks)
+    words = sum(n for n, _, _ in whole.values())
+    assert shards == -(-words // 10_000) > 30
+    sent = [r for b in [blocks.withColumn("trusted", F.col("ids")).toPandas()] for r in
+            (x for f in quality.send_counts(iter([b]), shards) for x in f.itertuples())]
+    held = collections.Counter()
+    for r in sent:
+        held[r.shard] += len(quality.unsqueeze_keys(r.keys))
+    assert max(held.values()) <= 1.3 * 10_000              # bigrams of all blocks that meet in one group
+    drop()
+    split = {r["doc_id"]: (r["n_words"], r["keep"], round(r["perplexity"] or 0, 6)) for r in quality.classify(docs, labels).collect()}
+    assert split == whole
+
+
+def test_classifier_on_documents_that_it_never_saw(spark):
+    from orderpulse.llm import quality
+
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held = quality._trusted(labels, "doc_id", "quality").where("held").select(F.col("tid").cast("long").alias("doc_id"))
+    found = quality.classify(docs, labels).join(labels, "doc_id")
+    good = found.join(held, "doc_id").agg(F.avg(F.col("keep").cast("int"))).first()[0]
+    bad = found.where("quality = 0").agg(F.avg((~F.col("keep")).cast("int"))).first()[0]
+    assert good > 0.97 and bad > 0.85
+
+
+def test_thresholds_and_keep_match_plain_python(spark):
+    from orderpulse.llm import quality
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    held = {int(r["tid"]) for r in quality._trusted(labels, "doc_id", "quality").where("held").collect()}
+    rows = quality.classify(docs, labels).collect()
+    rate = {r["doc_id"]: math.log2(r["perplexity"]) if r["n_words"] else None for r in rows}
+    words = {r["doc_id"]: r["n_words"] for r in rows}
+
+    def quantile(values, q):  # the least value with at least that share at or below it
+        values = sorted(values)
+        return values[max(0, math.ceil(q * len(values)) - 1)]
+
+    def of(values):
+        """Values by language, or of all where a language has too few."""
+        every = [v for _, v in values]
+        own = collections.defaultdict(list)
+        for g, v in values:
+            own[g].append(v)
+        return lambda g, q: quantile(own[g] if len(own[g]) >= quality.MIN_HELD_OUT else every, q)
+
+    known = [i for i in held if rate.get(i) is not None]
+    middle = of([(lang[i] or "", rate[i]) for i in known])
+    shrunk = {i: (rate[i] * words[i] + quality.PRIOR_WORDS * middle(lang[i] or "", quality.MIDDLE)) / (words[i] + quality.PRIOR_WORDS)
+              for i in rate if rate[i] is not None}
+    fence = of([(lang[i] or "", shrunk[i]) for i in known])
+    for r in rows:
+        i, g = r["doc_id"], lang[r["doc_id"]] or ""
+        high = fence(g, quality.UPPER)
+        limit = high + quality.MARGIN * (high - fence(g, quality.MIDDLE))
+        assert abs(math.log2(r["threshold"]) - limit) < 1e-9
+        assert r["keep"] == (i in shrunk and shrunk[i] <= limit + 1e-12)
