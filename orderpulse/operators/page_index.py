@@ -37,7 +37,7 @@ def write_page_index(df: DataFrame, root: str, key: str, tiebreak: list[str] | t
     written = spark.read.schema(df.schema).parquet(f"{root}/rows")
     sizes = written.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
     # files are numbered by range partition, and by roll-over inside one
-    number = [F.regexp_extract("file", p, 1).cast("long") for p in (r"part-(\d+)", r"-c(\d+)")]
+    number = [F.regexp_extract("file", p, 1).cast("long") for p in (r"part-(\d+)", r"-c(\d+)\.")]
     before = Window.orderBy(*number).rowsBetween(Window.unboundedPreceding, -1)  # one line a file
     index = sizes.select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first_row"), "rows")
     index.coalesce(1).write.parquet(f"{root}/index")
