@@ -548,3 +548,48 @@ def test_thresholds_and_keep_match_plain_python(spark):
         limit = high + quality.MARGIN * (high - fence(g, quality.MIDDLE))
         assert abs(math.log2(r["threshold"]) - limit) < 1e-9
         assert r["keep"] == (i in shrunk and shrunk[i] <= limit + 1e-12)
+
+
+# near-duplicates -----------------------------------------------------------------------
+
+def test_recall_on_a_large_group_of_copies(spark):
+    """2,000 copies with one to four edits: of the true links at least nine in
+    ten lie inside a class, and no class holds two true components."""
+    from orderpulse.llm import near_dup
+
+    rnd = random.Random(7)
+    words = [f"w{k}" for k in range(5000)]
+    base = [rnd.choice(words) for _ in range(160)]
+    docs = []
+    for c in range(2000):
+        text = list(base)
+        for _ in range(rnd.randint(1, 4)):
+            text[rnd.randrange(len(text))] = rnd.choice(words)
+        docs.append((c, " ".join(text)))
+    cells = [near_dup.shingle_cells([near_dup.words(t)], 5)[0].tolist() for _, t in docs]
+    seen = collections.Counter(x for own in cells for x in own)
+    place = {x: k for k, x in enumerate(x for x, n in seen.items() if n > 1)}
+    table = np.zeros((len(docs), len(place)), dtype=np.float32)
+    for k, own in enumerate(cells):
+        table[k, [place[x] for x in own if x in place]] = 1
+    size = np.array([len(own) for own in cells])
+    common = (table @ table.T).round()
+    a, b = np.nonzero(np.triu(common >= 0.8 * (size[:, None] + size[None, :] - common) - 1e-6, 1))
+    parent = list(range(len(docs)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        parent[root(x)] = root(y)
+    got = {r["doc_id"]: r["class_id"] for r in
+           near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    same = np.mean([got[x] == got[y] for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+    assert len(a) > 100_000 and same >= 0.99, same
+    held = collections.defaultdict(set)
+    for i in got:
+        held[got[i]].add(root(i))
+    assert all(len(v) == 1 for v in held.values())
