@@ -23,20 +23,23 @@ Bands of ``ROWS`` coordinates are joined:
    the rounds end when ``TURNS`` of them, that is all buckets once, have linked
    nothing. A round makes at most one pair for each entry of its buckets,
    however large the group of copies is.
-4. With ``exact``, nodes that share a bucket but are still in different
-   components are also joined by an exact prefix filter over their shingles,
-   so that no link between bucket mates is lost. Its work grows with the square
-   of a group whose members share most cells and are still not similar enough.
-
-Without ``exact`` a link is missed if its two nodes share no bucket (with
-probability ``(1 - s ** ROWS) ** BANDS`` at similarity s) or if no round
-paired the one with any node of the other's component. README gives the recall.
+4. What the rounds did not link is searched exactly, over all nodes and not
+   only over bucket mates. Each node deals the first cells of its sorted cells
+   (the prefix of a set similarity join, so much longer that similar nodes
+   share at least a tenth of their cells there) into shards by hash. A shard
+   marks the cells that several components have. Nodes with fewer of those
+   than any similar node would share with them are done. The others are joined
+   by a prefix filter over their rarest cells, and the pairs are verified.
+
+So no link is lost: the rounds only save the work of the exact search, which
+grows with the square of a group whose members share most cells in other
+components and are still not similar enough.
 
 Components come from repeated contraction: every node points to its smallest
 neighbour, edges are redrawn between the targets, until none is left.
 
-Shuffles carry signatures and pairs; texts are shuffled once, for the
-verification. Joins on a node or bucket that holds many rows have an
+Shuffles carry signatures, prefixes and pairs; texts are shuffled for the
+verification only. Joins on a node or bucket that holds many rows have an
 exchange on both sides, which adaptive execution splits.
 
 Defined results: shorter texts have one shingle of all their words. Texts
@@ -48,21 +51,26 @@ returned with a null class. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderpulse.llm.common import isolate, materialize, restore, spread
+from orderpulse.llm.common import isolate, materialize, restore, shuffle_partitions, spread
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
 #: rounds in which every bucket has its turn
 TURNS = 4
+#: prefix cells that a shard holds on average
+SHARD_CELLS = 2_000_000
+#: prefix cells that a task deals at a time
+DEALT_CELLS = 1_000_000
 #: documents whose darts are in memory at a time, and characters of them
 CHUNK_DOCS, CHUNK_CHARS = 256, 2_000_000
 _WORD = re.compile(r"\w+")
@@ -164,6 +172,22 @@ def bands(signature: np.ndarray, n_bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _spare(n: int) -> int:
+    """Cells that a prefix of ``n`` cells has beyond the shortest possible one."""
+    return n // 10
+
+
+def prefix_size(n: int, threshold: float) -> int:
+    """Of ``n`` sorted cells so many that two similar nodes share at least
+    ``1 + _spare(m)`` cells in their prefixes, ``m`` being the smaller's number of cells."""
+    return min(n, n - math.ceil(threshold * n - 1e-9) + 1 + _spare(n))
+
+
+def least_met(n: int, threshold: float) -> int:
+    """Cells that the prefix of ``n`` cells shares with that of any similar node, at least."""
+    return 1 + _spare(math.ceil(threshold * n - 1e-9))
+
+
 def _chunks(batch: pd.DataFrame) -> Iterator[tuple[int, int]]:
     begin, size = 0, 0
     for i, text in enumerate(batch["text"]):
@@ -175,16 +199,19 @@ def _chunks(batch: pd.DataFrame) -> Iterator[tuple[int, int]]:
         yield begin, len(batch)
 
 
-def _sign(batches: Iterator[pd.DataFrame], n_bands: int, rows: int, n: int) -> Iterator[pd.DataFrame]:
+def _sign(batches: Iterator[pd.DataFrame], n_bands: int, rows: int, n: int, threshold: float) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for begin, end in _chunks(batch):
             part = batch.iloc[begin:end]
             docs = [words(t) for t in part["text"]]
             cells, counts = shingle_cells(docs, n)
             joined = bands(signatures(cells, counts, n_bands * rows), n_bands, rows)
+            own = np.split(cells.view(np.int64), np.cumsum(counts)[:-1])
             yield pd.DataFrame({"id": part["id"].to_numpy(),
                                 "tkey": [text_key(d, t) for d, t in zip(docs, part["text"], strict=True)],
-                                "bands": [b if c else [] for b, c in zip(joined, counts, strict=True)]})
+                                "bands": [b if c else [] for b, c in zip(joined, counts, strict=True)],
+                                "n": counts, "least": [least_met(int(c), threshold) for c in counts],
+                                "prefix": [np.sort(c)[:prefix_size(len(c), threshold)] for c in own]})
 
 
 def _cells(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
@@ -198,62 +225,111 @@ def _cells(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
                                 "tkey": [text_key(d, t) for d, t in zip(docs, part["text"], strict=True)]})
 
 
-def _verify(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+def _deal(batches: Iterator[pd.DataFrame], shards: int) -> Iterator[pd.DataFrame]:
+    """Prefix cells by shard: for each shard the nodes that have cells there,
+    their labels, how many cells, and 32 bits of each (which with the shard's
+    number tell cells apart; a collision only keeps a node in the search)."""
     for batch in batches:
-        keep = []
-        for x, y in zip(batch["ca"], batch["cb"], strict=True):
-            if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                keep.append(False)
-                continue
-            at = np.searchsorted(y, x)
-            common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            keep.append(common >= threshold * (len(x) + len(y) - common))
-        yield batch.loc[keep, ["a", "b"]]
-
-
-def _cells_of(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """(id, cells): the sorted cells of every text in a pair, once however often a row is repeated."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct()
-    needed = texts.join(ends, texts["id"] == ends["end"], "left_semi")
+        sizes = batch["prefix"].str.len().to_numpy().astype(np.int64)
+        part = (np.cumsum(sizes) - sizes) // DEALT_CELLS
+        for k in np.unique(part):
+            piece, count = batch[part == k], sizes[part == k]
+            cells = np.concatenate(piece["prefix"].to_list()).astype(np.int64).view(np.uint64)
+            node, label = piece["id"].to_numpy(np.int64), piece["label"].to_numpy(np.int64)
+            own = np.repeat(np.arange(len(piece)), count)
+            shard = (cells % np.uint64(shards)).astype(np.int64)
+            mark = ((cells // np.uint64(shards)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            order = np.argsort(shard, kind="stable")
+            shard, own, mark = shard[order], own[order], mark[order]
+            fresh = np.concatenate([[True], (shard[1:] != shard[:-1]) | (own[1:] != own[:-1])])
+            runs = np.flatnonzero(fresh)
+            lengths = np.diff(np.append(runs, len(own))).astype(np.uint32)
+            first = np.flatnonzero(np.concatenate([[True], shard[runs][1:] != shard[runs][:-1]]))
+            ends, stops = np.append(first[1:], len(runs)), np.append(runs[first][1:], len(own))
+            yield pd.DataFrame({
+                "shard": shard[runs[first]], "nodes": [node[own[runs[x:y]]].tobytes() for x, y in zip(first, ends, strict=True)],
+                "labels": [label[own[runs[x:y]]].tobytes() for x, y in zip(first, ends, strict=True)],
+                "counts": [lengths[x:y].tobytes() for x, y in zip(first, ends, strict=True)],
+                "marks": [mark[x:y].tobytes() for x, y in zip(runs[first], stops, strict=True)]})
+
+
+def _meet(shard: pd.DataFrame) -> pd.DataFrame:
+    """(node, met): the cells of each node in this shard that another label has too."""
+    node, label = (np.frombuffer(b"".join(shard[c]), dtype=np.int64) for c in ("nodes", "labels"))
+    own = np.repeat(np.arange(len(node)), np.frombuffer(b"".join(shard["counts"]), dtype=np.uint32))
+    mark = np.frombuffer(b"".join(shard["marks"]), dtype=np.uint32)
+    order = np.argsort(mark, kind="stable")
+    mark, own = mark[order], own[order]
+    runs = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))
+    mixed = np.minimum.reduceat(label[own], runs) < np.maximum.reduceat(label[own], runs)
+    met = np.bincount(own[np.repeat(mixed, np.diff(np.append(runs, len(own))))], minlength=len(node))
+    return pd.DataFrame({"node": node[met > 0], "met": met[met > 0]})
+
+
+def _unsettled(signed: DataFrame, heads: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label): the nodes that can still be similar to one of another
+    component, by the number of prefix cells that other components have."""
+    nodes = signed.where("n > 0").select("id", "tkey").join(spread(heads), "tkey").where("id = head").select("id", "tkey").distinct()
+    known = nodes.join(spread(labels), nodes["id"] == labels["node"], "left").select(
+        "id", "tkey", F.coalesce("label", "id").alias("label"))
+    marked = signed.select("id", "tkey", "prefix").join(spread(known), ["id", "tkey"]).select("id", "label", "prefix")
+    total = signed.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    shards = max(shuffle_partitions(signed.sparkSession), total // SHARD_CELLS)
+    dealt = marked.mapInPandas(lambda b: _deal(b, shards), "shard long, nodes binary, labels binary, counts binary, marks binary")
+    met = dealt.groupBy("shard").applyInPandas(_meet, "node long, met long").groupBy("node").agg(F.sum("met").alias("met"))
+    wanted = signed.where("n > 0").groupBy("id").agg(F.min("least").alias("least"))
+    rest = met.join(wanted, met["node"] == wanted["id"]).where("met >= least").select("node")
+    return materialize(rest.join(spread(labels), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "unsettled")
+
+
+def _cells_of(ids: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(id, tkey, cells): the sorted cells of every text whose id is in ``ids``, once however often a row is repeated."""
+    needed = texts.join(ids, texts["id"] == ids["end"], "left_semi")
     made = needed.mapInPandas(lambda b: _cells(b, n), "id long, cells array<long>, tkey binary")
-    return materialize(made.dropDuplicates(["id", "tkey"]).drop("tkey"), "cells")
+    return materialize(made.dropDuplicates(["id", "tkey"]), "cells")
 
 
 def _linked(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold."""
     left = cells.select(F.col("id").alias("a"), F.col("cells").alias("ca"))
     right = cells.select(F.col("id").alias("b"), F.col("cells").alias("cb"))
+    least = threshold / (1 + threshold) * (F.size("ca") + F.size("cb")) - 1e-9
     # b is the centre of a bucket and may be in very many pairs
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ca", "cb").mapInPandas(
-        lambda b: _verify(b, threshold), "a long, b long")
+    return pairs.join(left, "a").join(right, "b").where(
+        (F.least(F.size("ca"), F.size("cb")) >= least) & (F.size(F.array_intersect("ca", "cb")) >= least)).select("a", "b")
 
 
 def _candidates(nodes: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of ``nodes`` (node, label) with different labels that can
-    reach the threshold, by an exact prefix filter: two sets as similar as
-    that share one of their rarest cells, namely of the first
-    ``n - ceil(threshold * n) + 1`` when cells are ordered by how many nodes
-    have them. Cells of one node only fill that prefix without making pairs,
-    so copies that differ in more than a fifth of their shingles drop out."""
+    reach the threshold, by an exact prefix filter. Cells are ordered by how
+    many nodes have them, and those that only one label has come first: they
+    fill the prefix without making pairs, so that copies that differ in more
+    than a fifth of their shingles drop out. Two similar sets share a cell of
+    their prefixes, which for the smaller of the two is shorter; the first one
+    they share leaves room for the others that they must share."""
     own = nodes.join(cells, nodes["node"] == cells["id"]).select(
-        "node", "label", F.size("cells").alias("n"), F.explode("cells").alias("cell"))
-    common = own.groupBy("cell").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = own.join(spread(common), "cell")
-    inside = Window.partitionBy("node")
-    prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    rare = shared.withColumns({
-        "place": F.row_number().over(inside.orderBy("df", "cell")), "alone": F.col("n") - F.count(F.lit(1)).over(inside),
-    }).where(F.col("place") <= prefix - F.col("alone")).select("node", "label", "n", "cell", (F.col("n") - F.col("alone")).alias("s"))
+        "node", "label", "tkey", F.size("cells").alias("n"), F.explode("cells").alias("cell"))
+    mixed = own.groupBy("cell").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where(
+        "lo < hi").select("cell", "df")
+    shared = own.join(spread(mixed), "cell")
+    inside = Window.partitionBy("node", "tkey")
+
+    def places(share: float) -> Column:  # of the prefix when so much of a set must be common, without the cells of one label
+        return F.col("s") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1
+
+    rare = shared.withColumns({"place": F.row_number().over(inside.orderBy("df", "cell")), "s": F.count(F.lit(1)).over(inside)}).where(
+        F.col("place") <= places(threshold)).select(
+        "node", "label", "n", "cell", "s", "place", (F.col("place") <= places(2 * threshold / (1 + threshold))).alias("early"))
     rare = materialize(rare, "prefixes")
     # of two labels at most one is the commonest at a cell: rows with that label need not start a pair
     commonest = rare.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("cell").agg(
         F.max_by("label", F.struct("c", "label")).alias("main"))
     starts = rare.join(spread(commonest), "cell").where("label <> main").drop("main")
-    other = rare.select("cell", F.col("node").alias("node2"), F.col("label").alias("label2"), F.col("n").alias("n2"),
-                        F.col("s").alias("s2"))
-    # of a node's cells only those that some other node has can be common
-    common_most = F.least("s", "s2")
-    near = (F.col("label") != F.col("label2")) & (common_most >= threshold * (F.col("n") + F.col("n2") - common_most) - 1e-9)
+    other = rare.select("cell", *[F.col(c).alias(f"{c}2") for c in ("node", "label", "n", "s", "place", "early")])
+    smaller = F.struct("n", "node") < F.struct(F.col("n2").alias("n"), F.col("node2").alias("node"))
+    room = 1 + F.least(F.col("s") - F.col("place"), F.col("s2") - F.col("place2"))
+    near = (F.col("label") != F.col("label2")) & F.when(smaller, F.col("early")).otherwise(F.col("early2")) & (
+        room >= threshold / (1 + threshold) * (F.col("n") + F.col("n2")) - 1e-9)
     return other.join(spread(starts), "cell").where(near).select(
         F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).distinct()
 
@@ -312,11 +388,11 @@ def join_components(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
-                    n: int = WORDS, n_bands: int = BANDS, rows: int = ROWS, exact: bool = False) -> DataFrame:
+                    n: int = WORDS, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id_col, class_id): one row per row of ``docs``; the class is named by its smallest id."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = materialize(texts.mapInPandas(lambda b: _sign(b, n_bands, rows, n),
-                                           "id long, tkey binary, bands array<long>"), "signed")
+    signed = materialize(texts.mapInPandas(lambda b: _sign(b, n_bands, rows, n, threshold),
+                                           "id long, tkey binary, bands array<long>, n long, least long, prefix array<long>"), "signed")
     heads = materialize(signed.groupBy("tkey").agg(F.min("id").alias("head")), "heads")
     # nodes: one for each distinct text; the row that carries the head's id has its bands
     nodes = signed.join(spread(heads), "tkey").where("id = head").select(F.col("id").alias("node"), "bands").distinct()
@@ -333,7 +409,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centres = shared.groupBy("band").agg(F.max_by("node", F.struct(F.col("met"), -F.col("node"))).alias("centre"))
     pairs = materialize(shared.join(spread(centres), "band").where("node <> centre").select(
         F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct(), "pairs")
-    cells = _cells_of(pairs, texts, n)
+    cells = _cells_of(pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct(), texts, n)
     links = materialize(_linked(pairs, cells, threshold).union(same_id.distinct()), "links")
     labels = components(links)
 
@@ -350,10 +426,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not found.isEmpty():
             labels, quiet = join_components(labels, found), 0
 
-    if exact:
-        among = materialize(_placed(shared, labels).select("node", "label").distinct(), "among")
-        found = materialize(_linked(_candidates(among, cells, threshold), cells, threshold), "links")
-        labels = join_components(labels, found)
+    unsettled = _unsettled(signed, heads, labels)
+    if not unsettled.isEmpty():
+        missing = unsettled.join(cells, unsettled["node"] == cells["id"], "left_anti").select(F.col("node").alias("end"))
+        cells = cells.union(_cells_of(missing, texts, n).select(cells.columns))
+        found = materialize(_linked(materialize(_candidates(unsettled, cells, threshold), "pairs"), cells, threshold), "links")
+        if not found.isEmpty():
+            labels = join_components(labels, found)
 
     named = signed.select("id", "tkey").join(spread(heads), "tkey")
     found = spread(labels).toDF("_node", "_label")

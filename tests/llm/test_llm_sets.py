@@ -63,6 +63,33 @@ def test_classes_match_brute_force(spark, seed):
     assert {r["doc_id"]: r["class_id"] for r in got} == want and len(got) == len(docs)
 
 
+@pytest.mark.parametrize("options", [{"n_bands": 1, "rows": 6}, {}])
+def test_no_link_is_lost_in_groups_of_far_copies(spark, options):
+    """Copies of which most are no near copies of each other, also when hardly any pair shares a bucket."""
+    rnd, words, docs = random.Random(3), [f"w{k}" for k in range(3000)], []
+    for size, copies, least, most in ((200, 220, 3, 9), (120, 160, 2, 5), (40, 30, 1, 2)):
+        base = [rnd.choice(words) for _ in range(size)]
+        for _ in range(copies):
+            text = list(base)
+            for _ in range(rnd.randint(least, most)):
+                text[rnd.randrange(size)] = rnd.choice(words)
+            docs.append((len(docs), " ".join(text)))
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(frame(spark, docs), **options).collect()}
+    assert got == brute_classes(docs)
+
+
+def test_prefixes_of_similar_sets_share_enough():
+    rnd = random.Random(11)
+    for _ in range(2000):
+        common, more, other = rnd.randint(1, 120), rnd.randint(0, 30), rnd.randint(0, 30)
+        if common < 0.8 * (common + more + other):
+            continue
+        cells = rnd.sample(range(10**6), common + more + other)
+        a, b = sorted(cells[:common + more]), sorted(cells[:common] + cells[common + more:])
+        met = len({*a[:near_dup.prefix_size(len(a), 0.8)]} & {*b[:near_dup.prefix_size(len(b), 0.8)]})
+        assert met >= max(near_dup.least_met(len(a), 0.8), near_dup.least_met(len(b), 0.8))
+
+
 def test_supplied_documents_match_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = brute_classes([(r["doc_id"], r["text"]) for r in docs.collect()])
