@@ -36,6 +36,8 @@ from orderpulse.sinks.tables import KeyedTable, VersionedTable, append_batch
 
 #: rows, batch id, run
 RowSink = Callable[[DataFrame, int, str], None]
+#: messages of a batch for each file that an append loader writes
+FILE_ROWS = 1_000_000
 
 
 def run_id(spark: SparkSession, checkpoint: str) -> str:
@@ -132,7 +134,11 @@ def start_snapshot_loader(messages: DataFrame, table: VersionedTable, checkpoint
 def split_messages(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries, quarantine) of messages of any form; tombstones are skipped.
     An empty snapshot has no entries and is no error."""
-    parsed = parsed_messages(batch)
+    return split_parsed(parsed_messages(batch))
+
+
+def split_parsed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``split_messages`` of messages that are parsed already."""
     entries = parsed.select("value", F.explode("entries").alias("e"))
     good, bad = entries.where(_good(F.col("e"))), entries.where(~F.coalesce(_good(F.col("e")), F.lit(False)))
     unread = parsed.where(F.col("entries").isNull()).select("value", F.col("shape").alias("reason"))
@@ -144,16 +150,20 @@ def start_append_loader(messages: DataFrame, table_root: str, quarantine_root: s
                         checkpoint: str, available_now: bool = False,
                         trigger: str = "1 second", target: RowSink | None = None) -> StreamingQuery:
     def run(batch: DataFrame, batch_id: int, run: str) -> None:
-        batch = batch.persist()
+        # a file of messages may be one split: all cores parse, and what is parsed is kept,
+        # because each filter over it would parse the messages again
+        cores = batch.sparkSession.sparkContext.defaultParallelism
+        parsed = parsed_messages(batch.select("value").repartition(cores)).select("value", "shape", "entries").persist()
         try:
-            good, bad = split_messages(batch)
+            files = max(1, min(cores, -(-parsed.count() // FILE_ROWS)))
+            good, bad = (rows.coalesce(files) for rows in split_parsed(parsed))
             if target is None:
                 append_batch(good, table_root, batch_id, run)
             else:
                 target(good, batch_id, run)
             append_batch(bad, quarantine_root, batch_id, run)
         finally:
-            batch.unpersist()
+            parsed.unpersist()
     return _start(messages, checkpoint, run, available_now, trigger)
 
 

@@ -363,3 +363,25 @@ def test_an_update_rewrites_only_its_buckets(spark, scratch):
     assert as_dict(keyed_table(spark, table.root, buckets=8).read()) == want
     folders = {n for n, _ in list_dirs(spark, table.versions)}
     assert "version=0" in folders and len(folders) < 25            # old versions of the hot buckets are gone
+
+
+def test_append_loader_parses_messages_once(spark, scratch, monkeypatch):
+    """Neither the entries nor the quarantine parse the messages of a batch again."""
+    from orderpulse.sources.topic import read_message_file_stream
+    from orderpulse.streaming import loaders
+
+    base, plans, real = scratch("once-out"), [], loaders.append_batch
+
+    def watched(rows, *args):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0])
+        real(rows, *args)
+
+    monkeypatch.setattr(loaders, "append_batch", watched)
+    folder = scratch("once-in")
+    spark.createDataFrame([('{"Category":"a","count":1}',), ("junk",), ('[{"Category":"b","count":2},{"Category":"","count":3}]',)],
+                          "value string").coalesce(1).write.text(folder)
+    loaders.start_append_loader(read_message_file_stream(spark, folder), f"{base}/good", f"{base}/bad", f"{base}/checkpoint",
+                                available_now=True).awaitTermination()
+    assert len(plans) == 2 and not any("from_json" in p for p in plans)
+    assert spark.read.parquet(f"{base}/good/folder=*").count() == 2
+    assert {r["reason"] for r in spark.read.parquet(f"{base}/bad/folder=*").collect()} >= {"invalid_entry"}
