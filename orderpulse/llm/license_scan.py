@@ -9,7 +9,7 @@ their paragraphs, the standard notices of long licences, one-line statements
 and SPDX tags.
 For a likeness of at least ``t`` the larger set has at most ``(2 - t) / t``
 times the bigrams of the smaller one, so templates outside those size bounds
-are never compared. Built-in functions only, and map-only: the templates are
+are never compared, nor are units of which too few bigrams are in any template. Built-in functions only, and map-only: the templates are
 a constant of the expression and documents stay where they are.
 
 Defined results: null, empty or one-word texts match nothing. A tie for the
@@ -222,6 +222,13 @@ def scan(docs: DataFrame, text_col: str = "text", out: str = "license_hits", thr
                                               _bigrams(u["words"]).alias("grams"))),
         lambda u: F.size(u["grams"]).between(least, most))
 
+    # d of n bigrams in any template: at most d are common, so 2d / (n + d) is the most that a template can reach
+    anywhere = sorted({x for _, grams in sets for x in grams})
+    share = threshold / (2 - threshold)
+
+    def hopeful(u: Column) -> Column:
+        return F.size(F.filter(u["grams"], lambda g: g.isin(anywhere))) >= share * F.size(u["grams"]) - 1e-9
+
     def against(u: Column) -> Column:
         n = F.size(u["grams"])
         near = F.filter(F.col("templates"), lambda t: n.between(t["lo"], t["hi"]))
@@ -232,7 +239,7 @@ def scan(docs: DataFrame, text_col: str = "text", out: str = "license_hits", thr
             c["license"].alias("license"), (-c["far"]).alias("dice"), u["unit"].alias("unit"), u["number"].alias("number")))
 
     hits = F.filter(F.flatten(F.transform(F.col("grams"), against)), lambda h: h["dice"] >= threshold)
-    done = rows.withColumn("templates", known).withColumn("grams", grams)
+    done = rows.withColumn("templates", known).withColumn("grams", F.filter(grams, hopeful))
     return restore(done, docs, {"text": text_col}, **{out: hits})
 
 
