@@ -3,8 +3,9 @@
 Lines are exploded with their position, normalised and hashed; the number of
 distinct documents per hash decides which keys go; the positions to drop are
 joined back to the documents, which are reassembled by position. Built-in
-functions only. Text crosses the network once (in the last join); the hot
-lines travel as hashes: the count is aggregated before its shuffle and the
+functions only. Text crosses the network once (in the last join); lines are
+cut and hashed once, into a table of positions and hashes, and the hot lines
+travel as hashes: the count is aggregated before its shuffle and the
 join that finds the lines to drop is an exchange on both sides, which
 adaptive execution splits when a line is very common.
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderpulse.llm.common import isolate, restore, spread
+from orderpulse.llm.common import isolate, materialize, restore, spread
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANK = " \t\n\x0b\x0c\r"
@@ -48,14 +49,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = isolate(docs, **roles)
     text = F.col("text")
     own = F.xxhash64(text)  # tells apart rows that share an id
-    long_lines = (
+    long_lines = materialize(
         rows.where(F.col("id").isNotNull() & (F.char_length(text) >= min_chars))
         .select("id", own.alias("own"), F.posexplode(_lines(text)).alias("pos", "line"))
         .where(F.char_length("line") >= min_chars)
         .select("id", "own", "pos", line_key(F.col("line")).alias("key"))
         .where(F.char_length("key") >= min_chars)
-        .select("id", "own", "pos", F.unhex(F.md5("key")).alias("h"))
-    )
+        .select("id", "own", "pos", F.unhex(F.md5("key")).alias("h")), "lines")
     shared = (
         long_lines.groupBy("h").agg(F.countDistinct("id").alias("n"), F.max("id").alias("holder"))
         .where(F.col("n") >= min_docs)

@@ -159,6 +159,30 @@ def test_language_edges(spark):
 
 # licences --------------------------------------------------------------------
 
+def test_lines_are_cut_once(spark):
+    docs = frame(spark, [(k, "a line that five documents share, of forty characters\nown %d" % k) for k in range(6)])
+    out = line_dedup.dedup_lines(docs)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["n_dropped"] for r in out.orderBy("doc_id").collect()] == [1, 1, 1, 1, 1, 0]
+
+
+def test_license_scan_asks_templates_only_for_hopeful_units(spark):
+    rnd, docs = random.Random(4), []
+    for k in range(120):
+        words = rnd.choice(license_scan.TEMPLATES)[1].split()
+        for _ in range(rnd.randint(0, max(1, len(words) // 6))):
+            words[rnd.randrange(len(words))] = rnd.choice(["the", "of", "license", "xyz"])
+        docs.append((k, " ".join(words)))
+    scanned = license_scan.scan(frame(spark, docs))
+    got = {r["doc_id"]: {h["dice"] for h in r["license_hits"] if h["unit"] == "line"} for r in scanned.collect()}
+    sets = [set(license_scan.template_bigrams(t)) for _, t in license_scan.TEMPLATES]
+    for k, text in docs:
+        own = set(license_scan.template_bigrams(text))
+        best = max((2 * len(own & t) / (len(own) + len(t)) for t in sets), default=0)
+        assert got[k] == ({best} if best >= license_scan.THRESHOLD else set())
+    assert " INSET " in scanned._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_license_scan_finds_units(spark):
     mit = dict(license_scan.TEMPLATES)["MIT"]
     wrapped = "\n".join(mit[i:i + 60] for i in range(0, len(mit), 60))
