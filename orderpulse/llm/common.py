@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from orderpulse.session import checkpoint_root, delete_path, scratch_path
 
+#: shuffle files end with their query (Spark 4.1; without effect before)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -23,11 +26,44 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage through a compressed table in the shared checkpoint
     folder, so that later jobs neither recompute ``df`` nor lose it with an
     executor."""
+    return _written(df, name)[0]
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     checkpoint_root(spark)
     path = scratch_path(spark, f"llm-{name}")
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Materialized tables of one job, which end with it or before: ``keep``
+    writes one, ``drop`` deletes the files of those that nothing reads any
+    more. The shuffle files of a table go as soon as it is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            table, path = _written(df, name)
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
+        self.paths[id(table)] = table, path
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            delete_path(self.spark, self.paths.pop(id(table))[1])
+
+    def drop_all(self) -> None:
+        self.drop(*[table for table, _ in list(self.paths.values())])
 
 
 def materialize_bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, Callable[[], None]]:
@@ -86,12 +122,12 @@ def rank_within(df: DataFrame, key: str, order: list[str], buckets: int, out: st
     ``order``, the numbers follow ``order`` over the whole key. ``df`` must
     give the same rows when read again."""
     dealt = F.pmod(salt(*order), F.lit(buckets)) if bucket is None else bucket
-    spread = df.withColumn("_rb", dealt)
-    sizes = spread.groupBy(key, "_rb").agg(F.count(F.lit(1)).alias("_rn"))
-    before = Window.partitionBy(key).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select(F.col(key).alias("_rk"), F.col("_rb").alias("_rc"),
-                         F.coalesce(F.sum("_rn").over(before), F.lit(0)).alias("_r0"))
-    inside = Window.partitionBy(key, "_rb").orderBy(*order)
+    # one struct, in which nulls are equal, is the key of the window and of the join: rows are shuffled once
+    spread = df.withColumn("_rg", F.struct(F.col(key).alias("k"), dealt.alias("b")))
+    sizes = spread.groupBy("_rg").agg(F.count(F.lit(1)).alias("_rn"))
+    before = Window.partitionBy("_rg.k").orderBy("_rg.b").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(F.col("_rg").alias("_rs"), F.coalesce(F.sum("_rn").over(before), F.lit(0)).alias("_r0"))
+    inside = Window.partitionBy("_rg").orderBy(*order)
     numbered = spread.withColumn("_ri", F.row_number().over(inside) - 1)
-    joined = numbered.join(shift, F.col(key).eqNullSafe(F.col("_rk")) & (F.col("_rb") == F.col("_rc")))
-    return joined.withColumn(out, F.col("_r0") + F.col("_ri")).drop("_rb", "_rc", "_rk", "_r0", "_ri")
+    joined = numbered.join(shift, F.col("_rg") == F.col("_rs"))
+    return joined.withColumn(out, F.col("_r0") + F.col("_ri")).drop("_rg", "_rs", "_r0", "_ri")

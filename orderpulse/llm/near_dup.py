@@ -20,9 +20,10 @@ Bands of ``ROWS`` coordinates are joined:
    takes another centre, among those that meet many others, and is paired with
    the nodes outside the centre's component. A round takes every ``TURNS``-th
    bucket, in turn, so that a link spares the other buckets of its nodes, and
-   the rounds end when ``TURNS`` of them, that is all buckets once, have linked
-   nothing. A round makes at most one pair for each entry of its buckets,
-   however large the group of copies is.
+   buckets that hold one component are left out from then on. The rounds end
+   when one has linked less than a ``WORTH``-th of its pairs. A round makes at
+   most one pair for each entry of its buckets, however large the group of
+   copies is.
 4. What the rounds did not link is searched exactly, over all nodes and not
    only over bucket mates. Each node deals the first cells of its sorted cells
    (the prefix of a set similarity join, so much longer that similar nodes
@@ -54,19 +55,22 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderpulse.llm.common import isolate, materialize, restore, shuffle_partitions, spread
+from orderpulse.llm.common import Scratch, isolate, materialize, restore, shuffle_partitions, spread
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
 #: rounds in which every bucket has its turn
 TURNS = 4
+#: one link in so many pairs is worth another round; what it leaves is searched exactly
+WORTH = 100
 #: prefix cells that a shard holds on average
 SHARD_CELLS = 2_000_000
 #: prefix cells that a task deals at a time
@@ -266,7 +270,7 @@ def _meet(shard: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": node[met > 0], "met": met[met > 0]})
 
 
-def _unsettled(signed: DataFrame, heads: DataFrame, labels: DataFrame) -> DataFrame:
+def _unsettled(signed: DataFrame, heads: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label): the nodes that can still be similar to one of another
     component, by the number of prefix cells that other components have."""
     nodes = signed.where("n > 0").select("id", "tkey").join(spread(heads), "tkey").where("id = head").select("id", "tkey").distinct()
@@ -279,14 +283,14 @@ def _unsettled(signed: DataFrame, heads: DataFrame, labels: DataFrame) -> DataFr
     met = dealt.groupBy("shard").applyInPandas(_meet, "node long, met long").groupBy("node").agg(F.sum("met").alias("met"))
     wanted = signed.where("n > 0").groupBy("id").agg(F.min("least").alias("least"))
     rest = met.join(wanted, met["node"] == wanted["id"]).where("met >= least").select("node")
-    return materialize(rest.join(spread(labels), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "unsettled")
+    return scratch.keep(rest.join(spread(labels), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "unsettled")
 
 
-def _cells_of(ids: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+def _cells_of(ids: DataFrame, texts: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     """(id, tkey, cells): the sorted cells of every text whose id is in ``ids``, once however often a row is repeated."""
     needed = texts.join(ids, texts["id"] == ids["end"], "left_semi")
     made = needed.mapInPandas(lambda b: _cells(b, n), "id long, cells array<long>, tkey binary")
-    return materialize(made.dropDuplicates(["id", "tkey"]), "cells")
+    return scratch.keep(made.dropDuplicates(["id", "tkey"]), "cells")
 
 
 def _linked(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
@@ -299,7 +303,7 @@ def _linked(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
         (F.least(F.size("ca"), F.size("cb")) >= least) & (F.size(F.array_intersect("ca", "cb")) >= least)).select("a", "b")
 
 
-def _candidates(nodes: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
+def _candidates(nodes: DataFrame, cells: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of ``nodes`` (node, label) with different labels that can
     reach the threshold, by an exact prefix filter. Cells are ordered by how
     many nodes have them, and those that only one label has come first: they
@@ -320,7 +324,7 @@ def _candidates(nodes: DataFrame, cells: DataFrame, threshold: float) -> DataFra
     rare = shared.withColumns({"place": F.row_number().over(inside.orderBy("df", "cell")), "s": F.count(F.lit(1)).over(inside)}).where(
         F.col("place") <= places(threshold)).select(
         "node", "label", "n", "cell", "s", "place", (F.col("place") <= places(2 * threshold / (1 + threshold))).alias("early"))
-    rare = materialize(rare, "prefixes")
+    rare = scratch.keep(rare, "prefixes")
     # of two labels at most one is the commonest at a cell: rows with that label need not start a pair
     commonest = rare.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("cell").agg(
         F.max_by("label", F.struct("c", "label")).alias("main"))
@@ -334,33 +338,41 @@ def _candidates(nodes: DataFrame, cells: DataFrame, threshold: float) -> DataFra
         F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, label): the smallest node of each component; nodes without an edge do not appear."""
-    edges = materialize(edges.where("a <> b"), "edges")
-    labels = None
+    scratch = scratch or Scratch(edges.sparkSession)
+    edges, labels = scratch.keep(edges.where("a <> b"), "edges"), None
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a")).toDF("node", "other")
-        parent = materialize(both.groupBy("node").agg(F.least("node", F.min("other")).alias("to")), "parent")
+        parent = scratch.keep(both.groupBy("node").agg(F.least("node", F.min("other")).alias("to")), "parent")
+        pa, pb = spread(parent).toDF("a", "ta"), spread(parent).toDF("b", "tb")
+        old, edges = edges, scratch.keep(edges.join(pa, "a").join(pb, "b").where("ta <> tb").select(
+            F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
         if labels is None:
-            labels = parent.toDF("node", "label")
+            now = scratch.keep(parent.toDF("node", "label"), "labels")
         else:
             moved = spread(parent).toDF("_node", "_to")
-            labels = materialize(labels.join(moved, labels["label"] == moved["_node"], "left").select(
+            now = scratch.keep(labels.join(moved, labels["label"] == moved["_node"], "left").select(
                 "node", F.coalesce("_to", "label").alias("label")), "labels")
-        pa, pb = spread(parent).toDF("a", "ta"), spread(parent).toDF("b", "tb")
-        edges = materialize(edges.join(pa, "a").join(pb, "b").where("ta <> tb").select(
-            F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
+            scratch.drop(labels)
+        scratch.drop(old, parent)
+        labels = now
     if labels is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        labels = scratch.keep(edges.toDF("node", "label"), "labels")
+    scratch.drop(edges)
     return labels
 
 
-def _placed(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Entries of the buckets that hold several components, with their labels."""
-    placed = materialize(shared.join(spread(labels), "node", "left").select(
-        "band", "node", "met", F.coalesce("label", "node").alias("label")), "placed")
-    mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-    return placed.join(spread(mixed), "band")
+def _mixed(shared: DataFrame) -> DataFrame:
+    """Entries (band, node, met, label) of the buckets that hold several components."""
+    mixed = shared.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
+    return shared.join(spread(mixed), "band")
+
+
+def _relabelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """``shared`` with the labels of now."""
+    return shared.select("band", "node", "met").join(spread(labels), "node", "left").select(
+        "band", "node", "met", F.coalesce("label", "node").alias("label"))
 
 
 def _round(mixed: DataFrame, number: int) -> DataFrame:
@@ -375,70 +387,85 @@ def _round(mixed: DataFrame, number: int) -> DataFrame:
         F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
 
 
-def join_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+def join_components(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """``labels`` (node, label) after more links: only labels that a new link meets are contracted."""
     la, lb = spread(labels).toDF("a", "la"), spread(labels).toDF("b", "lb")
     between = links.join(la, "a", "left").join(lb, "b", "left").select(
         F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    moved = components(between.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    moved = components(between.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), scratch)
     to = spread(moved).toDF("_node", "_to")
     old = labels.join(to, labels["label"] == to["_node"], "left").select("node", F.coalesce("_to", "label").alias("label"))
     fresh = moved.join(labels, "node", "left_anti").select("node", "label")
-    return materialize(old.union(fresh), "labels")
+    joined = scratch.keep(old.union(fresh), "labels")
+    scratch.drop(labels, moved)
+    return joined
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
                     n: int = WORDS, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id_col, class_id): one row per row of ``docs``; the class is named by its smallest id."""
+    scratch = Scratch(docs.sparkSession)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = materialize(texts.mapInPandas(lambda b: _sign(b, n_bands, rows, n, threshold),
-                                           "id long, tkey binary, bands array<long>, n long, least long, prefix array<long>"), "signed")
-    heads = materialize(signed.groupBy("tkey").agg(F.min("id").alias("head")), "heads")
+    signed = scratch.keep(texts.mapInPandas(lambda b: _sign(b, n_bands, rows, n, threshold),
+                                            "id long, tkey binary, bands array<long>, n long, least long, prefix array<long>"), "signed")
+    heads = scratch.keep(signed.groupBy("tkey").agg(F.min("id").alias("head")), "heads")
     # nodes: one for each distinct text; the row that carries the head's id has its bands
     nodes = signed.join(spread(heads), "tkey").where("id = head").select(F.col("id").alias("node"), "bands").distinct()
-    banded = materialize(nodes.select("node", F.explode("bands").alias("band")), "bands")
+    banded = scratch.keep(nodes.select("node", F.explode("bands").alias("band")), "bands")
     same_id = signed.select("id", "tkey").join(spread(heads), "tkey").where(
         "id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).join(
         heads.select(F.col("head").alias("a")).distinct(), "a", "left_semi")
 
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(banded.join(spread(buckets), "band").select("band", "node", "n"), "shared")
+    bucketed = scratch.keep(banded.join(spread(buckets), "band").select("band", "node", "n"), "shared")
+    scratch.drop(banded)
     # the centre of a bucket: the node that meets most others over all bands, which is near the middle of its copies
-    met = shared.groupBy("node").agg(F.sum("n").alias("met"))
-    shared = materialize(shared.drop("n").join(met, "node"), "met")
+    met = bucketed.groupBy("node").agg(F.sum("n").alias("met"))
+    shared = scratch.keep(bucketed.drop("n").join(met, "node"), "met")
+    scratch.drop(bucketed)
     centres = shared.groupBy("band").agg(F.max_by("node", F.struct(F.col("met"), -F.col("node"))).alias("centre"))
-    pairs = materialize(shared.join(spread(centres), "band").where("node <> centre").select(
+    pairs = scratch.keep(shared.join(spread(centres), "band").where("node <> centre").select(
         F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct(), "pairs")
-    cells = _cells_of(pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct(), texts, n)
-    links = materialize(_linked(pairs, cells, threshold).union(same_id.distinct()), "links")
-    labels = components(links)
+    cells = _cells_of(pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct(), texts, n, scratch)
+    links = scratch.keep(_linked(pairs, cells, threshold).union(same_id.distinct()), "links")
+    labels = components(links, scratch)
+    scratch.drop(links)
 
-    number = quiet = 0
+    number, worth, asked = 0, True, [pairs]
     turn = F.pmod(F.xxhash64("band"), F.lit(TURNS))
-    while quiet < TURNS:
-        number, quiet = number + 1, quiet + 1
-        fresh = materialize(_round(_placed(shared.where(turn == number % TURNS), labels), number).join(
-            pairs, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            continue
-        found = materialize(_linked(fresh, cells, threshold), "links")
-        pairs = pairs.union(fresh)
-        if not found.isEmpty():
-            labels, quiet = join_components(labels, found), 0
-
-    unsettled = _unsettled(signed, heads, labels)
+    while worth:
+        number += 1
+        placed = scratch.keep(_relabelled(shared, labels), "placed")
+        scratch.drop(shared)
+        shared = scratch.keep(_mixed(placed), "mixed")
+        scratch.drop(placed)
+        before = reduce(DataFrame.union, asked)
+        fresh = scratch.keep(_round(shared.where(turn == number % TURNS), number).join(before, ["a", "b"], "left_anti"), "pairs")
+        found = scratch.keep(_linked(fresh, cells, threshold), "links")
+        asked.append(fresh)
+        linked = found.count()
+        worth = linked > 0 and linked * WORTH >= fresh.count()
+        if linked:
+            labels = join_components(labels, found, scratch)
+        scratch.drop(found)
+    scratch.drop(shared, *asked)
+
+    unsettled = _unsettled(signed, heads, labels, scratch)
     if not unsettled.isEmpty():
         missing = unsettled.join(cells, unsettled["node"] == cells["id"], "left_anti").select(F.col("node").alias("end"))
-        cells = cells.union(_cells_of(missing, texts, n).select(cells.columns))
-        found = materialize(_linked(materialize(_candidates(unsettled, cells, threshold), "pairs"), cells, threshold), "links")
+        cells = cells.union(_cells_of(missing, texts, n, scratch).select(cells.columns))
+        pairs = scratch.keep(_candidates(unsettled, cells, threshold, scratch), "pairs")
+        found = scratch.keep(_linked(pairs, cells, threshold), "links")
         if not found.isEmpty():
-            labels = join_components(labels, found)
+            labels = join_components(labels, found, scratch)
 
     named = signed.select("id", "tkey").join(spread(heads), "tkey")
     found = spread(labels).toDF("_node", "_label")
-    classes = named.join(found, named["head"] == found["_node"], "left")
+    classes = materialize(named.join(found, named["head"] == found["_node"], "left").select(
+        F.col("id").alias(id_col), F.coalesce("_label", "head").alias("class_id")), "classes")
+    scratch.drop_all()
     nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long"), F.lit(None).cast("long"))
-    return classes.select(F.col("id").alias(id_col), F.coalesce("_label", "head").alias("class_id")).union(nameless)
+    return classes.union(nameless)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
