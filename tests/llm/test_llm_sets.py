@@ -1,6 +1,9 @@
 """Near-duplicates, exact top-k, mixing, the quality classifier, the pipeline."""
 
 import collections
+import contextlib
+import io
+import os
 import random
 
 import numpy as np
@@ -8,7 +11,7 @@ import pytest
 from llm_cases import EDGE, LONG, PROSE, frame
 from pyspark.sql import functions as F
 
-from orderpulse.llm import mixing, near_dup, quality, topk
+from orderpulse.llm import common, mixing, near_dup, quality, topk
 
 SF, SF1 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -116,6 +119,36 @@ def test_sparse_coordinates_are_filled():
     assert (near_dup.signatures(cells, counts, 64, spare=-3.5) == near_dup.signatures(cells, counts, 64)).all()
 
 
+def test_scratch_tables_end_with_the_job(spark, monkeypatch):
+    kept, paths, rounds = common._written, [], []
+    monkeypatch.setattr(common, "_written", lambda df, name: paths.append((name, made := kept(df, name))) or made)
+    real = near_dup._round
+    monkeypatch.setattr(near_dup, "_round", lambda mixed, number: rounds.append(number) or real(mixed, number))
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = [(1, text), (2, text + " end"), (3, text), (4, "far " * 9), (None, text)]
+    out = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    left = [name for name, (_, path) in paths if os.path.exists(path.removeprefix("file:"))]
+    assert len(paths) > 5 and left == ["classes"] and rounds == [1]
+    assert sorted((r[0] or 0, r[1] or 0) for r in out.collect()) == [(0, 0), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_ranks_shuffle_rows_once(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 else "a") for i in range(40)], "id long, source string")
+    ranked = common.rank_within(rows, "source", ["id"], 8, "rank")
+    got = ranked.collect()
+    assert sorted(r["rank"] for r in got if r["source"] is None) == list(range(26))
+    assert sorted(r["rank"] for r in got if r["source"] == "a") == list(range(14))
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    with io.StringIO() as plan, contextlib.redirect_stdout(plan):
+        spark.conf.set(threshold, "-1")
+        common.rank_within(rows, "source", ["id"], 8, "rank").explain()
+        spark.conf.set(threshold, before)
+        shuffles = plan.getvalue().count("Exchange hashpartitioning")
+    # the rows, and the sizes: by key and bucket, by key, and for the join
+    assert shuffles <= 4
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)], "a long, b long")
     got = {r["node"]: r["label"] for r in near_dup.components(edges).collect()}
