@@ -23,9 +23,12 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +39,9 @@ END = 0
 #: multiples of it, without their whole part, lie evenly between 0 and 1
 GOLDEN = 0.6180339887498949
 #: characters tokenised at a time, so that memory does not follow the batch
-CHUNK = 2_000_000
-#: pieces whose ids a worker keeps from one chunk to the next
-KNOWN = 100_000
+CHUNK = 4_000_000
+#: characters of the pieces whose ids a worker keeps from one chunk to the next, each with 8 more
+KNOWN = 8_000_000
 
 
 class PieceTokenizer:
@@ -46,9 +49,13 @@ class PieceTokenizer:
 
     The byte-level pre-tokenizer never merges across a blank or line end that
     stands between two other characters. Texts are therefore cut there, each
-    distinct piece of a chunk is encoded once, and ids are put together again
-    with numpy. Texts with doubled white space are encoded whole. The split
-    only saves work: ``encode`` returns the ids of ``Tokenizer.encode``.
+    distinct piece is looked up in a table of ids, which encodes it if it is
+    not there, and ids are put together again with numpy. A table of more than
+    ``room`` is halved, and the most used pieces stay. The key of a piece is
+    the piece without its blank, or with its line end; a text's first piece,
+    which has neither, has a blank in front as its key. Texts with doubled
+    white space are encoded whole. The split only saves work: ``encode``
+    returns the ids of ``Tokenizer.encode``.
     """
 
     JOIN = 64
@@ -62,7 +69,10 @@ class PieceTokenizer:
 
         self.tok = Tokenizer.from_file(path)
         self.run = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)  # without offsets
-        self.known: dict[str, bytes] = {}
+        self.room = KNOWN
+        self.known: dict[str, int] = {}  # key of a piece -> its place in the arrays below
+        self.begins, self.sizes, self.chars, self.uses = (np.zeros(0, dtype=np.int64) for _ in range(4))
+        self.ids = np.zeros(0, dtype=np.uint32)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -80,64 +90,79 @@ class PieceTokenizer:
             out += [np.array(e.ids, dtype=np.uint32) for e in self.run(texts[i:i + self.JOIN], add_special_tokens=False)]
         return out
 
-    def _distinct(self, pieces: list[str]) -> list[bytes]:
+    def _opened(self, pieces: list[str]) -> list[np.ndarray]:
         """Ids of pieces that each begin with a blank or line end: several are
-        encoded in one string and told apart by the ids that open a piece.
-        Pieces met before are remembered, up to ``KNOWN`` of them."""
-        new = [p for p in pieces if p not in self.known]
-        fresh: dict[str, bytes] = {}
-        groups = [new[i:i + self.JOIN] for i in range(0, len(new), self.JOIN)]
+        encoded in one string and told apart by the ids that open a piece."""
+        out: list[np.ndarray] = []
+        groups = [pieces[i:i + self.JOIN] for i in range(0, len(pieces), self.JOIN)]
         for group, ids in zip(groups, self._whole(["".join(g) for g in groups]), strict=True):
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) == len(group) and starts[0] == 0:
-                data, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-                for p, a, b in zip(group, cuts, cuts[1:], strict=False):
-                    fresh[p] = data[a:b]
+                cuts = [*starts.tolist(), len(ids)]
+                out += [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
             else:
-                fresh.update((p, x.tobytes()) for p, x in zip(group, self._whole(group), strict=True))
-        out = [fresh[p] if p in fresh else self.known[p] for p in pieces]
-        room = KNOWN - len(self.known)
-        if room > 0:
-            self.known.update(list(fresh.items())[:room])
+                out += self._whole(group)
+        return out
+
+    def _learn(self, keys: list[str]) -> None:
+        """Adds the ids of keys that are not in the table."""
+        keys = sorted(keys, key=lambda k: k[:1] == " ")
+        heads = [k[1:] for k in keys if k[:1] == " "]
+        ids = self._opened([k if k[:1] == "\n" else " " + k for k in keys[:len(keys) - len(heads)]]) + self._whole(heads)
+        sizes = np.array([len(x) for x in ids], dtype=np.int64)
+        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
+        self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.chars = np.concatenate([self.chars, [8 + len(k) for k in keys]])
+        self.uses = np.concatenate([self.uses, np.zeros(len(keys), dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, *ids])
+
+    def _places(self, keys: list[str]) -> np.ndarray:
+        """The keys' places in the table, which takes up those it has not met."""
+        out = np.fromiter(map(self.known.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
+        missed = np.flatnonzero(out < 0)
+        new = [keys[i] for i in missed]
+        self._learn(list(dict.fromkeys(new)))
+        out[missed] = [self.known[k] for k in new]
         return out
 
+    def _forget(self) -> None:
+        """Leaves the most used pieces of a full table, in half of its room."""
+        order = np.argsort(-self.uses, kind="stable")
+        kept = np.sort(order[np.cumsum(self.chars[order]) <= self.room // 2])
+        keys = list(self.known)  # in the order of their places
+        self.known = {keys[i]: n for n, i in enumerate(kept)}
+        begins, self.sizes, self.chars, self.uses = self.begins[kept], self.sizes[kept], self.chars[kept], self.uses[kept] // 2
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.ids = self.ids[np.arange(self.sizes.sum()) + np.repeat(begins - self.begins, self.sizes)]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         import re
 
         rough = re.compile(r"\s\s")
         cut = [self.cuttable and not rough.search(t) and not any(s in t for s in self.specials) for t in texts]
         whole = iter(self._whole([t for t, c in zip(texts, cut, strict=True) if not c]))
-        pieces: list[str] = []
-        counts = []
-        for t, c in zip(texts, cut, strict=True):
-            if c:
-                # a leading blank makes the first piece look like the others; it is cut off again below
-                own = (" " + t).replace("\n", " \n").split(" ")
-                pieces += own[1:]
-                counts.append(len(own) - 1)
-        if not pieces:
-            return [next(whole) for _ in texts]
-        codes, distinct = pd.factorize(np.array(pieces, dtype=object))
-        ids = self._distinct([p if p[:1] == "\n" else " " + p for p in distinct])
-        sizes = np.array([len(x) for x in ids], dtype=np.int64) // 4
-        begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        flat = np.frombuffer(b"".join(ids), dtype=np.uint32)
-        each = sizes[codes]
+        if not any(cut):
+            return list(whole)
+        # a leading blank makes the first piece look like the others
+        own = pa.array([" " + t for t, c in zip(texts, cut, strict=True) if c], pa.large_string())
+        own = pc.split_pattern(pc.replace_substring(own, "\n", " \n"), " ")
+        bounds = own.offsets.to_numpy()  # of each text, whose piece before that blank is nothing
+        pieces = own.values.dictionary_encode()
+        heads = own.values.take(pa.array(bounds[:-1] + 1)).to_pylist()
+        places = self._places(pieces.dictionary.to_numpy(zero_copy_only=False).tolist() + [" " + head for head in heads])
+        at = places[pieces.indices.to_numpy()]
+        at[bounds[:-1] + 1] = places[len(pieces.dictionary):]
+        at = np.delete(at, bounds[:-1])
+        counts = np.diff(bounds) - 1
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        each = self.sizes[at]
         total = np.cumsum(each)
-        at = np.arange(total[-1]) - np.repeat(total - each, each) + np.repeat(begins[codes], each)
-        stream = flat[at]
-        ends = total[np.cumsum(counts) - 1]
-        firsts = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-        heads = self._whole([pieces[i] for i in firsts])  # the first piece has no blank before it
-        out, begin, k = [], 0, 0
-        for c in cut:
-            if not c:
-                out.append(next(whole))
-                continue
-            body = stream[begin + each[firsts[k]]:ends[k]]
-            out.append(np.concatenate([heads[k], body]))
-            begin, k = ends[k], k + 1
-        return out
+        stream = self.ids[np.arange(total[-1]) + np.repeat(self.begins[at] - total + each, each)]
+        if self.chars.sum() > self.room:
+            self._forget()
+        parts = iter(np.split(stream, total[np.cumsum(counts)[:-1] - 1]))
+        return [next(parts if c else whole) for c in cut]
 
 
 @lru_cache(maxsize=2)

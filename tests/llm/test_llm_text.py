@@ -79,6 +79,43 @@ def test_token_ids_equal_the_library():
         assert list(got) == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def encoded(tok) -> list[str]:
+    """The strings that ``tok`` hands to the library from now on."""
+    seen, run = [], tok.run
+
+    def kept(texts, **how):
+        seen.extend(texts)
+        return run(texts, **how)
+
+    tok.run = kept
+    return seen
+
+
+def test_pieces_met_late_are_encoded_once():
+    tok = packing.PieceTokenizer(path())
+    tok.encode([" ".join(f"w{i}" for i in range(120_000))])
+    tok.encode(["then common words"])
+    seen = encoded(tok)
+    tok.encode(["then words", "then common words"])
+    assert seen == []
+
+
+def test_a_full_table_keeps_the_most_used_pieces():
+    from tokenizers import Tokenizer
+
+    plain, tok = Tokenizer.from_file(path()), packing.PieceTokenizer(path())
+    tok.room = 2_000
+    rng = random.Random(7)
+    for _ in range(40):
+        texts = [" ".join(rng.choice(["the", "of,", "a\nb", "\u00e9t\u00e9", f"x{rng.randrange(10 ** 6)}"]) for _ in range(50)) for _ in range(4)]
+        found = tok.encode(["", " ", "\n", "the", *texts])
+        assert [x.tolist() for x in found] == [plain.encode(t, add_special_tokens=False).ids for t in ["", " ", "\n", "the", *texts]]
+        assert tok.chars.sum() <= tok.room and len(tok.known) == len(tok.sizes) == len(tok.uses)
+    seen = encoded(tok)
+    tok.encode(["the the of, a\nb \u00e9t\u00e9"])
+    assert seen == []
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_packs_hold_every_length_once(seed):
     rnd = random.Random(seed)
