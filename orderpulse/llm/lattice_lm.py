@@ -40,12 +40,13 @@ result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,24 +59,21 @@ ROUNDS = 3
 MAX_CLASSES = 16
 #: weight of the vocabulary's own order against the fitted counts, in pieces
 PRIOR = 100.0
-#: cells of a forward table in memory at a time, and the longest words that share one
-CELLS, LONG_WORD = 1_000_000, 200
+#: cells of a forward table at a time, few enough for a processor's cache, and the longest words that share one
+CELLS, LONG_WORD = 100_000, 200
 #: the class that a row teaches; a column name of no table
 OWN = "lattice_lm.own"
 #: stands for the mark that opens a word; no character has this number
 OPEN = 0x110000
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: white space of ``str.split`` that is part of a word here
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def split_words(text: str | None) -> list[str]:
-    """Words as they stand; their letters are lowered once for each distinct word."""
-    if not text:
-        return []
-    return _WORD.findall(text) if _OTHER_SPACE.search(text) else text.split()
+def split_words(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, A-Z lower-cased, and their number in each text."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string())))
+    word = pc.not_equal(pc.binary_length(cut.values), 0)  # white space at an end leaves an empty one
+    so_far = np.concatenate([[0], np.cumsum(word.to_numpy(zero_copy_only=False))])
+    return cut.values.filter(word), np.diff(so_far[cut.offsets.to_numpy()])
 
 
 def _next(h: np.ndarray, char: np.ndarray) -> np.ndarray:
@@ -169,8 +167,8 @@ class Arcs:
 
 
 def arcs_of(words: list[str], v: Vocabulary) -> Arcs:
-    """All arcs, by start and then end. Prefixes are followed only as long as
-    some piece goes on with them."""
+    """All arcs, by start, length and word. Prefixes are followed only as long
+    as some piece goes on with them."""
     sizes = np.array([len(w) for w in words], dtype=np.int64) + 1
     joined = np.frombuffer("".join("\0" + w for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
     first = np.cumsum(sizes) - sizes
@@ -178,10 +176,11 @@ def arcs_of(words: list[str], v: Vocabulary) -> Arcs:
     chars[first] = OPEN
     word = np.repeat(np.arange(len(words)), sizes)
     at = np.arange(len(chars)) - first[word]
+    left = sizes[word] - at
     live, h = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
     found = []
     for n in range(1, v.longest + 1):
-        live_in = at[live] + n <= sizes[word[live]]
+        live_in = left[live] >= n
         live, h = live[live_in], h[live_in]
         h = _next(h, chars[live + n - 1])
         piece = v.piece_of[v.index.get_indexer(h)]
@@ -198,34 +197,39 @@ def arcs_of(words: list[str], v: Vocabulary) -> Arcs:
     place = np.concatenate([place, odd])
     length = np.concatenate([length, np.ones(len(odd), np.int64)])
     piece = np.concatenate([piece, codes + len(v.log)])
-    order = np.lexsort((length, word[place], at[place]))
+    step = at[place] * (v.longest + 1) + length
+    # 16-bit numbers are sorted in one pass; odd characters come after the words of their step
+    order = np.argsort(step.astype(np.uint16) if step.max(initial=0) < 1 << 16 else step, kind="stable")
     place, length, piece = place[order], length[order], piece[order]
     return Arcs(word[place], at[place], at[place] + length, piece, spelled, sizes)
 
 
 def _steps(arcs: Arcs) -> list[slice]:
-    """Runs of arcs with equal start; those of equal start and length never share a word."""
-    cuts = np.flatnonzero(np.diff(arcs.start)) + 1
+    """Runs of arcs with equal start and length, which never share a word."""
+    cuts = np.flatnonzero(np.diff(arcs.start) | np.diff(arcs.end)) + 1
     return [slice(a, b) for a, b in zip([0, *cuts], [*cuts, len(arcs.start)], strict=True) if b > a]
 
 
 def _sum_paths(arcs: Arcs, score: np.ndarray, n_words: int, backward: bool = False) -> np.ndarray:
     """(words, characters + 1, classes) log sums over all paths from the start
-    to each node or, backward, from each node to the word's end."""
-    table = np.full((n_words, int(arcs.sizes.max(initial=1)) + 1, score.shape[1]), -np.inf)
+    to each node or, backward, from each node to the word's end. In memory a
+    node's words lie together, as a step goes through them."""
+    nodes, classes = int(arcs.sizes.max(initial=1)) + 1, score.shape[1]
+    table = np.full((nodes, n_words, classes), -np.inf)
     if backward:
-        table[np.arange(n_words), arcs.sizes] = 0.0
+        table[arcs.sizes, np.arange(n_words)] = 0.0
     else:
-        table[:, 0] = 0.0
+        table[0] = 0.0
+    # one class needs no second index
+    flat, score = (table.reshape(-1), score[:, 0]) if classes == 1 else (table.reshape(-1, classes), score)
+    come, go = arcs.start * n_words + arcs.word, arcs.end * n_words + arcs.word
+    if backward:
+        come, go = go, come
     steps = _steps(arcs)
     for own in (reversed(steps) if backward else steps):
-        word, start, end, s = arcs.word[own], arcs.start[own], arcs.end[own], score[own]
-        length = end - start
-        for n in np.unique(length):
-            k = length == n
-            come, go = (end[k], start[k]) if backward else (start[k], end[k])
-            table[word[k], go] = np.logaddexp(table[word[k], go], table[word[k], come] + s[k])
-    return table
+        at = go[own]
+        flat[at] = np.logaddexp(flat[at], flat[come[own]] + score[own])
+    return table.transpose(1, 0, 2)
 
 
 def _batches(words: list[str]) -> Iterator[np.ndarray]:
@@ -233,9 +237,10 @@ def _batches(words: list[str]) -> Iterator[np.ndarray]:
     a very long word comes alone and its table is as long as it is."""
     sizes = np.array([len(w) for w in words], dtype=np.int64) + 2
     order = np.argsort(sizes, kind="stable")
+    sizes = sizes[order].tolist()
     begin = 0
     for i in range(1, len(order) + 1):
-        if i == len(order) or (i - begin + 1) * sizes[order[i]] > CELLS or sizes[order[i]] > LONG_WORD:
+        if i == len(order) or (i - begin + 1) * sizes[i] > CELLS or sizes[i] > LONG_WORD:
             yield order[begin:i]
             begin = i
 
@@ -370,12 +375,10 @@ def _to_blocks(batches: Iterator[pd.DataFrame], classes: int) -> Iterator[pd.Dat
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         nonlocal n
         n += 1
-        lists = [split_words(t) for t in rows["text"]]
-        lengths = np.array([len(x) for x in lists], dtype=np.int64)
+        words, lengths = split_words(list(rows["text"]))
         own = rows["own"].to_numpy()  # the class that a document teaches, or -1
-        raw, seen = pd.factorize(np.array([w for x in lists for w in x], dtype=object))
-        small, vocab = pd.factorize(np.array([w.translate(_UPPER) for w in seen], dtype=object))
-        codes = small[raw] if len(raw) else raw
+        words = words.dictionary_encode()
+        codes, vocab = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False)
         used = np.bincount(codes, minlength=len(vocab))
         order = np.argsort(-used, kind="stable")  # frequent words get small codes
         rank = np.empty(len(order), dtype=np.uint32)

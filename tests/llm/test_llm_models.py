@@ -82,6 +82,24 @@ def test_a_very_long_word_takes_the_same_sums(vocabulary):
                        [forward[0, -1, 0], lattice_lm.spell(["the"], vocabulary)[0, 0] - vocabulary.log[-1, 0]])
 
 
+def test_a_step_is_one_run_of_arcs(vocabulary):
+    words = [*WORDS, "thethe", "\u6f22\u5b57the", ""]
+    arcs = lattice_lm.arcs_of(words, vocabulary)
+    steps = [(s, arcs.start[s], arcs.end[s], arcs.word[s]) for s in lattice_lm._steps(arcs)]
+    for _, start, end, word in steps:  # so no step is searched for the arcs of one length
+        assert len(set(start)) == len(set(end)) == 1 and len(set(word)) == len(word)
+    keys = [(start[0], end[0]) for _, start, end, _ in steps]
+    assert keys == sorted(set(keys)) and sum(len(word) for *_, word in steps) == len(arcs.word)
+
+
+def test_words_end_at_ascii_white_space_only():
+    texts = [None, "", " ", "The end", " a\x0bB\x0c\r\n\tc ", "\x1cx\x85Y\xa0z\u2003\u3000", "\u00c9T\u00c9 \u0130I", "\x00 A\x00b", PROSE]
+    want = [[w.translate({c: c + 32 for c in range(65, 91)}) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] for t in texts]
+    words, lengths = lattice_lm.split_words(texts)
+    assert words.to_pylist() == [w for own in want for w in own] and lengths.tolist() == [len(own) for own in want]
+    assert [len(x) for x in lattice_lm.split_words([])] == [0, 0]
+
+
 def test_piece_scores_are_two_distributions(vocabulary):
     fitted = vocabulary.fitted(np.random.default_rng(0).random((len(vocabulary.log), 3)) * 100)
     for v in (vocabulary, fitted):
