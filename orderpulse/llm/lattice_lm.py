@@ -54,7 +54,10 @@ from pyspark.sql import functions as F
 from orderpulse.llm.common import isolate, materialize, restore
 from orderpulse.llm.quality import squeeze, unsqueeze
 
-BLOCK_CHARS = 12_000_000
+#: a block is full with so many characters or rows
+BLOCK_CHARS, BLOCK_ROWS = 12_000_000, 10_000
+#: texts that are split into words at a time
+SPLIT_CHARS, SPLIT_ROWS = 1_000_000, 1_000
 ROUNDS = 3
 MAX_CLASSES = 16
 #: weight of the vocabulary's own order against the fitted counts, in pieces
@@ -68,9 +71,12 @@ OPEN = 0x110000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def split_words(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+def split_words(texts: pa.Array | list[str | None]) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts, A-Z lower-cased, and their number in each text."""
-    cut = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string())))
+    texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+    # a copy whose bytes begin at zero: Arrow lower-cases the wrong bytes of a slice
+    texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))), "")
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     word = pc.not_equal(pc.binary_length(cut.values), 0)  # white space at an end leaves an empty one
     so_far = np.concatenate([[0], np.cumsum(word.to_numpy(zero_copy_only=False))])
     return cut.values.filter(word), np.diff(so_far[cut.offsets.to_numpy()])
@@ -369,34 +375,47 @@ class Counts:
         return ends / ends.sum()
 
 
-def _to_blocks(batches: Iterator[pd.DataFrame], classes: int) -> Iterator[pd.DataFrame]:
-    part, n = TaskContext.get().partitionId(), 0
+def _to_blocks(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[pa.RecordBatch]:
+    """Blocks from batches of any size. Rows and words stay in Arrow; of texts
+    that were split only the distinct words and their places are held."""
+    part, n, size, n_rows = TaskContext.get().partitionId(), 0, 0, 0
+    held: list[tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]] = []
 
-    def block(rows: pd.DataFrame) -> pd.DataFrame:
+    def hold(batch: pa.RecordBatch) -> None:
+        words, lengths = split_words(batch.column("text"))
+        held.append((batch.column("row"), batch.column("own").to_numpy().astype(np.int8), words.dictionary_encode(), lengths))
+
+    def block() -> pa.RecordBatch:
         nonlocal n
         n += 1
-        words, lengths = split_words(list(rows["text"]))
-        own = rows["own"].to_numpy()  # the class that a document teaches, or -1
-        words = words.dictionary_encode()
-        codes, vocab = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False)
+        rows, own, words, lengths = zip(*held, strict=True)
+        held.clear()
+        words = pa.chunked_array(words).unify_dictionaries().chunks
+        rows, own, lengths = pa.concat_arrays(rows), np.concatenate(own), np.concatenate(lengths)
+        codes, vocab = np.concatenate([w.indices.to_numpy() for w in words]), words[0].dictionary
         used = np.bincount(codes, minlength=len(vocab))
         order = np.argsort(-used, kind="stable")  # frequent words get small codes
         rank = np.empty(len(order), dtype=np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        of = np.repeat(own, lengths)
-        learned = {f"l{k}": [np.bincount(codes[of == k], minlength=len(vocab))[order]] for k in range(classes)}
-        return pd.DataFrame({"block": [part << 32 | n], "rows": [list(rows["row"])], "lengths": [squeeze(lengths)],
-                             "codes": [squeeze(rank[codes] if len(codes) else codes)], "vocab": [list(vocab[order])]} | learned)
+        of = np.repeat(own, lengths)  # the class that a word's document teaches, or -1
+        learned = [np.bincount(codes[of == k], minlength=len(vocab))[order].astype(np.int32) for k in range(classes)]
+        lists = [pa.ListArray.from_arrays([0, len(x)], x) for x in (rows, vocab.take(pa.array(order)).cast(pa.string()), *map(pa.array, learned))]
+        packed = [pa.array([squeeze(x)], pa.binary()) for x in (lengths, rank[codes] if len(codes) else codes)]
+        return pa.RecordBatch.from_arrays([pa.array([part << 32 | n]), lists[0], *packed, *lists[1:]],
+                                          ["block", "rows", "lengths", "codes", "vocab", *[f"l{k}" for k in range(classes)]])
 
     for batch in batches:
-        begin, size = 0, 0
-        for i, text in enumerate(batch["text"]):
-            size += len(text or "")
-            if size >= BLOCK_CHARS:
-                yield block(batch.iloc[begin:i + 1])
-                begin, size = i + 1, 0
-        if begin < len(batch):
-            yield block(batch.iloc[begin:])
+        chars = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(np.cumsum(chars, dtype=np.int64) // SPLIT_CHARS) | np.diff(np.arange(len(chars)) // SPLIT_ROWS)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(chars)], strict=True):
+            if b > a:
+                hold(batch.slice(a, b - a))
+                size, n_rows = size + int(chars[a:b].sum(dtype=np.int64)), n_rows + b - a
+            if size >= BLOCK_CHARS or n_rows >= BLOCK_ROWS:
+                yield block()
+                size = n_rows = 0
+    if held:
+        yield block()
 
 
 def class_values(train: DataFrame) -> tuple[list[str], list[int], int]:
@@ -412,9 +431,10 @@ def class_values(train: DataFrame) -> tuple[list[str], list[int], int]:
 def count_words(blocks: DataFrame, ends: list[int]) -> tuple[DataFrame, Counts]:
     """(word, c0, c1, … by class) for every word, and the sums. Each block adds one row a word."""
     classes = len(ends)
-    own = blocks.select(F.explode(F.arrays_zip("vocab", *[f"l{k}" for k in range(classes)])).alias("w"))
-    counted = materialize(own.groupBy(F.col("w.vocab").alias("word")).agg(
-        *[F.sum(F.col("w")[f"l{k}"]).alias(f"c{k}") for k in range(classes)]), "words")
+    # words are taken from the arrays by place: a zipped array would be an object a word on the heap
+    own = blocks.select(F.posexplode("vocab").alias("at", "word"), *[f"l{k}" for k in range(classes)])
+    counted = materialize(own.groupBy("word").agg(
+        *[F.sum(F.get(f"l{k}", F.col("at"))).alias(f"c{k}") for k in range(classes)]), "words")
     columns = [F.col(f"c{k}") for k in range(classes)]
     learned = sum(columns, F.lit(0))
     sums = counted.agg(*[
@@ -480,9 +500,9 @@ def score_documents(docs: DataFrame, train_col: str, vocabulary_path: str, id_co
     carried = isolate(docs.select("*", own.alias(OWN)), **roles, own=OWN).select(F.struct("id", "rest").alias("row"), "text", "own")
     row_type = carried.schema["row"].dataType.simpleString()
     classes = len(ends)
-    blocks = materialize(carried.mapInPandas(
+    blocks = materialize(carried.mapInArrow(
         lambda b: _to_blocks(b, classes), f"block long, rows array<{row_type}>, lengths binary, codes binary, "
-        "vocab array<string>, " + ", ".join(f"l{k} array<bigint>" for k in range(classes))), "blocks")
+        "vocab array<string>, " + ", ".join(f"l{k} array<int>" for k in range(classes))), "blocks")
     counted, counts = count_words(blocks, ends)
     shared = spark.sparkContext.broadcast(fit(counted, counts, Vocabulary(vocabulary_path), rounds))
 

@@ -5,9 +5,11 @@ import hashlib
 import math
 import random
 import re
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import EDGE, LONG, PROSE, frame
 from public_tokenizers import path
@@ -100,6 +102,67 @@ def test_words_end_at_ascii_white_space_only():
     assert [len(x) for x in lattice_lm.split_words([])] == [0, 0]
 
 
+def test_blocks_follow_characters_and_hold_a_few_texts_at_a_time(monkeypatch):
+    rnd = random.Random(7)
+    texts = [None if i % 9 == 4 else " ".join(rnd.choice(["the", "Th\u00e9", "on", "x" * rnd.randint(1, 9), "\ua66e"]) for _ in range(rnd.randint(0, 40)))
+             for i in range(300)]
+    own = [i % 4 - 1 for i in range(300)]
+    rows = pa.array([{"id": i, "rest": {"lang": str(i % 3)}} for i in range(300)])
+    whole = pa.RecordBatch.from_arrays([rows, pa.array(texts), pa.array(own, pa.int32())], ["row", "text", "own"])
+    seen, split = [], lattice_lm.split_words
+
+    def watched(part):
+        seen.append(sum(len(t or "") for t in part.to_pylist()))
+        return split(part)
+
+    monkeypatch.setattr(lattice_lm, "split_words", watched)
+    monkeypatch.setattr(lattice_lm, "BLOCK_CHARS", 3_000)
+    monkeypatch.setattr(lattice_lm, "SPLIT_CHARS", 500)
+    monkeypatch.setattr(lattice_lm, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 5)))
+    batches = [whole.slice(a, 7) for a in range(0, 140, 7)] + [whole.slice(140, 0), whole.slice(140, 160)]  # many of a block, and many blocks of one
+    blocks = list(lattice_lm._to_blocks(iter(batches), 3))
+    longest = max(len(t or "") for t in texts)
+    assert max(seen) < 500 + longest and sum(seen) == sum(len(t or "") for t in texts)  # never a block's text at once
+    assert [b.column("block")[0].as_py() for b in blocks] == [5 << 32 | n for n in range(1, len(blocks) + 1)]
+    done, at = [], 0
+    for block in blocks:
+        block.validate(full=True)
+        vocab = block.column("vocab")[0].as_py()
+        lengths, codes = (lattice_lm.unsqueeze(block.column(c)[0].as_py()).astype(int).tolist() for c in ("lengths", "codes"))
+        ids = [r["id"] for r in block.column("rows")[0].as_py()]
+        want = [[lower(w) for w in re.findall(r"[^\x20\x09-\x0D]+", texts[i] or "")] for i in ids]
+        assert lengths == [len(ws) for ws in want] and [vocab[c] for c in codes] == [w for ws in want for w in ws]
+        for k in range(3):
+            count = collections.Counter(w for i, ws in zip(ids, want, strict=True) if own[i] == k for w in ws)
+            assert block.column(f"l{k}")[0].as_py() == [count[w] for w in vocab]
+        size, at = sum(len(texts[i] or "") for i in ids), at + len(ids)
+        assert size < 3_500 + longest and (size >= 3_000 or at == 300)
+        done += ids
+    assert done == list(range(300)) and not list(lattice_lm._to_blocks(iter([]), 3))
+    monkeypatch.setattr(lattice_lm, "BLOCK_ROWS", 10)  # rows without a text fill a block too
+    monkeypatch.setattr(lattice_lm, "SPLIT_ROWS", 4)
+    empty = pa.RecordBatch.from_arrays([rows.slice(0, 50), pa.array([None, ""] * 25), pa.array([0] * 50, pa.int32())], ["row", "text", "own"])
+    blocks = list(lattice_lm._to_blocks(iter([empty]), 1))
+    assert [r["id"] for b in blocks for r in b.column("rows")[0].as_py()] == list(range(50))
+    assert [len(b.column("rows")[0]) for b in blocks] == [12, 12, 12, 12, 2]
+
+
+def test_words_are_counted_without_an_object_a_word(spark, monkeypatch):
+    blocks = spark.createDataFrame([(["a", "b"], [1, 0], [2, 3]), (["b", "c"], [4, 0], [0, 0]), ([], [], [])],
+                                   "vocab array<string>, l0 array<int>, l1 array<int>")
+    plans, keep = [], lattice_lm.materialize
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(lattice_lm, "materialize", kept)
+    counted, counts = lattice_lm.count_words(blocks, [1, 1])
+    assert sorted(map(tuple, counted.collect())) == [("a", 1, 2), ("b", 4, 3), ("c", 0, 0)]
+    assert (counts.all.words, counts.all.types, [x.words for x in counts.classes]) == (10, 2, [5, 5])
+    assert "arrays_zip" not in plans[0]
+
+
 def test_piece_scores_are_two_distributions(vocabulary):
     fitted = vocabulary.fitted(np.random.default_rng(0).random((len(vocabulary.log), 3)) * 100)
     for v in (vocabulary, fitted):
