@@ -209,10 +209,14 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[radius:-radius] / weight
 
 
+def ratios_of(lines: list[Line]) -> np.ndarray:
+    return np.array([len(x.text) / max(1, x.tags) for x in lines], dtype=float)
+
+
 def cluster(lines: list[Line]) -> np.ndarray:
     """True for the lines of the content cluster: smoothed text-to-tag ratio
     at or above the deviation of all ratios."""
-    ratios = smooth(np.array([len(x.text) / max(1, x.tags) for x in lines], dtype=float))
+    ratios = smooth(ratios_of(lines))
     chosen = ratios >= ratios.std()
     return chosen if chosen.any() else np.ones(len(lines), dtype=bool)
 
@@ -240,6 +244,12 @@ def select(lines: list[Line]) -> list[str]:
         return [x.text for x in lines if around[-1] in x.path]
     # only the page itself holds all: its own lines, and from the first to the last of its parts with content
     parts = [next((e for e in x.path if e[0] not in ("html", "body")), None) for x in lines]
+    marked = np.array([e is not None and e[0] in ("article", "main") for e in parts])
+    if (chosen & marked).any():  # beside these, a part that only smoothing takes in is no content
+        ratios = ratios_of(lines)
+        dense = chosen & (ratios >= smooth(ratios).std())
+        full = {e for e, is_dense in zip(parts, dense, strict=True) if is_dense} | {None}
+        chosen &= marked | np.array([e in full for e in parts])
     held = {e for e, is_content in zip(parts, chosen, strict=True) if is_content} - {None}
     whole = {e for e in held if e[0] != "table"}
     at = [n for n, e in enumerate(parts) if chosen[n] or e in held]
